@@ -6,14 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, quality_cascade, source_mixing, token_cache, topk_blocks
-from .common import load, scratch
+from . import byte_bpe, chat_format, language_crf, quality_cascade, source_mixing, token_cache, topk_blocks, toxicity_fm
+from .common import fold_of, load, scratch
 
 #: The paths of the vocabularies are parameters; these are the installed public ones.
 PIECE_MODEL, BYTE_RANKS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKEN_LIMIT, TOP_K, QUERY_STEP, MIX_BUDGET = 4096, 20, 20, 0.8
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    model = language_crf.fit(docs, ~held_out)
+    return language_crf.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache of its own, so every distinct text is encoded once."""
     return token_cache.count_tokens(load(spark, sf_dir, "documents"), PIECE_MODEL, scratch(spark, "token-cache"), limit=TOKEN_LIMIT)
@@ -23,6 +30,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(load(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels")
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    model = toxicity_fm.fit(docs, labels, ~held_out)
+    return toxicity_fm.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade.assess(load(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -44,7 +58,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("probability", 5).alias("probability"), "drawn")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_byte_bpe, op7_quality_rules, op8_topk_search, op9_chat_format, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_token_counts, op5_byte_bpe, op6_toxicity, op7_quality_rules, op8_topk_search, op9_chat_format, op10_source_mixing)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 OP7_SQL = rf"""

@@ -84,7 +84,7 @@ class FactorizationMachine:
                 bias += 0.1 * g / np.sqrt(sum_b)
                 g_l = np.bincount(flat, error[owner], len(terms)) / size - 2e-5 * linear
                 sum_l += g_l**2
-                linear += 0.1 * g_l / np.sqrt(sum_l)
+                linear += 0.3 * g_l / np.sqrt(sum_l)
                 pull = error[owner, None] * (sums[owner] - factors[flat])
                 g_f = np.stack([np.bincount(flat, pull[:, f], len(terms)) for f in range(FACTORS)], axis=1) / size - 2e-4 * factors
                 sum_f += g_f**2
