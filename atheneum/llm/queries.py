@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, language_crf, quality_cascade, source_mixing, token_cache, topk_blocks, toxicity_fm
+from . import byte_bpe, chat_format, jaccard_trie, language_crf, quality_cascade, source_mixing, token_cache, topk_blocks, toxicity_fm
 from .common import fold_of, load, scratch
 
 #: The paths of the vocabularies are parameters; these are the installed public ones.
@@ -21,6 +21,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_trie.jaccard_components(load(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache of its own, so every distinct text is encoded once."""
     return token_cache.count_tokens(load(spark, sf_dir, "documents"), PIECE_MODEL, scratch(spark, "token-cache"), limit=TOKEN_LIMIT)
@@ -58,7 +62,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("probability", 5).alias("probability"), "drawn")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_token_counts, op5_byte_bpe, op6_toxicity, op7_quality_rules, op8_topk_search, op9_chat_format, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_jaccard_join, op4_token_counts, op5_byte_bpe, op6_toxicity, op7_quality_rules, op8_topk_search, op9_chat_format, op10_source_mixing)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 OP7_SQL = rf"""
