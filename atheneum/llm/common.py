@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id where ids are compared: it sorts before every other id.
 NULL_ID = -(2**63)
+#: Bytes of text that vectorised operators take at once, to the next end of a text.
+HASH_BYTES = 1_000_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,3 +47,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def fold_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(n))
+
+
+def text_parts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive whole texts as bytes, about HASH_BYTES at a time, with the place of the first."""
+    at, part, size = 0, [], 0
+    for i, t in enumerate(column.to_pylist()):
+        part.append((t or "").encode())
+        size += len(part[-1])
+        if size >= HASH_BYTES:
+            yield at, part
+            at, part, size = i + 1, [], 0
+    if part:
+        yield at, part

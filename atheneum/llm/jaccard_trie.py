@@ -31,12 +31,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import HASH_BYTES, text_parts, written
 from .components import connected_components
 
 U = np.uint64
-#: Elements in the sets of one slice of a large group, and bytes of text hashed at once.
-SLICE_ELEMENTS, HASH_BYTES = 2_000_000, 1_000_000
+#: Elements in the sets of one slice of a large group.
+SLICE_ELEMENTS = 2_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -106,19 +106,6 @@ def set_keys(h: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return size, key.view(np.int64)
 
 
-def text_parts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """Consecutive whole texts as bytes, about HASH_BYTES at a time, with the place of the first."""
-    at, part, size = 0, [], 0
-    for i, t in enumerate(column.to_pylist()):
-        part.append((t or "").encode())
-        size += len(part[-1])
-        if size >= HASH_BYTES:
-            yield at, part
-            at, part, size = i + 1, [], 0
-    if part:
-        yield at, part
-
-
 def bands(percent: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For sizes up to ``longest``: the band of each size; for bands: differing elements a linked pair can have, and parts."""
     band, allowed, parts, low = np.zeros(longest + 1, np.int64), [], [], 1

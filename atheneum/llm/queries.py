@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, jaccard_trie, language_crf, quality_cascade, source_mixing, token_cache, topk_blocks, toxicity_fm
+from . import byte_bpe, chat_format, jaccard_trie, language_crf, quality_cascade, source_mixing, suffix_dedup, token_cache, topk_blocks, toxicity_fm
 from .common import fold_of, load, scratch
 
 #: The paths of the vocabularies are parameters; these are the installed public ones.
@@ -14,6 +14,10 @@ PIECE_MODEL, BYTE_RANKS = public_tokenizers.path("piece_bpe_32k.model"), public_
 TOKEN_LIMIT, TOP_K, QUERY_STEP, MIX_BUDGET = 4096, 20, 20, 0.8
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(load(spark, sf_dir, "documents"), length=100)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold_of(F.col("doc_id"), 4) == 2
@@ -62,7 +66,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("probability", 5).alias("probability"), "drawn")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_jaccard_join, op4_token_counts, op5_byte_bpe, op6_toxicity, op7_quality_rules, op8_topk_search, op9_chat_format, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_jaccard_join, op4_token_counts, op5_byte_bpe, op6_toxicity, op7_quality_rules, op8_topk_search, op9_chat_format, op10_source_mixing)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 OP7_SQL = rf"""

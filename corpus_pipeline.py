@@ -1,2 +1,71 @@
-STAGES = []
-run = None
+"""From raw documents to token ids: quality rules, near-duplicate removal, repeated passages, source mixing, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns rows for the next; all but the last keep the columns of ``documents``. Between stages
+the rows are written as Parquet to the shared folder and read again, so a stage that fails is run again alone.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from atheneum.llm import byte_bpe, jaccard_trie, quality_cascade, source_mixing, suffix_dedup
+from atheneum.llm.common import load, written
+
+#: Near duplicates: words of a shingle, percent of similarity.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Length in bytes from which a repeated passage goes, and the share of tokens that mixing keeps.
+REPEAT_BYTES, MIX_BUDGET = 100, 0.8
+#: Ids of dropped documents are sent to all executors up to this many; beyond it the join shuffles.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule rejects."""
+    return quality_cascade.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id. Rows without an id stay; of rows with the same id one stays."""
+    found = written(jaccard_trie.jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT), "near")
+    if not found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        docs = docs.filter("doc_id IS NULL").unionByName(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    gone = found.filter("doc_id > component_id").select("doc_id").distinct()
+    small = gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without what an earlier document, or an earlier part of the same one, has already said; ``n_chars`` follows."""
+    return suffix_dedup.cleaned(docs, REPEAT_BYTES).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that sources, languages and topics meet their target weights."""
+    return source_mixing.mixed(docs, MIX_BUDGET)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids; the texts are those that the ids decode to."""
+    encoded = byte_bpe.encode_column(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encoded.select("doc_id", F.decode("decoded", "UTF-8").alias("text"), "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("suffix_dedup", repeated_passages),
+    ("source_mixing", mixing),
+    ("byte_bpe", encoding),
+]
+
+#: SQL has no suffix arrays, tries or merges by rank; tests compare with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
