@@ -6,11 +6,10 @@ overlap of a path is counted once for all sets below it, and a subtree is left o
 remains of either side cannot reach the threshold, by length bounds kept in the nodes, or when all sets in it are already
 known to be linked with the probe.
 
-To deal the work out, sets that could be similar must meet in a task. Two sets of sizes up to ``hi`` with Jaccard
-similarity t or more differ in at most H = 2 hi (1-t)/(1+t) elements, so if elements are dealt by hash into more than H
-parts, one part is equal in both. A part's signature counts only if it has at least two elements; there are enough
-parts for H differing ones and for that, and sets with too few such parts also give signatures of the other parts and one shared
-one. Sets with a signature in common form candidate groups; the connected components of these are joined exactly, each by one tree, or, if large, by
+To deal the work out, linked sets must meet in a task. In the global order elements that only one set has come first; whether another set has
+one too is found by an exchange of compressed hashes between blocks of distinct sets. Linked sets share an element of their prefixes
+(Chaudhuri et al. 2006), and as most sets have enough elements of their own to fill the prefix, few have a candidate at all. Sets that share
+a prefix element form candidate groups; the connected components of these are joined exactly, each by one tree, or, if large, by
 slices of bounded size of which only the sets not linked to the component's hub travel to the other slices.
 
 Sets are compared by 64-bit hashes of their n-grams, and equal sets are one node (its key hashes the set).
@@ -22,8 +21,8 @@ A null id takes no part in the smallest id of a component.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +30,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_BYTES, text_parts, written
+from .common import HASH_BYTES, scratch, text_parts, written
 from .components import connected_components
 
 U = np.uint64
 #: Elements in the sets of one slice of a large group.
 SLICE_ELEMENTS = 2_000_000
+#: Packed bytes of text in a block of distinct sets.
+BLOCK_BYTES = 600_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -106,52 +107,6 @@ def set_keys(h: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return size, key.view(np.int64)
 
 
-def bands(percent: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For sizes up to ``longest``: the band of each size; for bands: differing elements a linked pair can have, and parts."""
-    band, allowed, parts, low = np.zeros(longest + 1, np.int64), [], [], 1
-    while low <= longest:
-        high = max(low, low * 5 // 4, low * 100 // percent - 1)
-        h = 2 * high * (100 - percent) // (100 + percent)
-        band[low : high + 1] = len(parts)
-        allowed.append(h)
-        parts.append(1 if h == 0 else (h + 1) * 5 // 4 + 1)
-        low = high + 1
-    return band, np.array([*allowed, 0]), np.array([*parts, 1])
-
-
-def signatures(h: np.ndarray, d: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of sets and the set each belongs to. A set signs in its own band and in that of the largest partner it could have."""
-    sig, owner = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    longest = int(size.max(initial=0)) * 100 // percent + 1
-    band, allowed, parts = bands(percent, longest)
-    for step in range(2):
-        mine = band[size] + step
-        use = (size > 0) & (band[size * 100 // percent] >= mine)
-        on = use[d]
-        if not on.any():
-            continue
-        hs, ds = h[on], d[on]
-        part = ((hs >> U(32)) * parts[mine[ds]].astype(U) >> U(32)).astype(np.int64)
-        group = ds * (int(parts.max()) + 1) + part
-        order = np.argsort(group, kind="stable")
-        group, ds = group[order], ds[order]
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        count = np.diff(np.concatenate([first, [len(group)]]))
-        own = ds[first]
-        place = mine[own].astype(U) * U(0xABCDEF123456789) + part[order][first].astype(U) * U(_BASE)
-        made = mix(np.add.reduceat(mix(hs[order] + U(99)), first) + place)
-        enough = count >= 2
-        full = np.bincount(own[enough], minlength=len(size))
-        weak = use & (full <= allowed[mine])  # then an equal part may be one that isn't counted
-        keep = enough | weak[own]
-        sig.append(made[keep])
-        owner.append(own[keep])
-        few = np.flatnonzero(weak & (allowed[mine] > 0))
-        sig.append(mix((mine[few] + 1).astype(U) * U(0xD1B54A32D192ED03)))
-        owner.append(few)
-    return np.concatenate(sig), np.concatenate(owner)
-
-
 class PrefixTree:
     """Sets of ranked elements; ``link`` puts a set in and unites it with all sets it is similar to."""
 
@@ -301,26 +256,141 @@ def set_rows(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "t
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_shingles long, key long")
 
 
-def candidate_edges(docs: DataFrame, n: int, percent: int, text_col: str = "text") -> DataFrame:
-    """(a, b): keys of sets that share a signature, each linked to the smallest key of the signature."""
+def packed_texts(docs: DataFrame, n: int, text_col: str = "text") -> DataFrame:
+    """(key, packed): each distinct set of a task with a text that has it."""
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for _, texts in text_parts(batch.column("text")):
-                h, d = ngram_sets(texts, n)
-                size, key = set_keys(h, d, len(texts))
-                one = np.zeros(len(key), bool)
-                one[np.unique(key, return_index=True)[1]] = True  # copies sign once
-                on = one[d]
-                sig, owner = signatures(h[on], d[on], np.where(one, size, 0), percent)
-                node = key[owner]
+                _, keys = set_keys(*ngram_sets(texts, n), len(texts))
+                new = [i for i, k in enumerate(keys.tolist()) if k and not (k in seen or seen.add(k))]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array([pack(texts[i]) for i in new], pa.binary())], names=["key", "packed"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, packed binary")
+
+
+def distinct_blocks(docs: DataFrame, n: int, text_col: str = "text") -> DataFrame:
+    """(block, keys, packed): all distinct sets with a text each, some hundred to a row. A table bucketed by ``block``, so later joins on it shuffle only their other side.
+
+    A block's number is its first key; keys are dealt by hash, so that is also the bucket the row is in, and each task writes one file.
+    """
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        keys: list[int] = []
+        packed: list[bytes] = []
+
+        def block() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([keys[0]], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([packed], pa.list_(pa.binary()))], names=["block", "keys", "packed"])
+            keys.clear()
+            packed.clear()
+            return made
+
+        size = 0
+        for batch in batches:
+            for k, x in zip(batch.column("key").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                if k in seen:
+                    continue
+                seen.add(k)
+                keys.append(k)
+                packed.append(x)
+                size += len(x)
+                if size >= BLOCK_BYTES:
+                    yield block()
+                    size = 0
+        if keys:
+            yield block()
+
+    rows = packed_texts(docs, n, text_col).repartition(buckets, "key").mapInArrow(run, "block long, keys array<long>, packed array<binary>")
+    path = scratch(spark, "blocks")
+    name = f"blocks_{path.rsplit('-', 1)[1]}"
+    rows.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+class BlockSets(NamedTuple):
+    """The sets of a block: all elements in order of set and hash; the distinct ones, and where each element is among them."""
+
+    element: np.ndarray
+    owner: np.ndarray
+    distinct: np.ndarray
+    at: np.ndarray
+    count: np.ndarray
+
+
+def block_sets(packed: list[bytes], n: int) -> BlockSets:
+    unpack = zstandard.ZstdDecompressor().decompress
+    h, d = ngram_sets([unpack(x) for x in packed], n)
+    distinct, at, count = np.unique(h, return_inverse=True, return_counts=True)
+    return BlockSets(h, d, distinct, at, count)
+
+
+def shared_elements(blocks: DataFrame, n: int) -> DataFrame:
+    """(block, found): for each block which of its distinct elements other blocks have too, as bits in parts ordered by ``part``.
+
+    Elements travel as differences of their first 40 bits, sorted and compressed: about three bytes each. Two that agree in these count as shared,
+    which can only add candidates.
+    """
+    parts = 4 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for block, packed in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                short = block_sets(packed, n).distinct >> U(24)
+                part = (short * U(parts) >> U(40)).astype(np.int64)
+                cut = np.searchsorted(part, np.arange(parts + 1))
+                some = np.flatnonzero(np.diff(cut))
+                blobs = [pack(np.diff(short[cut[p] : cut[p + 1]], prepend=U(0)).tobytes()) for p in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "block", "blob"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        rows = [(p, b, np.cumsum(np.frombuffer(unpack(x), U))) for batch in batches for p, b, x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        if not rows:
+            return
+        every = np.sort(np.concatenate([np.unique(x) for _, _, x in rows]))
+        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        del every
+        for p, b, x in rows:
+            yes = twice[np.minimum(np.searchsorted(twice, x), len(twice) - 1)] == x if len(twice) else np.zeros(len(x), bool)
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([p], pa.int64()), pa.array([len(x)], pa.int64()), pa.array([np.packbits(yes).tobytes()], pa.binary())], names=["block", "part", "size", "bits"])
+
+    sent = blocks.select("block", "packed").mapInArrow(send, "part long, block long, blob binary").repartition("part")
+    return sent.mapInArrow(count, "block long, part long, size long, bits binary").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "size", "bits"))).alias("found"))
+
+
+def candidate_edges(blocks: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): keys of sets that share an element of their prefixes, each linked to the smallest key that has it.
+
+    The order of elements is: those of one set only, then the others by hash. Two linked sets of which one has size s share one of its first
+    s - needed + 1 elements; elements of one set only are never shared, so only what comes after them in the prefix is sent.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, packed, found in zip(*(batch.column(c).to_pylist() for c in ("keys", "packed", "found")), strict=True):
+                sets, key = block_sets(packed, n), np.array(keys)
+                elsewhere = np.concatenate([np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=x["size"]) for x in found]).astype(bool)
+                shared = (elsewhere | (sets.count > 1))[sets.at]
+                size = np.bincount(sets.owner, minlength=len(key))
+                own = np.bincount(sets.owner, ~shared, len(key)).astype(np.int64)
+                at = np.flatnonzero(shared)
+                owner = sets.owner[at]
+                begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(at) else at
+                rank = own[owner] + np.arange(len(at)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(at)]])))
+                first = rank < (size - -(-size * percent // 100) + 1)[owner]
+                sig, node = sets.element[at][first], key[owner[first]]
                 order = np.lexsort((node, sig))
                 sig, node = sig[order], node[order]
-                # What already meets here goes on as one row and as edges, so a signature has few rows in all.
+                # What already meets here goes on as one row and as edges, so an element has few rows in all.
                 lead = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
                 leader = node[np.maximum.accumulate(np.where(lead, np.arange(len(sig)), 0))] if len(sig) else node
                 pairs = np.unique(np.stack([leader[~lead], node[~lead]]), axis=1)
-                pairs = pairs[:, pairs[0] != pairs[1]]
                 tie = mix(mix(pairs[0].view(U)) + pairs[1].view(U))
                 sig = np.concatenate([sig[lead], tie, tie])
                 node = np.concatenate([node[lead], pairs[0], pairs[1]])
@@ -340,23 +410,23 @@ def candidate_edges(docs: DataFrame, n: int, percent: int, text_col: str = "text
             pairs = pairs[:, pairs[0] != pairs[1]]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(sign, "sig long, node long")
+    rows = blocks.join(shared_elements(blocks, n), "block").select("keys", "packed", "found").mapInArrow(send, "sig long, node long")
     return rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(star, "a long, b long")
 
 
-def packed_texts(docs: DataFrame, n: int, text_col: str = "text") -> DataFrame:
-    """(key, packed): each distinct set of a task with a text that has it."""
+def chosen_members(blocks: DataFrame, placed: DataFrame) -> DataFrame:
+    """``placed`` (key, grp, slices, slice) with the packed text of each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            for _, texts in text_parts(batch.column("text")):
-                _, keys = set_keys(*ngram_sets(texts, n), len(texts))
-                new = [i for i, k in enumerate(keys.tolist()) if k and not (k in seen or seen.add(k))]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array([pack(texts[i]) for i in new], pa.binary())], names=["key", "packed"])
+            for keys, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("keys", "packed", "wanted")), strict=True):
+                text = dict(zip(keys, packed, strict=True))
+                columns = [[x[c] for x in wanted] for c in ("key", "grp", "slices", "slice")]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array([text[k] for k in columns[0]], pa.binary())], names=["key", "grp", "slices", "slice", "packed"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, packed binary")
+    where = blocks.select("block", F.explode("keys").alias("key"))
+    wanted = where.join(placed, "key").groupBy("block").agg(F.collect_list(F.struct("key", "grp", "slices", "slice")).alias("wanted"))
+    return blocks.join(wanted, "block").select("keys", "packed", "wanted").mapInArrow(run, "key long, grp long, slices long, slice long, packed binary")
 
 
 def unpack_sets(packed: pa.ChunkedArray, n: int) -> list[np.ndarray]:
@@ -366,14 +436,14 @@ def unpack_sets(packed: pa.ChunkedArray, n: int) -> list[np.ndarray]:
     return out
 
 
-def links(docs: DataFrame, n: int = 4, percent: int = 85, text_col: str = "text") -> DataFrame:
-    """(node, root): keys of sets that have a link, with the smallest key of their component."""
-    sets = written(set_rows(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), n, "id").filter("n_shingles > 0").groupBy("key").agg(F.max("n_shingles").alias("n_shingles")), "sets")
-    groups = connected_components(candidate_edges(docs, n, percent, text_col), "groups")
-    groups = groups.join(sets, groups.node == sets.key).select("key", F.col("root").alias("grp"), "n_shingles")
+def links(docs: DataFrame, sizes: DataFrame, n: int = 4, percent: int = 85, text_col: str = "text") -> DataFrame:
+    """(node, root): keys of sets that have a link, with the smallest key of their component. ``sizes``: (key, n_shingles) of the distinct sets."""
+    blocks = distinct_blocks(docs, n, text_col)
+    groups = connected_components(candidate_edges(blocks, n, percent), "groups").withColumnsRenamed({"node": "key", "root": "grp"})
+    groups = groups.join(sizes, "key")
     total = groups.groupBy("grp").agg(F.ceil(F.sum("n_shingles") / SLICE_ELEMENTS).alias("slices"))
-    placed = groups.join(total, "grp").withColumn("slice", F.pmod(F.xxhash64("key"), F.col("slices")))
-    members = written(packed_texts(docs, n, text_col).join(placed, "key").dropDuplicates(["key"]).select("key", "grp", "slices", "slice", "packed"), "members")
+    placed = groups.join(total, "grp").select("key", "grp", "slices", F.pmod(F.xxhash64("key"), F.col("slices")).alias("slice"))
+    members = written(chosen_members(blocks, placed), "members")
 
     def within(table: pa.Table) -> pa.Table:
         keys = table["key"].to_pylist()
@@ -409,7 +479,8 @@ def links(docs: DataFrame, n: int = 4, percent: int = 85, text_col: str = "text"
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document: component_id is the smallest id it is connected with, itself included."""
     rows = written(set_rows(docs, n, id_col, text_col), "set-rows")
-    found = links(docs, n, percent, text_col)
+    sizes = rows.filter("n_shingles > 0").groupBy("key").agg(F.max("n_shingles").alias("n_shingles"))
+    found = links(docs, sizes, n, percent, text_col)
     some = rows.filter("n_shingles > 0").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     lowest = some.groupBy("root").agg(F.min(id_col).alias("component_id"))
     out = some.join(lowest, "root").select(id_col, "n_shingles", "component_id")

@@ -37,7 +37,7 @@ LENGTH, GRAM = 100, 32
 #: Bytes that quicksort looks at before the tries take over, and the largest group given to a trie.
 SHALLOW, TRIE_MAX = 40, 64
 #: Stretches sorted at once.
-CHUNK = 20_000
+CHUNK = 8_000
 _BYTE = np.random.default_rng(23).integers(0, 2**64, 256, dtype=U)
 _PLACE_BITS = U(24)
 SEGMENT = 1 << 23
@@ -102,7 +102,8 @@ def sort_suffixes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, shallo
     order, group = np.arange(n), np.zeros(n, np.int64)  # the order so far, and the group of each place in it
     same = np.zeros(n, bool)
     active = np.arange(n)  # places whose group has more than one suffix
-    padded, raw, depth = np.concatenate([text, np.zeros(8, np.uint8)]), text.tobytes(), 0
+    raw, depth = text.tobytes(), 0
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(8, np.uint8)]), 8)
     while len(active):
         if depth >= shallow:
             g = group[active]
@@ -126,9 +127,8 @@ def sort_suffixes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, shallo
         own = order[active]
         at = starts[own] + depth
         left = np.clip(ends[own] - at, 0, 8)
-        word = padded[np.minimum(at[:, None] + np.arange(8), len(padded) - 1)]
-        word[np.arange(8) >= left[:, None]] = 0
-        key = np.ascontiguousarray(word).view(">u8")[:, 0].astype(U)
+        key = words[np.minimum(at, len(text))].view(">u8")[:, 0].astype(U)
+        key = key >> U(8) * (8 - left).astype(U) << U(8) * (8 - left).astype(U) if (left < 8).any() else key
         by = np.lexsort((left, key, group[active]))
         own, key, left, g = own[by], key[by], left[by], group[active]
         order[active] = own
@@ -159,12 +159,20 @@ def equal_classes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 
 def gram_hashes(text: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """Hash of the ``gram`` bytes (a power of two) from each place on."""
-    h, n, base = _BYTE[text], 1, 0x9E3779B97F4A7C15
-    while n < gram:
-        h = h[:-n] * U(base) + h[n:]
+    """Hash of the ``gram`` bytes from each place on: hashes of lengths 1, 2, 4 and so on, put together as the bits of ``gram`` say."""
+    power, n, base = _BYTE[text], 1, 0x9E3779B97F4A7C15
+    h, done = None, 0
+    while True:
+        if gram & n:
+            if h is None:
+                h = power
+            else:  # the ``n`` bytes first, then those taken before
+                h = power[: len(h) - n] * U(pow(0x9E3779B97F4A7C15, done, 2**64)) + h[n:]
+            done += n
+        if 2 * n > gram:
+            return mix(h)
+        power = power[:-n] * U(base) + power[n:]
         base, n = base * base % 2**64, 2 * n
-    return mix(h)
 
 
 def owned_windows(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

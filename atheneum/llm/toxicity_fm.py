@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,13 +61,16 @@ class FactorizationMachine:
         if not 0 < y.sum() < len(y):
             share = float(np.clip(y.mean(), 1e-9, 1 - 1e-9)) if len(y) else 1e-9
             return cls(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
-        found = [terms_of(t) for t, _ in docs]
-        seen, toxic = Counter(t for f in found for t in f), Counter(t for f, label in zip(found, y, strict=True) if label for t in f)
+        found = [np.sort(np.fromiter(terms_of(t), np.int64)) for t, _ in docs]
+        every, n = np.unique(np.concatenate(found), return_counts=True)
+        some, k = np.unique(np.concatenate([f for f, label in zip(found, y, strict=True) if label]), return_counts=True)
+        toxic = np.zeros(len(every))
+        toxic[np.searchsorted(every, some)] = k
         rate = y.mean()
-        gain = {t: (toxic[t] - n * rate) ** 2 / (n * rate * (1 - rate)) for t, n in seen.items() if n >= MIN_DOCS}
-        terms = np.array(sorted(sorted(gain, key=lambda t: (-gain[t], t))[:TERMS]), np.int64)
-        slot = {int(t): i for i, t in enumerate(terms)}
-        rows = [np.array(sorted(slot[t] for t in f if t in slot), np.int64) for f in found]
+        gain = np.where(n >= MIN_DOCS, (toxic - n * rate) ** 2 / (n * rate * (1 - rate)), -1.0)
+        best = np.lexsort((every, -gain))[:TERMS]
+        terms = np.sort(every[best[gain[best] >= 0]])
+        rows = [np.searchsorted(terms, f[np.isin(f, terms)]) for f in found]
         rng = np.random.default_rng(seed)
         bias, linear, factors = 0.0, np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS))
         sum_b, sum_l, sum_f = 1e-6, np.full(len(terms), 1e-6), np.full((len(terms), FACTORS), 1e-6)
