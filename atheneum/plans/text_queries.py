@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import documents, text
-from ..operators import ingest, models, search, vectors
+from ..operators import ingest, models, requests, search, tables, vectors
+from ..sources import schemas
 from ..sources.views import Knowledge
 from .catalog import LIMIT, THRESHOLD, query, query_vector
 
@@ -148,3 +149,12 @@ query("embed_pipeline")(lambda k: _ingested(k, k.html.join(k.pages.filter(ingest
 
 def _ingested(k: Knowledge, raw):
     return ingest.ingest(raw, k.books, k.chapters, k.shelves, k.pages, DIMS).chunks.select("page_id", "chunk_index", "content_hash", F.size("embedding").alias("dims"))
+
+query("schema_init")(lambda k: k.spark.createDataFrame([(t, f.name, f.dataType.simpleString()) for t, d in schemas.SCHEMAS.items() for f in k.spark.createDataFrame([], d).schema], "table_name string, column_name string, type string"))
+query("alter_dim", "SELECT chunk_id FROM kb_chunks WHERE len(embedding) <> 64")(lambda k: schemas.wrong_width(k.chunks, 64))
+query("scope_named", "SELECT chunk_id FROM kb_chunks WHERE page_id IN (SELECT page_id FROM kb_pages WHERE book_id IN (2, 5) OR page_id = 77)")(
+    lambda k: (lambda s: tables.scoped(k.chunks, k.pages, books=s["books"], page_ids=s["pages"]).select("chunk_id"))(requests.named_scopes({"one": {"books": [5, 2]}, "two": {"pages": [77]}}, ["one", "gone", "two"])[0])
+)
+query("keyword_filters", "SELECT page_id FROM kb_pages WHERE contains(lower(name), '00001') AND book_id = 3")(
+    lambda k: requests.keyword_filter(k.pages.select("page_id", F.when(F.col("book_id") == 3, "page").otherwise("chapter").alias("type"), "name", F.lit("").alias("text"), F.lit("u").alias("created_by"), F.create_map(F.lit("book"), F.col("book_id").cast("string")).alias("tags")), "{type:page} {in_name:00001} [book=3] {created_by:me}", "u").select("page_id")
+)
