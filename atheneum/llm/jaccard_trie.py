@@ -6,8 +6,8 @@ overlap of a path is counted once for all sets below it, and a subtree is left o
 remains of either side cannot reach the threshold, by length bounds kept in the nodes, or when all sets in it are already
 known to be linked with the probe.
 
-To deal the work out, linked sets must meet in a task. In the global order elements that only one set has come first; whether another set has
-one too is found by an exchange of compressed hashes between blocks of distinct sets. Linked sets share an element of their prefixes
+To deal the work out, linked sets must meet in a task. In the global order rare elements come first; how many sets have an element is found by an exchange of
+compressed hashes between blocks of distinct sets. Linked sets share an element of their prefixes
 (Chaudhuri et al. 2006), and as most sets have enough elements of their own to fill the prefix, few have a candidate at all. Sets that share
 a prefix element form candidate groups; the connected components of these are joined exactly, each by one tree, or, if large, by
 slices of bounded size of which only the sets not linked to the component's hub travel to the other slices.
@@ -329,11 +329,12 @@ def block_sets(packed: list[bytes], n: int) -> BlockSets:
     return BlockSets(h, d, distinct, at, count)
 
 
-def shared_elements(blocks: DataFrame, n: int) -> DataFrame:
-    """(block, found): for each block which of its distinct elements other blocks have too, as bits in parts ordered by ``part``.
+def element_levels(blocks: DataFrame, n: int) -> DataFrame:
+    """(block, found): for each of a block's distinct elements, in parts ordered by ``part``, the level of its frequency: 0 if one set only has it, else the
+    logarithm to base 2 of how many have it, rounded down.
 
-    Elements travel as differences of their first 40 bits, sorted and compressed: about three bytes each. Two that agree in these count as shared,
-    which can only add candidates.
+    Elements travel as differences of their first 40 bits, sorted and compressed: about three bytes each. Those that agree in these are counted
+    together, which changes the order of elements for all sets alike.
     """
     parts = 4 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -341,45 +342,49 @@ def shared_elements(blocks: DataFrame, n: int) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for block, packed in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                short = block_sets(packed, n).distinct >> U(24)
+                sets = block_sets(packed, n)
+                short = sets.distinct >> U(24)
                 part = (short * U(parts) >> U(40)).astype(np.int64)
                 cut = np.searchsorted(part, np.arange(parts + 1))
                 some = np.flatnonzero(np.diff(cut))
-                blobs = [pack(np.diff(short[cut[p] : cut[p + 1]], prepend=U(0)).tobytes()) for p in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "block", "blob"])
+                spans = [slice(cut[p], cut[p + 1]) for p in some]
+                blobs = [pack(np.diff(short[x], prepend=U(0)).tobytes()) for x in spans]
+                times = [pack(sets.count[x].astype(np.uint32).tobytes()) for x in spans]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array(blobs, pa.binary()), pa.array(times, pa.binary())], names=["part", "block", "blob", "times"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        rows = [(p, b, np.cumsum(np.frombuffer(unpack(x), U))) for batch in batches for p, b, x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        rows = [(p, b, np.cumsum(np.frombuffer(unpack(x), U)), np.frombuffer(unpack(t), np.uint32)) for batch in batches for p, b, x, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         if not rows:
             return
-        every = np.sort(np.concatenate([np.unique(x) for _, _, x in rows]))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        del every
-        for p, b, x in rows:
-            yes = twice[np.minimum(np.searchsorted(twice, x), len(twice) - 1)] == x if len(twice) else np.zeros(len(x), bool)
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([p], pa.int64()), pa.array([len(x)], pa.int64()), pa.array([np.packbits(yes).tobytes()], pa.binary())], names=["block", "part", "size", "bits"])
+        values, at = np.unique(np.concatenate([x for _, _, x, _ in rows]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([t for _, _, _, t in rows]), len(values))
+        levels, begin = np.log2(total).astype(np.uint8)[at], 0
+        for p, b, x, _ in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([p], pa.int64()), pa.array([pack(levels[begin : begin + len(x)].tobytes())], pa.binary())], names=["block", "part", "levels"])
+            begin += len(x)
 
-    sent = blocks.select("block", "packed").mapInArrow(send, "part long, block long, blob binary").repartition("part")
-    return sent.mapInArrow(count, "block long, part long, size long, bits binary").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "size", "bits"))).alias("found"))
+    sent = blocks.select("block", "packed").mapInArrow(send, "part long, block long, blob binary, times binary").repartition("part")
+    return sent.mapInArrow(count, "block long, part long, levels binary").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "levels"))).alias("found"))
 
 
 def candidate_edges(blocks: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b): keys of sets that share an element of their prefixes, each linked to the smallest key that has it.
 
-    The order of elements is: those of one set only, then the others by hash. Two linked sets of which one has size s share one of its first
-    s - needed + 1 elements; elements of one set only are never shared, so only what comes after them in the prefix is sent.
+    The order of elements is by level of frequency, then hash. Two linked sets of which one has size s share one of its first s - needed + 1
+    elements; those of level 0 are never shared, so only what comes after them in the prefix is sent.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for keys, packed, found in zip(*(batch.column(c).to_pylist() for c in ("keys", "packed", "found")), strict=True):
                 sets, key = block_sets(packed, n), np.array(keys)
-                elsewhere = np.concatenate([np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=x["size"]) for x in found]).astype(bool)
-                shared = (elsewhere | (sets.count > 1))[sets.at]
+                level = np.concatenate([np.frombuffer(unpack(x["levels"]), np.uint8) for x in found])[sets.at]
                 size = np.bincount(sets.owner, minlength=len(key))
-                own = np.bincount(sets.owner, ~shared, len(key)).astype(np.int64)
-                at = np.flatnonzero(shared)
+                own = np.bincount(sets.owner, level == 0, len(key)).astype(np.int64)
+                at = np.flatnonzero(level)
+                at = at[np.lexsort((sets.element[at], level[at], sets.owner[at]))]
                 owner = sets.owner[at]
                 begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(at) else at
                 rank = own[owner] + np.arange(len(at)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(at)]])))
@@ -410,7 +415,7 @@ def candidate_edges(blocks: DataFrame, n: int, percent: int) -> DataFrame:
             pairs = pairs[:, pairs[0] != pairs[1]]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    rows = blocks.join(shared_elements(blocks, n), "block").select("keys", "packed", "found").mapInArrow(send, "sig long, node long")
+    rows = blocks.join(element_levels(blocks, n), "block").select("keys", "packed", "found").mapInArrow(send, "sig long, node long")
     return rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(star, "a long, b long")
 
 
