@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Distinct pieces whose encoding a worker remembers; beyond it the memory is emptied.
 MEMO_PIECES = 400_000
 
@@ -145,7 +147,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         ids_of = Memo(lambda piece: bpe.encode_piece(piece.encode()))
-        for batch in batches:
+        for batch in slices(batches):
             ids = [list(chain.from_iterable(map(ids_of.__getitem__, bpe.pattern.findall(text or "")))) for text in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.binary())], names=[*batch.schema.names, "ids", "decoded"])
 
@@ -164,7 +166,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
             return " ".join(map(str, ids)), bpe.decode(ids)
 
         memo = Memo(both)
-        for batch in batches:
+        for batch in slices(batches):
             n, ids_sum, decoded_sum = [], [], []
             for text in batch.column("text").to_pylist():
                 got = list(map(memo.__getitem__, bpe.pattern.findall(text or "")))

@@ -52,11 +52,18 @@ def fold_of(doc_id: Column, n: int) -> Column:
 def text_parts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive whole texts as bytes, about HASH_BYTES at a time, with the place of the first."""
     at, part, size = 0, [], 0
-    for i, t in enumerate(column.to_pylist()):
-        part.append((t or "").encode())
+    for i, t in enumerate(column):
+        part.append((t.as_py() or "").encode())
         size += len(part[-1])
         if size >= HASH_BYTES:
             yield at, part
             at, part, size = i + 1, [], 0
     if part:
         yield at, part
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most so many rows, so that Python objects made of a piece stay few."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

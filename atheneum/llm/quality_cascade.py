@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 SAMPLE_DOCS = 400
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -137,7 +139,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_name = {r.name: r for r in RULES}
-        for batch in batches:
+        for batch in slices(batches):
             texts = [Text(t) for t in batch.column("text").to_pylist()]
             verdict = first_rejection(texts, [by_name[n] for n in names])
             rows = [(len(t.words), t.word_chars(), t.n_symbols(), t.n_dup_lines(), t.n_repeat_words) for t in texts]
@@ -157,7 +159,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_name = {r.name: r for r in RULES}
-        for batch in batches:
+        for batch in slices(batches):
             verdict = first_rejection([Text(t) for t in batch.column(text_col).to_pylist()], [by_name[n] for n in names])
             yield batch.filter(pa.array([v is None for v in verdict], pa.bool_()))
 

@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 #: Only for looking up; the digest of the content is that of its normalised form.
 _ENCODERS: dict[str, Callable[[list[str]], list[int]]] = {}
@@ -53,7 +55,7 @@ def _first_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each digest once per task, its text compressed, so that a text with very many copies is shuffled once a task."""
     seen: set[bytes] = set()
     packer = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in slices(batches):
         digests, texts = batch.column("digest").to_pylist(), batch.column("text")
         keep = []
         for i, d in enumerate(digests):
@@ -72,7 +74,7 @@ def encode_distinct(missing: DataFrame, path: str, version: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[bytes] = set()
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in slices(batches):
             new = {d: i for i, d in enumerate(batch.column("digest").to_pylist()) if d not in done}
             done.update(new)
             packed = batch.column("packed")

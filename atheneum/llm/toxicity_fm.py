@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import slices
+
 MAX_TOXIC, MAX_CLEAN, TERMS, FACTORS, EPOCHS, MIN_DOCS = 2_000, 4_000, 4_096, 8, 80, 3
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -113,7 +115,7 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = FactorizationMachine(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             p = machine.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], names=[id_col, "score", "predicted"])
 
