@@ -246,3 +246,44 @@ def test_raking_meets_the_marginals(spark):
     assert sum(r.probability * r.tokens for r in plan) == pytest.approx(0.3 * tokens, rel=0.02)
     drawn = source_mixing.draw(rows, spark.createDataFrame(plan)).filter("drawn").agg(F.sum("mix_tokens")).first()[0]
     assert drawn == pytest.approx(0.3 * tokens, rel=0.15)
+
+
+def test_mixing_against_plain_python(spark):
+    import hashlib
+    from collections import defaultdict
+
+    table = pq.read_table(f"{SMALL}/documents.parquet").to_pydict()
+    rows = {}
+    for doc_id, text, source, lang in zip(table["doc_id"], table["text"], table["source"], table["lang"], strict=True):
+        text = text or ""
+        topic = "contact" if "@" in text else "links" if "http" in text else "table" if " | " in text else "short_lines" if len(text.encode()) < 60 * len(text.split("\n")) else "prose"
+        rows[doc_id] = ((source or "(none)", lang or "(none)", topic), len(text.encode().split()))
+    tokens = defaultdict(int)
+    for cell, n in rows.values():
+        tokens[cell] += n
+    total, shares = sum(tokens.values()), []
+    for k, power in enumerate((0.7, 0.8, 0.9)):
+        own = defaultdict(float)
+        for cell, n in tokens.items():
+            own[cell[k]] += n / total
+        whole = sum(v**power for v in own.values())
+        shares.append({v: x**power / whole for v, x in own.items()})
+    weight = {c: float(n) for c, n in tokens.items()}
+    for _ in range(source_mixing.ROUNDS):
+        for k in range(3):
+            sums = defaultdict(float)
+            for c, w in weight.items():
+                sums[c[k]] += w
+            weight = {c: w * shares[k][c[k]] / sums[c[k]] for c, w in weight.items()}
+    p = dict.fromkeys(tokens, 0.0)
+    for _ in range(source_mixing.CAP_ROUNDS):
+        left = 0.8 * total - sum(tokens[c] for c in p if p[c] >= 1)
+        whole = sum(weight[c] for c in p if p[c] < 1)
+        p = {c: 1.0 if x >= 1 else min(1.0, max(0.0, left) * weight[c] / whole / tokens[c]) for c, x in p.items()}
+    found = queries.op10_source_mixing(spark, SMALL).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        cell, n = rows[r.doc_id]
+        assert ((r.mix_source, r.mix_lang, r.mix_topic), r.mix_tokens) == (cell, n) and r.probability == pytest.approx(p[cell], abs=1e-5)
+        number = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:8], 16) / 2**32
+        assert r.drawn == (number < p[cell]) or abs(number - p[cell]) < 1e-9
