@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 #: Distinct pieces whose encoding a worker remembers; beyond it the memory is emptied.
 MEMO_PIECES = 400_000
@@ -151,7 +151,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
             ids = [list(chain.from_iterable(map(ids_of.__getitem__, bpe.pattern.findall(text or "")))) for text in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.binary())], names=[*batch.schema.names, "ids", "decoded"])
 
-    return docs.mapInArrow(encode, schema)
+    return docs.mapInArrow(tidy(encode), schema)
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,4 +177,4 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(ids_sum, pa.string()), pa.array(decoded_sum, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(encode), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 # --- layouts -------------------------------------------------------------------------------------------------------
 
 
@@ -109,7 +111,7 @@ def canonical_turns(records: DataFrame, id_col: str, json_col: str) -> DataFrame
             ids, n, roles, texts = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("id").type), pa.array(n, pa.int64()), pa.array(roles, pa.string()), pa.array(texts, pa.string())], names=[id_col, "turn", "role", "text"])
 
-    return records.select(F.col(id_col).alias("id"), F.col(json_col).alias("record")).mapInArrow(read, f"`{id_col}` {kind}, turn long, role string, text string")
+    return records.select(F.col(id_col).alias("id"), F.col(json_col).alias("record")).mapInArrow(tidy(read), f"`{id_col}` {kind}, turn long, role string, text string")
 
 
 # --- template ------------------------------------------------------------------------------------------------------
@@ -185,7 +187,7 @@ def format_turns(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
             )
 
     rows = turns.select(F.col(id_col).alias("id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    made = rows.mapInArrow(write, f"id {kind}, turn long, role string, text string, formatted string, loss_start long, loss_end long")
+    made = rows.mapInArrow(tidy(write), f"id {kind}, turn long, role string, text string, formatted string, loss_start long, loss_end long")
     return made.select(F.col("id").alias(id_col), "turn", "role", "text", "formatted", "loss_start", "loss_end")
 
 
@@ -232,4 +234,4 @@ def conversation_digests(formatted: DataFrame, id_col: str = "conv_id") -> DataF
             yield ready()
 
     rows = formatted.select(F.col(id_col).alias("id"), "turn", "role", "text", "formatted", "loss_start", "loss_end").repartition("id").sortWithinPartitions(F.col("id"), F.col("turn").asc_nulls_first(), "role", "text")
-    return rows.select("id", "formatted", "loss_start", "loss_end").mapInArrow(fold, f"`{id_col}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.select("id", "formatted", "loss_start", "loss_end").mapInArrow(tidy(fold), f"`{id_col}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,3 +70,40 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(fn: Callable) -> Callable:
+    """``fn`` for ``mapInArrow`` or ``applyInArrow``, after which the Python worker, which waits for other tasks, holds no freed memory."""
+    if inspect.isgeneratorfunction(fn):
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            try:
+                yield from fn(batches)
+            finally:
+                _give_back()
+
+        return stream
+    if len(inspect.signature(fn).parameters) == 2:
+
+        def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+            try:
+                return fn(left, right)
+            finally:
+                _give_back()
+
+        return pair
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return fn(table)
+        finally:
+            _give_back()
+
+    return one

@@ -30,14 +30,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_BYTES, scratch, text_parts, written
+from .common import HASH_BYTES, scratch, text_parts, tidy, written
 from .components import connected_components
 
 U = np.uint64
 #: Elements in the sets of one slice of a large group.
 SLICE_ELEMENTS = 2_000_000
 #: Packed bytes of text in a block of distinct sets.
-BLOCK_BYTES = 600_000
+BLOCK_BYTES = 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -59,7 +59,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     if len(_POWERS[0]) < n:
-        size = max(2 * HASH_BYTES, 1 << n.bit_length())
+        size = max(HASH_BYTES * 5 // 4, n)
         _POWERS[0] = np.cumprod(np.full(size, _BASE, U))
         _POWERS[1] = np.cumprod(np.full(size, pow(_BASE, -1, 2**64), U))
     return _POWERS[0], _POWERS[1]
@@ -253,7 +253,7 @@ def set_rows(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "t
                 keys.append(key)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate(keys))], names=[id_col, "n_shingles", "key"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_shingles long, key long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_shingles long, key long")
 
 
 def packed_texts(docs: DataFrame, n: int, text_col: str = "text") -> DataFrame:
@@ -268,7 +268,7 @@ def packed_texts(docs: DataFrame, n: int, text_col: str = "text") -> DataFrame:
                 new = [i for i, k in enumerate(keys.tolist()) if k and not (k in seen or seen.add(k))]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array([pack(texts[i]) for i in new], pa.binary())], names=["key", "packed"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, packed binary")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "key long, packed binary")
 
 
 def distinct_blocks(docs: DataFrame, n: int, text_col: str = "text") -> DataFrame:
@@ -305,7 +305,7 @@ def distinct_blocks(docs: DataFrame, n: int, text_col: str = "text") -> DataFram
         if keys:
             yield block()
 
-    rows = packed_texts(docs, n, text_col).repartition(buckets, "key").mapInArrow(run, "block long, keys array<long>, packed array<binary>")
+    rows = packed_texts(docs, n, text_col).repartition(buckets, "key").mapInArrow(tidy(run), "block long, keys array<long>, packed array<binary>")
     path = scratch(spark, "blocks")
     name = f"blocks_{path.rsplit('-', 1)[1]}"
     rows.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
@@ -364,8 +364,8 @@ def element_levels(blocks: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([p], pa.int64()), pa.array([pack(levels[begin : begin + len(x)].tobytes())], pa.binary())], names=["block", "part", "levels"])
             begin += len(x)
 
-    sent = blocks.select("block", "packed").mapInArrow(send, "part long, block long, blob binary, times binary").repartition("part")
-    return sent.mapInArrow(count, "block long, part long, levels binary").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "levels"))).alias("found"))
+    sent = blocks.select("block", "packed").mapInArrow(tidy(send), "part long, block long, blob binary, times binary").repartition("part")
+    return sent.mapInArrow(tidy(count), "block long, part long, levels binary").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "levels"))).alias("found"))
 
 
 def candidate_edges(blocks: DataFrame, n: int, percent: int) -> DataFrame:
@@ -415,8 +415,8 @@ def candidate_edges(blocks: DataFrame, n: int, percent: int) -> DataFrame:
             pairs = pairs[:, pairs[0] != pairs[1]]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    rows = blocks.join(element_levels(blocks, n), "block").select("keys", "packed", "found").mapInArrow(send, "sig long, node long")
-    return rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(star, "a long, b long")
+    rows = blocks.join(element_levels(blocks, n), "block").select("keys", "packed", "found").mapInArrow(tidy(send), "sig long, node long")
+    return rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(tidy(star), "a long, b long")
 
 
 def chosen_members(blocks: DataFrame, placed: DataFrame) -> DataFrame:
@@ -431,7 +431,7 @@ def chosen_members(blocks: DataFrame, placed: DataFrame) -> DataFrame:
 
     where = blocks.select("block", F.explode("keys").alias("key"))
     wanted = where.join(placed, "key").groupBy("block").agg(F.collect_list(F.struct("key", "grp", "slices", "slice")).alias("wanted"))
-    return blocks.join(wanted, "block").select("keys", "packed", "wanted").mapInArrow(run, "key long, grp long, slices long, slice long, packed binary")
+    return blocks.join(wanted, "block").select("keys", "packed", "wanted").mapInArrow(tidy(run), "key long, grp long, slices long, slice long, packed binary")
 
 
 def unpack_sets(packed: pa.ChunkedArray, n: int) -> list[np.ndarray]:
@@ -458,7 +458,7 @@ def links(docs: DataFrame, sizes: DataFrame, n: int = 4, percent: int = 85, text
     # The hub of a large group, its smallest key, is in each of its slices.
     hub = members.filter("slices > 1 AND key = grp").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     own = members.filter("NOT (slices > 1 AND key = grp)").unionByName(hub)
-    first = written(own.groupBy("grp", "slice").applyInArrow(within, "a long, b long"), "links")
+    first = written(own.groupBy("grp", "slice").applyInArrow(tidy(within), "a long, b long"), "links")
     if members.filter("slices > 1").isEmpty():
         return connected_components(first, "linked")
     label = connected_components(first, "linked-in-slices")
@@ -477,7 +477,7 @@ def links(docs: DataFrame, sizes: DataFrame, n: int = 4, percent: int = 85, text
         found = link_sets(unpack_sets(table["packed"], n), percent, table["root"].to_pylist(), table["probe"].to_pylist())
         return pa.table({"a": pa.array(keys, pa.int64()), "b": pa.array([keys[i] for i in found], pa.int64())})
 
-    more = base.select(*columns).unionByName(rest.select(*columns)).groupBy("grp", "slice", "cut").applyInArrow(across, "a long, b long")
+    more = base.select(*columns).unionByName(rest.select(*columns)).groupBy("grp", "slice", "cut").applyInArrow(tidy(across), "a long, b long")
     return connected_components(first.unionByName(more), "linked")
 
 

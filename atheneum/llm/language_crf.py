@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 DOCS_PER_LANG, MAX_LANGS, CHAIN, SLOTS, EPOCHS = 150, 200, 64, 1 << 18, 25
 #: Words whose emissions a worker remembers, and words decoded at once.
 MEMO_WORDS, DECODE_WORDS = 300_000, 200_000
@@ -222,4 +224,4 @@ def predict(docs: DataFrame, model: LanguageCRF | None, id_col: str = "doc_id",
             others = [batch.column(c) for c in (id_col, *keep)]
             yield pa.RecordBatch.from_arrays([*others, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, *keep, "lang_pred", "score"])
 
-    return rows.mapInArrow(label, schema)
+    return rows.mapInArrow(tidy(label), schema)

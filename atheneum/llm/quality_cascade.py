@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 SAMPLE_DOCS = 400
 SYMBOLS = "#*$%&|<>"
@@ -150,7 +150,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 names=[id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"],
             )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(figures, f"`{id_col}` {kind}, {BASE_SCHEMA}")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(figures), f"`{id_col}` {kind}, {BASE_SCHEMA}")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -163,4 +163,4 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
             verdict = first_rejection([Text(t) for t in batch.column(text_col).to_pylist()], [by_name[n] for n in names])
             yield batch.filter(pa.array([v is None for v in verdict], pa.bool_()))
 
-    return docs.mapInArrow(good, docs.schema)
+    return docs.mapInArrow(tidy(good), docs.schema)

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_BYTES, NULL_ID, text_parts, written
+from .common import HASH_BYTES, NULL_ID, text_parts, tidy, written
 from .jaccard_trie import mix
 
 U = np.uint64
@@ -294,7 +294,7 @@ def _occurrences(rows: DataFrame, length: int) -> DataFrame:
                 names=["g", "doc", "h"],
             )
 
-    return rows.select("doc", "text").mapInArrow(run, "g long, doc long, h long")
+    return rows.select("doc", "text").mapInArrow(tidy(run), "g long, doc long, h long")
 
 
 def _repeated(anchors: DataFrame) -> DataFrame:
@@ -317,7 +317,7 @@ def _repeated(anchors: DataFrame) -> DataFrame:
             waiting = (g[-1], doc[-1], h[-1], bool(out[-1]))  # seen again, it is given out once more, which does no harm
             yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(h[out])], names=["doc", "h"])
 
-    return anchors.repartition("g").sortWithinPartitions("g").mapInArrow(run, "doc long, h long")
+    return anchors.repartition("g").sortWithinPartitions("g").mapInArrow(tidy(run), "doc long, h long")
 
 
 def _pack(rows: DataFrame, length: int) -> DataFrame:
@@ -326,7 +326,7 @@ def _pack(rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("th"), pa.array([pack(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], names=["doc", "th", "packed"])
 
-    return rows.filter(F.octet_length("text") >= length).select("doc", "th", "text").mapInArrow(run, "doc long, th long, packed binary")
+    return rows.filter(F.octet_length("text") >= length).select("doc", "th", "text").mapInArrow(tidy(run), "doc long, th long, packed binary")
 
 
 _STRETCH = "g long, doc long, th long, start long, windows int, stop long, stretch binary"
@@ -397,7 +397,7 @@ def _stretches(docs: DataFrame, length: int) -> DataFrame:
             if texts:
                 yield from flush()
 
-    return docs.mapInArrow(run, _STRETCH)
+    return docs.mapInArrow(tidy(run), _STRETCH)
 
 
 def _spans(found: DataFrame, length: int) -> DataFrame:
@@ -431,7 +431,7 @@ def _spans(found: DataFrame, length: int) -> DataFrame:
         if held:
             yield settle(held)
 
-    return found.repartition("g").sortWithinPartitions("g", "doc", "th", "start").mapInArrow(run, "doc long, th long, start long, stop long")
+    return found.repartition("g").sortWithinPartitions("g", "doc", "th", "start").mapInArrow(tidy(run), "doc long, th long, start long, stop long")
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -453,7 +453,7 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("th"), pa.array(merged, kind), batch.column("packed")], names=["doc", "th", "spans", "packed"])
 
     schema = "doc long, th long, spans array<struct<start: long, stop: long>>, packed binary"
-    return spans.join(chosen.select("doc", "th", "packed"), ["doc", "th"]).select("doc", "th", "spans", "packed").mapInArrow(merge, schema)
+    return spans.join(chosen.select("doc", "th", "packed"), ["doc", "th"]).select("doc", "th", "spans", "packed").mapInArrow(tidy(merge), schema)
 
 
 def removal_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -471,7 +471,7 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("th"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("all_sha256"))
-    found = removals(docs, length, id_col, text_col).mapInArrow(digest, "doc long, th long, n_removed long, n_spans long, kept string")
+    found = removals(docs, length, id_col, text_col).mapInArrow(tidy(digest), "doc long, th long, n_removed long, n_spans long, kept string")
     out = rows.join(found, ["doc", "th"], "left")
     zero = F.lit(0).cast("long")
     return out.select(id_col, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "all_sha256").alias("kept_sha256"))
@@ -496,7 +496,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
                 kept.append(without(text, merge_spans(whole)).decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("th"), pa.array(kept, pa.string())], names=["__doc", "__th", "__kept"])
 
-    found = removals(docs, length, id_col, text_col).mapInArrow(cut, "__doc long, __th long, __kept string")
+    found = removals(docs, length, id_col, text_col).mapInArrow(tidy(cut), "__doc long, __th long, __kept string")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__th": F.xxhash64(text)})
     return rows.join(found, ["__doc", "__th"], "left").withColumn(text_col, F.coalesce("__kept", F.col(text_col))).select(*docs.columns)

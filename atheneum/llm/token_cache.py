@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 #: Only for looking up; the digest of the content is that of its normalised form.
@@ -85,7 +85,7 @@ def encode_distinct(missing: DataFrame, path: str, version: str) -> DataFrame:
             )
 
     # Rows of a digest meet in one task: at most one from each task before, and the first is encoded.
-    return missing.mapInArrow(_first_texts, "digest binary, packed binary").repartition("digest").mapInArrow(count, CACHE_SCHEMA)
+    return missing.mapInArrow(tidy(_first_texts), "digest binary, packed binary").repartition("digest").mapInArrow(tidy(count), CACHE_SCHEMA)
 
 
 def content(text: Column) -> Column:

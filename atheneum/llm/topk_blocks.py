@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Vectors in a block, in a group of blocks (one cell's candidates), and queries in a batch.
 BLOCK, GROUP, BATCH = 256, 16_384, 2_048
 #: Below every score; its negative is still a long.
@@ -115,6 +117,6 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.int64())})
 
     keys = ["batch", "group", "dims"]
-    cells = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, SCHEMA)
+    cells = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tidy(cell), SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return cells.dropDuplicates().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

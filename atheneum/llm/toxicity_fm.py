@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 MAX_TOXIC, MAX_CLEAN, TERMS, FACTORS, EPOCHS, MIN_DOCS = 2_000, 4_000, 4_096, 8, 80, 3
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -119,4 +119,4 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
             p = machine.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], names=[id_col, "score", "predicted"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"`{id_col}` {kind}, score double, predicted int")
