@@ -17,9 +17,17 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 #: Bytes of text that vectorised operators take at once, to the next end of a text.
 HASH_BYTES = 1_000_000
+ARROW_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 4 MB in this session: rows are whole texts, and each of a task's buffers holds one batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atheneum.llm import byte_bpe, jaccard_trie, quality_cascade, source_mixing, suffix_dedup
-from atheneum.llm.common import load, written
+from atheneum.llm.common import bounded_batches, load, written
 
 #: Near duplicates: words of a shingle, percent of similarity.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -23,6 +23,7 @@ MAX_BROADCAST_IDS = 1_000_000
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
+    bounded_batches(spark)
     return quality_cascade.keep_good(docs)
 
 
