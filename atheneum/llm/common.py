@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Stands for a null id where ids are compared: it sorts before every other id.
 NULL_ID = -(2**63)
 #: Bytes of text that vectorised operators take at once, to the next end of a text.
-HASH_BYTES = 1_000_000
+HASH_BYTES = 1 << 18
 ARROW_BYTES = 4 << 20
 
 

@@ -37,7 +37,7 @@ U = np.uint64
 #: Elements in the sets of one slice of a large group.
 SLICE_ELEMENTS = 2_000_000
 #: Packed bytes of text in a block of distinct sets.
-BLOCK_BYTES = 400_000
+BLOCK_BYTES = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
