@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import slices, tidy
 
 #: Distinct pieces whose encoding a worker remembers; beyond it the memory is emptied.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
