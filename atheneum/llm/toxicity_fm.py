@@ -103,7 +103,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     order = W.partitionBy("label").orderBy(F.xxhash64(id_col), id_col)
     limit = F.when(F.col("label") == 1, MAX_TOXIC).otherwise(MAX_CLEAN)
     picked = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max(MAX_TOXIC, MAX_CLEAN)).filter(F.col("n") <= limit)
-    label = {r[0]: r[1] for r in picked.select(id_col, "label").collect()}
+    found = picked.select(id_col, "label", "n").collect()
+    n_toxic = sum(r[1] for r in found)
+    label = {r[0]: r[1] for r in found if r[1] == 1 or r[2] <= max(2 * n_toxic, 50)}  # at most two clean ones for each toxic one
     rows = docs.filter(F.col(id_col).isin(list(label))).select(id_col, text_col).dropDuplicates([id_col]).orderBy(id_col).collect() if label else []
     return FactorizationMachine.train([(r[1], int(label[r[0]])) for r in rows])
 
