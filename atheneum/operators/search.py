@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import acl as acl_ops
@@ -52,11 +52,8 @@ def parse_mode(mode: str | None) -> str:
 
 
 def keyword_decay(hits: DataFrame) -> DataFrame:
-    """(page_id, keyword): 1 - position / number of hits, over hits of all types (pos from 0); pages only, without id 0.
-
-    A keyword search returns one bounded result list, so its window has one partition.
-    """
-    rows = hits.select("page_id", "kind", "pos", F.count("*").over(Window.partitionBy()).alias("total"))
+    """(page_id, keyword): 1 - position / number of hits, over hits of all types (pos from 0); pages only, without id 0."""
+    rows = hits.select("page_id", "kind", "pos").join(F.broadcast(hits.agg(F.count("*").alias("total"))))
     return rows.filter("kind = 'page' AND page_id <> 0").groupBy("page_id").agg(F.max(1.0 - F.col("pos") / F.col("total")).alias("keyword"))
 
 

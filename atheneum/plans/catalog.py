@@ -13,6 +13,8 @@ from ..sources.views import Knowledge, oracle
 Build = Callable[[Knowledge], DataFrame]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: What was registered, for the same over whole tables.
+GIVEN: dict[str, tuple[Build, str | None]] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
@@ -20,6 +22,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
 
     def add(build: Build) -> Build:
         QUERIES[name] = lambda spark, folder: build(Knowledge(spark, folder))
+        GIVEN[name] = build, sql
         if sql is not None:
             ORACLE[name] = oracle(sql)
         return build

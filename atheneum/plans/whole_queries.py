@@ -1,0 +1,42 @@
+"""The queries over the views that keep a fixed part of their base tables, once more over the whole tables, as ``whole_<name>``."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import jobs, models
+from ..sources.views import VIEWS, WHOLE, Knowledge, oracle
+from . import job_queries, text_queries  # noqa: F401  what they register comes first
+from .catalog import _CASCADE, GIVEN, ORACLE, QUERIES, Build
+
+#: Views that differ, and the queries without SQL that read them.
+DIFFERENT = re.compile("|".join(rf"\b{v}\b" for v in WHOLE if WHOLE[v] != VIEWS[v]))
+ROWS_ONLY = ("project_result_json", "housekeeper", "rerank", "rerank_search_results")
+
+
+def whole(name: str, build: Build, sql: str | None = None) -> None:
+    QUERIES[f"whole_{name}"] = lambda spark, folder: build(Knowledge(spark, folder, WHOLE))
+    if sql is not None:
+        ORACLE[f"whole_{name}"] = oracle(sql, WHOLE)
+
+
+for _name, (_build, _sql) in list(GIVEN.items()):
+    if _name in ROWS_ONLY or DIFFERENT.search(_sql or ""):
+        whole(_name, _build, _sql)
+
+
+def first_hits(sql: str, n: int) -> str:
+    """A search reads the first hits of the keyword list; above, the list has no more."""
+    return sql.replace("FROM kb_keyword_hits", f"FROM kb_keyword_hits WHERE pos < {n}")
+
+
+for _name in ("hybrid_search", "final_topn"):
+    whole(_name, GIVEN[_name][0], first_hits(GIVEN[_name][1], 20))
+whole("cascade_precision", GIVEN["cascade_precision"][0], first_hits(_CASCADE, 40))
+# New jobs come after the last there is.
+whole("job_retry", lambda k: jobs.retries(jobs.reconcile(k.jobs), k.jobs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]).select("id", "scope", "retry_of"), GIVEN["job_retry"][1].replace("5000 + row_number()", "(SELECT max(id) FROM kb_jobs) + row_number()"))
+# The reranker's input has at most 200 rows.
+whole("rerank_search_results", lambda k: models.rerank(k.keyword_hits.filter(F.col("pos") < models.MAX_DOCUMENTS).join(k.pages, "page_id").select("pos", "page_id", text.strip_tags(F.concat(F.lit("<b>"), "name", F.lit("</b> "), "slug")).alias("doc")), "customer 000000037", "doc", 20))

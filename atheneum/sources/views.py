@@ -45,29 +45,40 @@ VIEWS: dict[str, str] = {
         (SELECT page_id, row_number() OVER (ORDER BY (page_id * 37) % 101, page_id) - 1 AS pos FROM kb_pages WHERE page_id < 120) AS ranked WHERE pos < 20""",
 }
 
+#: The same over whole base tables: each order is a link and a job, each page a keyword hit, links reach all pages and chunks as many as three vectors a page make.
+WHOLE: dict[str, str] = VIEWS | {
+    "kb_chunks": """SELECT CAST(vec_id AS BIGINT) AS chunk_id, CAST(floor(vec_id / 3) AS BIGINT) % (SELECT count(*) FROM {customer}) AS page_id,
+        CAST(vec_id % 3 AS BIGINT) + 3 * CAST(floor(vec_id / (3 * (SELECT count(*) FROM {customer}))) AS BIGINT) AS chunk_index, embedding FROM {embeddings}""",
+    "kb_relationships": """SELECT DISTINCT CAST(o_custkey AS BIGINT) AS source_page_id, CAST((o_orderkey * 31 + 7) % (SELECT count(*) FROM {customer}) AS BIGINT) AS target_page_id,
+        CASE WHEN o_orderkey % 3 = 0 THEN 'similar' ELSE 'link' END AS link_type FROM {orders}""",
+    "kb_jobs": VIEWS["kb_jobs"].removesuffix(" WHERE o_orderkey < 1000"),
+    # A position for each page by arithmetic, so that no task sorts all pages.
+    "kb_keyword_hits": """SELECT page_id, CASE WHEN page_id % 6 = 5 THEN 'chapter' ELSE 'page' END AS kind, (page_id * 37 + 11) % (SELECT count(*) FROM {customer}) AS pos FROM kb_pages""",
+}
+
 
-def sql_of(view: str, table) -> str:
+def sql_of(view: str, table, views: dict[str, str] = VIEWS) -> str:
     """The view's SQL with ``table(name)`` for each base table."""
-    return re.sub(r"\{(\w+)\}", lambda m: table(m[1]), VIEWS[view])
+    return re.sub(r"\{(\w+)\}", lambda m: table(m[1]), views[view])
 
 
 class Knowledge:
     """The derived tables over the Parquet files of one folder, as DataFrames."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self._made = spark, folder, {}
+    def __init__(self, spark: SparkSession, folder: str, views: dict[str, str] = VIEWS):
+        self.spark, self.folder, self._views, self._made = spark, folder, views, {}
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
         view = f"kb_{name}"
-        if view not in VIEWS:
+        if view not in self._views:
             raise AttributeError(name)
         if view not in self._made:
-            names = set(re.findall(r"kb_\w+", VIEWS[view]))
+            names = set(re.findall(r"kb_\w+", self._views[view]))
             frames = {n: getattr(self, n[3:]) for n in names}
-            text = sql_of(view, lambda t: f"{{{t}}}")
+            text = sql_of(view, lambda t: f"{{{t}}}", self._views)
             tables = {t: self.base(t) for t in set(re.findall(r"\{(\w+)\}", text))}
             for n in names:
                 text = re.sub(rf"\b{n}\b", f"{{{n}}}", text)
@@ -75,18 +86,18 @@ class Knowledge:
         return self._made[view]
 
 
-def oracle(sql: str) -> str:
+def oracle(sql: str, views: dict[str, str] = VIEWS) -> str:
     """DuckDB's SQL with the views it names put before it."""
     need: list[str] = []
 
     def add(text: str) -> None:
-        for n in sorted(set(re.findall(r"\bkb_\w+", text)) & set(VIEWS)):
+        for n in sorted(set(re.findall(r"\bkb_\w+", text)) & set(views)):
             if n not in need:
-                add(VIEWS[n])
+                add(views[n])
                 need.append(n)
 
     add(sql)
-    heads = [f"{n} AS ({sql_of(n, str)})" for n in need]
+    heads = [f"{n} AS ({sql_of(n, str, views)})" for n in need]
     rest = sql.strip()
     if rest.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {', '.join([*heads, rest[len('WITH RECURSIVE') :].strip()])}"
