@@ -1,4 +1,7 @@
-"""The queries over the views that keep a fixed part of their base tables, once more over the whole tables, as ``whole_<name>``."""
+"""The queries over the views that keep a fixed part of their base tables, once more over the whole tables, as ``whole_<name>``.
+
+So are the queries that apply their operator to a range of ids: here to all pages, callers, books and the scope of everything.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +10,10 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import jobs, models
+from ..operators import graph, ingest, jobs, models, tables, tree
 from ..sources.views import VIEWS, WHOLE, Knowledge, oracle
 from . import job_queries, text_queries  # noqa: F401  what they register comes first
-from .catalog import _CASCADE, GIVEN, ORACLE, QUERIES, Build
+from .catalog import _CASCADE, BLANKET, GIVEN, ORACLE, QUERIES, Build, nodes
 
 #: Views that differ, and the queries without SQL that read them.
 DIFFERENT = re.compile("|".join(rf"\b{v}\b" for v in WHOLE if WHOLE[v] != VIEWS[v]))
@@ -40,3 +43,30 @@ whole("cascade_precision", GIVEN["cascade_precision"][0], first_hits(_CASCADE, 4
 whole("job_retry", lambda k: jobs.retries(jobs.reconcile(k.jobs), k.jobs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]).select("id", "scope", "retry_of"), GIVEN["job_retry"][1].replace("5000 + row_number()", "(SELECT max(id) FROM kb_jobs) + row_number()"))
 # The reranker's input has at most 200 rows.
 whole("rerank_search_results", lambda k: models.rerank(k.keyword_hits.filter(F.col("pos") < models.MAX_DOCUMENTS).join(k.pages, "page_id").select("pos", "page_id", text.strip_tags(F.concat(F.lit("<b>"), "name", F.lit("</b> "), "slug")).alias("doc")), "customer 000000037", "doc", 20))
+
+# --- all ids -------------------------------------------------------------------------------------------------------
+
+whole("union_neighbours", lambda k: graph.blanket(k.relationships, k.pages).groupBy("page_id", "neighbour_id").agg(F.count("*").alias("n")), f"SELECT page_id, neighbour_id, count(*) AS n FROM ({BLANKET}) GROUP BY page_id, neighbour_id")
+whole(
+    "acl_caller_roles",
+    lambda k: (
+        k.base("customer").select(F.col("c_custkey").cast("long").alias("caller"))
+        .join(k.base("orders").groupBy(F.col("o_custkey").cast("long").alias("caller")).agg(F.collect_set("o_orderkey").alias("roles")), "caller", "left")
+        .select("caller", F.coalesce(F.size(F.coalesce("roles", F.array().cast("array<bigint>"))), F.lit(0)).alias("n_roles"))
+    ),
+    "SELECT CAST(c_custkey AS BIGINT) AS caller, count(o_orderkey)::INT AS n_roles FROM customer LEFT JOIN (SELECT DISTINCT o_custkey, o_orderkey FROM orders) ON o_custkey = c_custkey GROUP BY c_custkey",
+)
+whole("tree_acl_prune", lambda k: tree.prune(nodes(k).filter("kind = 'book' OR in_book IS NOT NULL"), k.pages.filter("page_id % 40 = 1")).select("kind", "id"), GIVEN["tree_acl_prune"][1].replace("kind = 'book' AND id < 9", "kind = 'book'"))
+whole("find_by_name_ci", lambda k: tables.by_name_ci(k.chapters, "bUilDing").select("chapter_id", "book_id", "name"), "SELECT chapter_id, book_id, name FROM kb_chapters WHERE lower(name) = 'building'")
+whole(
+    "reconcile_one",
+    lambda k: tables.upsert(k.pages.select("page_id", "name"), k.pages.filter("page_id = 12").select("page_id", F.lit("changed").alias("name")), ["page_id"]),
+    "SELECT page_id, CASE WHEN page_id = 12 THEN 'changed' ELSE name END AS name FROM kb_pages",
+)
+# One list a book, as one text with all pages would be made in one task.
+whole(
+    "format_search_text",
+    lambda k: k.pages.selectExpr("book_id", "row_number() OVER (PARTITION BY book_id ORDER BY name, page_id) AS pos", "name", "page_id").groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.col("pos"), F.lit(". "), F.col("name"), F.lit(" (page "), F.col("page_id"), F.lit(")")).alias("line")))), lambda s: s["line"]), "\n").alias("shown")),
+    "SELECT book_id, string_agg(pos || '. ' || name || ' (page ' || page_id || ')', chr(10) ORDER BY pos) AS shown FROM (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY name, page_id) AS pos, name, page_id FROM kb_pages) GROUP BY book_id",
+)
+whole("embed_pipeline", lambda k: text_queries._ingested(k, k.html.join(k.pages.filter(ingest.in_scope("all")).select("page_id"), "page_id", "left_semi")))

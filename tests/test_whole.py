@@ -35,3 +35,22 @@ def test_graph_and_job_queries_have_all_rows(spark):
     assert found(spark, "whole_join_linked_from", "page_id") == ids("customer", "c_custkey")
     new = found(spark, "whole_job_retry", "id")
     assert new and not new & orders
+
+
+def test_operators_get_all_ids(spark):
+    pages, books = ids("customer", "c_custkey"), ids("nation", "n_nationkey")
+    for name in ("union_neighbours", "reconcile_one"):
+        assert found(spark, f"whole_{name}", "page_id") == pages
+    assert found(spark, "whole_acl_caller_roles", "caller") == pages
+    assert sum(r.n_roles for r in registry.QUERIES["whole_acl_caller_roles"](spark, FOLDER).collect()) == len(ids("orders", "o_orderkey"))
+    assert max(found(spark, "whole_find_by_name_ci", "book_id")) > 8 and found(spark, "whole_format_search_text", "book_id") == books
+    shown = "\n".join(found(spark, "whole_format_search_text", "shown"))
+    assert all(f"(page {i})" in shown for i in pages)
+    assert {r.id for r in registry.QUERIES["whole_tree_acl_prune"](spark, FOLDER).collect() if r.kind == "page"} == {i for i in pages if i % 40 == 1 and reached(i)}
+    assert found(spark, "whole_embed_pipeline", "page_id") == ids("pages", "page_id") & pages
+
+
+def reached(page):
+    """Whether neither the page nor its book is deleted."""
+    book = {r["c_custkey"]: r["c_nationkey"] for r in pq.read_table(f"{FOLDER}/customer.parquet", columns=["c_custkey", "c_nationkey"]).to_pylist()}[page]
+    return page % 53 != 52 and book % 12 != 11
