@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are summed into cells of source, language and topic. Raking multiplies the cells' weights in turn so
-that the marginal sums over sources, languages and topics meet their targets, again and again until they all nearly
-do. A document's inclusion probability is proportional to its cell's raked weight over the tokens the cell has, cut at 1; the
+that the marginal sums over sources, languages and topics meet their targets, again and again until all do to within TOLERANCE
+of a target. Where targets contradict each other, it ends when the weights stand still, or after MAX_ROUNDS; the largest relative
+error that is left is in the plan as ``residual`` and in a warning. A document's inclusion probability is proportional to its cell's raked weight over the tokens the cell has, cut at 1; the
 budget cut off there is given to the other cells in a few further rounds. A document is drawn if a hash of its id,
 read as a number in [0, 1), lies below its probability, so that a run repeated on other machines draws the same rows.
 
@@ -16,6 +17,7 @@ rows share their fate; an empty table gives an empty result; other columns are r
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +28,8 @@ from .common import shared_dir
 
 MARGINALS = ("mix_source", "mix_lang", "mix_topic")
 ROUNDS, CAP_ROUNDS = 8, 4
+#: Raking ends when each marginal sum is this near to its target, relatively; else when a round moves less than STILL of all weight.
+TOLERANCE, STILL, MAX_ROUNDS = 1e-6, 1e-12, 1_000
 #: Default targets are the marginal's own token shares to this power: below 1, large sources give way to small ones.
 SMOOTHING = {"mix_source": 0.7, "mix_lang": 0.8, "mix_topic": 0.9}
 NONE = "(none)"
@@ -77,17 +81,34 @@ def with_targets(cells: DataFrame, marginal: str, given: Mapping[str, float] | N
     return rows.withColumn(f"{marginal}_share", F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w")).otherwise(0.0)).drop("w", "first", "all_w")
 
 
+def left_over(cells: DataFrame) -> tuple[float, float]:
+    """Of raked cells with the weight ``before`` the last round: the largest relative error of a marginal sum, and the share of all weight that the round moved."""
+    errors = [F.abs(F.sum("weight").over(W.partitionBy(m)) / F.nullif(F.col(f"{m}_share"), F.lit(0.0)) - 1.0) for m in MARGINALS]
+    rows = cells.select("weight", "before", *[e.alias(f"e{i}") for i, e in enumerate(errors)])
+    found = rows.agg(F.max(F.greatest("e0", "e1", "e2")), F.sum(F.abs(F.col("weight") - F.col("before"))) / F.nullif(F.sum("weight"), F.lit(0.0))).first()
+    return found[0] or 0.0, found[1] or 0.0
+
+
 def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (marginals, tokens, ``<marginal>_share``) with ``weight`` added: shares of the tokens, fitted to each marginal in turn."""
-    weight = F.col("tokens").cast("double")
-    out = cells.withColumn("weight", weight)
-    for i in range(rounds):
-        for m in MARGINALS:
-            total = F.sum("weight").over(W.partitionBy(m))
-            out = out.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"{m}_share") / total).otherwise(0.0))
-        if i % 2 == 1:
-            out = out.checkpoint()
-    return out
+    """``cells`` (marginals, tokens, ``<marginal>_share``) with ``weight`` added: shares of the tokens, fitted to each marginal in turn;
+    and ``residual``, the largest relative error left. After each ``rounds`` rounds it is seen whether more are needed."""
+    out, done = cells.withColumn("weight", F.col("tokens").cast("double")), 0
+    while True:
+        for i in range(rounds):
+            out = out.withColumn("before", F.col("weight"))
+            for m in MARGINALS:
+                total = F.sum("weight").over(W.partitionBy(m))
+                out = out.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"{m}_share") / total).otherwise(0.0))
+            if i % 2 == 1 or i == rounds - 1:
+                out = out.checkpoint()
+        done += rounds
+        residual, moved = left_over(out)
+        if residual <= TOLERANCE:
+            break
+        if moved <= STILL or done >= MAX_ROUNDS:
+            warnings.warn(f"after {done} rounds a marginal is still off its target by {residual:.2g} of it", stacklevel=2)
+            break
+    return out.drop("before").withColumn("residual", F.lit(residual))
 
 
 def probabilities(raked: DataFrame, budget: float) -> DataFrame:
@@ -105,7 +126,7 @@ def probabilities(raked: DataFrame, budget: float) -> DataFrame:
 
 
 def plan_mix(rows: DataFrame, budget: float = 0.8, given: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """(marginals, tokens, weight, probability) of each cell of ``measured`` rows."""
+    """(marginals, tokens, weight, residual, probability) of each cell of ``measured`` rows."""
     given = given or {}
     shared_dir(rows.sparkSession)
     # Summed before they are shuffled, so a source with a third of the rows is a few rows a task.

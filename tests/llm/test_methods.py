@@ -287,3 +287,34 @@ def test_mixing_against_plain_python(spark):
         assert ((r.mix_source, r.mix_lang, r.mix_topic), r.mix_tokens) == (cell, n) and r.probability == pytest.approx(p[cell], abs=1e-5)
         number = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:8], 16) / 2**32
         assert r.drawn == (number < p[cell]) or abs(number - p[cell]) < 1e-9
+
+
+def correlated(spark):
+    """Each source 97 percent in a language of its own, one source with a third of the tokens."""
+    rows, doc_id = [], 0
+    for i in range(6):
+        for j in range(6):
+            for _ in range((100 if i == 0 else 40) if i == j else 1):
+                rows.append((doc_id, f"s{i}", f"l{j}", "word " * (81 if i == j else 20)))
+                doc_id += 1
+    return spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+
+
+def marginal_errors(plan):
+    for m in source_mixing.MARGINALS:
+        for value in {r[m] for r in plan}:
+            share = next(r[f"{m}_share"] for r in plan if r[m] == value)
+            yield abs(sum(r.weight for r in plan if r[m] == value) / share - 1)
+
+
+def test_raking_of_correlated_marginals_converges(spark):
+    plan = source_mixing.plan_mix(source_mixing.measured(correlated(spark)), 0.8).collect()
+    assert max(marginal_errors(plan)) <= 1.1 * source_mixing.TOLERANCE and plan[0].residual <= source_mixing.TOLERANCE
+
+
+def test_raking_reports_targets_that_contradict(spark):
+    docs = spark.createDataFrame([(0, "a", "de", "x " * 50), (1, "b", "en", "x " * 50)], "doc_id long, source string, lang string, text string")
+    given = {"mix_source": {"a": 0.9, "b": 0.1}, "mix_lang": {"de": 0.5, "en": 0.5}}
+    with pytest.warns(UserWarning, match="off its target"):
+        plan = source_mixing.plan_mix(source_mixing.measured(docs), 0.8, given).collect()
+    assert plan[0].residual == pytest.approx(max(marginal_errors(plan))) and plan[0].residual > 0.1
