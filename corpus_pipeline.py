@@ -28,13 +28,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id. Rows without an id stay; of rows with the same id one stays."""
-    found = written(jaccard_trie.jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT), "near")
-    if not found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        docs = docs.filter("doc_id IS NULL").unionByName(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-    gone = found.filter("doc_id > component_id").select("doc_id").distinct()
+    """Of each group of near duplicates the document with the smallest id, those without an id last and then by the hash of the text.
+
+    A document is an id with a text: different texts under one id are different documents, of repeated rows one stays. Texts without words
+    are no one's near duplicates, so such rows without an id all stay.
+    """
+    text_hash = F.xxhash64("text")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), text_hash.alias("th"))
+    found = written(jaccard_trie.jaccard_components(docs.select(own.alias("own"), "text"), NEAR_WORDS, NEAR_PERCENT, "own"), "near")
+    rows = docs.withColumn("__th", text_hash)
+    loose = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    if not found.filter("NOT own.none OR n_shingles > 0").groupBy("own").count().filter("count > 1").isEmpty():
+        rows = rows.filter(loose).unionByName(rows.filter(~loose).dropDuplicates(["doc_id", "__th"]))
+    gone = found.filter("own > component_id").select(F.col("own.doc_id").alias("__id"), F.col("own.th").alias("__gone")).distinct()
     small = gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(F.broadcast(gone) if small else gone, (F.col("__th") == F.col("__gone")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

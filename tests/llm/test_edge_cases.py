@@ -159,3 +159,12 @@ def test_pipeline_stages(spark, docs, none):
     kept = corpus_pipeline.near_duplicates(spark, documents, "")
     assert kept.filter("doc_id IN (1, 2)").count() == 1
     assert {r.n_tokens for r in corpus_pipeline.encoding(spark, documents, "").filter("doc_id = 3").collect()} == {0}
+
+
+def test_near_duplicates_of_shared_and_null_ids(spark):
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abce")
+    texts = [(1, a), (1, b), (1, b), (2, a + " z"), (3, b), (3, e), (None, c), (None, c), (None, c + " z"), (None, a), (None, ""), (None, "")]
+    documents = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, documents, "").collect()), key=str)
+    assert [x for x in left if x[0]] == [(1, a), (1, b), (3, e)]
+    assert left.count((None, "")) == 2 and len(left) == 6 and {t for i, t in left if i is None} - {""} in ({c}, {c + " z"})
