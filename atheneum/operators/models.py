@@ -50,12 +50,14 @@ def embed(text: Column, dims: int, make: Callable[[int], Callable] = hashing_emb
 
 
 def rerank(docs: DataFrame, query: str, text_col: str, top_k: int, scorer: Callable[[str, list[str]], list[float]] = overlap_scorer) -> DataFrame:
-    """``docs`` (at most 200, as a pool before it bounds them) with ``rerank``, best first, ties in the order of ``pos``."""
+    """``docs`` (at most 200, as a pool before it bounds them; more are an error) with ``rerank``, best first, ties in the order of ``pos``."""
     if not query.strip():
         raise ValueError("reranking needs a query")
+    if docs.limit(MAX_DOCUMENTS + 1).count() > MAX_DOCUMENTS:
+        raise ValueError(f"reranking takes at most {MAX_DOCUMENTS} documents")
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(scorer(query, texts.tolist()))
 
-    return docs.limit(MAX_DOCUMENTS).withColumn("rerank", score(F.col(text_col))).orderBy(F.desc("rerank"), "pos").limit(top_k)
+    return docs.withColumn("rerank", score(F.col(text_col))).orderBy(F.desc("rerank"), "pos").limit(top_k)

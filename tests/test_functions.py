@@ -199,3 +199,10 @@ def test_siblings_fall_back_to_the_book(spark):
     for r in graph.siblings(pages).collect():
         found.setdefault(r.page_id, set()).add(r.neighbour_id)
     assert found == {1: {2, 4, 5}, 2: {1, 4, 5}, 3: {1, 2, 4, 5}, 4: {5}, 5: {4}}
+
+
+def test_rerank_takes_at_most_200_documents(spark):
+    docs = spark.range(0, 200, 1, 7).select(F.col("id").alias("pos"), F.concat(F.lit("text "), F.col("id")).alias("doc"))
+    assert [r.pos for r in models.rerank(docs, "text 199", "doc", 1).collect()] == [199]
+    with pytest.raises(ValueError, match="200"):
+        models.rerank(docs.unionByName(docs.limit(1)), "text 199", "doc", 1)
