@@ -31,7 +31,9 @@ DOCS_PER_LANG, MAX_LANGS, CHAIN, SLOTS, EPOCHS = 150, 200, 64, 1 << 18, 25
 #: Words whose emissions a worker remembers, and words decoded at once.
 MEMO_WORDS, DECODE_WORDS = 300_000, 200_000
 UND = "und"
-_WORDS = re.compile(r"[^\W\d_]+")
+#: A longer run of letters is cut into words of so many, so that each letter is scored and a word has a bounded number of features.
+WORD_LETTERS = 40
+_WORDS = re.compile(rf"[^\W\d_]{{1,{WORD_LETTERS}}}")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -43,8 +45,7 @@ def features(word: str) -> list[int]:
     n, ended = len(word), f"^{word}$"
     names = [f"w{word}"]
     names += [f"p{word[:k]}" for k in range(1, min(n, 4) + 1)] + [f"s{word[-k:]}" for k in range(1, min(n, 4) + 1)]
-    # A very long run of letters is a handful of features more, not thousands.
-    names += [ended[i : i + k] for k in (2, 3) for i in range(min(n, 40) + 3 - k)]
+    names += [ended[i : i + k] for k in (2, 3) for i in range(n + 3 - k)]
     return [zlib.crc32(x.encode()) % SLOTS for x in names]
 
 

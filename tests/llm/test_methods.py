@@ -318,3 +318,13 @@ def test_raking_reports_targets_that_contradict(spark):
     with pytest.warns(UserWarning, match="off its target"):
         plan = source_mixing.plan_mix(source_mixing.measured(docs), 0.8, given).collect()
     assert plan[0].residual == pytest.approx(max(marginal_errors(plan))) and plan[0].residual > 0.1
+
+
+def test_all_of_a_long_run_of_letters_has_features():
+    import zlib
+
+    run = "a" * 60 + "bcd" + "e" * 60
+    words = language_crf.words_of(run)
+    slots = {s for w in words for s in language_crf.features(w)}
+    assert "".join(words) == run and zlib.crc32(b"bcd") % language_crf.SLOTS in slots
+    assert language_crf.words_of("a b" + "c" * 39) == ["a", "b" + "c" * 39]
