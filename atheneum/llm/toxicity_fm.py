@@ -1,12 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are lower-cased words and their first four and five letters, hashed to 32 bits. The machine sums a weight for
+Terms are lower-cased words and their first four and five letters, hashed to 32 bits; beginnings that come again have further terms for each power of two that
+their number reaches and each of ``SHARES`` that they are of all words, so that one chance word and a stem used throughout differ. The machine sums a weight for
 each term present and, through low-rank factors, one for each pair of terms present, so that a pair can weigh what its
 parts alone do not. The linear time form of the pair sum is used.
 
-Training reads a bounded, balanced sample of labelled documents on the driver (``MAX_TOXIC`` and ``MAX_CLEAN``, those
-of the smallest id hashes), keeps the ``TERMS`` terms that tell the labels apart best by chi-squared, and fits weights and
-factors by AdaGrad. Every document is scored over its whole text.
+Training reads a bounded sample of labelled documents on the driver (``MAX_TOXIC`` and ``MAX_CLEAN``, those
+of the smallest id hashes); clean documents together weigh at most ``CLEAN_WEIGHT`` times what the toxic ones do. It keeps the terms, ``TERMS`` at most, that tell the labels
+apart with a chi-squared of ``MIN_GAIN`` or more, far beyond chance whatever the sample's size, and fits weights and factors by AdaGrad. Every document is scored over its whole text.
 
 Cases: null and empty texts get the score of a text without known terms; repeated rows get equal scores; a label that is null or a document with both labels
 is not learned from; with one label only, or none, every score is the share of toxic ones (0 if there is none); other columns are ignored.
@@ -16,24 +17,38 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import slices, tidy
 
-MAX_TOXIC, MAX_CLEAN, TERMS, FACTORS, EPOCHS, MIN_DOCS = 2_000, 4_000, 4_096, 8, 80, 3
+MAX_TOXIC, MAX_CLEAN, TERMS, FACTORS, EPOCHS, MIN_DOCS = 2_000, 4_000, 4_096, 8, 40, 3
+CLEAN_WEIGHT, MIN_GAIN = 4.0, 30.0
+#: Shares of a text's words, each as one in so many.
+SHARES = (100, 50, 25)
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def terms_of(text: str | None) -> set[int]:
     """Hashes of the distinct terms."""
-    words = set(_WORDS.findall((text or "").lower()))
-    names = words | {f"4{w[:4]}" for w in words if len(w) > 4} | {f"5{w[:5]}" for w in words if len(w) > 5}
+    words = _WORDS.findall((text or "").lower())
+    counts = Counter(words)
+    begins: Counter[str] = Counter()
+    for w, n in counts.items():
+        if len(w) > 4:
+            begins[f"4{w[:4]}"] += n
+            if len(w) > 5:
+                begins[f"5{w[:5]}"] += n
+    names = [*counts, *begins]
+    for b, n in begins.items():
+        if n > 1:
+            names += [f"{k}x{b}" for k in range(1, n.bit_length())]
+        names += [f"{s}r{b}" for s in SHARES if n * s >= len(words)]
     return {zlib.crc32(x.encode()) for x in names}
 
 
@@ -71,7 +86,9 @@ class FactorizationMachine:
         rate = y.mean()
         gain = np.where(n >= MIN_DOCS, (toxic - n * rate) ** 2 / (n * rate * (1 - rate)), -1.0)
         best = np.lexsort((every, -gain))[:TERMS]
-        terms = np.sort(every[best[gain[best] >= 0]])
+        terms = np.sort(every[best[gain[best] >= MIN_GAIN]])
+        weight = np.where(y == 1, 1.0, min(1.0, CLEAN_WEIGHT * rate / (1 - rate)))
+        weight /= weight.mean()
         rows = [np.searchsorted(terms, f[np.isin(f, terms)]) for f in found]
         rng = np.random.default_rng(seed)
         bias, linear, factors = 0.0, np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS))
@@ -80,7 +97,7 @@ class FactorizationMachine:
             for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 500)):
                 own = [rows[i] for i in part]
                 flat, owner = np.concatenate(own), np.repeat(np.arange(len(own)), [len(r) for r in own])
-                error = y[part] - 1 / (1 + np.exp(-np.clip(cls.raw(own, bias, linear, factors), -30, 30)))
+                error = weight[part] * (y[part] - 1 / (1 + np.exp(-np.clip(cls.raw(own, bias, linear, factors), -30, 30))))
                 sums = np.stack([np.bincount(owner, factors[flat, f], len(own)) for f in range(FACTORS)], axis=1)
                 size = len(part)
                 g = error.mean()
@@ -100,12 +117,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     """Trained on a bounded sample of the rows of ``labels`` where ``learn`` (on the id) holds; labels are looked up for these only."""
     known = labels.select(F.col(id_col), F.col(label_col).alias("label")).filter(F.col("label").isin(0, 1) & F.col(id_col).isNotNull() & learn)
     known = known.groupBy(id_col).agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most")
-    order = W.partitionBy("label").orderBy(F.xxhash64(id_col), id_col)
-    limit = F.when(F.col("label") == 1, MAX_TOXIC).otherwise(MAX_CLEAN)
-    picked = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max(MAX_TOXIC, MAX_CLEAN)).filter(F.col("n") <= limit)
-    found = picked.select(id_col, "label", "n").collect()
-    n_toxic = sum(r[1] for r in found)
-    label = {r[0]: r[1] for r in found if r[1] == 1 or r[2] <= max(2 * n_toxic, 50)}  # at most two clean ones for each toxic one
+    label = {}
+    for value, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):  # the first of an order, which each task cuts before it sends its rows
+        label |= dict.fromkeys((r[0] for r in known.filter(F.col("label") == value).orderBy(F.xxhash64(id_col), id_col).select(id_col).limit(most).collect()), value)
     rows = docs.filter(F.col(id_col).isin(list(label))).select(id_col, text_col).dropDuplicates([id_col]).orderBy(id_col).collect() if label else []
     return FactorizationMachine.train([(r[1], int(label[r[0]])) for r in rows])
 

@@ -11,7 +11,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from atheneum.llm import byte_bpe, chat_format, jaccard_trie, language_crf, quality_cascade, queries, source_mixing, suffix_dedup, topk_blocks
+from atheneum.llm import byte_bpe, chat_format, jaccard_trie, language_crf, quality_cascade, queries, source_mixing, suffix_dedup, topk_blocks, toxicity_fm
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -203,6 +203,31 @@ def test_toxicity_held_out(spark):
     assert hit / (hit + miss) > 0.9 and hit / (hit + false) > 0.95
 
 
+def test_factorization_machine_against_all_pairs():
+    r = np.random.default_rng(4)
+    linear, factors, bias = r.normal(size=9), r.normal(size=(9, 3)), 0.3
+    rows = [np.array(x, np.int64) for x in ([], [2], [0, 3, 8], list(range(9)))]
+    want = [bias + sum(linear[i] for i in x) + sum(float(factors[x[a]] @ factors[x[b]]) for a in range(len(x)) for b in range(a)) for x in rows]
+    assert toxicity_fm.FactorizationMachine.raw(rows, bias, linear, factors) == pytest.approx(np.array(want))
+
+
+def test_pairs_weigh_what_their_parts_do_not():
+    docs = [(f"{a} {b} {c}", int((a, b) == ("insult", "group"))) for a in ("insult", "kind") for b in ("group", "stone") for c in ("one", "two", "six")] * 40
+    machine = toxicity_fm.FactorizationMachine.train(docs)
+    both, *parts = machine.scores(["insult group one", "insult stone one", "kind group two", "kind stone six"])
+    assert both > 0.5 > max(parts)
+    slots = [machine.slot[t] for t in sorted(toxicity_fm.terms_of("insult group")) if t in machine.slot]
+    assert toxicity_fm.FactorizationMachine.raw([np.array(slots)], 0.0, 0 * machine.linear, machine.factors)[0] > 0.5
+
+
+def test_terms_tell_a_stem_used_throughout_from_one_word():
+    import zlib
+
+    terms = lambda *names: {zlib.crc32(x.encode()) for x in names}
+    once, often = toxicity_fm.terms_of("wordless " + "a " * 200), toxicity_fm.terms_of("wordless wordily words worded " + "a " * 50)
+    assert terms("wordless", "4word", "5wordl") <= once & often and terms("1x4word", "2x4word", "25r4word") <= often - once
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "", "a[ROLE]\\"]), st.text(alphabet="\\[]</>sINSTROLE \n", max_size=25)), max_size=6))
 def test_template_round_trip(turns):
