@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, tidy
 
-#: Distinct pieces whose encoding a worker remembers; beyond it the memory is emptied.
-MEMO_PIECES = 150_000
+#: Distinct pieces whose encoding a worker remembers, beyond which the memory is emptied, and the longest that are.
+MEMO_PIECES, MEMO_CHARS = 150_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -133,9 +133,11 @@ class Memo(dict):
         self.make = make
 
     def __missing__(self, piece: str):
-        if len(self) >= MEMO_PIECES:
-            self.clear()
-        self[piece] = out = self.make(piece)
+        out = self.make(piece)
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO_PIECES:
+                self.clear()
+            self[piece] = out
         return out
 
 

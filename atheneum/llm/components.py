@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 100) -> DataFrame:
     """(node, root) for each node of the edges (a, b), root being the smallest node reachable.
 
     Alternates the two star operations of Kiveris et al. (2014): each round links neighbours to the smallest node
     near them, so that long paths shrink by half a round. Nodes with very many neighbours are summed up before they are shuffled.
-    Each round is written to the shared folder. Edges from a node to itself keep that node in the result.
+    Each round is written to the shared folder. Edges from a node to itself keep that node in the result. Rounds grow with the logarithm of the nodes;
+    should ``max_rounds`` not be enough, that is an error, as a result would lack links.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
@@ -30,5 +31,7 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots).groupBy("node").agg(F.min("root").alias("root"))

@@ -21,6 +21,7 @@ A null id takes no part in the smallest id of a component.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_BYTES, scratch, text_parts, tidy, written
+from .common import HASH_BYTES, discard, scratch, text_parts, tidy, written
 from .components import connected_components
 
 U = np.uint64
@@ -271,8 +272,8 @@ def packed_texts(docs: DataFrame, n: int, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "key long, packed binary")
 
 
-def distinct_blocks(docs: DataFrame, n: int, text_col: str = "text") -> DataFrame:
-    """(block, keys, packed): all distinct sets with a text each, some hundred to a row. A table bucketed by ``block``, so later joins on it shuffle only their other side.
+def distinct_blocks(docs: DataFrame, n: int, text_col: str = "text") -> tuple[DataFrame, str]:
+    """(block, keys, packed): all distinct sets with a text each, some hundred to a row; and the table's name. It is bucketed by ``block``, so later joins on it shuffle only their other side.
 
     A block's number is its first key; keys are dealt by hash, so that is also the bucket the row is in, and each task writes one file.
     """
@@ -309,7 +310,7 @@ def distinct_blocks(docs: DataFrame, n: int, text_col: str = "text") -> DataFram
     path = scratch(spark, "blocks")
     name = f"blocks_{path.rsplit('-', 1)[1]}"
     rows.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 class BlockSets(NamedTuple):
@@ -354,17 +355,18 @@ def element_levels(blocks: DataFrame, n: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-        rows = [(p, b, np.cumsum(np.frombuffer(unpack(x), U)), np.frombuffer(unpack(t), np.uint32)) for batch in batches for p, b, x, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        if not rows:
-            return
-        values, at = np.unique(np.concatenate([x for _, _, x, _ in rows]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([t for _, _, _, t in rows]), len(values))
-        levels, begin = np.log2(total).astype(np.uint8)[at], 0
-        for p, b, x, _ in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([p], pa.int64()), pa.array([pack(levels[begin : begin + len(x)].tobytes())], pa.binary())], names=["block", "part", "levels"])
-            begin += len(x)
-
-    sent = blocks.select("block", "packed").mapInArrow(tidy(send), "part long, block long, blob binary, times binary").repartition("part")
+        # The rows of a task come part by part, and one part is in memory at a time.
+        each = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "blob", "times")), strict=True))
+        for part, group in itertools.groupby(each, lambda row: row[0]):
+            rows = [(b, np.cumsum(np.frombuffer(unpack(x), U)), np.frombuffer(unpack(t), np.uint32)) for _, b, x, t in group]
+            values, at = np.unique(np.concatenate([x for _, x, _ in rows]), return_inverse=True)
+            total = np.bincount(at, np.concatenate([t for _, _, t in rows]), len(values))
+            levels = np.log2(total).astype(np.uint8)[at]
+            cuts = np.cumsum([0, *(len(x) for _, x, _ in rows)])
+            blobs = [pack(levels[i:j].tobytes()) for i, j in itertools.pairwise(cuts.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in rows], pa.int64()), pa.array([part] * len(rows), pa.int64()), pa.array(blobs, pa.binary())], names=["block", "part", "levels"])
+
+    sent = blocks.select("block", "packed").mapInArrow(tidy(send), "part long, block long, blob binary, times binary").repartition("part").sortWithinPartitions("part")
     return sent.mapInArrow(tidy(count), "block long, part long, levels binary").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "levels"))).alias("found"))
 
 
@@ -443,12 +445,17 @@ def unpack_sets(packed: pa.ChunkedArray, n: int) -> list[np.ndarray]:
 
 def links(docs: DataFrame, sizes: DataFrame, n: int = 4, percent: int = 85, text_col: str = "text") -> DataFrame:
     """(node, root): keys of sets that have a link, with the smallest key of their component. ``sizes``: (key, n_shingles) of the distinct sets."""
-    blocks = distinct_blocks(docs, n, text_col)
+    blocks, blocks_name = distinct_blocks(docs, n, text_col)
     groups = connected_components(candidate_edges(blocks, n, percent), "groups").withColumnsRenamed({"node": "key", "root": "grp"})
     groups = groups.join(sizes, "key")
     total = groups.groupBy("grp").agg(F.ceil(F.sum("n_shingles") / SLICE_ELEMENTS).alias("slices"))
     placed = groups.join(total, "grp").select("key", "grp", "slices", F.pmod(F.xxhash64("key"), F.col("slices")).alias("slice"))
     members = written(chosen_members(blocks, placed), "members")
+    spark = docs.sparkSession
+    files = blocks.inputFiles()[:1]
+    spark.sql(f"DROP TABLE {blocks_name}")
+    if files:
+        discard(spark, files[0].rsplit("/", 1)[0])
 
     def within(table: pa.Table) -> pa.Table:
         keys = table["key"].to_pylist()
@@ -483,10 +490,13 @@ def links(docs: DataFrame, sizes: DataFrame, n: int = 4, percent: int = 85, text
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document: component_id is the smallest id it is connected with, itself included."""
-    rows = written(set_rows(docs, n, id_col, text_col), "set-rows")
-    sizes = rows.filter("n_shingles > 0").groupBy("key").agg(F.max("n_shingles").alias("n_shingles"))
-    found = links(docs, sizes, n, percent, text_col)
-    some = rows.filter("n_shingles > 0").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    lowest = some.groupBy("root").agg(F.min(id_col).alias("component_id"))
-    out = some.join(lowest, "root").select(id_col, "n_shingles", "component_id")
-    return out.unionByName(rows.filter("n_shingles = 0").select(id_col, "n_shingles", F.col(id_col).alias("component_id")))
+    rows = written(set_rows(docs.select(F.col(id_col).alias("given_id"), F.col(text_col).alias("text")), n, "given_id"), "set-rows")
+    # One row for each distinct set: copies are summed up before anything is joined, so a component's sets meet, not its rows.
+    sets = rows.filter("n_shingles > 0").groupBy("key").agg(F.max("n_shingles").alias("n_shingles"), F.min("given_id").alias("least"))
+    found = links(docs, sets.select("key", "n_shingles"), n, percent, text_col)
+    of = sets.select("key", "least").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    lowest = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    label = written(of.join(lowest, "root").select("key", "component_id"), "set-labels")
+    # Rows meet their set's label; a set that very many rows have is split by adaptive execution, as both sides come straight from tables.
+    out = rows.filter("n_shingles > 0").join(label, "key").select(F.col("given_id").alias(id_col), "n_shingles", "component_id")
+    return out.unionByName(rows.filter("n_shingles = 0").select(F.col("given_id").alias(id_col), "n_shingles", F.col("given_id").alias("component_id")))

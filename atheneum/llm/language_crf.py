@@ -37,7 +37,12 @@ _WORDS = re.compile(rf"[^\W\d_]{{1,{WORD_LETTERS}}}")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORDS.findall((text or "").lower())
+    text = (text or "").lower()
+    words = _WORDS.findall(text)
+    if text.isascii() or all(map(str.isalpha, set(words))):
+        return words
+    # The pattern also takes numerals that are no letters, such as fractions and superscripts: these end a word.
+    return [part for w in words for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def features(word: str) -> list[int]:
@@ -170,7 +175,7 @@ def chain_lengths(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS_PER_LANG) -> LanguageCRF | None:
-    """Trained on at most ``per_lang`` documents of each of at most ``MAX_LANGS`` languages among the rows where ``learn`` holds."""
+    """Trained on at most ``per_lang`` documents of each language, and ``per_lang * MAX_LANGS`` in all (each language's first ones before any second), among the rows where ``learn`` holds."""
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     order = W.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
     picked = rows.select(id_col, lang_col).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang)

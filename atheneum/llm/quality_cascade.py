@@ -18,21 +18,24 @@ import re
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import cached_property
+from functools import cached_property, reduce
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, tidy
 
-SAMPLE_DOCS = 400
+SAMPLE_DOCS, SAMPLE_FILES = 400, 8
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 BASE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
 _LETTERED = re.compile(rf"[^{SPACES}]*?[^\W\d_][^{SPACES}]*")
+#: What may stand before a bullet and after an ellipsis.
+BLANKS = " \t\n\f\r"
 
 
 class Text:
@@ -72,7 +75,10 @@ class Text:
 
     def n_lettered(self) -> int:
         """Words that hold a letter."""
-        return len(_LETTERED.findall(self.text))
+        found = _LETTERED.findall(self.text)
+        if self.text.isascii():
+            return len(found)
+        return sum(w[0].isalpha() or any(map(str.isalpha, w)) for w in found)  # the pattern also takes numerals that are no letters
 
 
 class Rule(NamedTuple):
@@ -89,20 +95,36 @@ RULES = (
     Rule("duplicate_lines", lambda t: 4 * t.n_dup_lines() > 3 * len(t.lines)),
     Rule("shouting", lambda t: 2 * sum(map(bytes.isupper, t.words)) > len(t.words)),
     Rule("few_letters", lambda t: 2 * t.n_lettered() < len(t.words)),
-    Rule("ellipsis_lines", lambda t: 2 * sum(x.rstrip().endswith(("...", "…")) for x in t.lines) > len(t.lines)),
-    Rule("bullet_lines", lambda t: 10 * sum(x.lstrip().startswith(("-", "*", "•")) for x in t.lines) > 9 * len(t.lines)),
+    Rule("ellipsis_lines", lambda t: 2 * sum(x.rstrip(BLANKS).endswith(("...", "…")) for x in t.lines) > len(t.lines)),
+    Rule("bullet_lines", lambda t: 10 * sum(x.lstrip(BLANKS).startswith(("-", "*", "•")) for x in t.lines) > 9 * len(t.lines)),
 )
 
 
+def sample_texts(docs: DataFrame, text_col: str, most: int = SAMPLE_DOCS) -> list[str | None]:
+    """At most so many texts from the first rows of at most ``SAMPLE_FILES`` files, which lie evenly among all files; nothing else is read.
+
+    Rows that come from no files are taken from the first partitions."""
+    texts = docs.select(F.col(text_col).alias("text"))
+    files = sorted(docs.inputFiles())
+    files = files[:: max(1, -(-len(files) // SAMPLE_FILES))]
+    if len(files) > 1:
+        try:
+            rows = docs.select(F.col(text_col).alias("text"), F.col("_metadata.file_path").alias("file"))
+            parts = [rows.filter(F.col("file") == f).select("text").limit(-(-most // len(files))) for f in files]
+            found = [r.text for r in reduce(DataFrame.unionAll, parts).collect()]
+        except AnalysisException:  # the rows are not those of files any more
+            found = []
+        if found:
+            return found[:most]
+    return [r.text for r in texts.limit(most).collect()]
+
+
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> list[tuple[str, float, float]]:
     """(rule, seconds a document, share rejected) in the order to run them in: most rejections per second first.
 
-    The sample is a bounded number of rows, drawn over all partitions; it only sets the order.
+    The sample is a bounded number of rows; it only sets the order.
     """
-    texts = docs.select(F.col(text_col).alias("text"))
-    total = texts.count()
-    share = min(1.0, 2.0 * sample_docs / max(total, 1))
-    sample = [r.text for r in texts.sample(share, seed=7).limit(sample_docs).collect()]
+    sample = sample_texts(docs, text_col, sample_docs)
     found = []
     for rule in rules:
         began = time.thread_time()

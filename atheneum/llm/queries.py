@@ -11,6 +11,8 @@ from .common import fold_of, load, scratch
 
 #: The paths of the vocabularies are parameters; these are the installed public ones.
 PIECE_MODEL, BYTE_RANKS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The setting that names the folder of a token cache which lasts from run to run.
+TOKEN_CACHE = "spark.atheneum.tokenCache"
 TOKEN_LIMIT, TOP_K, QUERY_STEP, MIX_BUDGET = 4096, 20, 20, 0.8
 
 
@@ -30,8 +32,9 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starts from an empty cache of its own, so every distinct text is encoded once."""
-    return token_cache.count_tokens(load(spark, sf_dir, "documents"), PIECE_MODEL, scratch(spark, "token-cache"), limit=TOKEN_LIMIT)
+    """Counts with the cache that the session names in ``TOKEN_CACHE``; where it names none, with an empty one of its own, so that every distinct text is encoded once."""
+    cache = spark.conf.get(TOKEN_CACHE, None) or scratch(spark, "token-cache")
+    return token_cache.count_tokens(load(spark, sf_dir, "documents"), PIECE_MODEL, cache, limit=TOKEN_LIMIT)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

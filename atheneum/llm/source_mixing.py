@@ -10,9 +10,11 @@ read as a number in [0, 1), lies below its probability, so that a run repeated o
 Everything is DataFrame functions. Cells are as many as there are combinations of the three marginals, far fewer than
 documents, and stay distributed; documents are read once to count tokens and once to be drawn.
 
+Tokens and topics may be given as expressions over the documents, a tokenizer's counts say; words and a topic by the text's form are the defaults.
+
 Cases: null sources, languages and texts count as ``(none)``, ``(none)`` and no tokens; a document without tokens weighs
 nothing and is drawn with its cell's probability; a marginal value without a target keeps its own share; repeated
-rows share their fate; an empty table gives an empty result; other columns are returned as they are.
+rows share their fate; an empty table gives an empty result; ``mixed`` returns all columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,15 +55,14 @@ def topic(text: Column) -> Column:
     )
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the three marginals and ``mix_tokens`` added."""
-    return docs.drop(*MARGINALS, "mix_tokens").withColumns(
-        {
-            "mix_source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)),
-            "mix_lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)),
-            "mix_topic": topic(F.col(text_col)),
-            "mix_tokens": n_words(F.col(text_col)),
-        }
+def measured(docs: DataFrame, text_col: str = "text", tokens: Column | None = None, topics: Column | None = None) -> DataFrame:
+    """(given, marginals, mix_tokens) of each document, ``given`` holding its own columns; null tokens count as none, a null topic as ``(none)``."""
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"),
+        F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("mix_source"),
+        F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("mix_lang"),
+        F.coalesce((topic(F.col(text_col)) if topics is None else topics).cast("string"), F.lit(NONE)).alias("mix_topic"),
+        F.coalesce((n_words(F.col(text_col)) if tokens is None else tokens).cast("long"), F.lit(0).cast("long")).alias("mix_tokens"),
     )
 
 
@@ -146,18 +147,18 @@ def draw(rows: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     cells = plan.select(*MARGINALS, "probability")
     # Cells are counted before they are sent to every executor; beyond the limit the join shuffles.
     small = cells.limit(MAX_BROADCAST_CELLS + 1).count() <= MAX_BROADCAST_CELLS
-    own = rows.drop("probability", "drawn").join(F.broadcast(cells) if small else cells, list(MARGINALS))
-    return own.withColumn("drawn", draw_number(F.col(id_col)) < F.col("probability"))
+    own = rows.join(F.broadcast(cells) if small else cells, list(MARGINALS))
+    return own.withColumn("drawn", draw_number(F.col(f"given.`{id_col}`")) < F.col("probability"))
 
 
-def mix_report(docs: DataFrame, budget: float = 0.8, given: Mapping[str, Mapping[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix_report(docs: DataFrame, budget: float = 0.8, given: Mapping[str, Mapping[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, topics: Column | None = None) -> DataFrame:
     """(id, marginals, mix_tokens, probability, drawn) of every document."""
     shared_dir(docs.sparkSession)
-    rows = measured(docs, text_col).select(id_col, *MARGINALS, "mix_tokens").checkpoint()
-    return draw(rows, plan_mix(rows, budget, given), id_col)
+    rows = measured(docs, text_col, tokens, topics).select(F.struct(F.col(f"given.`{id_col}`")).alias("given"), *MARGINALS, "mix_tokens").checkpoint()
+    return draw(rows, plan_mix(rows, budget, given), id_col).select(F.col(f"given.`{id_col}`"), *MARGINALS, "mix_tokens", "probability", "drawn")
 
 
-def mixed(docs: DataFrame, budget: float = 0.8, given: Mapping[str, Mapping[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, budget: float = 0.8, given: Mapping[str, Mapping[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, topics: Column | None = None) -> DataFrame:
     """The drawn rows of ``docs``, with their own columns."""
-    rows = measured(docs, text_col)
-    return draw(rows, plan_mix(rows, budget, given), id_col).filter("drawn").select(*docs.columns)
+    rows = measured(docs, text_col, tokens, topics)
+    return draw(rows, plan_mix(rows, budget, given), id_col).filter("drawn").select("given.*")

@@ -324,9 +324,9 @@ def _pack(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("th"), pa.array([pack(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], names=["doc", "th", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("doc"), batch.column("th"), pa.array([pack(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], names=["own", "doc", "th", "packed"])
 
-    return rows.filter(F.octet_length("text") >= length).select("doc", "th", "text").mapInArrow(tidy(run), "doc long, th long, packed binary")
+    return rows.filter(F.octet_length("text") >= length).select("own", "doc", "th", "text").mapInArrow(tidy(run), "own long, doc long, th long, packed binary")
 
 
 _STRETCH = "g long, doc long, th long, start long, windows int, stop long, stretch binary"
@@ -435,15 +435,17 @@ def _spans(found: DataFrame, length: int) -> DataFrame:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(own, doc, th, text): a document is an id with a hash of its text, and ``own`` a hash of both, so that texts without an id, however many, have keys of their own."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return rows.withColumn("own", F.xxhash64("doc", "th"))
 
 
 def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, th, spans, packed): the spans to remove, sorted and apart, of each document that loses any, with its packed text."""
     rows = keyed(docs, id_col, text_col)
-    repeated = _repeated(_occurrences(rows, length)).groupBy("doc").agg(F.collect_set("h").alias("hashes"))
-    chosen = written(_pack(rows, length).join(repeated, "doc").dropDuplicates(["doc", "th"]), "chosen")
+    repeated = _repeated(_occurrences(rows.select(F.col("own").alias("doc"), "text"), length)).groupBy(F.col("doc").alias("own")).agg(F.collect_set("h").alias("hashes"))
+    chosen = written(_pack(rows, length).join(repeated, "own").dropDuplicates(["own", "doc", "th"]).drop("own"), "chosen")
     spans = _spans(_stretches(chosen, length), length).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -470,11 +472,11 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
             )
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("th"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("all_sha256"))
+    rows = docs.select(F.col(id_col).alias("given_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("th"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("all_sha256"))
     found = removals(docs, length, id_col, text_col).mapInArrow(tidy(digest), "doc long, th long, n_removed long, n_spans long, kept string")
     out = rows.join(found, ["doc", "th"], "left")
     zero = F.lit(0).cast("long")
-    return out.select(id_col, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "all_sha256").alias("kept_sha256"))
+    return out.select(F.col("given_id").alias(id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "all_sha256").alias("kept_sha256"))
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -148,7 +148,78 @@ def test_mixing(docs, none):
     found = by_id(source_mixing.mix_report(docs))
     assert sum(map(len, found.values())) == N and len({r.drawn for r in found[2]}) == 1
     assert found[3][0].mix_source == found[3][0].mix_lang == "(none)" and all(0 <= r.probability <= 1 for rs in found.values() for r in rs)
-    assert source_mixing.mixed(docs).columns == docs.columns and source_mixing.mix_report(none).count() == source_mixing.mixed(none).count() == 0
+    whole = source_mixing.mixed(docs, 1.0)
+    given = {tuple(r) for r in ROWS}
+    assert whole.columns == docs.columns and {tuple(r) for r in whole.collect()} <= given and whole.count() > 0  # columns called probability, drawn and so on keep their values
+    assert source_mixing.mix_report(none).count() == source_mixing.mixed(none).count() == 0
+
+
+def test_mixing_by_given_tokens_and_topics(docs):
+    found = by_id(source_mixing.mix_report(docs, tokens=F.col("doc_id") * 10, topics=F.when(F.col("doc_id") < 5, "low")))
+    assert (found[2][0].mix_tokens, found[2][0].mix_topic, found[7][0].mix_topic, found[None][0].mix_tokens) == (20, "low", "(none)", 0)
+
+
+@pytest.mark.parametrize("name", ["doc", "key", "given_id"])
+def test_id_columns_of_any_name(docs, name):
+    rows = docs.select(F.col("doc_id").alias(name), "text")
+    for found in (suffix_dedup.removal_digests(rows, id_col=name), jaccard_trie.jaccard_components(rows, id_col=name)):
+        assert found.columns[0] == name and sorted(r[0] or 0 for r in found.collect()) == sorted(r[0] or 0 for r in ROWS)
+
+
+def test_many_texts_without_id(spark):
+    texts = [f"{PROSE} {i}" for i in range(40)]
+    rows = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4)
+    chosen = suffix_dedup.removals(rows).collect()
+    assert len(chosen) == 39 and all(r.spans for r in chosen)  # one of them stays whole, the others lose what it has said
+
+
+def test_token_cache_of_the_session(spark, docs):
+    spark.conf.set(queries.TOKEN_CACHE, scratch(spark, "kept"))
+    try:
+        cold = sorted(queries.op4_token_counts(spark, "/root/testdata/sf0.001").collect())
+        stored = spark.read.parquet(spark.conf.get(queries.TOKEN_CACHE)).count()
+        warm = sorted(queries.op4_token_counts(spark, "/root/testdata/sf0.001").collect())
+        assert cold == warm and stored and spark.read.parquet(spark.conf.get(queries.TOKEN_CACHE)).count() == stored
+    finally:
+        spark.conf.unset(queries.TOKEN_CACHE)
+    assert sorted(queries.op4_token_counts(spark, "/root/testdata/sf0.001").collect()) == cold
+
+
+def test_contents_of_equal_form_count_apart():
+    """What the tokenizer's own normaliser folds or drops may share a count; what it tells apart has digests of its own."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_MODEL)
+    pairs = [("a b", "a  b"), ("ﬁn", "fin"), ("a", "a "), ("x\ty", "x y"), ("é", "e\u0301")]
+    for a, b in pairs:
+        assert token_cache._counter(queries.PIECE_MODEL)([a, b]) == [len(model.encode(a)), len(model.encode(b))]
+
+
+def test_numerals_are_no_letters(spark):
+    rows = spark.createDataFrame([(1, "½ ² Ⅷ 7"), (2, "a½b"), (3, "½")], "doc_id long, text string")
+    assert [language_crf.words_of(t) for t in ("½ ² Ⅷ 7", "a½b", "ñ½ x")] == [[], ["a", "b"], ["ñ", "x"]]
+    model = language_crf.LanguageCRF.train([("a b", "en"), ("ñ x", "es")])
+    assert [r.lang_pred == "und" for r in language_crf.predict(rows, model).orderBy("doc_id").collect()] == [True, False, True]
+
+
+def test_quality_is_its_sql_on_odd_characters(spark, tmp_path):
+    import duckdb
+
+    lines = ["½ ² Ⅷ\n" * 30, "word½ " * 60, "…\u00a0\n" * 5 + "one two\n" * 60, "\u2003- bullet line here\n" * 40, " - bullet line here\n" * 40, "tail...\v\n" * 60, "tail...\f\n" * 60, "É É É\n" * 30]
+    spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = queries.op7_quality_rules(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(db.sql(queries.OP7_SQL).select(*found.columns).fetchall())
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    from atheneum.llm.components import connected_components
+
+    path = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not settled"):
+        connected_components(path, max_rounds=1)
+    assert {tuple(r) for r in connected_components(path).collect()} == {(i, 0) for i in range(51)}
 
 
 def test_pipeline_stages(spark, docs, none):
