@@ -6,8 +6,10 @@ import hashlib
 import html as html_lib
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SMALL, LARGE, OVERLAP = 50, 1200, 150
 CHUNK_VERSION = 5
@@ -19,8 +21,10 @@ def normalize(text: str) -> str:
     return _SPACES.sub(lambda m: "\n" if m[0][0] == "\n" else " ", text)
 
 
-def split_overlapping(text: str, most: int = LARGE, overlap: int = OVERLAP) -> list[str]:
-    """Paragraphs packed into parts of at most ``most`` bytes; a part begins with the paragraphs that ended the one before, up to ``overlap`` bytes."""
+def split_overlapping(text: str | None, most: int = LARGE, overlap: int = OVERLAP) -> list[str]:
+    """Paragraphs packed into parts of at most ``most`` bytes; a part begins with the paragraphs that ended the one before, up to ``overlap`` bytes. No parts of a null text."""
+    if text is None:
+        return []
     size = lambda s: len(s.encode())
     parts: list[str] = []
     held: list[str] = []
@@ -99,28 +103,48 @@ def chunk_html(html: str | None, page_name: str | None = None, paragraph_aware:
     return out
 
 
-def replace_section_markdown(body: str, heading: str, put: str) -> str | None:
-    """The section from the first line that says ``heading`` to the next heading of its level or higher, replaced by heading and ``put``; None if there is none."""
-    lines = body.split("\n")
-    wanted = heading.strip().lstrip("#").strip()
-    at = next((i for i, x in enumerate(lines) if x.strip().lstrip("#").strip() == wanted), None)
-    if at is None:
+#: The white space that is trimmed.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
+def _title(text: str) -> str:
+    """What headings are compared by: no leading ``#``, no white space at the ends, A-Z in lower case."""
+    return text.lstrip("#").strip(WHITE).translate(_FOLD)
+
+
+def replace_section_markdown(body: str | None, heading: str | None, put: str | None) -> str | None:
+    """The lines from the first that says ``heading`` to the next heading of its level or higher, replaced by that line and ``put``; None if no line says so or anything is null.
+
+    ``put`` follows at once and is always ended; a blank line comes before what is left. Under a line that is no heading all goes to the end.
+    """
+    if body is None or heading is None or put is None:
         return None
-    rank = lambda x: len(m[0]) if (m := re.match("#+", x.strip())) else 0
-    own = rank(lines[at]) or 6
-    end = next((i for i in range(at + 1, len(lines)) if 0 < rank(lines[i]) <= own), len(lines))
-    return "\n".join([*lines[: at + 1], "", put, *([""] if end < len(lines) else []), *lines[end:]])
-
-
-def replace_section_html(body: str, heading: str, put: str) -> str | None:
-    """As for Markdown, over ``<hN>`` headings."""
-    wanted = re.sub("<[^>]*>", "", heading).strip().lower()
-    heads = list(re.finditer(r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1\s*>", body))
-    own = next((m for m in heads if re.sub("<[^>]*>", "", m[2]).strip().lower() == wanted), None)
-    if own is None:
+    lines = re.split("\r?\n", body)
+    if lines[-1] == "":
+        lines.pop()
+    depth = lambda x: len(x) - len(x.lstrip("#"))
+    said = [i for i, x in enumerate(lines) if _title(x) == _title(heading)][:1]
+    if not said:
         return None
-    end = next((m.start() for m in heads if m.start() >= own.end() and int(m[1]) <= int(own[1])), len(body))
-    return body[: own.end()] + put + body[end:]
+    start, own = said[0], depth(lines[said[0]])
+    rest = next((lines[i:] for i in range(start + 1, len(lines)) if 0 < depth(lines[i]) <= own), None)
+    return "\n".join([*lines[: start + 1], put, *([""] if rest is None else ["", *rest])])
+
+
+def replace_section_html(body: str | None, heading: str | None, put: str | None) -> str | None:
+    """As for Markdown, over ``<h1`` to ``<h6`` tags: ``put`` on lines of its own between the first heading that says so and the next of its level or higher."""
+    if body is None or heading is None or put is None:
+        return None
+    for m in re.finditer("<h([1-6])", body):
+        close = f"</h{m[1]}>"
+        at = body.find(close, m.start())
+        if at < 0 or re.sub("<[^>]*>?", "", body[m.start() : at]).replace(">", "").strip(WHITE).translate(_FOLD) != _title(heading):
+            continue
+        head = at + len(close)
+        rest = next((n.start() for n in re.finditer("<h([1-6])", body[head:]) if n[1] <= m[1]), len(body) - head)
+        return f"{body[:head]}\n{put}\n{body[head + rest :]}"
+    return None
 
 
 def _inline(s: str) -> str:
@@ -184,6 +208,25 @@ def markdown_to_html(text: str | None) -> str:
     return "".join(x + "\n" for x in out)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def split_column(texts: pd.Series) -> pd.Series:
+    """The parts of ``split_overlapping``."""
+    return texts.map(split_overlapping)
+
+
+@F.pandas_udf(T.StringType())
+def markdown_column(texts: pd.Series) -> pd.Series:
+    """Markdown as HTML; a null text is empty."""
+    return texts.map(markdown_to_html)
+
+
+@F.pandas_udf(T.StringType())
+def replace_section(editor: pd.Series, body: pd.Series, heading: pd.Series, put: pd.Series) -> pd.Series:
+    """The section's new text by the page's editor: ``put`` (Markdown) as it is, or as HTML; null where no heading says so."""
+    edit = lambda e, b, h, p: replace_section_markdown(b, h, p) if e == "markdown" else replace_section_html(b, h, markdown_to_html(p))
+    return pd.Series([edit(*row) for row in zip(editor, body, heading, put, strict=True)], dtype=object)
+
+
 CHUNKS = "array<struct<chunk_index: int, heading_path: string, content: string, content_hash: string>>"
 
 
@@ -191,9 +234,7 @@ def chunk_pages(pages: DataFrame, html_col: str = "html", name_col: str | None =
     """(page_id, chunk_index, heading_path, content, content_hash)."""
 
     @F.pandas_udf(CHUNKS)
-    def chunked(html, name):
-        import pandas as pd
-
+    def chunked(html: pd.Series, name: pd.Series) -> pd.Series:
         return pd.Series([[dict(zip(("chunk_index", "heading_path", "content", "content_hash"), c, strict=True)) for c in chunk_html(h, n)] for h, n in zip(html, name, strict=True)])
 
     name = F.col(name_col) if name_col else F.lit(None).cast("string")

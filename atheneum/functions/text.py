@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Descriptions that say nothing.
-PLACEHOLDERS = ("todo", "tbd", "n/a", "none", "test", "placeholder", "description")
+PLACEHOLDERS = ("todo", "tbd", "placeholder", "description", "xxx", "fixme", "n/a")
 
 
 def normalize_ws(s: Column) -> Column:
@@ -19,14 +19,28 @@ def strip_tags(s: Column) -> Column:
     return F.replace(F.regexp_replace(s, "<[^>]*>?", ""), F.lit(">"), F.lit(""))
 
 
+def ascii_lower(s: Column) -> Column:
+    """Letters A-Z in lower case; all others as they are."""
+    return F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def trimmed(s: Column) -> Column:
+    """Without white space (Unicode) at either end."""
+    return F.regexp_replace(s, r"(?U)^\s+|\s+\z", "")
+
+
 def strip_dup_title(body: Column, name: Column) -> Column:
-    """Without a first heading (Markdown or HTML, level 1) that repeats the page's name."""
-    start = F.regexp_replace(body, r"^\s+", "")
-    line = F.regexp_extract(start, r"^#[ \t]+([^\n]*)", 1)
-    html = F.regexp_extract(start, r"(?is)^<h1[^>]*>(.*?)</h1>", 1)
-    same = lambda c: (F.trim(c) != "") & (F.lower(F.trim(strip_tags(c))) == F.lower(F.trim(name)))
-    rest = F.when(same(line), F.regexp_replace(start, r"^#[ \t]+[^\n]*\n*", "")).when(same(html), F.regexp_replace(start, r"(?is)^<h1[^>]*>.*?</h1>\s*", ""))
-    return F.coalesce(rest, body)
+    """Without a first heading (one ``#``, blank or not, or ``<h1``) that repeats the page's name, letters A-Z in either case, and the line ends after it.
+
+    After a Markdown heading the text's end is trimmed too."""
+    start = F.regexp_replace(body, r"(?U)^\s+", "")
+    under = trimmed(F.regexp_replace(start, "^#", ""))
+    line = F.regexp_extract(under, r"(?s)^([^\n]*?)(?:\r?\n|\z)", 1)
+    tag = F.regexp_extract(start, r"(?s)^(<h1.*?</h1>)", 1)
+    same = lambda c: ascii_lower(trimmed(c)) == ascii_lower(trimmed(name))
+    after = lambda whole, head: F.regexp_replace(whole.substr(F.length(head) + 1, F.length(whole)), r"^\n*\r*", "")
+    markdown = start.startswith("#") & ~start.startswith("##") & same(line)
+    return F.when(markdown, after(under, line)).when((tag != "") & same(strip_tags(tag)), after(start, tag)).otherwise(body)
 
 
 def truncate_description(s: Column) -> Column:
@@ -59,15 +73,25 @@ def edit_text(body: Column, find: Column, put: Column, replace_all: Column) -> C
     return F.struct(F.when(error.isNull(), F.replace(body, find, put)).alias("text"), error.alias("error"))
 
 
-def append_text(body: Column, more: Column) -> Column:
-    return F.concat(body, F.lit("\n\n"), more)
+def append_text(body: Column, more: Column, editor: Column | None = None, html: Column | None = None) -> Column:
+    """``more`` after the body without the white space at its end: a blank line between them in Markdown; where ``editor`` is another, ``html`` on the next line."""
+    end = F.regexp_replace(body, r"(?U)\s+\z", "")
+    markdown = F.concat(end, F.lit("\n\n"), more)
+    return markdown if editor is None else F.when(editor == "markdown", markdown).otherwise(F.concat(end, F.lit("\n"), html))
+
+
+def lines_of(body: Column) -> Column:
+    """Lines without their ends; an end of line at the very end begins no other."""
+    parts = F.split(body, "\r?\n")
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
 def insert_after_line(body: Column, anchor: Column, more: Column) -> Column:
-    """``more`` on a line of its own after the first line equal to ``anchor``, both trimmed; null if there is none."""
-    lines = F.split(body, "\n")
-    at = F.array_position(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), F.regexp_replace(anchor, r"(?U)^\s+|\s+$", ""))
-    return F.when(at > 0, F.array_join(F.concat(F.slice(lines, F.lit(1), at), F.array(more), F.slice(lines, at + 1, F.size(lines))), "\n"))
+    """``more`` on a line of its own, which is always ended, after the first line equal to ``anchor``, both trimmed; null if there is none. A last line is not ended."""
+    lines = lines_of(body)
+    at = F.array_position(F.transform(lines, trimmed), trimmed(anchor))
+    rest = F.array_join(F.slice(lines, at + 1, F.size(lines)), "\n")
+    return F.when(at > 0, F.concat(F.array_join(F.slice(lines, F.lit(1), at), "\n"), F.lit("\n"), more, F.lit("\n"), rest))
 
 
 def strip_frontmatter(body: Column) -> Column:
@@ -81,10 +105,6 @@ def frontmatter_field(body: Column, *names: str) -> Column:
     return F.coalesce(*[F.when(v != "", v) for v in values])
 
 
-def trimmed(s: Column) -> Column:
-    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
-
-
 def archive_year(name: Column) -> Column:
     """The year of ``Journal Archive - YYYY``, 1900 to 9999."""
     year = F.regexp_extract(trimmed(name), r"^Journal Archive\s*-\s*(\d{4})$", 1).try_cast("int")

@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The permissions whose holders see every page.
-VIEW_ALL = ("page-view-all", "book-view-all", "chapter-view-all", "bookshelf-view-all")
+VIEW_ALL = ("page-view-all", "chapter-view-all", "book-view-all", "content-export")
+#: Roles are few; more than this many are an error, as they are sent to all executors.
+MAX_ROLES = 10_000
 
 
 def effective_roles(levels: DataFrame, entries: DataFrame, roles: DataFrame) -> DataFrame:
     """(level_id, roles): for each level (level_id, fallback_view) the roles that may see it; explicit entries (level_id, role_id, view, ord) override the fallback, the last one wins."""
     explicit = entries.groupBy("level_id", "role_id").agg(F.max_by("view", "ord").alias("view"))
-    # Roles are few; each level meets each through a join on a constant, not a nested loop.
-    every = levels.withColumn("_k", F.lit(1)).join(roles.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    seen = every.join(explicit, ["level_id", "role_id"], "left").withColumn("ok", F.coalesce("view", "fallback_view"))
-    return seen.groupBy("level_id").agg(F.array_sort(F.collect_list(F.when(F.col("ok"), F.col("role_id")))).alias("roles"))
+    known = sorted(r[0] for r in roles.select("role_id").distinct().limit(MAX_ROLES + 1).collect())
+    if len(known) > MAX_ROLES:
+        raise ValueError(f"more than {MAX_ROLES} roles")
+    own = explicit.groupBy("level_id").agg(F.map_from_entries(F.collect_list(F.struct("role_id", "view"))).alias("own"))
+    every = F.array(*[F.lit(r) for r in known]).cast("array<bigint>")
+    may = lambda r: F.coalesce(F.try_element_at("own", r.cast(explicit.schema["role_id"].dataType)), F.col("fallback_view"))
+    return levels.join(own, "level_id", "left").select("level_id", F.filter(every, may).alias("roles"))
 
 
 def inheriting(flag: str = "inheriting"):
@@ -77,3 +82,47 @@ def ladder(candidates: DataFrame, memory: DataFrame, table: DataFrame, pages: Da
     rows = rows.join(accessible.select("page_id", F.col("ok").alias("l4")), "page_id", "left")
     by = F.when(F.col("l1").isNotNull(), "memory").when(F.col("l2").isNotNull(), "table").when(F.col("l3").isNotNull(), "prefilter").otherwise("check")
     return rows.select("page_id", F.coalesce("l1", "l2", "l3", "l4", F.lit(False)).alias("viewable"), by.alias("decided_by"))
+
+
+def delete_page(acl: DataFrame, pages: list[int]) -> DataFrame:
+    return acl.filter(~F.col("page_id").isin(list(pages)))
+
+
+def delete_role(acl: DataFrame, role: int) -> DataFrame:
+    return acl.filter(F.col("role_id") != role)
+
+
+def computed(pages: DataFrame) -> DataFrame:
+    """(page_id) of the pages whose permissions have been worked out."""
+    return pages.filter("acl_computed_at IS NOT NULL").select("page_id")
+
+
+def reconcile(acl: DataFrame, pages: DataFrame, levels: DataFrame, view_all: DataFrame, stamp: int) -> tuple[DataFrame, DataFrame]:
+    """(role rows, pages) after the permissions of all these pages were worked out again: their role rows are replaced, and the pages carry
+    ``acl_default_open`` and the time."""
+    found = resolve(pages, levels, view_all)
+    rows = acl.join(found.select("page_id"), "page_id", "left_anti").unionByName(found.filter("NOT default_open").select("page_id", F.explode("roles").alias("role_id")))
+    stamped = pages.drop("acl_default_open", "acl_computed_at").join(found.select("page_id", F.col("default_open").alias("acl_default_open")), "page_id")
+    return rows, stamped.withColumn("acl_computed_at", F.lit(stamp).cast("long"))
+
+
+def caller_roles(callers: DataFrame, granted: DataFrame) -> DataFrame:
+    """(caller, roles): the distinct roles granted (caller, role_id) to each caller, none for a caller without."""
+    roles = granted.groupBy("caller").agg(F.array_sort(F.collect_set("role_id")).alias("roles"))
+    return callers.select("caller").join(roles, "caller", "left").select("caller", F.coalesce("roles", F.array().cast(roles.schema["roles"].dataType)).alias("roles"))
+
+
+#: Pages worked out in the background at once; with as many under way, all are left to the next reconciliation.
+IN_FLIGHT = 200
+
+
+def to_recompute(pages: DataFrame, in_flight: DataFrame, most: int = IN_FLIGHT) -> DataFrame:
+    """(page_id) of the pages without worked-out permissions that a background run takes on: not those under way (page_id) already, and the first ones that leave ``most`` under way."""
+    room = max(0, most - in_flight.select("page_id").distinct().limit(most).count())
+    return pages.filter("acl_computed_at IS NULL").select("page_id").distinct().join(in_flight, "page_id", "left_anti").orderBy("page_id").limit(room)
+
+
+def coalesced_check(requests: DataFrame, check) -> DataFrame:
+    """``requests`` (token, page_id, ...) with ``ok``: ``check`` gets each (token, page_id) once and gives (token, page_id, ok); what it gives no answer for, or none in time (null), is denied."""
+    asked = check(requests.select("token", "page_id").distinct())
+    return requests.join(asked.select("token", "page_id", "ok"), ["token", "page_id"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))

@@ -26,13 +26,18 @@ def links_to(edges: DataFrame, pages: DataFrame, n: int = LINKS) -> DataFrame:
 
 
 def co_linked(edges: DataFrame, pages: DataFrame, wanted: DataFrame | None = None, n: int = CO_LINKS) -> DataFrame:
-    """(page_id, neighbour_id): other pages that link to a page it links to. ``wanted`` (page_id) keeps the self join to the pages asked for."""
+    """(page_id, neighbour_id): other pages that link to a page it links to. ``wanted`` (page_id) keeps the join to the pages asked for.
+
+    Of the pages that link to a target, the first n + 1 are enough for each of them, so a popular target is joined with these and not with itself.
+    """
     own = edges.select(F.col("source_page_id").alias("page_id"), "target_page_id").distinct()
-    other = own.select(F.col("page_id").alias("neighbour_id"), "target_page_id")
+    there = own.join(pages.select("page_id"), "page_id", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("target_page_id").orderBy("page_id"))
+    first = there.withColumn("_r", rank).filter(F.col("_r") <= n + 1).groupBy("target_page_id").agg(F.collect_list("page_id").alias("near"))
     if wanted is not None:
         own = own.join(wanted.select("page_id"), "page_id", "left_semi")
-    rows = own.join(other, "target_page_id").filter("page_id <> neighbour_id").select("page_id", "neighbour_id").distinct()
-    return _first(rows.join(pages.select(F.col("page_id").alias("neighbour_id")), "neighbour_id", "left_semi").select("page_id", "neighbour_id"), n, "neighbour_id")
+    rows = own.join(first, "target_page_id").select("page_id", F.explode("near").alias("neighbour_id"))
+    return _first(rows.filter("page_id <> neighbour_id").distinct(), n, "neighbour_id")
 
 
 def siblings(pages: DataFrame, wanted: DataFrame | None = None, n: int = SIBLINGS) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import documents, text
-from . import models
+from ..sources.staging import numbered, settled
+from . import models, tables
 
 MAX_FAILURES = 10
 
@@ -34,13 +35,13 @@ class Ingested(NamedTuple):
     links: DataFrame
 
 
-def ingest(raw: DataFrame, books: DataFrame, chapters: DataFrame, shelves: DataFrame, pages: DataFrame, dims: int) -> Ingested:
-    """The tables' new rows for raw pages (page_id, html) known to the index."""
+def ingest(raw: DataFrame, books: DataFrame, chapters: DataFrame, shelves: DataFrame, pages: DataFrame, dims: int, make=models.hashing_embedder) -> Ingested:
+    """The tables' new rows for raw pages (page_id, html) known to the index. A chunk that cannot be embedded has an ``error`` instead of its vector."""
     own = pages.join(books.select("book_id", F.col("name").alias("book"), "shelf_id"), "book_id", "left").join(chapters.select("chapter_id", F.col("name").alias("chapter")), "chapter_id", "left")
     own = own.join(shelves.select("shelf_id", F.col("name").alias("shelf")), "shelf_id", "left")
     rows = raw.join(own.select("page_id", F.col("name").alias("page"), "book", "chapter", "shelf"), "page_id")
     chunks = documents.chunk_pages(rows.select("page_id", "html", "page"), name_col="page").join(rows.select("page_id", text.context_prefix(F.col("shelf"), F.col("book"), F.col("chapter"), F.col("page")).alias("prefix")), "page_id")
-    chunks = chunks.withColumn("embedding", models.embed(F.concat("prefix", "content"), dims)).drop("prefix")
+    chunks = chunks.withColumn("e", models.try_embed(F.concat("prefix", "content"), dims, make)).select("page_id", "chunk_index", "heading_path", "content", "content_hash", "e.embedding", "e.error")
     links = raw.select("page_id", F.explode(text.extract_links(F.col("html"))).alias("path"))
     return Ingested(rows.select("page_id", text.content_hash(F.col("html")).alias("content_hash")), chunks, resolve_links(links, pages))
 
@@ -55,26 +56,116 @@ def in_scope(scope: str) -> Column:
     return F.col(f"{kind}_id") == int(number)
 
 
-def outcome(results: DataFrame) -> DataFrame:
-    """(done, failures, status) of a job over rows with an ``error``: it fails with ten failures or more."""
+def attempt(raw: DataFrame, books: DataFrame, chapters: DataFrame, shelves: DataFrame, pages: DataFrame, dims: int, make=models.hashing_embedder) -> tuple[Ingested, DataFrame]:
+    """As ``ingest``, but a page that fails leaves the others alone: the new rows of the pages that went well, and (page_id, error) of all, error being null for these.
+
+    A page of the listing that the index doesn't know fails too."""
+    done = ingest(raw, books, chapters, shelves, pages, dims, make)
+    chunks = settled(done.chunks)
+    bad = chunks.groupBy("page_id").agg(F.min("error").alias("error"))
+    results = raw.select("page_id").join(done.pages.select("page_id", F.lit(True).alias("_known")), "page_id", "left").join(bad, "page_id", "left")
+    results = settled(results.select("page_id", F.when(F.col("_known").isNull(), "page not in the index").otherwise(F.col("error")).alias("error")))
+    good = results.filter("error IS NULL").select("page_id")
+    links = done.links.join(good.withColumnRenamed("page_id", "source_page_id"), "source_page_id", "left_semi")
+    return Ingested(done.pages.join(good, "page_id", "left_semi"), chunks.drop("error").join(good, "page_id", "left_semi"), links), results
+
+
+def aborted_after(results: DataFrame, most: int = MAX_FAILURES) -> int | None:
+    """The page_id, in order, at which ``most`` pages in a row have failed; None if that never happened. Runs are found by numbering, not by a walk."""
+    rows = numbered(results.select("page_id", "error"), "page_id")
+    bad = numbered(rows.filter("error IS NOT NULL").select("page_id", F.col("pos").alias("at")), "page_id")
+    runs = bad.withColumn("run", F.col("at") - F.col("pos")).groupBy("run").agg(F.count("*").alias("n"), F.min("at").alias("first")).filter(F.col("n") >= most)
+    first = runs.agg(F.min("first")).first()[0]
+    return None if first is None else rows.filter(F.col("pos") == first + most - 1).first().page_id
+
+
+def outcome(results: DataFrame, most: int = MAX_FAILURES) -> DataFrame:
+    """(done, failures, aborted, status) of a job over (page_id, error): pages after ``most`` failures in a row are not done; it fails if that happened or with so many failures in all."""
+    last = aborted_after(results, most)
+    rows = results if last is None else results.filter(F.col("page_id") <= last)
     n = F.count("error")
-    return results.agg(F.count("*").alias("done"), n.alias("failures"), F.when(n >= MAX_FAILURES, "failed").otherwise("succeeded").alias("status"))
+    return rows.agg(F.count("*").alias("done"), n.alias("failures"), F.lit(last is not None).alias("aborted"), F.when((n >= most) | F.lit(last is not None), "failed").otherwise("succeeded").alias("status"))
+
+
+def retry_scopes(results: DataFrame, most: int = MAX_FAILURES) -> DataFrame:
+    """(scope) of the jobs that try failed pages again: none where the job as a whole failed."""
+    whole = outcome(results, most).select(F.col("status").alias("_status"))
+    return results.filter("error IS NOT NULL").join(F.broadcast(whole)).filter("_status = 'succeeded'").select(F.concat(F.lit("page:"), F.col("page_id")).alias("scope"))
+
+
+class Listing(NamedTuple):
+    """What is there upstream: shelves, (book_id, shelf_id, ord) of books on shelves, books, chapters, pages, each with name and slug."""
+
+    shelves: DataFrame
+    shelf_books: DataFrame
+    books: DataFrame
+    chapters: DataFrame
+    pages: DataFrame
+
+
+class Index(NamedTuple):
+    """The structural index: (shelf_id, name, slug, shelf_kind), (book_id, name, slug, shelf_id, book_kind), (chapter_id, book_id, name, slug, chapter_kind, archive_year),
+    (page_id, book_id, chapter_id, name, slug, page_kind, page_key, archive_year), each with ``deleted``."""
+
+    shelves: DataFrame
+    books: DataFrame
+    chapters: DataFrame
+    pages: DataFrame
+
+
+KEYS = Index("shelf_id", "book_id", "chapter_id", "page_id")
+
+
+def classified(listing: Listing) -> Index:
+    """The index of a whole listing: books through their shelves, a book on many shelves under the last, then those on none; chapters and pages through their books.
+
+    Four levels are joined, each with the kind of the one above; nothing is walked entry by entry."""
+    live = F.lit(False).alias("deleted")
+    shelves = listing.shelves.select("shelf_id", "name", "slug", text.classify_shelf(F.col("shelf_id")).alias("shelf_kind"), live)
+    books = listing.books.select("book_id", "name", "slug").join(tables.last_shelf(listing.shelf_books), "book_id", "left").join(shelves.select("shelf_id", "shelf_kind"), "shelf_id", "left")
+    books = books.dropDuplicates(["book_id"]).select("book_id", "name", "slug", "shelf_id", text.classify_book(F.col("name"), F.coalesce("shelf_kind", F.lit("unclassified"))).alias("book_kind"), live)
+    chapters = listing.chapters.join(books.select("book_id", "book_kind"), "book_id").select("chapter_id", "book_id", "name", "slug", text.classify_chapter(F.col("name"), F.col("book_kind")).alias("c"))
+    chapters = chapters.select("chapter_id", "book_id", "name", "slug", F.col("c.kind").alias("chapter_kind"), F.col("c.archive_year").alias("archive_year"), live)
+    of = chapters.select("chapter_id", "chapter_kind", F.col("archive_year").alias("chapter_year"))
+    pages = listing.pages.join(books.select("book_id", "book_kind"), "book_id").join(of, "chapter_id", "left")
+    pages = pages.select("page_id", "book_id", "chapter_id", "name", "slug", text.classify_page(F.col("name"), F.col("book_kind"), F.col("chapter_kind"), F.col("chapter_year")).alias("p"))
+    return Index(shelves, books, chapters, pages.select("page_id", "book_id", "chapter_id", "name", "slug", F.col("p.kind").alias("page_kind"), F.col("p.key").alias("page_key"), F.col("p.archive_year").alias("archive_year"), live))
+
+
+def full_walk(listing: Listing, index: Index | None = None, tombstones: bool = False) -> Index:
+    """The index after a walk over everything. Entries of the old index that are not listed any more stay as they are, or are marked as deleted with ``tombstones``."""
+    new = classified(listing)
+    if index is None:
+        return new
+    out = []
+    for old, rows, key in zip(index, new, KEYS, strict=True):
+        gone = old.join(rows.select(key), key, "left_anti")
+        out.append(rows.unionByName((gone.withColumn("deleted", F.lit(True)) if tombstones else gone).select(*rows.columns)))
+    return Index(*out)
 
 
-def full_walk(shelf_books: DataFrame, books: DataFrame) -> DataFrame:
-    """(book_id, name, shelf_id): books through their shelves, a book on many shelves under the last; then those on none."""
-    on = shelf_books.groupBy("book_id").agg(F.max_by("shelf_id", "ord").alias("shelf_id"))
-    walked = books.select("book_id", "name").join(on, "book_id")
-    return walked.unionByName(orphans(books.select("book_id", "name"), on).withColumn("shelf_id", F.lit(None).cast("long")))
+def reconcile_some(scopes: DataFrame, listing: Listing, index: Index) -> tuple[Index, DataFrame]:
+    """The index after the entries of these scopes (``page:1``, ``chapter:2`` and so on) were looked up again, and the jobs (scope) it takes first:
+    a chapter or page whose book the index lacks is not taken in, its book's job comes instead. What is not listed is left alone."""
+    new, out, jobs = classified(listing), [], []
+    for old, rows, key in zip(index, new, KEYS, strict=True):
+        wanted = scopes.select(text.scope_id(F.col("scope"), key.removesuffix("_id")).alias(key)).filter(F.col(key).isNotNull()).distinct()
+        rows = rows.join(wanted, key, "left_semi").select(*rows.columns)
+        if key in ("chapter_id", "page_id"):
+            jobs.append(missing_parents(rows, index.books, None))
+            rows = rows.join(index.books.select("book_id"), "book_id", "left_semi").select(*rows.columns)
+        out.append(tables.upsert(old.select(*rows.columns), rows, [key]))
+    return Index(*out), jobs[0].unionByName(jobs[1]).distinct()
 
 
 def orphans(books: DataFrame, walked: DataFrame) -> DataFrame:
     return books.join(walked.select("book_id"), "book_id", "left_anti").dropDuplicates(["book_id"])
 
 
-def missing_parents(pages: DataFrame, books: DataFrame) -> DataFrame:
-    """(page_id, scope): pages whose book the index doesn't have, and the job that brings it; a book marked as deleted counts as there."""
-    return pages.join(books.select("book_id"), "book_id", "left_anti").select("page_id", F.concat(F.lit("book:"), F.col("book_id")).alias("scope"))
+def missing_parents(pages: DataFrame, books: DataFrame, key: str | None = "page_id") -> DataFrame:
+    """(key, scope): pages whose book the index doesn't have, and the job that brings it; a book marked as deleted counts as there."""
+    scope = F.concat(F.lit("book:"), F.col("book_id")).alias("scope")
+    return pages.join(books.select("book_id"), "book_id", "left_anti").select(*([key] if key else []), scope)
 
 
 def parse_book_contents(json: Column) -> Column:

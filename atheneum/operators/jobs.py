@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import numbered, settled
+
 ACTIVE, OPEN_ENDED, TERMINAL = ("pending", "running"), ("pending", "running", "failed"), ("succeeded", "cancelled", "closed")
 MAX_RETRIES, MAX_CHAIN = 5, 1024
+#: Seconds a job may run, and an ended one stays.
+TIMEOUT, KEEP = 3600, 30
+DAY, FIRST_AFTER = 86_400, 300
 
 
 def failed_open() -> Column:
@@ -22,15 +27,39 @@ def create_dedup(jobs: DataFrame, requests: DataFrame) -> DataFrame:
     """(scope, id, is_new): for each requested scope the newest job that is still to be done, or a new id after the largest there is."""
     open_ = jobs.filter(blocks_new()).groupBy("scope").agg(F.max("id").alias("open_id"))
     top = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    rows = requests.select("scope").distinct().join(open_, "scope", "left").join(F.broadcast(top))
-    new = F.sum(F.col("open_id").isNull().cast("long")).over(Window.partitionBy().orderBy("scope").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("scope", F.coalesce("open_id", F.col("top") + new).alias("id"), F.col("open_id").isNull().alias("is_new"))
+    rows = requests.select("scope").distinct().join(open_, "scope", "left")
+    old = rows.filter("open_id IS NOT NULL").select("scope", F.col("open_id").alias("id"), F.lit(False).alias("is_new"))
+    new = numbered(rows.filter("open_id IS NULL").select("scope"), "scope").join(F.broadcast(top))
+    return old.unionByName(new.select("scope", (F.col("top") + F.col("pos")).alias("id"), F.lit(True).alias("is_new")))
 
 
 def claim_next(jobs: DataFrame) -> DataFrame:
+    """(id) of the pending job that is next, null if there is none."""
     return jobs.filter("status = 'pending'").agg(F.min("id").alias("id"))
 
 
+def claim(jobs: DataFrame, worker: str, now: int) -> DataFrame:
+    """``jobs`` after a worker has taken the next pending one: it runs, since ``now``, for this worker. Without a pending job nothing changes.
+
+    A single writer publishes the result as the queue's next snapshot, so no two workers take the same job.
+    """
+    mine = F.coalesce(F.col("id") == F.col("_next"), F.lit(False))
+    rows = jobs.join(F.broadcast(claim_next(jobs).withColumnRenamed("id", "_next")))
+    values = {"status": F.lit("running"), "started_at": F.lit(now).cast("long"), "worker_id": F.lit(worker)}
+    return rows.withColumns({c: F.when(mine, v).otherwise(F.col(c)) for c, v in values.items()}).drop("_next")
+
+
+def overdue(jobs: DataFrame, cutoff: int) -> DataFrame:
+    """(id) of jobs that have run since before the cutoff."""
+    return jobs.filter((F.col("status") == "running") & (F.col("started_at") < cutoff)).select("id")
+
+
+def enqueue(jobs: DataFrame, scope: str) -> DataFrame:
+    """``jobs`` and a pending one of this scope, unless one is still to be done."""
+    made = create_dedup(jobs, jobs.sparkSession.createDataFrame([(scope,)], "scope string")).filter("is_new").select("id", "scope", F.lit("pending").alias("status"))
+    return jobs.unionByName(made, allowMissingColumns=True)
+
+
 def fold(events: DataFrame) -> DataFrame:
     """(id, status, progress, error) after all events (id, seq, kind, progress, error): only pending and running jobs change, so the first ending stays, cancelling included."""
     steps = F.array_sort(F.collect_list(F.struct("seq", "kind", "progress", "error")))
@@ -55,7 +84,8 @@ def should_stop(jobs: DataFrame) -> DataFrame:
 def ended(jobs: DataFrame, which: Column, error: str) -> DataFrame:
     """Running jobs of ``which`` fail with this error; others stay."""
     hit = (F.col("status") == "running") & which
-    return jobs.withColumns({"status": F.when(hit, "failed").otherwise(F.col("status")), "error": F.when(hit, F.lit(error))})
+    old = F.col("error") if "error" in jobs.columns else F.lit(None).cast("string")
+    return jobs.withColumns({"status": F.when(hit, "failed").otherwise(F.col("status")), "error": F.when(hit, F.lit(error)).otherwise(old)})
 
 
 def expire(jobs: DataFrame, cutoff: int) -> DataFrame:
@@ -73,14 +103,12 @@ def has_successor(jobs: DataFrame) -> DataFrame:
 
 
 def chain_lengths(jobs: DataFrame, most: int = MAX_CHAIN) -> DataFrame:
-    """(id, chain): jobs on the way along ``retry_of`` to the first, the job included. Steps double, so a chain of 1024 takes ten joins."""
-    at = jobs.select("id", F.col("retry_of").alias("jump"), F.lit(1).cast("long").alias("chain"))
+    """(id, chain): jobs on the way along ``retry_of`` to the first, the job included. Steps double, so a chain of 1024 takes ten joins, each of settled rows."""
+    at = settled(jobs.select("id", F.col("retry_of").alias("jump"), F.lit(1).cast("long").alias("chain")))
     steps = 1
-    while steps < most:
+    while steps < most and not at.filter("jump IS NOT NULL").isEmpty():
         nxt = at.select(F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("chain").alias("chain2"))
-        at = at.join(nxt, "jump", "left").select("id", F.col("jump2").alias("jump"), F.least(F.lit(most), F.col("chain") + F.coalesce("chain2", F.lit(0))).alias("chain"))
-        if at.filter("jump IS NOT NULL").isEmpty():
-            break
+        at = settled(at.join(nxt, "jump", "left").select("id", F.col("jump2").alias("jump"), F.least(F.lit(most), F.col("chain") + F.coalesce("chain2", F.lit(0))).alias("chain")))
         steps *= 2
     return at.select("id", "chain")
 
@@ -93,8 +121,23 @@ def reconcile(jobs: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
 
 def retries(decisions: DataFrame, top: int) -> DataFrame:
     """New pending jobs (id, scope, status, retry_of) for those to be retried."""
-    n = F.row_number().over(Window.partitionBy().orderBy("id"))
-    return decisions.filter("decision = 'retried'").select((F.lit(top) + n).cast("long").alias("new_id"), "scope", F.lit("pending").alias("status"), F.col("id").alias("retry_of")).withColumnRenamed("new_id", "id")
+    rows = numbered(decisions.filter("decision = 'retried'").select(F.col("id").alias("retry_of"), "scope"), "retry_of")
+    return rows.select((F.lit(top) + F.col("pos")).cast("long").alias("id"), "scope", F.lit("pending").alias("status"), "retry_of")
+
+
+def housekeep(jobs: DataFrame, worker: str, now: int, timeout: int = TIMEOUT, keep: int = KEEP, max_retries: int = MAX_RETRIES) -> DataFrame:
+    """``jobs`` after one round of housekeeping: what this worker left running and what runs too long fails; failed jobs are superseded, given up or retried, which adds jobs;
+    ended ones that were resolved ``keep`` seconds ago or before go to the archive, so they are gone here."""
+    columns = jobs.columns
+    if "error" not in columns:
+        jobs = jobs.withColumn("error", F.lit(None).cast("string"))
+    swept = settled(expire(recover(jobs, worker), now - timeout))
+    decided = settled(reconcile(swept, max_retries))
+    rows = swept.join(decided.select("id", "decision"), "id", "left")
+    rows = rows.withColumns({"resolved_status": F.coalesce("decision", "resolved_status"), "resolved_at": F.when(F.col("decision").isNotNull(), F.lit(now).cast("long")).otherwise(F.col("resolved_at"))}).drop("decision")
+    top = swept.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    rows = rows.unionByName(retries(decided, top), allowMissingColumns=True)
+    return rows.join(archivable(rows, now - keep), "id", "left_anti").select(*dict.fromkeys([*columns, "error"]))
 
 
 def close(jobs: DataFrame, ids: list[int], resolved: str | None, now: int) -> DataFrame:
@@ -115,10 +158,10 @@ def archivable(jobs: DataFrame, cutoff: int) -> DataFrame:
 
 def listing(jobs: DataFrame, recent: int) -> DataFrame:
     """(section, pos, id, scope, status): all that is going on by id, then the most recent ends, newest first."""
-    going = jobs.filter(F.col("status").isin(*OPEN_ENDED)).select(F.lit(0).alias("section"), F.row_number().over(Window.partitionBy().orderBy("id")).alias("pos"), "id", "scope", "status")
+    going = numbered(jobs.filter(F.col("status").isin(*OPEN_ENDED)).select("id", "scope", "status"), "id").withColumn("section", F.lit(0))
     done = jobs.filter(F.col("status").isin(*TERMINAL)).orderBy(F.desc("id")).limit(recent)
-    done = done.select(F.lit(1).alias("section"), F.row_number().over(Window.partitionBy().orderBy(F.desc("id"))).alias("pos"), "id", "scope", "status")
-    return going.unionByName(done)
+    done = numbered(done.select("id", "scope", "status"), F.desc("id")).withColumn("section", F.lit(1))
+    return going.unionByName(done).select("section", F.col("pos").cast("int").alias("pos"), "id", "scope", "status")
 
 
 def dispatch(scope: Column) -> Column:
@@ -130,3 +173,14 @@ def dispatch(scope: Column) -> Column:
 
 def embed_status(pages: DataFrame, chunks: DataFrame, jobs: DataFrame) -> DataFrame:
     return pages.agg(F.count("*").alias("total_pages")).join(chunks.agg(F.count("*").alias("total_chunks"))).join(jobs.agg(F.max("id").alias("latest_job"), F.max_by("status", "id").alias("latest_status")))
+
+
+def initial_walk(jobs: DataFrame, last_full_walk: int | None) -> DataFrame:
+    """``jobs`` with one for everything, if there has been no full walk yet."""
+    return jobs if last_full_walk is not None else enqueue(jobs, "all")
+
+
+def acl_cron(jobs: DataFrame, started: int, last: int | None, now: int, every: int = DAY, first: int = FIRST_AFTER) -> DataFrame:
+    """``jobs`` with one that reconciles all permissions, if one is due: ``first`` seconds after the start, then ``every`` so many; never with 0."""
+    due = every > 0 and now >= (started + first if last is None else last + every)
+    return enqueue(jobs, "acl_reconcile") if due else jobs

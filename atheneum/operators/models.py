@@ -61,3 +61,24 @@ def rerank(docs: DataFrame, query: str, text_col: str, top_k: int, scorer: Calla
         return pd.Series(scorer(query, texts.tolist()))
 
     return docs.withColumn("rerank", score(F.col(text_col))).orderBy(F.desc("rerank"), "pos").limit(top_k)
+
+
+def try_embed(text: Column, dims: int, make: Callable[[int], Callable] = hashing_embedder) -> Column:
+    """(embedding, error) of each text: where a batch fails its texts are embedded one by one, so that one bad text fails alone."""
+
+    def attempt(model: Callable, texts: list) -> list[tuple]:
+        try:
+            return [(v.tolist(), None) for v in model(texts)]
+        except Exception as e:
+            if len(texts) == 1:
+                return [(None, f"{type(e).__name__}: {e}")]
+            return [attempt(model, [t])[0] for t in texts]
+
+    @F.pandas_udf("embedding array<float>, error string")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = make(dims)
+        for texts in batches:
+            rows = [r for i in range(0, len(texts), MAX_TEXTS) for r in attempt(model, texts.iloc[i : i + MAX_TEXTS].tolist())]
+            yield pd.DataFrame({"embedding": [r[0] for r in rows], "error": [r[1] for r in rows]}, index=texts.index)
+
+    return vectors(text)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import settled
 from . import acl as acl_ops
-from . import graph, vectors
+from . import graph, models, vectors
 
 MAX_LIMIT, HYBRID_THRESHOLD, VECTOR_THRESHOLD = 100, 0.45, 0.50
 MAX_RERANK = 200
@@ -66,14 +67,14 @@ def keyword_scope(keyword: DataFrame, pages: DataFrame, books: list[int], page_i
 
 
 def bm25(docs: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(doc_id, score) of the documents with a word of the query. Documents are tokenised once; only the query's words are exploded."""
+    """(doc_id, score) of the documents with a word of the query. Documents are read and tokenised once: lengths and counts are settled before they are summed up and scored."""
     words = sorted(set(query.lower().split()))
     tokens = docs.select("doc_id", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "").alias("tokens"))
 
     def times(word: str) -> Column:
         return F.size(F.filter("tokens", lambda x: x == F.lit(word)))
 
-    rows = tokens.select("doc_id", F.size("tokens").alias("len"), *[times(w).alias(f"tf{i}") for i, w in enumerate(words)])
+    rows = settled(tokens.select("doc_id", F.size("tokens").alias("len"), *[times(w).alias(f"tf{i}") for i, w in enumerate(words)]))
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(words))])
 
     def part(i: int) -> Column:
@@ -136,7 +137,12 @@ def hybrid_search(chunks: DataFrame, pages: DataFrame, edges: DataFrame, acl: Da
     scored = visible(merged_scores(best_chunks(hits), keyword), pages, acl, roles)
     found = keyword_only_dropped(scored.join(boosts(edges, pages, scored, hits), "page_id"))
     out = found.withColumn("score", standard_blend(F.col("vector"), F.col("keyword"), F.col("blanket")))
-    return out.orderBy(F.desc("score"), "page_id").limit(limit).select("page_id", "vector", "keyword", "blanket", "score", "best_chunk", "chunks")
+    return final_top(out, limit).select("page_id", "vector", "keyword", "blanket", "score", "best_chunk", "chunks")
+
+
+def final_top(scored: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of the highest score, ties to the smaller page."""
+    return scored.orderBy(F.desc("score"), "page_id").limit(n)
 
 
 def trim_pool(scored: DataFrame, n: int, by: Column | None = None) -> DataFrame:
@@ -157,6 +163,19 @@ def cascade_stages(chunks: DataFrame, pages: DataFrame, edges: DataFrame, acl: D
     return first, second, trim_pool(third, pool(limit, multipliers.blanket), F.col("score"))
 
 
+def cascade(chunks: DataFrame, texts: DataFrame, pages: DataFrame, edges: DataFrame, acl: DataFrame, keyword_hits: DataFrame, query: list[float], words: str, limit: int = 10, threshold: float = HYBRID_THRESHOLD, roles: list[int] | None = None, multipliers: Multipliers = Multipliers(), scorer=models.overlap_scorer) -> DataFrame:
+    """(page_id, best_chunk, rerank, score): all four stages. The last reranks the best chunk of each page left, ``texts`` (chunk_id, heading, content), of the
+    ``MAX_RERANK`` pages with the best vector scores; a chunk without a text counts as empty."""
+    limit = min(max(limit, 1), MAX_LIMIT)
+    third = cascade_stages(chunks, pages, edges, acl, keyword_hits, query, limit, threshold, roles, multipliers)[2]
+    best = third.orderBy(F.desc("vector"), "page_id").limit(MAX_RERANK)
+    rows = best.join(texts, F.col("best_chunk") == F.col("chunk_id"), "left").join(pages.select("page_id", "name"), "page_id", "left")
+    empty = F.lit("")
+    doc = rerank_document(F.coalesce("name", empty), F.coalesce("heading", empty), F.coalesce("content", empty))
+    docs = rows.select("page_id", "best_chunk", "score", F.struct(-F.col("score"), F.col("page_id")).alias("pos"), doc.alias("doc"))
+    return models.rerank(docs, words, "doc", pool(limit, multipliers.rerank), scorer).select("page_id", "best_chunk", "rerank", "score")
+
+
 def rerank_document(page_name: Column, heading: Column, content: Column) -> Column:
     """What a reranker reads of a chunk."""
     with_heading = F.concat(page_name, F.lit(" — "), heading, F.lit("\n\n"), content)
@@ -169,6 +188,19 @@ def trim_match(text: Column, most: int = 200) -> Column:
     return F.struct(F.when(cut, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text).alias("text"), cut.alias("truncated"))
 
 
+def shown_list(pages: DataFrame, group: str, *order: str) -> DataFrame:
+    """(group, shown): the pages of each group as numbered lines, in this order."""
+    rows = pages.withColumn("pos", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    line = F.concat(F.col("pos"), F.lit(". "), F.col("name"), F.lit(" (page "), F.col("page_id"), F.lit(")"))
+    lines = F.array_sort(F.collect_list(F.struct("pos", line.alias("line"))))
+    return rows.groupBy(group).agg(F.array_join(F.transform(lines, lambda s: s["line"]), "\n").alias("shown"))
+
+
+def success_text(action: str, kind: str, id: Column, name: Column, url: Column) -> Column:
+    """What a change answers: the action, then id and name, and the address if there is one."""
+    return F.concat(F.lit(f"{action}\n{kind} ID: "), id.cast("string"), F.lit("\nName: "), name, F.coalesce(F.concat(F.lit("\nURL: "), url), F.lit("")))
+
+
 def result_json(found: DataFrame, pages: DataFrame) -> DataFrame:
     """(page_id, result): the results as JSON, scores to three decimals; fields that are null are left out."""
     rows = found.join(pages.select("page_id", "name", "slug", "book_id", "chapter_id"), "page_id")

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import acl, graph, jobs, search, tables, tree, vectors
+from ..operators import acl, graph, jobs, requests, search, tables, tree, vectors
+from ..sources.staging import numbered
 from ..sources.views import Knowledge, oracle
 
 Build = Callable[[Knowledge], DataFrame]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-#: What was registered, for the same over whole tables.
-GIVEN: dict[str, tuple[Build, str | None]] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
@@ -22,7 +22,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
 
     def add(build: Build) -> Build:
         QUERIES[name] = lambda spark, folder: build(Knowledge(spark, folder))
-        GIVEN[name] = build, sql
         if sql is not None:
             ORACLE[name] = oracle(sql)
         return build
@@ -57,18 +56,13 @@ query("scan_by_ids", "SELECT chunk_id, page_id, name, book_id FROM kb_chunks JOI
     lambda k: k.chunks.filter(F.col("chunk_id").isin(0, 7, 119, 120, 341, 999999)).join(k.pages, "page_id").select("chunk_id", "page_id", "name", "book_id")
 )
 query("point_lookup", "SELECT page_id, name, book_id FROM kb_pages WHERE slug = 'customer-000000007' ORDER BY page_id LIMIT 1")(
-    lambda k: k.pages.filter("slug = 'customer-000000007'").orderBy("page_id").limit(1).select("page_id", "name", "book_id")
+    lambda k: tables.window_of(tables.by_id(k.pages, "slug", "customer-000000007"), ["page_id"], 1).select("page_id", "name", "book_id")
 )
 query(
     "point_lookup_index",
     "SELECT 'shelf' AS kind, shelf_id AS id, name FROM kb_shelves WHERE shelf_id = 2 UNION ALL SELECT 'book', book_id, name FROM kb_books WHERE book_id = 11 UNION ALL SELECT 'chapter', chapter_id, name FROM kb_chapters WHERE chapter_id = 17 UNION ALL SELECT 'page', page_id, name FROM kb_pages WHERE page_id = 52",
 )(
-    lambda k: (
-        k.shelves.filter("shelf_id = 2").select(F.lit("shelf").alias("kind"), F.col("shelf_id").alias("id"), "name")
-        .unionByName(k.books.filter("book_id = 11").select(F.lit("book").alias("kind"), F.col("book_id").alias("id"), "name"))
-        .unionByName(k.chapters.filter("chapter_id = 17").select(F.lit("chapter").alias("kind"), F.col("chapter_id").alias("id"), "name"))
-        .unionByName(k.pages.filter("page_id = 52").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "name"))
-    )
+    lambda k: tables.index_lookup(k.shelves, k.books, k.chapters, k.pages, {"shelf": 2, "book": 11, "chapter": 17, "page": 52})
 )
 
 # --- changes -------------------------------------------------------------------------------------------------------
@@ -80,10 +74,27 @@ def new_pages(k: Knowledge) -> DataFrame:
     return k.pages.filter("page_id < 20").withColumns({"name": F.concat(F.lit("new "), "name"), "page_id": F.col("page_id") + 1490})
 
 
-for _name in ("sink_upsert_page", "sink_upsert_index_page"):
-    query(_name, f"WITH n AS ({_NEW_PAGES}) SELECT page_id, name, slug FROM (SELECT * FROM kb_pages WHERE page_id NOT IN (SELECT page_id FROM n) UNION ALL SELECT * FROM n)")(
-        lambda k: tables.upsert(k.pages, new_pages(k), ["page_id"]).select("page_id", "name", "slug")
-    )
+query("sink_upsert_page", f"WITH n AS ({_NEW_PAGES}) SELECT page_id, name, slug FROM (SELECT * FROM kb_pages WHERE page_id NOT IN (SELECT page_id FROM n) UNION ALL SELECT * FROM n)")(
+    lambda k: tables.upsert(k.pages, new_pages(k), ["page_id"]).select("page_id", "name", "slug")
+)
+
+
+@query(
+    "sink_upsert_index_page",
+    """SELECT 'index' AS side, page_id, CASE WHEN page_id % 4 = 1 THEN 'newest ' || name ELSE name END AS content, CASE WHEN page_id % 4 = 1 THEN 500 ELSE 1 END AS stamped FROM kb_pages
+ UNION ALL SELECT 'cache', page_id, CASE WHEN page_id % 4 = 1 THEN 'text 2' ELSE 'old' END, CASE WHEN page_id % 4 = 1 THEN 500 ELSE 1 END FROM kb_pages WHERE page_id % 4 = 1 OR page_id % 3 = 0""",
+)
+def _(k):
+    index = k.pages.select("page_id", "name", F.lit(1).cast("long").alias("indexed_at"))
+    cache = k.pages.filter("page_id % 3 = 0").select("page_id", F.lit("old").alias("markdown"), F.lit(1).cast("long").alias("cached_at"))
+    # Two versions of each page come at once; the later one counts.
+    one = k.pages.filter("page_id % 4 = 1").select("page_id", "name")
+    new = [one.select("page_id", F.concat(F.lit(w), "name").alias("name"), F.lit(f"text {i}").alias("markdown"), F.lit(i).alias("page_updated_at")) for i, w in ((1, "newer "), (2, "newest "))]
+    rows, cached = tables.upsert_index_pages(index, cache, new[0].unionByName(new[1]), 500)
+    out = rows.select(F.lit("index").alias("side"), "page_id", F.col("name").alias("content"), F.col("indexed_at").cast("int").alias("stamped"))
+    return out.unionByName(cached.select(F.lit("cache").alias("side"), "page_id", F.col("markdown").alias("content"), F.col("cached_at").cast("int").alias("stamped")))
+
+
 query("sink_replace_chunks", "SELECT chunk_id, page_id, chunk_index FROM kb_chunks WHERE page_id <> 5 UNION ALL SELECT 900000 + chunk_id, 5, chunk_index + 1 FROM kb_chunks WHERE page_id = 6")(
     lambda k: tables.replace_group(
         k.chunks.select("chunk_id", "page_id", "chunk_index"),
@@ -116,7 +127,15 @@ def _(k):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-query("sink_clear_all", "SELECT page_id, name FROM kb_pages WHERE false")(lambda k: k.pages.filter(F.lit(False)).select("page_id", "name"))
+query("sink_clear_all", "SELECT 'pages' AS kind, count(*) AS rows_before, 0::BIGINT AS rows_after, 'page_id' AS first_column FROM kb_pages UNION ALL SELECT 'chunks', count(*), 0, 'chunk_id' FROM kb_chunks UNION ALL SELECT 'edges', count(*), 0, 'source_page_id' FROM kb_relationships")(
+    lambda k: reduce(
+        DataFrame.unionByName,
+        [
+            df.agg(F.count("*").alias("rows_before")).join(F.broadcast(tables.cleared(df).agg(F.count("*").alias("rows_after")))).select(F.lit(kind).alias("kind"), "rows_before", "rows_after", F.lit(tables.cleared(df).columns[0]).alias("first_column"))
+            for kind, df in (("pages", k.pages), ("chunks", k.chunks), ("edges", k.relationships))
+        ],
+    )
+)
 for _kind in ("shelf", "book", "chapter"):
     _table, _id = {"shelf": ("shelves", "shelf_id"), "book": ("books", "book_id"), "chapter": ("chapters", "chapter_id")}[_kind]
     query(f"sink_upsert_{_kind}", f"SELECT {_id}, CASE WHEN {_id} % 4 = 1 THEN concat('renamed ', name) ELSE name END AS name FROM kb_{_table}")(
@@ -131,8 +150,8 @@ query("filter_scope_union", "SELECT chunk_id, page_id FROM kb_chunks WHERE page_
     lambda k: tables.scoped(k.chunks, k.pages, books=[3, 4], chapters=[41, 62], page_ids=[9, 11]).select("chunk_id", "page_id")
 )
 query("scope_expand_shelves", "SELECT book_id FROM kb_books WHERE NOT deleted AND shelf_id IN (1, 3)")(lambda k: tables.books_of_shelves(k.books, [1, 3]))
-query("scope_merge", "SELECT shelf_id, list_sort(list_distinct(list_concat(list(book_id), list(book_id + shelf_id))))::VARCHAR AS ids FROM kb_books WHERE shelf_id IS NOT NULL GROUP BY shelf_id")(
-    lambda k: k.books.filter("shelf_id IS NOT NULL").groupBy("shelf_id").agg(F.array_sort(F.array_distinct(F.concat(F.collect_list("book_id"), F.collect_list(F.col("book_id") + F.col("shelf_id"))))).alias("a")).select("shelf_id", F.col("a").cast("string").alias("ids"))
+query("scope_merge", "SELECT chunk_id FROM kb_chunks JOIN kb_pages USING (page_id) WHERE book_id IN (2, 3, 5) OR chapter_id = 41 OR page_id IN (7, 9)")(
+    lambda k: (lambda s: tables.scoped(k.chunks, k.pages, s["books"], s["chapters"], s["pages"]).select("chunk_id"))(requests.merge_scopes({"books": [5, 2], "pages": [9]}, {}, {"books": [3, 5], "chapters": [41], "pages": [9, 7]}))
 )
 _KEYWORD = "kw AS (SELECT page_id, max(1.0::DOUBLE - pos::DOUBLE / total) AS keyword FROM (SELECT *, count(*) OVER () AS total FROM kb_keyword_hits) WHERE kind = 'page' AND page_id <> 0 GROUP BY page_id)"
 query("rank_keyword_decay", f"WITH {_KEYWORD} SELECT page_id, round(keyword, 6) AS keyword FROM kw")(lambda k: search.keyword_decay(k.keyword_hits).select("page_id", F.round("keyword", 6).alias("keyword")))
@@ -165,15 +184,17 @@ for _name, _table, _where, _order, _cols in (
     ("list_pages_by_book_root", "pages", "NOT deleted AND book_id = 3 AND chapter_id IS NULL", "name, page_id", "page_id, name"),
 ):
     query(_name, f"SELECT row_number() OVER (ORDER BY {_order}) AS pos, {_cols} FROM kb_{_table} WHERE {_where}")(
-        lambda k, t=_table, w=_where, o=_order, c=_cols: getattr(k, t).filter(w).selectExpr(f"row_number() OVER (ORDER BY {o}) AS pos", *c.split(", ")).withColumn("pos", F.col("pos").cast("long"))
+        lambda k, t=_table, w=_where, o=_order, c=_cols: numbered(getattr(k, t).filter(w).select(*c.split(", ")), *o.split(", "))
     )
 query("list_books_by_identity", "SELECT book_id, book_kind, name FROM (SELECT book_id, name, deleted, book_id % 4 AS identity, CASE WHEN book_id % 2 = 0 THEN 'identity' ELSE 'collage' END AS book_kind FROM kb_books) WHERE NOT deleted AND identity = 2 ORDER BY book_kind, name, book_id")(
     lambda k: k.books.withColumns({"identity": F.col("book_id") % 4, "book_kind": F.when(F.col("book_id") % 2 == 0, "identity").otherwise("collage")}).filter("NOT deleted AND identity = 2").orderBy("book_kind", "name", "book_id").select("book_id", "book_kind", "name")
 )
-query("find_page_by_key", "SELECT page_id, name FROM kb_pages WHERE NOT deleted AND book_id = 5 AND slug = (SELECT min(slug) FROM kb_pages WHERE book_id = 5 AND NOT deleted) ORDER BY page_id LIMIT 1")(
-    lambda k: k.pages.filter("NOT deleted AND book_id = 5").join(F.broadcast(k.pages.filter("book_id = 5 AND NOT deleted").agg(F.min("slug").alias("slug"))), "slug").orderBy("page_id").limit(1).select("page_id", "name")
+query("find_page_by_key", "SELECT page_id, name FROM kb_pages WHERE NOT deleted AND book_id = 5 AND page_id % 3 = 1 AND page_id % 2 = 0 ORDER BY page_id LIMIT 1")(
+    lambda k: tables.page_by_key(
+        k.pages.withColumns({"identity_ouid": F.concat(F.lit("id"), "book_id"), "page_kind": F.when(F.col("page_id") % 3 == 1, "agent").otherwise("manifest"), "page_key": F.concat(F.lit("key "), F.col("page_id") % 2)}), "id5", "agent", "key 0"
+    ).select("page_id", "name")
 )
-query("find_by_name_ci", "SELECT chapter_id, book_id, name FROM kb_chapters WHERE lower(name) = 'building' AND book_id < 9")(lambda k: tables.by_name_ci(k.chapters.filter("book_id < 9"), "bUilDing").select("chapter_id", "book_id", "name"))
+query("find_by_name_ci", "SELECT chapter_id, book_id, name FROM kb_chapters WHERE lower(name) = 'building'")(lambda k: tables.by_name_ci(k.chapters, "bUilDing").select("chapter_id", "book_id", "name"))
 
 # --- joins and the graph -------------------------------------------------------------------------------------------
 
@@ -196,8 +217,8 @@ query("join_links_to", LINKS_TO)(lambda k: graph.links_to(k.relationships, k.pag
 query("join_co_linked", CO_LINKED)(lambda k: graph.co_linked(k.relationships, k.pages))
 query("join_siblings", SIBLINGS)(lambda k: graph.siblings(k.pages))
 query("markov_blanket", BLANKET)(lambda k: graph.blanket(k.relationships, k.pages))
-query("union_neighbours", f"SELECT page_id, neighbour_id, count(*) AS n FROM ({BLANKET}) WHERE page_id < 120 GROUP BY page_id, neighbour_id")(
-    lambda k: graph.blanket(k.relationships, k.pages, k.pages.filter("page_id < 120")).groupBy("page_id", "neighbour_id").agg(F.count("*").alias("n"))
+query("union_neighbours", f"SELECT page_id, neighbour_id, count(*) AS n FROM ({BLANKET}) GROUP BY page_id, neighbour_id")(
+    lambda k: graph.blanket(k.relationships, k.pages, k.pages).groupBy("page_id", "neighbour_id").agg(F.count("*").alias("n"))
 )
 query("topk_per_group", f"SELECT page_id, count(*) AS n, min(neighbour_id) AS first_id FROM ({SIBLINGS}) GROUP BY page_id")(lambda k: graph.siblings(k.pages).groupBy("page_id").agg(F.count("*").alias("n"), F.min("neighbour_id").alias("first_id")))
 CENTROID = "cen AS (SELECT page_id, list(x ORDER BY kk) AS centroid FROM (SELECT page_id, kk, avg(x::DOUBLE) AS x FROM (SELECT page_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS kk FROM kb_chunks) GROUP BY page_id, kk) GROUP BY page_id)"
@@ -217,8 +238,8 @@ query("agg_page_best_chunk", f"WITH {HITS % 40} SELECT page_id, round(max(score)
 )
 query("agg_counts", "SELECT (SELECT count(*) FROM kb_pages) AS total_pages, (SELECT count(*) FROM kb_chunks) AS total_chunks, max(id) AS latest_job, arg_max(status, id) AS latest_status FROM kb_jobs")(lambda k: jobs.embed_status(k.pages, k.chunks, k.jobs))
 query("embed_status", "SELECT (SELECT count(*) FROM kb_pages) AS total_pages, (SELECT count(*) FROM kb_chunks) AS total_chunks, max(id) AS latest_job, arg_max(status, id) AS latest_status FROM kb_jobs")(lambda k: jobs.embed_status(k.pages, k.chunks, k.jobs))
-query("latest_per_key", "SELECT page_id, max(ts) = max(ts) AS seen, CAST(epoch_us(max(ts)) AS BIGINT) AS ts_us FROM (SELECT CAST(user_id AS BIGINT) AS page_id, ts FROM events) GROUP BY page_id")(
-    lambda k: tables.latest(k.events.select(F.col("item_id").alias("page_id"), "ts", "event_id"), ["page_id"], "ts").select("page_id", F.lit(True).alias("seen"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+query("latest_per_key", "SELECT page_id, event_id, event, CAST(epoch_us(ts) AS BIGINT) AS ts_us FROM (SELECT item_id AS page_id, event_id, event, ts, row_number() OVER (PARTITION BY item_id ORDER BY ts DESC, event_id DESC) AS r FROM kb_events) WHERE r = 1")(
+    lambda k: tables.latest(k.events.select(F.col("item_id").alias("page_id"), "ts", "event_id", "event"), ["page_id"], "ts", "event_id").select("page_id", "event_id", "event", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
 )
 
 # --- search --------------------------------------------------------------------------------------------------------
@@ -237,9 +258,9 @@ query("trim_pool_by_blend", f"WITH {HITS % 40}, {_PAGES}, {_KEYWORD} SELECT page
     ).select("page_id", F.round("b", 4).alias("blend"))
 )
 query("recent_pages", "SELECT page_id FROM kb_pages LEFT JOIN kb_page_updates USING (page_id) WHERE book_id = 3 ORDER BY updated_at DESC NULLS LAST, page_id LIMIT 15")(
-    lambda k: k.pages.filter("book_id = 3").join(k.page_updates, "page_id", "left").orderBy(F.desc_nulls_last("updated_at"), "page_id").limit(15).select("page_id")
+    lambda k: tables.recent(tables.by_id(k.pages, "book_id", 3), k.page_updates, 15).select("page_id")
 )
-query("paged_list", "SELECT page_id, name FROM kb_pages ORDER BY name, page_id LIMIT 20 OFFSET 40")(lambda k: k.pages.orderBy("name", "page_id").offset(40).limit(20).select("page_id", "name"))
+query("paged_list", "SELECT page_id, name FROM kb_pages ORDER BY name, page_id LIMIT 20 OFFSET 40")(lambda k: tables.window_of(k.pages, ["name", "page_id"], 20, 40).select("page_id", "name"))
 query("blend_standard", f"WITH {HITS % 40}, {_PAGES}, {_KEYWORD}, m AS (SELECT page_id, coalesce(vector, 0) AS v, coalesce(keyword, 0) AS kk FROM pv FULL JOIN kw USING (page_id)) SELECT page_id, round(CASE WHEN v > 0 AND kk > 0 THEN 0.7 * v + 0.2 * kk + 0.05 ELSE v + 0.05 END, 4) AS score FROM m")(
     lambda k: search.merged_scores(search.best_chunks(vectors.vector_topk(k.chunks, query_vector(k), 40, THRESHOLD)), search.keyword_decay(k.keyword_hits)).select("page_id", F.round(search.standard_blend(F.col("vector"), F.col("keyword"), F.lit(0.05)), 4).alias("score"))
 )
@@ -266,12 +287,21 @@ query("blanket_boost", f"WITH {_HYBRID} SELECT page_id, round(blanket::DOUBLE, 4
 query("intersect_allowed", f"WITH {HITS % 20}, {_PAGES}, {_VERDICT} SELECT page_id FROM pv WHERE page_id NOT IN (SELECT page_id FROM verdict WHERE verdict = 'deny')")(
     lambda k: search.visible(search.best_chunks(vectors.vector_topk(k.chunks, query_vector(k), 20, THRESHOLD)), k.pages, k.page_view_acl, ROLES).select("page_id")
 )
+def first_hits(sql: str, n: int) -> str:
+    """A search takes the first hits of the keyword list; above, the list has no more."""
+    return sql.replace("FROM kb_keyword_hits", f"FROM kb_keyword_hits WHERE pos < {n}")
+
+
 _FINAL = f"""WITH {_HYBRID}, fin AS (SELECT page_id, vector, keyword, blanket, CASE WHEN vector > 0 AND keyword > 0 THEN 0.7 * vector + 0.2 * keyword + blanket ELSE vector + blanket END AS score
  FROM scored JOIN bl USING (page_id) WHERE vector > 0 OR keyword = 0 ORDER BY score DESC, page_id LIMIT 10)"""
-for _name in ("hybrid_search", "final_topn"):
-    query(_name, f"{_FINAL} SELECT page_id, round(vector, 4) AS vector, round(keyword, 4) AS keyword, round(blanket::DOUBLE, 4) AS blanket, round(score, 4) AS score FROM fin")(
-        lambda k: search.hybrid_search(k.chunks, k.pages, k.relationships, k.page_view_acl, k.keyword_hits, query_vector(k), LIMIT, THRESHOLD, ROLES).select("page_id", *[F.round(c, 4).alias(c) for c in ("vector", "keyword", "blanket", "score")])
-    )
+query("hybrid_search", first_hits(f"{_FINAL} SELECT page_id, round(vector, 4) AS vector, round(keyword, 4) AS keyword, round(blanket::DOUBLE, 4) AS blanket, round(score, 4) AS score FROM fin", 20))(
+    lambda k: search.hybrid_search(k.chunks, k.pages, k.relationships, k.page_view_acl, k.keyword_hits, query_vector(k), LIMIT, THRESHOLD, ROLES).select("page_id", *[F.round(c, 4).alias(c) for c in ("vector", "keyword", "blanket", "score")])
+)
+query("final_topn", f"WITH {HITS % 40}, {_PAGES}, {_KEYWORD} SELECT page_id, round(CASE WHEN coalesce(vector, 0) > 0 AND keyword > 0 THEN 0.7 * vector + 0.2 * keyword ELSE coalesce(vector, 0) END, 4) AS score FROM pv FULL JOIN kw USING (page_id) ORDER BY CASE WHEN coalesce(vector, 0) > 0 AND keyword > 0 THEN 0.7 * vector + 0.2 * keyword ELSE coalesce(vector, 0) END DESC, page_id LIMIT 25")(
+    lambda k: search.final_top(
+        search.merged_scores(search.best_chunks(vectors.vector_topk(k.chunks, query_vector(k), 40, THRESHOLD)), search.keyword_decay(k.keyword_hits)).withColumn("score", search.standard_blend(F.col("vector"), F.col("keyword"), F.lit(0.0))), 25
+    ).select("page_id", F.round("score", 4).alias("score"))
+)
 query("project_result_json")(lambda k: search.result_json(search.hybrid_search(k.chunks, k.pages, k.relationships, k.page_view_acl, k.keyword_hits, query_vector(k), LIMIT, THRESHOLD, ROLES), k.pages))
 _CASCADE = f"""WITH {HITS % 40}, {_PAGES}, {_KEYWORD}, {_VERDICT}, st1 AS (SELECT * FROM pv ORDER BY vector DESC, page_id LIMIT 40),
  st2 AS (SELECT page_id, vector, coalesce(keyword, 0) AS keyword FROM st1 LEFT JOIN kw USING (page_id) ORDER BY 0.6 * vector + 0.4 * coalesce(keyword, 0) DESC, page_id LIMIT 30),
@@ -280,9 +310,18 @@ _CASCADE = f"""WITH {HITS % 40}, {_PAGES}, {_KEYWORD}, {_VERDICT}, st1 AS (SELEC
   coalesce(sum((n.neighbour_id NOT IN (SELECT page_id FROM scored) AND n.neighbour_id IN (SELECT page_id FROM hits))::INT), 0) AS weak FROM scored s LEFT JOIN nb n USING (page_id) GROUP BY s.page_id)
  SELECT page_id, round(0.55 * vector + 0.25 * keyword + least(0.05 * strong, 0.15) + least(0.02 * weak, 0.06), 4) AS score FROM scored JOIN sw USING (page_id)
  ORDER BY 0.55 * vector + 0.25 * keyword + least(0.05 * strong, 0.15) + least(0.02 * weak, 0.06) DESC, page_id LIMIT 20"""
-query("cascade_precision", _CASCADE)(
+query("cascade_stages", first_hits(_CASCADE, 40))(
     lambda k: search.cascade_stages(k.chunks, k.pages, k.relationships, k.page_view_acl, k.keyword_hits, query_vector(k), LIMIT, THRESHOLD, ROLES)[2].select("page_id", F.round("score", 4).alias("score"))
 )
+# The reranker of the query counts how many of its words a document has: the page's name, or its number, is one of them or not.
+_WORDS = "customer 000000000 000000007 000000022 text"
+_RERANKED = """SELECT page_id, round(rerank, 4) AS rerank, round(score, 4) AS score FROM (SELECT page_id, score, (1 + (lower(name) LIKE '%000000000' OR lower(name) LIKE '%000000007' OR lower(name) LIKE '%000000022')::INT + (page_id % 2 = 0)::INT) / 5.0 AS rerank
+ FROM ({}) AS third JOIN kb_pages USING (page_id)) ORDER BY rerank DESC, score DESC, page_id LIMIT 10"""
+query("cascade_precision", (lambda stages: stages.replace("\n SELECT page_id, round(", ", third AS (SELECT page_id, (").replace(", 4) AS score FROM scored", ") AS score FROM scored") + ") " + _RERANKED.format("SELECT * FROM third"))(first_hits(_CASCADE, 40)))(
+    lambda k: search.cascade(
+        k.chunks, k.chunks.select("chunk_id", F.lit("").alias("heading"), F.when(F.col("page_id") % 2 == 0, "text").otherwise("none").alias("content")), k.pages, k.relationships, k.page_view_acl, k.keyword_hits, query_vector(k), _WORDS, LIMIT, THRESHOLD, ROLES
+    ).select("page_id", F.round("rerank", 4).alias("rerank"), F.round("score", 4).alias("score"))
+)
 query(
     "keyword_search",
     r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM documents),
@@ -301,9 +340,9 @@ query("trim_match", "SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(tex
 # --- permissions ---------------------------------------------------------------------------------------------------
 
 query("acl_prefilter", f"WITH {_VERDICT} SELECT page_id, verdict FROM verdict")(lambda k: acl.prefilter(k.pages, k.page_view_acl, ROLES))
-query("acl_list", "SELECT page_id FROM kb_pages WHERE acl_computed_at IS NOT NULL")(lambda k: k.pages.filter("acl_computed_at IS NOT NULL").select("page_id"))
-query("acl_delete_page", "SELECT page_id, role_id FROM kb_page_view_acl WHERE page_id NOT IN (1, 2, 3)")(lambda k: k.page_view_acl.filter(~F.col("page_id").isin(1, 2, 3)))
-query("acl_delete_role", "SELECT page_id, role_id FROM kb_page_view_acl WHERE role_id <> 2")(lambda k: k.page_view_acl.filter("role_id <> 2"))
+query("acl_list", "SELECT page_id FROM kb_pages WHERE acl_computed_at IS NOT NULL")(lambda k: acl.computed(k.pages))
+query("acl_delete_page", "SELECT page_id, role_id FROM kb_page_view_acl WHERE page_id NOT IN (1, 2, 3)")(lambda k: acl.delete_page(k.page_view_acl, [1, 2, 3]))
+query("acl_delete_role", "SELECT page_id, role_id FROM kb_page_view_acl WHERE role_id <> 2")(lambda k: acl.delete_role(k.page_view_acl, 2))
 query("acl_upsert", "SELECT page_id, role_id FROM kb_page_view_acl WHERE page_id >= 30 UNION ALL SELECT page_id, 7 FROM kb_pages WHERE page_id < 30")(
     lambda k: acl.acl_upsert(k.page_view_acl, k.pages, k.pages.filter("page_id < 30").select("page_id", F.lit(7).cast("long").alias("role_id")), 99)[0]
 )
@@ -323,20 +362,41 @@ _RESOLVE = """SELECT page_id, r IS NULL AS default_open, coalesce(r, '[1, 3]') A
  WHEN chapter_id % 6 = 0 THEN [chapter_id % 4, chapter_id % 4 + 4]::VARCHAR WHEN book_id % 4 = 0 THEN [book_id % 4, book_id % 4 + 4]::VARCHAR END AS r FROM kb_pages {})"""
 
 
+def _everyone(k: Knowledge) -> DataFrame:
+    return acl.role_context(k.spark.createDataFrame([(0, ["page-update"]), (1, ["content-export"]), (2, ["bookshelf-view-all"]), (3, ["book-view-all", "x"])], "role_id long, permissions array<string>"))
+
+
 def _resolved(k: Knowledge, pages: DataFrame) -> DataFrame:
-    roles = k.spark.createDataFrame([(0, ["page-update"]), (1, ["page-view-all"]), (3, ["book-view-all", "x"])], "role_id long, permissions array<string>")
-    return acl.resolve(pages, levels(k), acl.role_context(roles)).select("page_id", "default_open", F.col("roles").cast("string").alias("roles"))
+    return acl.resolve(pages, levels(k), _everyone(k)).select("page_id", "default_open", F.col("roles").cast("string").alias("roles"))
+
+
+query("acl_resolve", _RESOLVE.format(""))(lambda k: _resolved(k, k.pages))
+query("acl_reconcile_all", f"WITH r AS ({_RESOLVE.format('WHERE acl_computed_at IS NOT NULL')}) SELECT page_id, default_open, 99 AS computed_at, CASE WHEN default_open THEN '[]' ELSE roles END AS role_rows FROM r")(lambda k: _reconciled(k, acl.computed(k.pages)))
+
+
+def _reconciled(k: Knowledge, wanted: DataFrame) -> DataFrame:
+    rows, pages = acl.reconcile(k.page_view_acl, k.pages.join(wanted, "page_id", "left_semi"), levels(k), _everyone(k), 99)
+    of = rows.groupBy("page_id").agg(F.array_sort(F.collect_list("role_id")).cast("string").alias("role_rows"))
+    return pages.join(of, "page_id", "left").select("page_id", F.col("acl_default_open").alias("default_open"), F.col("acl_computed_at").cast("int").alias("computed_at"), F.coalesce("role_rows", F.lit("[]")).alias("role_rows"))
 
 
-for _name in ("acl_resolve", "acl_reconcile_all"):
-    query(_name, _RESOLVE.format("WHERE acl_computed_at IS NOT NULL"))(lambda k: _resolved(k, k.pages.filter("acl_computed_at IS NOT NULL")))
 query("acl_reconcile_page", _RESOLVE.format("WHERE page_id = 30"))(lambda k: _resolved(k, k.pages.filter("page_id = 30")))
 query("acl_inheriting", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN page_id % 10 <> 0 ELSE true END AS inheriting FROM kb_pages")(lambda k: levels(k).filter("kind = 'page'").select(F.col("level_id").alias("page_id"), acl.inheriting().alias("inheriting")))
-query("acl_role_context", "SELECT role_id FROM (SELECT DISTINCT page_id % 4 AS role_id FROM kb_pages) WHERE role_id IN (1, 2)")(
-    lambda k: acl.role_context(k.pages.select((F.col("page_id") % 4).alias("role_id")).distinct().withColumn("permissions", F.when(F.col("role_id").isin(1, 2), F.array(F.lit("chapter-view-all"))).otherwise(F.array(F.lit("page-update")))))
+query("acl_role_context", "SELECT role_id FROM (SELECT DISTINCT page_id % 7 AS role_id FROM kb_pages) WHERE role_id IN (1, 2, 3, 4)")(
+    lambda k: acl.role_context(
+        k.pages.select((F.col("page_id") % 7).alias("role_id")).distinct().withColumn(
+            "permissions", F.element_at(F.array(*[F.array(F.lit("page-update"), F.lit(p)) for p in ("bookshelf-view-all", "page-view-all", "chapter-view-all", "book-view-all", "content-export", "page-view-own", "users-manage")]), (F.col("role_id") + 1).cast("int"))
+        )
+    )
+)
+query("acl_caller_roles", "SELECT CAST(c_custkey AS BIGINT) AS caller, count(o_orderkey)::INT AS n_roles, coalesce(min(o_orderkey), -1) AS first_role FROM customer LEFT JOIN (SELECT DISTINCT o_custkey, o_orderkey FROM orders) ON o_custkey = c_custkey GROUP BY c_custkey")(
+    lambda k: acl.caller_roles(k.base("customer").select(F.col("c_custkey").cast("long").alias("caller")), k.base("orders").select(F.col("o_custkey").cast("long").alias("caller"), F.col("o_orderkey").alias("role_id"))).select("caller", F.size("roles").alias("n_roles"), F.coalesce(F.try_element_at("roles", F.lit(1)), F.lit(-1)).alias("first_role"))
 )
-query("acl_caller_roles", "SELECT CAST(c_custkey AS BIGINT) AS caller, count(o_orderkey)::INT AS n_roles FROM customer LEFT JOIN (SELECT DISTINCT o_custkey, o_orderkey FROM orders WHERE o_orderkey < 500) ON o_custkey = c_custkey WHERE c_custkey < 200 GROUP BY c_custkey")(
-    lambda k: k.base("customer").filter("c_custkey < 200").select(F.col("c_custkey").alias("caller")).join(k.base("orders").filter("o_orderkey < 500").groupBy(F.col("o_custkey").alias("caller")).agg(F.collect_set("o_orderkey").alias("roles")), "caller", "left").select(F.col("caller").cast("long").alias("caller"), F.coalesce(F.size(F.coalesce("roles", F.array().cast("array<bigint>"))), F.lit(0)).alias("n_roles"))
+query("acl_recompute_async", "SELECT page_id FROM kb_pages WHERE acl_computed_at IS NULL AND page_id % 3 <> 0 ORDER BY page_id LIMIT (SELECT greatest(0, 200 - count(*)) FROM kb_pages WHERE page_id % 3 = 0 AND page_id < 150)")(
+    lambda k: acl.to_recompute(k.pages.filter("page_id % 3 <> 0"), k.pages.filter("page_id % 3 = 0 AND page_id < 150").select("page_id"))
+)
+query("coalesce_check", "SELECT event_id, coalesce(CASE WHEN item_id % 4 <> 3 THEN item_id % 2 = 0 END, false) AS ok FROM kb_events")(
+    lambda k: acl.coalesced_check(k.events.select("event_id", (F.col("item_id") % 5).cast("string").alias("token"), F.col("item_id").alias("page_id")), lambda asked: asked.filter("page_id % 4 <> 3").withColumn("ok", F.col("page_id") % 2 == 0)).select("event_id", "ok")
 )
 query("agg_effective_roles", "SELECT book_id AS level_id, list_sort(list_filter([0, 1, 2, 3], lambda r: CASE WHEN r = book_id % 4 THEN book_id % 3 = 0 ELSE book_id % 2 = 0 END))::VARCHAR AS roles FROM kb_books")(
     lambda k: acl.effective_roles(
@@ -384,15 +444,21 @@ query("directory_tree_depth", f"WITH RECURSIVE {TREE.format(root=chr(39).join(['
 query("tree_collect_pages", f"WITH RECURSIVE {TREE.format(root=chr(39).join(['kind = ', 'book', ' AND id = 7']), depth=3)} SELECT id AS page_id FROM tree WHERE kind = 'page'")(lambda k: tree.pages_of(tree.directory(nodes(k), "book", 7)))
 query(
     "tree_acl_prune",
-    f"WITH RECURSIVE {TREE.format(root=chr(39).join(['kind = ', 'book', ' AND id < 9']), depth=3)}, ok AS (SELECT * FROM tree WHERE kind = 'page' AND id % 40 = 1), c AS (SELECT * FROM tree t WHERE kind = 'chapter' AND (id IN (SELECT parent_id FROM ok WHERE parent_kind = 'chapter') OR id NOT IN (SELECT parent_id FROM tree WHERE parent_kind = 'chapter'))), b AS (SELECT * FROM tree t WHERE kind = 'book' AND (id IN (SELECT parent_id FROM ok WHERE parent_kind = 'book' UNION SELECT parent_id FROM c) OR id NOT IN (SELECT parent_id FROM tree WHERE parent_kind = 'book'))) SELECT kind, id FROM ok UNION ALL SELECT kind, id FROM c UNION ALL SELECT kind, id FROM b",
-)(lambda k: tree.prune(_subtree(k), k.pages.filter("page_id % 40 = 1")).select("kind", "id"))
+    f"WITH RECURSIVE {TREE.format(root=chr(39).join(['kind = ', 'book', '']), depth=3)}, ok AS (SELECT * FROM tree WHERE kind = 'page' AND id % 40 = 1), c AS (SELECT * FROM tree t WHERE kind = 'chapter' AND (id IN (SELECT parent_id FROM ok WHERE parent_kind = 'chapter') OR id NOT IN (SELECT parent_id FROM tree WHERE parent_kind = 'chapter'))), b AS (SELECT * FROM tree t WHERE kind = 'book' AND (id IN (SELECT parent_id FROM ok WHERE parent_kind = 'book' UNION SELECT parent_id FROM c) OR id NOT IN (SELECT parent_id FROM tree WHERE parent_kind = 'book'))) SELECT kind, id FROM ok UNION ALL SELECT kind, id FROM c UNION ALL SELECT kind, id FROM b",
+)(lambda k: tree.prune(nodes(k).filter("kind = 'book' OR in_book IS NOT NULL"), k.pages.filter("page_id % 40 = 1")).select("kind", "id"))
+
+
+_SCOPES = [{}, {"book": "7"}, {"shelf": 2}, {"chapter": "x"}, {"book": 1, "shelf": 2}]
 
 
-def _subtree(k: Knowledge) -> DataFrame:
-    """Books 0 to 8 with all below."""
-    return nodes(k).filter("kind = 'book' AND id < 9 OR in_book < 9")
+def _scope(arguments: dict) -> str:
+    try:
+        return "{} {}".format(*tree.parse_scope(arguments))
+    except ValueError as e:
+        return str(e)[:21]
 
 
+query("scope_parse", "SELECT * FROM (VALUES (0, 'all None'), (1, 'book 7'), (2, 'shelf 2'), (3, 'chapter must be an id'), (4, 'name one of shelf, bo')) AS t(n, said)")(lambda k: k.spark.createDataFrame([(i, _scope(a)) for i, a in enumerate(_SCOPES)], "n int, said string"))
 query("tree_to_json")(lambda k: tree.to_json(tree.directory(nodes(k), "shelf", 2)))
 query(
     "outline_text",

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import dataclasses
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ingest, jobs, search, tables
-from ..sources import store
+from ..sources import paged, store
+from ..sources.staging import scratch
 from ..sources.views import Knowledge
 from ..streaming import events
 from .catalog import query
@@ -19,13 +24,21 @@ def requests(k: Knowledge):
 
 
 _DEDUP = f"WITH r AS ({_REQUESTS}), o AS (SELECT scope, max(id) AS open_id FROM kb_jobs WHERE {_BLOCKS} GROUP BY scope) SELECT scope, coalesce(open_id, (SELECT max(id) FROM kb_jobs) + sum((open_id IS NULL)::INT) OVER (ORDER BY scope))::BIGINT AS id, open_id IS NULL AS is_new FROM r LEFT JOIN o USING (scope)"
-for _name in ("job_create_dedup", "reembed"):
-    query(_name, _DEDUP)(lambda k: jobs.create_dedup(k.jobs, requests(k)))
-for _name in ("claim_next", "job_claim"):
-    query(_name, "SELECT min(id) AS id FROM kb_jobs WHERE status = 'pending'")(lambda k: jobs.claim_next(k.jobs))
+query("job_create_dedup", _DEDUP)(lambda k: jobs.create_dedup(k.jobs, requests(k)))
+query("reembed", f"SELECT id, scope, status FROM kb_jobs UNION ALL SELECT max(id) + 1, 'all', 'pending' FROM kb_jobs")(lambda k: jobs.enqueue(jobs.enqueue(k.jobs, "all"), "all").select("id", "scope", "status"))
+query("initial_walk", "SELECT 'first' AS walk, count(*) + 1 AS n_jobs, max(id) + 1 AS last_id FROM kb_jobs UNION ALL SELECT 'later', count(*), max(id) FROM kb_jobs")(
+    lambda k: reduce(DataFrame.unionByName, [jobs.initial_walk(k.jobs, at).agg(F.lit(walk).alias("walk"), F.count("*").alias("n_jobs"), F.max("id").alias("last_id")) for walk, at in (("first", None), ("later", 5))])
+)
+query("acl_cron", "SELECT * FROM (VALUES (0, 0), (1, 1), (2, 0), (3, 1), (4, 0)) AS t(n, queued)")(
+    lambda k: k.spark.createDataFrame([(i, jobs.acl_cron(k.jobs, *a).filter("scope = 'acl_reconcile'").count()) for i, a in enumerate([(1000, None, 1299), (1000, None, 1300), (1000, 2000, 88399), (1000, 2000, 88400), (1000, None, 99999, 0)])], "n int, queued int")
+)
+query("claim_next", "SELECT min(id) AS id FROM kb_jobs WHERE status = 'pending'")(lambda k: jobs.claim_next(k.jobs))
+query("job_claim", "SELECT id, CASE WHEN id = n THEN 'running' ELSE status END AS status, CASE WHEN id = n THEN 9000 ELSE started_at END AS started_at, CASE WHEN id = n THEN 'w9' ELSE worker_id END AS worker_id FROM kb_jobs, (SELECT min(id) AS n FROM kb_jobs WHERE status = 'pending')")(
+    lambda k: jobs.claim(k.jobs, "w9", 9000).select("id", "status", "started_at", "worker_id")
+)
 query("job_should_stop", "SELECT id, status <> 'running' AS should_stop FROM kb_jobs")(lambda k: jobs.should_stop(k.jobs))
 query("job_expire", "SELECT id, CASE WHEN status = 'running' AND started_at < 1400 THEN 'failed' ELSE status END AS status, CASE WHEN status = 'running' AND started_at < 1400 THEN 'timeout' END AS error FROM kb_jobs")(lambda k: jobs.expire(k.jobs, 1400).select("id", "status", "error"))
-query("job_timeout_list", "SELECT id FROM kb_jobs WHERE status = 'running' AND started_at < 1400")(lambda k: k.jobs.filter("status = 'running' AND started_at < 1400").select("id"))
+query("job_timeout_list", "SELECT id FROM kb_jobs WHERE status = 'running' AND started_at < 1400")(lambda k: jobs.overdue(k.jobs, 1400))
 query("job_recover", "SELECT id, CASE WHEN status = 'running' AND coalesce(worker_id, 'w1') = 'w1' THEN 'failed' ELSE status END AS status FROM kb_jobs")(lambda k: jobs.recover(k.jobs, "w1").select("id", "status"))
 query("job_failed_open", "SELECT id FROM kb_jobs WHERE status = 'failed' AND resolved_status IS NULL")(lambda k: k.jobs.filter(jobs.failed_open()).select("id"))
 _SUCCESSOR = "SELECT id, EXISTS (SELECT 1 FROM kb_jobs b WHERE b.scope = a.scope AND b.id > a.id AND b.status <> 'failed') AS has_successor FROM kb_jobs a"
@@ -34,7 +47,7 @@ _CHAIN = "c AS (SELECT id, retry_of, 1 AS n FROM kb_jobs UNION ALL SELECT c.id,
 query("agg_retry_chain_len", f"WITH RECURSIVE {_CHAIN} SELECT id, chain FROM chains")(lambda k: jobs.chain_lengths(k.jobs))
 _RECONCILE = f"WITH RECURSIVE {_CHAIN}, s AS ({_SUCCESSOR}) SELECT id, scope, CASE WHEN has_successor THEN 'superseded' WHEN chain >= 5 THEN 'gave_up' ELSE 'retried' END AS decision FROM kb_jobs JOIN s USING (id) JOIN chains USING (id) WHERE status = 'failed' AND resolved_status IS NULL"
 query("job_reconcile", _RECONCILE)(lambda k: jobs.reconcile(k.jobs))
-query("job_retry", f"WITH RECURSIVE {_CHAIN}, s AS ({_SUCCESSOR}) SELECT 5000 + row_number() OVER (ORDER BY id) AS id, scope, id AS retry_of FROM kb_jobs JOIN s USING (id) JOIN chains USING (id) WHERE status = 'failed' AND resolved_status IS NULL AND NOT has_successor AND chain < 5")(lambda k: jobs.retries(jobs.reconcile(k.jobs), 5000).select("id", "scope", "retry_of"))
+query("job_retry", f"WITH RECURSIVE {_CHAIN}, s AS ({_SUCCESSOR}) SELECT (SELECT max(id) FROM kb_jobs) + row_number() OVER (ORDER BY id) AS id, scope, id AS retry_of FROM kb_jobs JOIN s USING (id) JOIN chains USING (id) WHERE status = 'failed' AND resolved_status IS NULL AND NOT has_successor AND chain < 5")(lambda k: jobs.retries(jobs.reconcile(k.jobs), k.jobs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]).select("id", "scope", "retry_of"))
 query("job_close", "SELECT id, CASE WHEN id IN (1, 2, 3, 4, 900) THEN 'closed' ELSE status END AS status, CASE WHEN id IN (1, 2, 3, 4, 900) THEN status END AS prev_status, CASE WHEN id IN (1, 2, 3, 4, 900) THEN 'gave_up' ELSE resolved_status END AS resolved_status FROM kb_jobs")(
     lambda k: jobs.close(k.jobs, [1, 2, 3, 4, 900], "gave_up", 77).select("id", "status", "prev_status", "resolved_status")
 )
@@ -44,18 +57,34 @@ for _name in ("union_jobs_view", "job_lists"):
     query(_name, _LISTING)(lambda k: jobs.listing(k.jobs, 15))
 
 
-def job_events(k: Knowledge):
-    """Four events a job: claim, progress, one ending, and a second ending that comes too late."""
-    i = F.col("id")
-    base = k.jobs.select("id")
-    ending = F.when(i % 3 == 0, "complete").when(i % 3 == 1, "fail").otherwise("cancel")
-    make = lambda seq, kind, progress=F.lit(None), error=F.lit(None): base.select("id", F.lit(seq).alias("seq"), kind.alias("kind"), progress.cast("long").alias("progress"), error.cast("string").alias("error"))
-    return make(1, F.lit("claim")).unionByName(make(2, F.lit("progress"), i % 50)).unionByName(make(3, ending, error=F.when(i % 3 == 1, "broke"))).unionByName(make(4, F.lit("complete")))
+def job_events(k: Knowledge, *steps: tuple):
+    """(id, seq, kind, progress, error) of each job: these steps, one after the other; a step may be left out where its kind is null."""
+    rows = [k.jobs.select("id", F.lit(i).alias("seq"), kind.alias("kind"), progress.cast("long").alias("progress"), error.cast("string").alias("error")).filter("kind IS NOT NULL") for i, (kind, progress, error) in enumerate(steps)]
+    return reduce(DataFrame.unionByName, rows)
+
 
+_CLAIM, _COMPLETE = ("claim", None, None), ("complete", None, None)
 
-_FOLD = "SELECT id, CASE id % 3 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' ELSE 'cancelled' END AS status, id % 50 AS progress, CASE id % 3 WHEN 1 THEN 'broke' END AS error FROM kb_jobs"
-for _name in ("job_complete", "job_fail", "job_cancel", "job_progress"):
-    query(_name, _FOLD)(lambda k: jobs.fold(job_events(k)))
+
+def _steps(*steps: tuple) -> list[tuple]:
+    some = lambda x: F.lit(x) if x is None or isinstance(x, str) else x()
+    return [tuple(map(some, s)) for s in steps]
+
+
+_FOLDED = "SELECT id, {} AS status, {} AS progress, {} AS error FROM kb_jobs"
+query("job_complete", _FOLDED.format("CASE WHEN id % 4 = 0 THEN 'running' WHEN id % 4 = 1 THEN 'failed' ELSE 'succeeded' END", "0::BIGINT", "CASE WHEN id % 4 = 1 THEN 'broke' END"))(
+    lambda k: jobs.fold(job_events(k, *_steps(_CLAIM, (lambda: F.when(F.col("id") % 4 > 0, "complete"), None, lambda: F.when(F.col("id") % 4 == 1, "broke")))))
+)
+query("job_fail", _FOLDED.format("'failed'", "0::BIGINT", "CASE WHEN id % 3 = 0 THEN 'first' ELSE 'second' END"))(
+    lambda k: jobs.fold(job_events(k, *_steps(_CLAIM, (lambda: F.when(F.col("id") % 3 == 0, "fail"), None, "first"), ("fail", None, "second"), _COMPLETE)))
+)
+query("job_cancel", _FOLDED.format("CASE WHEN id % 2 = 0 THEN 'cancelled' ELSE 'succeeded' END", "id % 50", "NULL::VARCHAR"))(
+    # A cancelled job takes neither the progress nor the ending that its worker still sends.
+    lambda k: jobs.fold(job_events(k, *_steps(_CLAIM, ("progress", lambda: F.col("id") % 50, None), (lambda: F.when(F.col("id") % 2 == 0, "cancel"), None, None), (lambda: F.when(F.col("id") % 2 == 0, "progress"), lambda: F.lit(99), None), _COMPLETE)))
+)
+query("job_progress", _FOLDED.format("'running'", "id % 50 + 1", "NULL::VARCHAR"))(
+    lambda k: jobs.fold(job_events(k, *_steps(_CLAIM, ("progress", lambda: F.col("id") % 50, None), ("progress", lambda: F.col("id") % 50 + 1, None))))
+)
 query("job_dispatch", "SELECT id, CASE WHEN id % 4 = 3 THEN NULL WHEN id % 4 = 2 THEN 'all' ELSE 'book' END AS kind, CASE WHEN id % 4 < 2 THEN CAST(substr(scope, 6) AS BIGINT) END AS target, CASE WHEN id % 4 = 3 THEN 'unknown scope ' || 'x' || scope END AS error FROM kb_jobs")(
     lambda k: k.jobs.select("id", jobs.dispatch(F.when(F.col("id") % 4 == 3, F.concat(F.lit("x"), "scope")).when(F.col("id") % 4 == 2, "all").otherwise(F.col("scope"))).alias("d")).select("id", "d.kind", F.col("d.id").alias("target"), "d.error")
 )
@@ -82,16 +111,104 @@ def shelf_books(k: Knowledge):
     return on.select("book_id", "shelf_id", F.lit(1).alias("ord")).unionByName(on.filter("book_id % 4 = 0").select("book_id", ((F.col("shelf_id") + 1) % 5).alias("shelf_id"), F.lit(2).alias("ord")))
 
 
-query("full_walk", f"WITH {_SHELF_BOOKS} SELECT b.book_id, b.name, s.shelf_id FROM kb_books b LEFT JOIN (SELECT book_id, arg_max(shelf_id, ord) AS shelf_id FROM sb GROUP BY book_id) s USING (book_id)")(lambda k: ingest.full_walk(shelf_books(k), k.books))
+
+
+def listing(k: Knowledge) -> ingest.Listing:
+    return ingest.Listing(k.shelves, shelf_books(k), k.books, k.chapters, k.pages)
+
+
+query("full_walk", f"WITH {_SHELF_BOOKS} SELECT b.book_id, b.name, s.shelf_id, 'unclassified' AS book_kind FROM kb_books b LEFT JOIN (SELECT book_id, arg_max(shelf_id, ord) AS shelf_id FROM sb GROUP BY book_id) s USING (book_id)")(lambda k: ingest.full_walk(listing(k)).books.select("book_id", "name", "shelf_id", "book_kind"))
+query("full_walk_chapters", "SELECT chapter_id, book_id, name, 'unclassified' AS chapter_kind FROM kb_chapters")(lambda k: ingest.full_walk(listing(k)).chapters.select("chapter_id", "book_id", "name", "chapter_kind"))
+_OLD = "SELECT page_id, name, false AS deleted FROM kb_pages UNION ALL SELECT 1000000 + page_id, 'gone', {} FROM kb_pages WHERE page_id % 9 = 0"
+
+
+def old_index(k: Knowledge) -> ingest.Index:
+    """An index with outdated names and pages that are not listed any more."""
+    new = ingest.classified(listing(k))
+    lost = new.pages.filter("page_id % 9 = 0").withColumns({"page_id": F.col("page_id") + 1000000, "name": F.lit("gone")})
+    return ingest.Index(new.shelves, new.books, new.chapters, new.pages.withColumn("name", F.lit("old")).unionByName(lost))
+
+
+query("full_walk_pages", _OLD.format("false"))(lambda k: ingest.full_walk(listing(k), old_index(k)).pages.select("page_id", "name", "deleted"))
+query("full_walk_tombstones", _OLD.format("true"))(lambda k: ingest.full_walk(listing(k), old_index(k), tombstones=True).pages.select("page_id", "name", "deleted"))
 query("anti_orphan_books", f"WITH {_SHELF_BOOKS} SELECT book_id, name FROM kb_books WHERE book_id NOT IN (SELECT book_id FROM sb)")(lambda k: ingest.orphans(k.books.select("book_id", "name"), shelf_books(k)))
 query("join_cascade_parent", "SELECT page_id, 'book:' || book_id AS scope FROM kb_pages WHERE book_id NOT IN (SELECT book_id FROM kb_books WHERE book_id % 6 <> 0)")(lambda k: ingest.missing_parents(k.pages, k.books.filter("book_id % 6 <> 0")))
-query("reconcile_one", "SELECT page_id, CASE WHEN page_id = 12 THEN 'changed' ELSE name END AS name FROM kb_pages WHERE page_id < 20")(
-    lambda k: tables.upsert(k.pages.filter("page_id < 20").select("page_id", "name"), k.pages.filter("page_id = 12").select("page_id", F.lit("changed").alias("name")), ["page_id"])
+# Every second page and every third chapter is looked up again; the index lacks each sixth book.
+_KNOWN = "SELECT book_id FROM kb_books WHERE book_id % 6 <> 0"
+query("reconcile_one", f"""SELECT 'page' AS kind, page_id AS id, CASE WHEN page_id % 2 = 0 AND book_id IN ({_KNOWN}) THEN name ELSE 'old' END AS name FROM kb_pages
+ UNION ALL SELECT 'chapter', chapter_id, CASE WHEN chapter_id % 3 = 0 AND book_id IN ({_KNOWN}) THEN name ELSE 'old' END FROM kb_chapters
+ UNION ALL SELECT DISTINCT 'job', NULL, 'book:' || book_id FROM (SELECT book_id FROM kb_pages WHERE page_id % 2 = 0 UNION ALL SELECT book_id FROM kb_chapters WHERE chapter_id % 3 = 0) WHERE book_id NOT IN ({_KNOWN})""")(lambda k: _reconciled(k))
+
+
+def _reconciled(k: Knowledge):
+    new, old = ingest.classified(listing(k)), F.lit("old")
+    index = ingest.Index(new.shelves, new.books.filter("book_id % 6 <> 0"), new.chapters.withColumn("name", old), new.pages.withColumn("name", old))
+    scopes = k.pages.filter("page_id % 2 = 0").select(F.concat(F.lit("page:"), "page_id").alias("scope")).unionByName(k.chapters.filter("chapter_id % 3 = 0").select(F.concat(F.lit("chapter:"), "chapter_id").alias("scope")))
+    found, more = ingest.reconcile_some(scopes, listing(k), index)
+    out = found.pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "name").unionByName(found.chapters.select(F.lit("chapter").alias("kind"), F.col("chapter_id").alias("id"), "name"))
+    return out.unionByName(more.select(F.lit("job").alias("kind"), F.lit(None).cast("long").alias("id"), F.col("scope").alias("name")))
+
+
+_FAILS = "(status = 'failed' OR (status = 'running' AND (coalesce(worker_id, 'w1') = 'w1' OR started_at < 1400)))"
+query("housekeeper", f"""WITH RECURSIVE {_CHAIN}, f AS (SELECT *, {_FAILS} AS fails FROM kb_jobs), x AS (SELECT *, fails AND resolved_status IS NULL AS open FROM f),
+ s AS (SELECT x.id, x.scope, x.fails, x.status, x.resolved_status, x.resolved_at, x.open, CASE WHEN l.last_ok > x.id THEN 'superseded' WHEN chain >= 5 THEN 'gave_up' ELSE 'retried' END AS decision
+  FROM x JOIN chains USING (id) LEFT JOIN (SELECT scope, max(id) AS last_ok FROM x WHERE NOT fails GROUP BY scope) l USING (scope)),
+ r AS (SELECT (SELECT max(id) FROM kb_jobs) + row_number() OVER (ORDER BY id) AS id, scope, 'pending' AS status, NULL AS resolved_status, id AS retry_of FROM s WHERE open AND decision = 'retried')
+ SELECT id, scope, CASE WHEN fails THEN 'failed' ELSE status END AS status, CASE WHEN open THEN decision ELSE resolved_status END AS resolved_status, CAST(NULL AS BIGINT) AS retry_of FROM s
+  WHERE fails OR status NOT IN ('succeeded', 'cancelled') OR resolved_at IS NULL OR resolved_at > 4970 UNION ALL SELECT * FROM r""")(
+    lambda k: jobs.housekeep(k.jobs, "w1", 5000).select("id", "scope", "status", "resolved_status", F.when(F.col("id") > k.jobs.agg(F.max("id")).first()[0], F.col("retry_of")).alias("retry_of"))
+)
+query("embed_outcome", """WITH e AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS pos, page_id % 40 < 12 AND page_id >= 100 AS bad FROM kb_pages), f AS (SELECT *, pos - row_number() OVER (ORDER BY pos) AS run FROM e WHERE bad),
+ a AS (SELECT min(first) + 9 AS last FROM (SELECT run, min(pos) AS first, count(*) AS n FROM f GROUP BY run) WHERE n >= 10)
+ SELECT count(*) AS done, sum(bad::INT)::BIGINT AS failures, true AS aborted, 'failed' AS status FROM e, a WHERE pos <= a.last""")(
+    lambda k: ingest.outcome(k.pages.select("page_id", F.when((F.col("page_id") % 40 < 12) & (F.col("page_id") >= 100), "e").alias("error")))
+)
+query("embed_retries", "SELECT 'page:' || page_id AS scope FROM (SELECT page_id FROM kb_pages ORDER BY page_id LIMIT 5) ORDER BY page_id")(
+    lambda k: ingest.retry_scopes(k.pages.join(F.broadcast(tables.window_of(k.pages, ["page_id"], 5).select("page_id", F.lit("e").alias("error"))), "page_id", "left").select("page_id", "error"))
+)
+
+
+@query("reindex_on_change", "SELECT * FROM (VALUES (0, true, 1), (1, false, 1), (2, true, 2), (3, true, 3)) AS t(n, called, calls)")
+def _(k):
+    kept, calls = store.Store(k.spark, scratch(k.spark, "reindex")), []
+    wanted = [{"chunk_version": 5, "embed_model": "m", "embed_dims": 64}] * 2 + [{"chunk_version": 5, "embed_model": "m", "embed_dims": 32}, {"chunk_version": 5, "embed_model": "x", "embed_dims": 32}]
+    return k.spark.createDataFrame([(i, store.reindex_on_change(kept, w, lambda: calls.append(1)), len(calls)) for i, w in enumerate(wanted)], "n int, called boolean, calls int")
+
+
+@query("kv_set", "SELECT * FROM (VALUES ('a', '2'), ('b', '[1, 2]'), ('c', 'unset')) AS t(k, v)")
+def _(k):
+    kept = store.Store(k.spark, scratch(k.spark, "kv"))
+    for key, value in (("a", 1), ("b", [1, 2]), ("a", 2)):
+        kept.set(key, value)
+    return k.spark.createDataFrame([(key, str(kept.get(key, "unset"))) for key in "abc"], "k string, v string")
+
+
+@query("scan_pages_paged", "SELECT page_id, url FROM pages")
+def _(k):
+    k.spark.dataSource.register(paged.PagedListing)
+    reader = k.spark.read.format("paged_listing").schema("page_id bigint, url string")
+    # Pages of 500 are asked for; like a server that gives fewer, the connector gives at most 400.
+    return reader.options(connector="atheneum.sources.paged:parquet_pages", path=f"{k.folder}/pages.parquet", columns="page_id,url", page_size="500", most="400").load()
+
+
+_MODES = (None, " Default ", "PRECISION", "rerank", "x")
+
+
+def _mode(mode: str | None) -> str:
+    try:
+        return search.parse_mode(mode)
+    except ValueError as e:
+        return str(e)[:12]
+
+
+query("search_mode_parse", "SELECT * FROM (VALUES (0, 'standard'), (1, 'standard'), (2, 'precision'), (3, 'mode ''rerank'), (4, 'unknown sear')) AS t(n, said)")(lambda k: k.spark.createDataFrame([(i, _mode(m)) for i, m in enumerate(_MODES)], "n int, said string"))
+_MULTIPLIERS = ([8, 6, 4, 2], [1, 2, 3, 4], [4, 3, 2, 0], [], [5, 5, 5, 5], [4, 3, 2])
+query("cascade_multipliers", "SELECT * FROM (VALUES (0, 8, 6, 4, 2), (1, 4, 3, 2, 1), (2, 4, 3, 2, 1), (3, 4, 3, 2, 1), (4, 5, 5, 5, 5), (5, 4, 3, 2, 1)) AS t(n, vector, keyword, blanket, rerank)")(
+    lambda k: k.spark.createDataFrame([(i, *dataclasses.astuple(search.Multipliers.of(m))) for i, m in enumerate(_MULTIPLIERS)], "n int, vector int, keyword int, blanket int, rerank int")
 )
-query("housekeeper")(lambda k: jobs.reconcile(jobs.expire(jobs.recover(k.jobs, "w1").drop("error"), 1400)))
 query("kv_get", "SELECT 'k' || page_id % 7 AS key, arg_max(name, page_id) AS value FROM kb_pages GROUP BY page_id % 7")(
     lambda k: store.kv_latest(k.pages.select(F.concat(F.lit("k"), F.col("page_id") % 7).alias("key"), F.col("name").alias("value"), F.col("page_id").alias("version")))
 )
-query("cascade_pool", "SELECT limit_arg, greatest(limit_arg * 4, limit_arg, 1) AS pool FROM (SELECT DISTINCT page_id % 12 AS limit_arg FROM kb_pages)")(
-    lambda k: k.pages.select((F.col("page_id") % 12).alias("limit_arg")).distinct().select("limit_arg", F.greatest(F.col("limit_arg") * search.Multipliers().vector, "limit_arg", F.lit(1)).alias("pool"))
+query("cascade_pool", "SELECT i AS limit_arg, greatest(i * 4, i, 1) AS pool FROM range(12) AS r(i)")(
+    lambda k: k.spark.createDataFrame([(i, search.pool(i, search.Multipliers().vector)) for i in range(12)], "limit_arg long, pool long")
 )

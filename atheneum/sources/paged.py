@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -24,27 +25,60 @@ def walk(fetch: Callable[[int], tuple[list, int | None]]) -> Iterator:
         offset = next_offset(offset, len(rows), total)
 
 
+#: A connector: (options, offset, count) -> (rows, total). The rows may be fewer than asked for; without a total the listing ends with an empty page.
+Fetch = Callable[[dict, int, int], tuple[list[tuple], int | None]]
+
+
+def parquet_pages(options: dict, offset: int, count: int) -> tuple[list[tuple], int | None]:
+    """A connector to a Parquet file or folder: ``path`` and ``columns``, comma-separated. As servers do, it gives at most ``most`` rows at once."""
+    import pyarrow.dataset as ds
+
+    table = ds.dataset(options["path"])
+    count = min(count, int(options.get("most", count)))
+    rows = table.scanner(columns=options["columns"].split(","), batch_size=max(count, 1)).to_reader()
+    total, out, at = table.count_rows(), [], 0
+    for batch in rows:
+        if at + len(batch) > offset and len(out) < count:
+            part = batch.slice(max(0, offset - at), count - len(out))
+            out += list(zip(*(c.to_pylist() for c in part.columns), strict=True))
+        at += len(batch)
+        if len(out) >= count or at >= total:
+            break
+    return out, total
+
+
 class Page(InputPartition):
-    def __init__(self, offset: int, count: int):
-        super().__init__(offset)
-        self.offset, self.count = offset, count
+    def __init__(self, start: int, stop: int | None):
+        super().__init__(start)
+        self.start, self.stop = start, stop
 
 
 class _Reader(DataSourceReader):
+    """The first page tells how many rows a request really gives and how many there are; from these the pages are dealt out. Without a total one partition walks on alone."""
+
     def __init__(self, options: dict):
-        self.total, self.size = int(options["total"]), int(options.get("page_size", "100"))
-        self.prefix = options.get("prefix", "page-")
+        module, _, name = options["connector"].partition(":")
+        self.options, self.fetch = dict(options), getattr(importlib.import_module(module), name)
+        self.count = int(options.get("page_size", "100"))
 
     def partitions(self) -> list[InputPartition]:
-        return [Page(o, min(self.size, self.total - o)) for o in range(0, self.total, self.size)]
+        rows, total = self.fetch(self.options, 0, self.count)
+        if not rows or total is None:
+            return [Page(0, None if rows else 0)]
+        return [Page(o, min(o + len(rows), total)) for o in range(0, total, len(rows))]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        for i in range(partition.offset, partition.offset + partition.count):
-            yield (i, f"{self.prefix}{i}")
+        at: int | None = partition.start
+        while at is not None and (partition.stop is None or at < partition.stop):
+            wanted = self.count if partition.stop is None else partition.stop - at
+            rows, total = self.fetch(self.options, at, wanted)
+            yield from rows
+            at = next_offset(at, len(rows), total)
 
 
 class PagedListing(DataSource):
-    """``spark.read.format("paged_listing")``: rows (id, name) of a listing of ``total`` entries; a connector overrides the reader's ``read``."""
+    """``spark.read.format("paged_listing").schema(...)``: the rows of a paged listing, one input partition a page. The option ``connector`` names the function that
+    fetches a page as ``module:function``; it gets all options."""
 
     @classmethod
     def name(cls) -> str:

@@ -33,6 +33,11 @@ def init(store) -> None:
     store.set("schema_version", VERSION)
 
 
+def altered_width(chunks: DataFrame, dims: int) -> DataFrame:
+    """The chunks' next snapshot for vectors of ``dims`` components: all of them if each has that many, none otherwise, as they have to be made again."""
+    return chunks if wrong_width(chunks, dims).isEmpty() else chunks.limit(0)
+
+
 def wrong_width(chunks: DataFrame, dims: int) -> DataFrame:
     """Chunks whose vectors do not have ``dims`` components."""
     return chunks.filter(F.coalesce(F.size("embedding"), F.lit(-1)) != dims).select("chunk_id")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,19 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(f"{self.root}/{folder}")
 
+    def backup(self, folder: str, stamp: str, keep: int = 5) -> str:
+        """Copies the current snapshot of every table to ``folder/backup-<stamp>``; the ``keep`` newest backups, by stamp, stay. A backup without its ``done`` file is not whole."""
+        out, fs = f"{folder.rstrip('/')}/backup-{stamp}", self._fs
+        names = [f.getPath().getName().removesuffix(".current") for f in fs.listStatus(self._path("")) if f.getPath().getName().endswith(".current")]
+        for name in names:
+            self.read(name).write.mode("overwrite").parquet(f"{out}/{name}")
+        path = self._jvm.org.apache.hadoop.fs.Path
+        fs.create(path(f"{out}/done")).close()
+        made = sorted(f.getPath().toString() for f in fs.listStatus(path(folder)) if f.getPath().getName().startswith("backup-"))
+        for old in made[:-keep]:
+            fs.delete(path(old), True)
+        return out
+
     def set(self, key: str, value) -> None:
         self._write(f"meta/{key}", json.dumps(value))
 
@@ -68,11 +82,19 @@ class Store:
 
 
 def needs_reindex(store: Store, wanted: dict[str, object]) -> bool:
-    """Whether the chunker's version, the model or its width differ from what the store was made with; stores the new ones."""
-    changed = [k for k, v in wanted.items() if store.get(k, v) != v]
+    """Whether the chunker's version, the model or its width differ from what the store was made with; a width that was never stored doesn't."""
+    return any(store.get(k) != v and not (k == "embed_dims" and store.get(k) is None) for k, v in wanted.items())
+
+
+def reindex_on_change(store: Store, wanted: dict[str, object], reindex: Callable[[], None]) -> bool:
+    """Calls ``reindex``, which clears the search tables and queues a job for everything, if that is needed, and stores the new values only after it:
+    whoever is stopped between the two does it again. Whether it was called."""
+    needed = needs_reindex(store, wanted)
+    if needed:
+        reindex()
     for k, v in wanted.items():
         store.set(k, v)
-    return bool(changed)
+    return needed
 
 
 def needs_initial_walk(store: Store) -> bool:

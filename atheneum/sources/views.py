@@ -19,9 +19,12 @@ VIEWS: dict[str, str] = {
         CASE WHEN c_custkey % 11 = 10 THEN NULL ELSE CAST(1 AS BIGINT) END AS acl_computed_at, (c_custkey % 5 = 0) AS acl_default_open FROM {customer}""",
     "kb_chapters": """SELECT DISTINCT CAST(c_nationkey AS BIGINT) * 5 + CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2
         WHEN 'HOUSEHOLD' THEN 3 ELSE 4 END AS chapter_id, CAST(c_nationkey AS BIGINT) AS book_id, c_mktsegment AS name, lower(c_mktsegment) AS slug, false AS deleted FROM {customer}""",
-    "kb_chunks": """SELECT CAST(vec_id AS BIGINT) AS chunk_id, CAST(vec_id % 120 AS BIGINT) AS page_id, CAST(floor(vec_id / 120) AS BIGINT) AS chunk_index, embedding FROM {embeddings}""",
-    "kb_relationships": """SELECT DISTINCT CAST(o_custkey % 120 AS BIGINT) AS source_page_id, CAST((o_orderkey * 31 + 7) % 120 AS BIGINT) AS target_page_id,
-        CASE WHEN o_orderkey % 3 = 0 THEN 'similar' ELSE 'link' END AS link_type FROM {orders} WHERE o_orderkey < 600""",
+    # Three vectors a page, as far as they go.
+    "kb_chunks": """SELECT CAST(vec_id AS BIGINT) AS chunk_id, CAST(floor(vec_id / 3) AS BIGINT) % (SELECT count(*) FROM {customer}) AS page_id,
+        CAST(vec_id % 3 AS BIGINT) + 3 * CAST(floor(vec_id / (3 * (SELECT count(*) FROM {customer}))) AS BIGINT) AS chunk_index, embedding FROM {embeddings}""",
+    # Each order is a link and a job.
+    "kb_relationships": """SELECT DISTINCT CAST(o_custkey AS BIGINT) AS source_page_id, CAST((o_orderkey * 31 + 7) % (SELECT count(*) FROM {customer}) AS BIGINT) AS target_page_id,
+        CASE WHEN o_orderkey % 3 = 0 THEN 'similar' ELSE 'link' END AS link_type FROM {orders}""",
     "kb_page_view_acl": """SELECT page_id, page_id % 4 AS role_id FROM kb_pages WHERE NOT acl_default_open AND acl_computed_at IS NOT NULL""",
     "kb_jobs": """SELECT CAST(o_orderkey AS BIGINT) AS id, concat('book:', CAST(o_custkey % 25 AS VARCHAR(9))) AS scope,
         CASE WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_orderstatus = 'O' THEN 'running' WHEN o_orderpriority = '1-URGENT' THEN 'failed'
@@ -29,7 +32,7 @@ VIEWS: dict[str, str] = {
         CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderkey - 1 AS BIGINT) END AS retry_of,
         CAST(1000 + o_orderkey AS BIGINT) AS started_at, CASE WHEN o_orderkey % 5 = 0 THEN 'retried' END AS resolved_status,
         CASE WHEN o_orderkey % 2 = 0 THEN CAST(2000 + o_orderkey AS BIGINT) END AS resolved_at, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 'w1' ELSE 'w2' END AS worker_id
-        FROM {orders} WHERE o_orderkey < 1000""",
+        FROM {orders}""",
     "kb_events": """SELECT event_id, ts, CASE event_type WHEN 'view' THEN 'page_update' WHEN 'click' THEN 'page_create' WHEN 'signup' THEN 'role_update'
         WHEN 'error' THEN 'page_delete' ELSE 'book_update' END AS event, CAST(user_id AS BIGINT) AS item_id FROM {events}""",
     # All kinds of events, with the book that a chapter's event names.
@@ -40,45 +43,32 @@ VIEWS: dict[str, str] = {
         CASE WHEN event_id % 16 IN (5, 6, 7) AND event_id % 3 <> 0 THEN CAST(user_id % 25 AS BIGINT) END AS book_id FROM {events}""",
     "kb_page_updates": """SELECT CAST(user_id AS BIGINT) AS page_id, max(ts) AS updated_at FROM {events} GROUP BY CAST(user_id AS BIGINT)""",
     "kb_html": """SELECT CAST(page_id AS BIGINT) AS page_id, CASE WHEN page_id % 2 = 0 THEN concat(html, '<a href="/books/b/page/customer-000000001">x</a><a href="/link/7">y</a>') ELSE html END AS html FROM {pages}""",
-    # What a keyword search gives back, of all types, in rank order.
-    "kb_keyword_hits": """SELECT page_id, CASE WHEN page_id % 6 = 5 THEN 'chapter' ELSE 'page' END AS kind, pos FROM
-        (SELECT page_id, row_number() OVER (ORDER BY (page_id * 37) % 101, page_id) - 1 AS pos FROM kb_pages WHERE page_id < 120) AS ranked WHERE pos < 20""",
-}
-
-#: The same over whole base tables: each order is a link and a job, each page a keyword hit, links reach all pages and chunks as many as three vectors a page make.
-WHOLE: dict[str, str] = VIEWS | {
-    "kb_chunks": """SELECT CAST(vec_id AS BIGINT) AS chunk_id, CAST(floor(vec_id / 3) AS BIGINT) % (SELECT count(*) FROM {customer}) AS page_id,
-        CAST(vec_id % 3 AS BIGINT) + 3 * CAST(floor(vec_id / (3 * (SELECT count(*) FROM {customer}))) AS BIGINT) AS chunk_index, embedding FROM {embeddings}""",
-    "kb_relationships": """SELECT DISTINCT CAST(o_custkey AS BIGINT) AS source_page_id, CAST((o_orderkey * 31 + 7) % (SELECT count(*) FROM {customer}) AS BIGINT) AS target_page_id,
-        CASE WHEN o_orderkey % 3 = 0 THEN 'similar' ELSE 'link' END AS link_type FROM {orders}""",
-    "kb_jobs": VIEWS["kb_jobs"].removesuffix(" WHERE o_orderkey < 1000"),
-    # A position for each page by arithmetic, so that no task sorts all pages.
+    # What a keyword search gives back, of all types, in rank order: each page has a position by arithmetic, so that no task sorts all pages.
     "kb_keyword_hits": """SELECT page_id, CASE WHEN page_id % 6 = 5 THEN 'chapter' ELSE 'page' END AS kind, (page_id * 37 + 11) % (SELECT count(*) FROM {customer}) AS pos FROM kb_pages""",
 }
 
-
-def sql_of(view: str, table, views: dict[str, str] = VIEWS) -> str:
+def sql_of(view: str, table) -> str:
     """The view's SQL with ``table(name)`` for each base table."""
-    return re.sub(r"\{(\w+)\}", lambda m: table(m[1]), views[view])
+    return re.sub(r"\{(\w+)\}", lambda m: table(m[1]), VIEWS[view])
 
 
 class Knowledge:
     """The derived tables over the Parquet files of one folder, as DataFrames."""
 
-    def __init__(self, spark: SparkSession, folder: str, views: dict[str, str] = VIEWS):
-        self.spark, self.folder, self._views, self._made = spark, folder, views, {}
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self._made = spark, folder, {}
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
         view = f"kb_{name}"
-        if view not in self._views:
+        if view not in VIEWS:
             raise AttributeError(name)
         if view not in self._made:
-            names = set(re.findall(r"kb_\w+", self._views[view]))
+            names = set(re.findall(r"kb_\w+", VIEWS[view]))
             frames = {n: getattr(self, n[3:]) for n in names}
-            text = sql_of(view, lambda t: f"{{{t}}}", self._views)
+            text = sql_of(view, lambda t: f"{{{t}}}")
             tables = {t: self.base(t) for t in set(re.findall(r"\{(\w+)\}", text))}
             for n in names:
                 text = re.sub(rf"\b{n}\b", f"{{{n}}}", text)
@@ -86,18 +76,18 @@ class Knowledge:
         return self._made[view]
 
 
-def oracle(sql: str, views: dict[str, str] = VIEWS) -> str:
+def oracle(sql: str) -> str:
     """DuckDB's SQL with the views it names put before it."""
     need: list[str] = []
 
     def add(text: str) -> None:
-        for n in sorted(set(re.findall(r"\bkb_\w+", text)) & set(views)):
+        for n in sorted(set(re.findall(r"\bkb_\w+", text)) & set(VIEWS)):
             if n not in need:
-                add(views[n])
+                add(VIEWS[n])
                 need.append(n)
 
     add(sql)
-    heads = [f"{n} AS ({sql_of(n, str, views)})" for n in need]
+    heads = [f"{n} AS ({sql_of(n, str)})" for n in need]
     rest = sql.strip()
     if rest.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {', '.join([*heads, rest[len('WITH RECURSIVE') :].strip()])}"

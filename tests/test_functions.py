@@ -36,9 +36,110 @@ def test_split_carries_short_paragraphs_over():
 
 def test_sections():
     body = "# One\nx\n## Two\ny\n# Three\nz"
-    assert documents.replace_section_markdown(body, "## Two", "new") == "# One\nx\n## Two\n\nnew\n\n# Three\nz"
-    assert documents.replace_section_markdown(body, "Four", "new") is None
-    assert documents.replace_section_html("<h2 a='b'>A</h2>old<h3>B</h3>x<h2>C</h2>", "a", "new") == "<h2 a='b'>A</h2>new<h2>C</h2>"
+    edit = documents.replace_section_markdown
+    assert edit(body, "## Two", "new") == edit(body, "tWO", "new") == "# One\nx\n## Two\nnew\n\n# Three\nz"
+    assert edit(body, "Three", "new") == "# One\nx\n## Two\ny\n# Three\nnew\n"
+    assert edit("a\nx\n# b\ny\n", "a", "new") == "a\nnew\n"  # under a line that is no heading all goes
+    assert edit("a\r\n# b \r\nx\r\n## c\r\n# d\r\n", "b", "new") == "a\n# b \nnew\n\n# d"
+    assert edit(body, "Four", "new") is edit(None, "a", "b") is edit(body, None, "b") is None and edit("É\nx", "é", "n") is None
+    edit = documents.replace_section_html
+    assert edit("<h2 a='b'>A</h2>old<h3>B</h3>x<h2>C</h2>", "a", "new") == "<h2 a='b'>A</h2>\nnew\n<h2>C</h2>"
+    assert edit("<h3> <i>A</i></h3>old", "## a", "new") == "<h3> <i>A</i></h3>\nnew\n" and edit("<h2>B</h2>", "a", "new") is edit(None, "a", "b") is None
+
+
+def test_sections_by_editor(spark):
+    rows = spark.createDataFrame([(1, "markdown", "# A\nold", "a"), (2, "", "<h1>A</h1>old", "a"), (3, "markdown", None, "a"), (4, "markdown", "x", "a")], "id int, editor string, body string, heading string")
+    found = {r.id: r.body for r in rows.select("id", documents.replace_section(F.col("editor"), F.col("body"), F.col("heading"), F.lit("*new*")).alias("body")).collect()}
+    assert found == {1: "# A\n*new*\n", 2: "<h1>A</h1>\n<p><em>new</em></p>\n\n", 3: None, 4: None}
+    texts = column(spark, "a", None)
+    assert of(texts, documents.split_column(F.col("s"))) == [["a"], []] and of(texts, documents.markdown_column(F.col("s"))) == ["<p>a</p>\n", ""]
+
+
+def test_edits(spark):
+    one = spark.range(1)
+    lit = lambda *c: of(one, F.array(*c))[0]
+    assert lit(text.append_text(F.lit("a\n\n"), F.lit("b")), text.append_text(F.lit("a \u00a0"), F.lit("b"), F.lit(""), F.lit("<p>b</p>"))) == ["a\n\nb", "a\n<p>b</p>"]
+    insert = lambda body, anchor="b": text.insert_after_line(F.lit(body), F.lit(anchor), F.lit("c"))
+    assert lit(insert("a\nb"), insert("a\n b \nd\n"), insert("a\r\nb\r\nd"), insert("a"), insert("")) == ["a\nb\nc\n", "a\n b \nc\nd", "a\nb\nc\nd", None, None]
+    strip = lambda body, name="T t": text.strip_dup_title(F.lit(body), F.lit(name))
+    found = lit(strip("#t T\n\nx "), strip("<h1>T t</h1>\n x"), strip("<h1>T t</h1>  x"), strip("## T t\nx"), strip("# T t u\nx"), strip("#", ""), strip(" <h1 a>É</h1>x", "é"))
+    assert found == ["x", " x", "  x", "## T t\nx", "# T t u\nx", "", " <h1 a>É</h1>x"]
+    valid = lambda *s: lit(*[text.valid_description(F.lit(x)) for x in s])
+    assert valid("test suites for the parser", "none of the above here", "fixme write this later", "xxx what goes in here", "N/A for this shelf now", "short", "todos of the whole team") == [True, True, False, False, False, False, True]
+
+
+def test_roles_that_see_everything(spark):
+    roles = spark.createDataFrame(list(enumerate([["page-view-all"], ["chapter-view-all"], ["book-view-all"], ["content-export"], ["bookshelf-view-all"], [], None])), "role_id int, permissions array<string>")
+    assert sorted(r.role_id for r in acl.role_context(roles).collect()) == [0, 1, 2, 3]
+
+
+def test_popular_targets_are_not_joined_with_themselves(spark):
+    edges = spark.range(3000).select(F.col("id").alias("source_page_id"), F.lit(5000).cast("long").alias("target_page_id"))
+    pages = spark.range(2, 6000).select(F.col("id").alias("page_id"))
+    found = graph.co_linked(edges, pages)
+    near = {}
+    for r in found.collect():
+        near.setdefault(r.page_id, []).append(r.neighbour_id)
+    assert len(near) == 3000 and sorted(near[0]) == list(range(2, 12)) and sorted(near[5]) == [2, 3, 4, 6, 7, 8, 9, 10, 11, 12]
+
+
+def test_chains_do_not_grow_the_plan(spark):
+    rows = [(i, i - 1 if i % 40 else None) for i in range(400)]
+    found = jobs.chain_lengths(spark.createDataFrame(rows, "id long, retry_of long"))
+    assert {r.id: r.chain for r in found.collect()} == {i: i % 40 + 1 for i, _ in rows}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + found._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 3
+
+
+def test_numbering(spark):
+    from atheneum.sources.staging import numbered
+
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x"), F.col("id").alias("y"))
+    assert all(r.pos == r.x + 1 for r in numbered(rows, "x").collect()) and all(r.pos == 1000 - r.x for r in numbered(rows, F.desc("x")).collect())
+    assert numbered(rows.limit(0), "x").count() == 0
+
+
+def test_claim(spark):
+    queue = spark.createDataFrame([(1, "succeeded", 1, "a"), (3, "pending", None, None), (2, "pending", None, None)], "id long, status string, started_at long, worker_id string")
+    after = jobs.claim(queue, "w", 50)
+    assert sorted(map(tuple, after.collect())) == [(1, "succeeded", 1, "a"), (2, "running", 50, "w"), (3, "pending", None, None)]
+    assert [tuple(r) for r in jobs.claim(queue.filter("id = 1"), "w", 50).collect()] == [(1, "succeeded", 1, "a")]
+
+
+def test_one_bad_page_fails_alone(spark):
+    def picky(dims):
+        def embed(texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("bad text")
+            return models.hashing_embedder(dims)(texts)
+
+        return embed
+
+    pages = spark.createDataFrame([(i, 1, None, f"p{i}", f"p{i}") for i in range(5)], "page_id long, book_id long, chapter_id long, name string, slug string")
+    books, chapters, shelves = spark.createDataFrame([(1, "b", 1)], "book_id long, name string, shelf_id long"), spark.createDataFrame([], "chapter_id long, name string"), spark.createDataFrame([(1, "s")], "shelf_id long, name string")
+    raw = spark.createDataFrame([(0, "<p>good</p>"), (1, "<p>bad</p>"), (2, ""), (9, "<p>who</p>")], "page_id long, html string")
+    done, results = ingest.attempt(raw, books, chapters, shelves, pages, 4, picky)
+    assert {r.page_id: r.error for r in results.collect()} == {0: None, 1: "ValueError: bad text", 2: None, 9: "page not in the index"}
+    assert [r.page_id for r in done.chunks.collect()] == [0] and sorted(r.page_id for r in done.pages.collect()) == [0, 2]
+    assert sorted(r.scope for r in ingest.retry_scopes(results).collect()) == ["page:1", "page:9"]
+
+
+def test_ten_failures_in_a_row_end_a_job(spark):
+    rows = lambda bad: spark.range(100).select(F.col("id").alias("page_id"), F.when(bad, "e").alias("error"))
+    apart, together = rows(F.col("id") % 11 == 0), rows(F.col("id").between(30, 45) | (F.col("id") == 3))
+    assert tuple(ingest.outcome(apart).first()) == (100, 10, False, "failed") and ingest.aborted_after(apart) is None
+    assert tuple(ingest.outcome(together).first()) == (40, 11, True, "failed") and ingest.aborted_after(together) == 39
+    assert ingest.retry_scopes(together).count() == 0 and tuple(ingest.outcome(rows(F.col("id") < 9)).first()) == (100, 9, False, "succeeded")
+
+
+def test_the_cascade_reranks_last(spark):
+    vector = [1.0, 0.0]
+    chunks = spark.createDataFrame([(i, i, [1.0, i / 10]) for i in range(6)], "chunk_id long, page_id long, embedding array<double>")
+    pages = spark.createDataFrame([(i, 1, None, False, f"n{i}", 1, True) for i in range(6)], "page_id long, book_id long, chapter_id long, deleted boolean, name string, acl_computed_at long, acl_default_open boolean")
+    edges, acls = spark.createDataFrame([], "source_page_id long, target_page_id long, link_type string"), spark.createDataFrame([], "page_id long, role_id long")
+    hits = spark.createDataFrame([], "page_id long, kind string, pos long")
+    texts = spark.createDataFrame([(4, "h", "red fox"), (2, "", "fox")], "chunk_id long, heading string, content string")
+    found = search.cascade(chunks, texts, pages, edges, acls, hits, vector, "red fox", 3, 0.1)
+    assert [(r.page_id, r.rerank) for r in found.collect()] == [(4, 1.0), (2, 0.5), (0, 0.0)]
 
 
 def test_markdown():
@@ -129,10 +230,21 @@ def test_paged():
     assert list(paged.walk(lambda o: ([], 5))) == [] and paged.next_offset(80, 20, 100) is None
 
 
-def test_paged_source(spark):
+def listing_of_25(options, offset, count):
+    """A connector that gives at most 10 rows, and says how many there are if told to."""
+    rows = [(i, f"page {i}") for i in range(offset, min(offset + min(count, 10), 25))]
+    return rows, 25 if options.get("counts") == "yes" else None
+
+
+def test_paged_source(spark, tmp_path):
     spark.dataSource.register(paged.PagedListing)
-    df = spark.read.format("paged_listing").option("total", 25).option("page_size", 10).load()
-    assert df.rdd.getNumPartitions() == 3 and sorted(r.id for r in df.collect()) == list(range(25))
+    read = spark.read.format("paged_listing").option("connector", "tests.test_functions:listing_of_25").option("page_size", 20)
+    for counts, parts in (("yes", 3), ("no", 1)):
+        df = read.option("counts", counts).load()
+        assert df.rdd.getNumPartitions() == parts and sorted(tuple(r) for r in df.collect()) == [(i, f"page {i}") for i in range(25)]
+    spark.range(0).withColumn("name", F.lit("")).write.parquet(str(tmp_path / "none"))
+    empty = spark.read.format("paged_listing").options(connector="atheneum.sources.paged:parquet_pages", path=str(tmp_path / "none"), columns="id,name").load()
+    assert empty.count() == 0
 
 
 def test_store(spark, tmp_path):
@@ -146,7 +258,18 @@ def test_store(spark, tmp_path):
         kept.publish("t", spark.range(2).union(spark.range(2)), ["id"])
     kept.set("last_full_walk_at", 5)
     assert kept.get("last_full_walk_at") == 5 and not store.needs_initial_walk(kept)
-    assert not store.needs_reindex(kept, {"dims": 64}) and store.needs_reindex(kept, {"dims": 32}) and not store.needs_reindex(kept, {"dims": 32})
+    wanted = {"chunk_version": 5, "embed_model": "m", "embed_dims": 64}
+
+    def stopped():
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        store.reindex_on_change(kept, wanted, stopped)
+    assert store.needs_reindex(kept, wanted)  # what was stopped is done again
+    assert store.reindex_on_change(kept, wanted, lambda: None) and not store.needs_reindex(kept, wanted) and store.needs_reindex(kept, wanted | {"embed_dims": 32})
+    made = [kept.backup(str(tmp_path / "backups"), f"2024010{i}T000000", keep=2) for i in range(4)]
+    left = sorted(p.name for p in (tmp_path / "backups").iterdir() if p.is_dir())
+    assert left == ["backup-20240102T000000", "backup-20240103T000000"] and spark.read.parquet(f"{made[-1]}/t").count() == 5
 
 
 def test_delta_walk_publishes_each_window_once(spark, tmp_path):
@@ -187,7 +310,7 @@ def test_models(spark):
 
 
 def test_ingest_outcome(spark):
-    results = spark.range(30).select(F.when(F.col("id") < 10, "e").alias("error"))
+    results = spark.range(30).select(F.col("id").alias("page_id"), F.when(F.col("id") < 10, "e").alias("error"))
     assert ingest.outcome(results).first().status == "failed" and ingest.outcome(results.limit(0)).first().status == "succeeded"
     with pytest.raises(ValueError):
         ingest.in_scope("shelf:1")

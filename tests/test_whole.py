@@ -3,7 +3,7 @@
 import pyarrow.parquet as pq
 
 from atheneum.plans import registry
-from atheneum.sources.views import WHOLE, Knowledge
+from atheneum.sources.views import Knowledge
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -17,7 +17,7 @@ def found(spark, name, column):
 
 
 def test_views_have_all_rows(spark):
-    k = Knowledge(spark, FOLDER, WHOLE)
+    k = Knowledge(spark, FOLDER)
     pages, orders = ids("customer", "c_custkey"), pq.read_table(f"{FOLDER}/orders.parquet", columns=["o_orderkey", "o_custkey"]).to_pylist()
     edges = {(o["o_custkey"], (o["o_orderkey"] * 31 + 7) % len(pages), "similar" if o["o_orderkey"] % 3 == 0 else "link") for o in orders}
     assert {tuple(r) for r in k.relationships.collect()} == edges and {e[1] for e in edges} == pages
@@ -31,23 +31,23 @@ def test_views_have_all_rows(spark):
 
 def test_graph_and_job_queries_have_all_rows(spark):
     orders = ids("orders", "o_orderkey")
-    assert found(spark, "whole_agg_retry_chain_len", "id") == found(spark, "whole_job_expire", "id") == orders
-    assert found(spark, "whole_join_linked_from", "page_id") == ids("customer", "c_custkey")
-    new = found(spark, "whole_job_retry", "id")
+    assert found(spark, "agg_retry_chain_len", "id") == found(spark, "job_expire", "id") == orders
+    assert found(spark, "join_linked_from", "page_id") == ids("customer", "c_custkey")
+    new = found(spark, "job_retry", "id")
     assert new and not new & orders
 
 
 def test_operators_get_all_ids(spark):
     pages, books = ids("customer", "c_custkey"), ids("nation", "n_nationkey")
-    for name in ("union_neighbours", "reconcile_one"):
-        assert found(spark, f"whole_{name}", "page_id") == pages
-    assert found(spark, "whole_acl_caller_roles", "caller") == pages
-    assert sum(r.n_roles for r in registry.QUERIES["whole_acl_caller_roles"](spark, FOLDER).collect()) == len(ids("orders", "o_orderkey"))
-    assert max(found(spark, "whole_find_by_name_ci", "book_id")) > 8 and found(spark, "whole_format_search_text", "book_id") == books
-    shown = "\n".join(found(spark, "whole_format_search_text", "shown"))
+    assert found(spark, "union_neighbours", "page_id") == pages
+    assert {r.id for r in registry.QUERIES["reconcile_one"](spark, FOLDER).collect() if r.kind == "page"} == pages
+    assert found(spark, "acl_caller_roles", "caller") == pages
+    assert sum(r.n_roles for r in registry.QUERIES["acl_caller_roles"](spark, FOLDER).collect()) == len(ids("orders", "o_orderkey"))
+    assert max(found(spark, "find_by_name_ci", "book_id")) > 8 and found(spark, "format_search_text", "book_id") == books
+    shown = "\n".join(found(spark, "format_search_text", "shown"))
     assert all(f"(page {i})" in shown for i in pages)
-    assert {r.id for r in registry.QUERIES["whole_tree_acl_prune"](spark, FOLDER).collect() if r.kind == "page"} == {i for i in pages if i % 40 == 1 and reached(i)}
-    assert found(spark, "whole_embed_pipeline", "page_id") == ids("pages", "page_id") & pages
+    assert {r.id for r in registry.QUERIES["tree_acl_prune"](spark, FOLDER).collect() if r.kind == "page"} == {i for i in pages if i % 40 == 1 and reached(i)}
+    assert found(spark, "embed_pipeline", "page_id") == ids("pages", "page_id") & pages
 
 
 def reached(page):
