@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import staging
 from ..sources.staging import settled
 from . import acl as acl_ops
 from . import graph, models, vectors
@@ -132,9 +133,9 @@ def hybrid_search(chunks: DataFrame, pages: DataFrame, edges: DataFrame, acl: Da
     Both signals fetch twice the limit; permissions come before the graph; pages found by keywords alone count as neighbours but are not results.
     """
     limit = min(max(limit, 1), MAX_LIMIT)
-    hits = vectors.vector_topk(chunks, query, 2 * limit, threshold)
-    keyword = keyword_decay(keyword_hits.filter(F.col("pos") < 2 * limit))
-    scored = visible(merged_scores(best_chunks(hits), keyword), pages, acl, roles)
+    hits = staging.pool(vectors.vector_topk(chunks, query, 2 * limit, threshold), 2 * limit)
+    keyword = keyword_decay(staging.pool(keyword_hits.filter(F.col("pos") < 2 * limit).select("page_id", "kind", "pos"), 2 * limit))
+    scored = staging.pool(visible(merged_scores(best_chunks(hits), keyword), pages, acl, roles), 4 * limit)
     found = keyword_only_dropped(scored.join(boosts(edges, pages, scored, hits), "page_id"))
     out = found.withColumn("score", standard_blend(F.col("vector"), F.col("keyword"), F.col("blanket")))
     return final_top(out, limit).select("page_id", "vector", "keyword", "blanket", "score", "best_chunk", "chunks")
@@ -152,12 +153,13 @@ def trim_pool(scored: DataFrame, n: int, by: Column | None = None) -> DataFrame:
 def cascade_stages(chunks: DataFrame, pages: DataFrame, edges: DataFrame, acl: DataFrame, keyword_hits: DataFrame, query: list[float], limit: int = 10, threshold: float = HYBRID_THRESHOLD, roles: list[int] | None = None, multipliers: Multipliers = Multipliers()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The pools after vectors, keywords, and permissions with the graph; each narrower than the one before, none widening it."""
     limit = min(max(limit, 1), MAX_LIMIT)
-    hits = vectors.vector_topk(chunks, query, pool(limit, multipliers.vector), threshold)
+    widest = max(pool(limit, multipliers.vector), 20)
+    hits = staging.pool(vectors.vector_topk(chunks, query, pool(limit, multipliers.vector), threshold), widest)
     first = trim_pool(best_chunks(hits), pool(limit, multipliers.vector))
-    keyword = keyword_decay(keyword_hits.filter(F.col("pos") < max(pool(limit, multipliers.vector), 20)))
+    keyword = keyword_decay(staging.pool(keyword_hits.filter(F.col("pos") < widest).select("page_id", "kind", "pos"), widest))
     second = first.join(keyword, "page_id", "left").withColumn("keyword", F.coalesce("keyword", F.lit(0.0)))
     second = trim_pool(second, pool(limit, multipliers.keyword), 0.6 * F.col("vector") + 0.4 * F.col("keyword"))
-    third = visible(second, pages, acl, roles)
+    third = staging.pool(visible(second, pages, acl, roles), widest)
     third = third.join(boosts(edges, pages, third, hits), "page_id")
     third = third.withColumn("score", 0.55 * F.col("vector") + 0.25 * F.col("keyword") + F.col("blanket"))
     return first, second, trim_pool(third, pool(limit, multipliers.blanket), F.col("score"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import acl, graph, jobs, requests, search, tables, tree, vectors
-from ..sources.staging import numbered
+from ..sources.staging import numbered, pool, settled
 from ..sources.views import Knowledge, oracle
 
 Build = Callable[[Knowledge], DataFrame]
@@ -277,7 +277,7 @@ _HYBRID = f"{HITS % 20}, {_PAGES}, {_KEYWORD}, {_VERDICT}, {_SCORED}"
 
 def _scored(k: Knowledge) -> tuple[DataFrame, DataFrame]:
     hits = vectors.vector_topk(k.chunks, query_vector(k), 2 * LIMIT, THRESHOLD)
-    return search.visible(search.merged_scores(search.best_chunks(hits), search.keyword_decay(k.keyword_hits)), k.pages, k.page_view_acl, ROLES), hits
+    return settled(search.visible(search.merged_scores(search.best_chunks(hits), search.keyword_decay(k.keyword_hits)), k.pages, k.page_view_acl, ROLES)), pool(hits, 2 * LIMIT)
 
 
 query("agg_strong_weak", f"WITH {_HYBRID} SELECT page_id, strong::BIGINT AS strong, weak::BIGINT AS weak FROM bl WHERE strong + weak > 0")(

@@ -33,6 +33,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def pool(df: DataFrame, most: int) -> DataFrame:
+    """The rows of a search pool, which has at most so many by its limits, as a local table: joins with it need no shuffle, and it is computed once."""
+    rows = df.limit(most + 1).toArrow()
+    if len(rows) > most:
+        raise ValueError(f"a pool of more than {most} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)  # from Arrow, so that the planner knows its size
+
+
 def numbered(df: DataFrame, *order: str | Column, name: str = "pos") -> DataFrame:
     """``df`` with its place, from 1, in this order (which should have no ties): ranges of the order are numbered apart, after the counts of those before, so no task sees all rows."""
     ranged = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
