@@ -157,6 +157,26 @@ def test_block_pruning_is_exact(block):
     assert scored < len(at) * -(-len(rows) // block) if block < 64 else True
 
 
+def test_groups_out_of_reach_are_not_visited(spark, monkeypatch):
+    monkeypatch.setattr(topk_blocks, "GROUP", 200)
+    monkeypatch.setattr(topk_blocks, "BLOCK", 16)
+    r = np.random.default_rng(5)
+    centres = r.normal(0, 40, (20, 16))
+    rows = np.concatenate([centres[i % 20] + r.normal(0, 2, (1, 16)) for i in range(3000)]).astype(np.int64)
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(rows)], "vec_id long, ints array<long>").repartition(5)
+    asked = df.filter("vec_id % 20 < 2 AND vec_id % 3 = 0")
+    at = [i for i in range(3000) if i % 20 < 2 and i % 3 == 0]
+    want = {(i, j, int(rows[j] @ rows[i])) for i in at for j in [j for j in np.lexsort((np.arange(3000), -(rows @ rows[i]))) if j != i][:20]}
+    assert {(x.query_id, x.vec_id, x.score) for x in topk_blocks.top_k(df, asked, 20).collect()} == want
+    grouped, own = topk_blocks.grouped_rows(df, asked)
+    groups = grouped.select("group").distinct().count()
+    first = topk_blocks.scores(grouped, own.selectExpr("*", f"{topk_blocks.NO_SCORE} AS least"), own.selectExpr("vec_id", "home AS group"), 20)
+    visited = topk_blocks.reached(topk_blocks.seeded(own, first, 20), topk_blocks.group_maxima(grouped)).count()
+    assert visited < 0.3 * len(at) * (groups - 1)  # on clustered rows most pairs of a query and a group are never scored
+    monkeypatch.setattr(topk_blocks, "MAX_BROADCAST_MAXIMA", 0)  # without the maxima on all executors, every group is visited
+    assert {(x.query_id, x.vec_id, x.score) for x in topk_blocks.top_k(df, asked, 20).collect()} == want
+
+
 def test_quality_order_never_changes_the_verdict(texts):
     found = [quality_cascade.Text(t) for t in texts.values()]
     forward = quality_cascade.first_rejection(found, list(quality_cascade.RULES))
