@@ -8,7 +8,8 @@ budget cut off there is given to the other cells in a few further rounds. A docu
 read as a number in [0, 1), lies below its probability, so that a run repeated on other machines draws the same rows.
 
 Everything is DataFrame functions. Cells are as many as there are combinations of the three marginals, far fewer than
-documents, and stay distributed; documents are read once to count tokens and once to be drawn.
+documents. Up to ``MAX_BROADCAST_CELLS`` of them, by count, are raked in one partition, where no round has to shuffle; more stay distributed. Documents are read once to count tokens
+and once to be drawn.
 
 Tokens and topics may be given as expressions over the documents, a tokenizer's counts say; words and a topic by the text's form are the defaults.
 
@@ -82,6 +83,10 @@ def with_targets(cells: DataFrame, marginal: str, given: Mapping[str, float] | N
     return rows.withColumn(f"{marginal}_share", F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w")).otherwise(0.0)).drop("w", "first", "all_w")
 
 
+def few(cells: DataFrame) -> bool:
+    return cells.limit(MAX_BROADCAST_CELLS + 1).count() <= MAX_BROADCAST_CELLS
+
+
 def left_over(cells: DataFrame) -> tuple[float, float]:
     """Of raked cells with the weight ``before`` the last round: the largest relative error of a marginal sum, and the share of all weight that the round moved."""
     errors = [F.abs(F.sum("weight").over(W.partitionBy(m)) / F.nullif(F.col(f"{m}_share"), F.lit(0.0)) - 1.0) for m in MARGINALS]
@@ -93,15 +98,16 @@ def left_over(cells: DataFrame) -> tuple[float, float]:
 def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (marginals, tokens, ``<marginal>_share``) with ``weight`` added: shares of the tokens, fitted to each marginal in turn;
     and ``residual``, the largest relative error left. After each ``rounds`` rounds it is seen whether more are needed."""
-    out, done = cells.withColumn("weight", F.col("tokens").cast("double")), 0
+    together, every = ((lambda df: df.coalesce(1)), 4) if few(cells) else ((lambda df: df), 2)
+    out, done = together(cells).withColumn("weight", F.col("tokens").cast("double")), 0
     while True:
         for i in range(rounds):
             out = out.withColumn("before", F.col("weight"))
             for m in MARGINALS:
                 total = F.sum("weight").over(W.partitionBy(m))
                 out = out.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"{m}_share") / total).otherwise(0.0))
-            if i % 2 == 1 or i == rounds - 1:
-                out = out.checkpoint()
+            if i % every == every - 1 or i == rounds - 1:
+                out = together(out.checkpoint())
         done += rounds
         residual, moved = left_over(out)
         if residual <= TOLERANCE:
@@ -132,6 +138,8 @@ def plan_mix(rows: DataFrame, budget: float = 0.8, given: Mapping[str, Mapping[s
     shared_dir(rows.sparkSession)
     # Summed before they are shuffled, so a source with a third of the rows is a few rows a task.
     cells = rows.groupBy(*MARGINALS).agg(F.sum("mix_tokens").alias("tokens")).checkpoint()
+    if few(cells):
+        cells = cells.coalesce(1)
     for m in MARGINALS:
         cells = with_targets(cells, m, given.get(m))
     return probabilities(rake(cells.checkpoint(), rounds), budget).checkpoint()
@@ -146,8 +154,7 @@ def draw(rows: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``measured`` rows with ``probability`` and ``drawn`` added."""
     cells = plan.select(*MARGINALS, "probability")
     # Cells are counted before they are sent to every executor; beyond the limit the join shuffles.
-    small = cells.limit(MAX_BROADCAST_CELLS + 1).count() <= MAX_BROADCAST_CELLS
-    own = rows.join(F.broadcast(cells) if small else cells, list(MARGINALS))
+    own = rows.join(F.broadcast(cells) if few(cells) else cells, list(MARGINALS))
     return own.withColumn("drawn", draw_number(F.col(f"given.`{id_col}`")) < F.col("probability"))
 
 
