@@ -22,7 +22,10 @@ MAX_BROADCAST_IDS = 1_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
+    """Documents that no rule rejects, with all their columns.
+
+    A null text, and one without words, is rejected; long texts are judged whole; repeated rows share their verdict; an empty table stays empty.
+    """
     bounded_batches(spark)
     return quality_cascade.keep_good(docs)
 
@@ -46,17 +49,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without what an earlier document, or an earlier part of the same one, has already said; ``n_chars`` follows."""
+    """Texts without what an earlier document, or an earlier part of the same one, has already said; ``n_chars`` follows.
+
+    A null text stays null, with a null ``n_chars``; texts under the length lose nothing; a row without an id comes before all others; rows of one id and text are one document;
+    an empty table stays empty; other columns are as they were.
+    """
     return suffix_dedup.cleaned(docs, REPEAT_BYTES).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that sources, languages and topics meet their target weights."""
+    """Documents drawn so that sources, languages and topics meet their target weights.
+
+    Null sources and languages are a value of their own; a document without tokens is drawn as its cell is; repeated rows share their fate; an empty table stays empty;
+    other columns are as they were.
+    """
     return source_mixing.mixed(docs, MIX_BUDGET)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids; the texts are those that the ids decode to."""
+    """Token ids; the texts are those that the ids decode to.
+
+    A null text becomes an empty one without ids; texts of any length are encoded whole; repeated rows stay; other columns than those named are dropped; an empty table stays empty.
+    """
     encoded = byte_bpe.encode_column(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return encoded.select("doc_id", F.decode("decoded", "UTF-8").alias("text"), "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
