@@ -37,7 +37,7 @@ LENGTH, GRAM = 100, 32
 #: Bytes that quicksort looks at before the tries take over, and the largest group given to a trie.
 SHALLOW, TRIE_MAX = 40, 64
 #: Stretches sorted at once.
-CHUNK = 8_000
+CHUNK = 2_000
 _BYTE = np.random.default_rng(23).integers(0, 2**64, 256, dtype=U)
 _PLACE_BITS = U(24)
 SEGMENT = 1 << 23
