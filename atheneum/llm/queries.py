@@ -6,14 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, jaccard_trie, language_crf, quality_cascade, source_mixing, suffix_dedup, token_cache, topk_blocks, toxicity_fm
+from . import byte_bpe, chat_format, filter_audit, jaccard_trie, language_crf, quality_cascade, ranked_search, source_mixing, suffix_dedup, token_cache, topk_blocks, toxicity_fm
 from .common import fold_of, load, scratch
 
 #: The paths of the vocabularies are parameters; these are the installed public ones.
 PIECE_MODEL, BYTE_RANKS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The setting that names the folder of a token cache which lasts from run to run.
 TOKEN_CACHE = "spark.atheneum.tokenCache"
-TOKEN_LIMIT, TOP_K, QUERY_STEP, MIX_BUDGET = 4096, 20, 20, 0.8
+TOKEN_LIMIT, TOP_K, QUERY_STEP, MIX_BUDGET, RANKED = 4096, 20, 20, 0.8, 50
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,17 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("probability", 5).alias("probability"), "drawn")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_jaccard_join, op4_token_counts, op5_byte_bpe, op6_toxicity, op7_quality_rules, op8_topk_search, op9_chat_format, op10_source_mixing)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from each source, for every order of them."""
+    return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that rank highest for each benchmark item."""
+    return ranked_search.ranked_search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), RANKED)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_jaccard_join, op4_token_counts, op5_byte_bpe, op6_toxicity, op7_quality_rules, op8_topk_search, op9_chat_format, op10_source_mixing, op11_filter_audit, op13_ranked_search)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 OP7_SQL = rf"""
@@ -120,4 +130,39 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op7_quality_rules": OP7_SQL, "op8_topk_search": OP8_SQL, "op9_chat_format": OP9_SQL}
+_SUBSETS = ", ".join(f"count(*) FILTER (bits & {s} = 0) AS k{s}, count(*) FILTER (good AND bits & {s} = 0) AS g{s}, count(*) FILTER (toxic AND bits & {s} = 0) AS t{s}" for s in range(32))
+_LISTS = ", ".join(f"[{', '.join(f'{c}{s}' for s in range(32))}] AS {c}" for c in "kgt")
+OP11_SQL = rf"""
+WITH l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT coalesce(CAST(doc_id AS HUGEINT), CAST(-9223372036854775808 AS HUGEINT) - 1) AS i, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{_WORD}') AS words FROM d),
+b AS (SELECT part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic, CASE WHEN len(words) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN i > min(i) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS bits FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, {_SUBSETS} FROM b GROUP BY part),
+s AS (SELECT part, {_LISTS} FROM c),
+f AS (SELECT unnest([0, 1, 2, 3, 4]) AS f),
+o AS (SELECT f0.f AS a0, f1.f AS a1, f2.f AS a2, f3.f AS a3, f4.f AS a4 FROM f f0, f f1, f f2, f f3, f f4 WHERE len(list_distinct([f0.f, f1.f, f2.f, f3.f, f4.f])) = 5),
+p AS (SELECT unnest([{{'o': [a0, a1, a2, a3, a4], 'step': 1, 'f': a0, 'b': 0}}, {{'o': [a0, a1, a2, a3, a4], 'step': 2, 'f': a1, 'b': 1 << a0}}, {{'o': [a0, a1, a2, a3, a4], 'step': 3, 'f': a2, 'b': (1 << a0) + (1 << a1)}},
+  {{'o': [a0, a1, a2, a3, a4], 'step': 4, 'f': a3, 'b': (1 << a0) + (1 << a1) + (1 << a2)}}, {{'o': [a0, a1, a2, a3, a4], 'step': 5, 'f': a4, 'b': 31 - (1 << a4)}}]) AS x FROM o),
+r AS (SELECT part, array_to_string(list_transform(x.o, lambda v: substr('ABCDE', v + 1, 1)), '') AS filter_order, CAST(x.step AS INTEGER) AS step, x.f AS f,
+  k[x.b + (1 << x.f) + 1] AS kept, k[x.b + 1] - k[x.b + (1 << x.f) + 1] AS removed, k[1] - k[(1 << x.f) + 1] AS failing, k[32 - (1 << x.f)] - k[32] AS unique_fails,
+  g[x.b + 1] - g[x.b + (1 << x.f) + 1] AS good_lost, t[x.b + 1] - t[x.b + (1 << x.f) + 1] AS toxic_lost FROM s, p)
+SELECT part, filter_order, step, kept, removed, failing - removed AS redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '{_TERM}') AS terms FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS N, CAST(sum(len(terms)) AS BIGINT) AS L FROM d WHERE len(terms) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWERED}, '{_TERM}')) AS term FROM benchmark),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * N + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+m AS (SELECT r, doc_id, 50 + (50 * len(terms) * N) // L AS m FROM d, s WHERE len(terms) > 0),
+c AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score FROM c WHERE score > 0)
+SELECT * FROM k WHERE rank <= 50
+"""
+
+ORACLE_SQL = {"op7_quality_rules": OP7_SQL, "op8_topk_search": OP8_SQL, "op9_chat_format": OP9_SQL, "op11_filter_audit": OP11_SQL, "op13_ranked_search": OP13_SQL}

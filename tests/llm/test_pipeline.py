@@ -11,7 +11,7 @@ from atheneum.llm import byte_bpe, queries, suffix_dedup
 from atheneum.llm.common import load, written
 
 SMALL = "/root/testdata/sf0.001"
-SQL_TABLES = ("documents", "embeddings", "conversations")
+SQL_TABLES = ("documents", "embeddings", "conversations", "labels", "benchmark")
 
 
 def test_stages_against_brute_force(spark):
