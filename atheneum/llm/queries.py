@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, filter_audit, jaccard_trie, language_crf, quality_cascade, ranked_search, source_mixing, suffix_dedup, token_cache, topk_blocks, toxicity_fm
+from . import byte_bpe, chat_format, filter_audit, jaccard_trie, language_crf, main_text, quality_cascade, ranked_search, source_mixing, suffix_dedup, token_cache, topk_blocks, toxicity_fm
 from .common import fold_of, load, scratch
 
 #: The paths of the vocabularies are parameters; these are the installed public ones.
@@ -74,12 +74,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text.extract(load(spark, sf_dir, "pages"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 documents that rank highest for each benchmark item."""
     return ranked_search.ranked_search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), RANKED)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_jaccard_join, op4_token_counts, op5_byte_bpe, op6_toxicity, op7_quality_rules, op8_topk_search, op9_chat_format, op10_source_mixing, op11_filter_audit, op13_ranked_search)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_jaccard_join, op4_token_counts, op5_byte_bpe, op6_toxicity, op7_quality_rules, op8_topk_search, op9_chat_format, op10_source_mixing, op11_filter_audit, op12_html_extraction, op13_ranked_search)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 OP7_SQL = rf"""
