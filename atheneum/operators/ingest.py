@@ -72,7 +72,7 @@ def attempt(raw: DataFrame, books: DataFrame, chapters: DataFrame, shelves: Data
 
 def aborted_after(results: DataFrame, most: int = MAX_FAILURES) -> int | None:
     """The page_id, in order, at which ``most`` pages in a row have failed; None if that never happened. Runs are found by numbering, not by a walk."""
-    rows = numbered(results.select("page_id", "error"), "page_id")
+    rows = settled(numbered(settled(results.select("page_id", "error")), "page_id"))
     bad = numbered(rows.filter("error IS NOT NULL").select("page_id", F.col("pos").alias("at")), "page_id")
     runs = bad.withColumn("run", F.col("at") - F.col("pos")).groupBy("run").agg(F.count("*").alias("n"), F.min("at").alias("first")).filter(F.col("n") >= most)
     first = runs.agg(F.min("first")).first()[0]

@@ -29,7 +29,7 @@ def create_dedup(jobs: DataFrame, requests: DataFrame) -> DataFrame:
     top = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     rows = requests.select("scope").distinct().join(open_, "scope", "left")
     old = rows.filter("open_id IS NOT NULL").select("scope", F.col("open_id").alias("id"), F.lit(False).alias("is_new"))
-    new = numbered(rows.filter("open_id IS NULL").select("scope"), "scope").join(F.broadcast(top))
+    new = numbered(settled(rows.filter("open_id IS NULL").select("scope")), "scope").join(F.broadcast(top))
     return old.unionByName(new.select("scope", (F.col("top") + F.col("pos")).alias("id"), F.lit(True).alias("is_new")))
 
 
@@ -61,17 +61,29 @@ def enqueue(jobs: DataFrame, scope: str) -> DataFrame:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """(id, status, progress, error) after all events (id, seq, kind, progress, error): only pending and running jobs change, so the first ending stays, cancelling included."""
-    steps = F.array_sort(F.collect_list(F.struct("seq", "kind", "progress", "error")))
-    start = F.struct(F.lit("pending").alias("status"), F.lit(0).cast("long").alias("progress"), F.lit(None).cast("string").alias("error"))
+    """(id, status, progress, error, finished_at, resolved_status, resolved_at) after all events (id, seq, kind, progress, error, happened).
+
+    Only pending and running jobs change, so the first ending stays, cancelling included. A job that succeeds or is cancelled is resolved by that; one that fails is open until
+    the housekeeper decides what becomes of it."""
+    steps = F.array_sort(F.collect_list(F.struct("seq", "kind", "progress", "error", F.col("happened").cast("long").alias("happened"))))
+    none = F.lit(None)
+    start = F.struct(
+        F.lit("pending").alias("status"), F.lit(0).cast("long").alias("progress"), none.cast("string").alias("error"), none.cast("long").alias("finished_at"),
+        none.cast("string").alias("resolved_status"), none.cast("long").alias("resolved_at"),
+    )
 
     def step(s: Column, e: Column) -> Column:
         going = s["status"].isin(*ACTIVE)
-        ending = F.when(e["kind"] == "complete", F.when(e["error"].isNull(), "succeeded").otherwise("failed")).when(e["kind"] == "fail", "failed").when(e["kind"] == "cancel", "cancelled").when(e["kind"] == "claim", "running")
+        ending = F.when(e["kind"] == "complete", F.when(e["error"].isNull(), "succeeded").otherwise("failed")).when(e["kind"] == "fail", "failed").when(e["kind"] == "cancel", "cancelled")
+        status = F.coalesce(ending, F.when(e["kind"] == "claim", "running"))
+        resolved = going & ending.isin("succeeded", "cancelled")
         return F.struct(
-            F.when(going & ending.isNotNull(), ending).otherwise(s["status"]).alias("status"),
+            F.when(going & status.isNotNull(), status).otherwise(s["status"]).alias("status"),
             F.when(going & (e["kind"] == "progress"), e["progress"]).otherwise(s["progress"]).alias("progress"),
             F.when(going & e["kind"].isin("complete", "fail"), e["error"]).otherwise(s["error"]).alias("error"),
+            F.when(going & ending.isNotNull(), e["happened"]).otherwise(s["finished_at"]).alias("finished_at"),
+            F.when(resolved, ending).otherwise(s["resolved_status"]).alias("resolved_status"),
+            F.when(resolved, e["happened"]).otherwise(s["resolved_at"]).alias("resolved_at"),
         )
 
     return events.groupBy("id").agg(F.aggregate(steps, start, step).alias("s")).select("id", "s.*")
@@ -81,19 +93,22 @@ def should_stop(jobs: DataFrame) -> DataFrame:
     return jobs.select("id", (F.col("status") != "running").alias("should_stop"))
 
 
-def ended(jobs: DataFrame, which: Column, error: str) -> DataFrame:
+def ended(jobs: DataFrame, which: Column, error: str, now: int | None) -> DataFrame:
     """Running jobs of ``which`` fail with this error; others stay."""
     hit = (F.col("status") == "running") & which
-    old = F.col("error") if "error" in jobs.columns else F.lit(None).cast("string")
-    return jobs.withColumns({"status": F.when(hit, "failed").otherwise(F.col("status")), "error": F.when(hit, F.lit(error)).otherwise(old)})
+    old = lambda c, kind: F.col(c) if c in jobs.columns else F.lit(None).cast(kind)
+    return jobs.withColumns(
+        {"status": F.when(hit, "failed").otherwise(F.col("status")), "error": F.when(hit, F.lit(error)).otherwise(old("error", "string")), "finished_at": F.when(hit, F.lit(now).cast("long")).otherwise(old("finished_at", "long"))}
+    )
 
 
-def expire(jobs: DataFrame, cutoff: int) -> DataFrame:
-    return ended(jobs, F.col("started_at") < cutoff, "timeout")
+def expire(jobs: DataFrame, cutoff: int, now: int | None = None) -> DataFrame:
+    return ended(jobs, F.col("started_at") < cutoff, "timeout", now)
 
 
-def recover(jobs: DataFrame, worker: str) -> DataFrame:
-    return ended(jobs, F.col("worker_id").isNull() | (F.col("worker_id") == worker), "worker_restart")
+def recover(jobs: DataFrame, worker: str, now: int | None = None) -> DataFrame:
+    """What this worker, or none, left running fails; for when the worker starts."""
+    return ended(jobs, F.col("worker_id").isNull() | (F.col("worker_id") == worker), "worker_restart", now)
 
 
 def has_successor(jobs: DataFrame) -> DataFrame:
@@ -114,42 +129,50 @@ def chain_lengths(jobs: DataFrame, most: int = MAX_CHAIN) -> DataFrame:
 
 
 def reconcile(jobs: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
-    """(id, scope, decision) of each failed job that is still open: superseded, gave_up or retried."""
+    """(id, scope, decision) of each failed job that is still open: superseded, gave_up or retried.
+
+    Jobs are decided by id, and the retry of one is a successor of all later failures of its scope: of these only the first is retried."""
     rows = jobs.filter(failed_open()).select("id", "scope").join(has_successor(jobs), "id").join(chain_lengths(jobs), "id")
-    return rows.select("id", "scope", F.when(F.col("has_successor"), "superseded").when(F.col("chain") >= max_retries, "gave_up").otherwise("retried").alias("decision"))
+    rows = rows.select("id", "scope", F.when(F.col("has_successor"), "superseded").when(F.col("chain") >= max_retries, "gave_up").otherwise("retried").alias("decision"))
+    rows = settled(rows)
+    first = rows.filter("decision = 'retried'").groupBy("scope").agg(F.min("id").alias("first"))
+    return rows.join(first, "scope", "left").select("id", "scope", F.when(F.col("id") > F.col("first"), "superseded").otherwise(F.col("decision")).alias("decision"))
 
 
 def retries(decisions: DataFrame, top: int) -> DataFrame:
     """New pending jobs (id, scope, status, retry_of) for those to be retried."""
-    rows = numbered(decisions.filter("decision = 'retried'").select(F.col("id").alias("retry_of"), "scope"), "retry_of")
+    rows = numbered(settled(decisions.filter("decision = 'retried'").select(F.col("id").alias("retry_of"), "scope")), "retry_of")
     return rows.select((F.lit(top) + F.col("pos")).cast("long").alias("id"), "scope", F.lit("pending").alias("status"), "retry_of")
 
 
-def housekeep(jobs: DataFrame, worker: str, now: int, timeout: int = TIMEOUT, keep: int = KEEP, max_retries: int = MAX_RETRIES) -> DataFrame:
-    """``jobs`` after one round of housekeeping: what this worker left running and what runs too long fails; failed jobs are superseded, given up or retried, which adds jobs;
-    ended ones that were resolved ``keep`` seconds ago or before go to the archive, so they are gone here."""
-    columns = jobs.columns
-    if "error" not in columns:
-        jobs = jobs.withColumn("error", F.lit(None).cast("string"))
-    swept = settled(expire(recover(jobs, worker), now - timeout))
+def housekeep(jobs: DataFrame, now: int, timeout: int = TIMEOUT, keep: int = KEEP, max_retries: int = MAX_RETRIES) -> DataFrame:
+    """``jobs`` after one round of housekeeping: what runs too long fails; ended jobs that were resolved ``keep`` seconds ago or before are closed; failed ones are closed as superseded,
+    given up or retried, which adds jobs. Nothing is dropped: closed jobs still count as successors and as links of their chains. What a worker left running is
+    another matter (``recover``), once, when it starts."""
+    for column, kind in (("error", "string"), ("prev_status", "string"), ("finished_at", "long")):
+        if column not in jobs.columns:
+            jobs = jobs.withColumn(column, F.lit(None).cast(kind))
+    swept = expire(jobs, now - timeout, now)
+    swept = settled(close(swept, archivable(swept, now - keep)))
     decided = settled(reconcile(swept, max_retries))
-    rows = swept.join(decided.select("id", "decision"), "id", "left")
-    rows = rows.withColumns({"resolved_status": F.coalesce("decision", "resolved_status"), "resolved_at": F.when(F.col("decision").isNotNull(), F.lit(now).cast("long")).otherwise(F.col("resolved_at"))}).drop("decision")
     top = swept.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    rows = rows.unionByName(retries(decided, top), allowMissingColumns=True)
-    return rows.join(archivable(rows, now - keep), "id", "left_anti").select(*dict.fromkeys([*columns, "error"]))
+    return close(swept, decided.select("id", F.col("decision").alias("resolved"))).unionByName(retries(decided, top), allowMissingColumns=True)
 
 
-def close(jobs: DataFrame, ids: list[int], resolved: str | None, now: int) -> DataFrame:
-    hit = F.col("id").isin(ids) & (F.col("status") != "closed")
-    return jobs.withColumns(
+def close(jobs: DataFrame, which: DataFrame) -> DataFrame:
+    """``jobs`` with those of ``which`` (id, and maybe ``resolved``) closed: the status before is kept, and so is how they were resolved unless it is given. When they were resolved stays."""
+    gone = which.select("id", F.col("resolved") if "resolved" in which.columns else F.lit(None).cast("string").alias("resolved"), F.lit(True).alias("_close")).dropDuplicates(["id"])
+    rows = jobs.join(gone, "id", "left")
+    hit = F.col("_close").isNotNull() & (F.col("status") != "closed")
+    before = F.col("prev_status") if "prev_status" in jobs.columns else F.lit(None).cast("string")
+    rows = rows.withColumns(
         {
-            "prev_status": F.when(hit, F.col("status")),
-            "resolved_status": F.when(hit & F.lit(resolved is not None), F.lit(resolved)).otherwise(F.col("resolved_status")),
-            "resolved_at": F.when(hit, F.lit(now).cast("long")).otherwise(F.col("resolved_at")),
+            "prev_status": F.when(hit, F.col("status")).otherwise(before),
+            "resolved_status": F.when(hit, F.coalesce("resolved", "resolved_status")).otherwise(F.col("resolved_status")),
             "status": F.when(hit, "closed").otherwise(F.col("status")),
         }
     )
+    return rows.select(*dict.fromkeys([*jobs.columns, "prev_status"]))
 
 
 def archivable(jobs: DataFrame, cutoff: int) -> DataFrame:
@@ -160,7 +183,7 @@ def listing(jobs: DataFrame, recent: int) -> DataFrame:
     """(section, pos, id, scope, status): all that is going on by id, then the most recent ends, newest first."""
     going = numbered(jobs.filter(F.col("status").isin(*OPEN_ENDED)).select("id", "scope", "status"), "id").withColumn("section", F.lit(0))
     done = jobs.filter(F.col("status").isin(*TERMINAL)).orderBy(F.desc("id")).limit(recent)
-    done = numbered(done.select("id", "scope", "status"), F.desc("id")).withColumn("section", F.lit(1))
+    done = numbered(done.select("id", "scope", "status"), "id", descending=True).withColumn("section", F.lit(1))
     return going.unionByName(done).select("section", F.col("pos").cast("int").alias("pos"), "id", "scope", "status")
 
 

@@ -45,11 +45,14 @@ _SUCCESSOR = "SELECT id, EXISTS (SELECT 1 FROM kb_jobs b WHERE b.scope = a.scope
 query("job_has_successor", _SUCCESSOR)(lambda k: jobs.has_successor(k.jobs))
 _CHAIN = "c AS (SELECT id, retry_of, 1 AS n FROM kb_jobs UNION ALL SELECT c.id, j.retry_of, c.n + 1 FROM c JOIN kb_jobs j ON j.id = c.retry_of WHERE c.n < 1024), chains AS (SELECT id, max(n)::BIGINT AS chain FROM c GROUP BY id)"
 query("agg_retry_chain_len", f"WITH RECURSIVE {_CHAIN} SELECT id, chain FROM chains")(lambda k: jobs.chain_lengths(k.jobs))
-_RECONCILE = f"WITH RECURSIVE {_CHAIN}, s AS ({_SUCCESSOR}) SELECT id, scope, CASE WHEN has_successor THEN 'superseded' WHEN chain >= 5 THEN 'gave_up' ELSE 'retried' END AS decision FROM kb_jobs JOIN s USING (id) JOIN chains USING (id) WHERE status = 'failed' AND resolved_status IS NULL"
-query("job_reconcile", _RECONCILE)(lambda k: jobs.reconcile(k.jobs))
-query("job_retry", f"WITH RECURSIVE {_CHAIN}, s AS ({_SUCCESSOR}) SELECT (SELECT max(id) FROM kb_jobs) + row_number() OVER (ORDER BY id) AS id, scope, id AS retry_of FROM kb_jobs JOIN s USING (id) JOIN chains USING (id) WHERE status = 'failed' AND resolved_status IS NULL AND NOT has_successor AND chain < 5")(lambda k: jobs.retries(jobs.reconcile(k.jobs), k.jobs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]).select("id", "scope", "retry_of"))
-query("job_close", "SELECT id, CASE WHEN id IN (1, 2, 3, 4, 900) THEN 'closed' ELSE status END AS status, CASE WHEN id IN (1, 2, 3, 4, 900) THEN status END AS prev_status, CASE WHEN id IN (1, 2, 3, 4, 900) THEN 'gave_up' ELSE resolved_status END AS resolved_status FROM kb_jobs")(
-    lambda k: jobs.close(k.jobs, [1, 2, 3, 4, 900], "gave_up", 77).select("id", "status", "prev_status", "resolved_status")
+# Failed jobs are decided by id; the retry of one comes after all others of its scope, so it supersedes the later failures.
+_DECIDED = f"""s AS ({_SUCCESSOR}), d0 AS (SELECT id, scope, CASE WHEN has_successor THEN 'superseded' WHEN chain >= 5 THEN 'gave_up' ELSE 'retried' END AS decision
+ FROM kb_jobs JOIN s USING (id) JOIN chains USING (id) WHERE status = 'failed' AND resolved_status IS NULL),
+ d AS (SELECT id, scope, CASE WHEN EXISTS (SELECT 1 FROM d0 e WHERE e.scope = d0.scope AND e.id < d0.id AND e.decision = 'retried') THEN 'superseded' ELSE decision END AS decision FROM d0)"""
+query("job_reconcile", f"WITH RECURSIVE {_CHAIN}, {_DECIDED} SELECT id, scope, decision FROM d")(lambda k: jobs.reconcile(k.jobs))
+query("job_retry", f"WITH RECURSIVE {_CHAIN}, {_DECIDED} SELECT (SELECT max(id) FROM kb_jobs) + row_number() OVER (ORDER BY id) AS id, scope, id AS retry_of FROM d WHERE decision = 'retried'")(lambda k: jobs.retries(jobs.reconcile(k.jobs), k.jobs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]).select("id", "scope", "retry_of"))
+query("job_close", "SELECT id, CASE WHEN id % 7 = 0 THEN 'closed' ELSE status END AS status, CASE WHEN id % 7 = 0 THEN status END AS prev_status, CASE WHEN id % 7 = 0 AND id % 2 = 0 THEN 'gave_up' ELSE resolved_status END AS resolved_status, resolved_at FROM kb_jobs")(
+    lambda k: jobs.close(k.jobs, k.jobs.filter("id % 7 = 0").select("id", F.when(F.col("id") % 2 == 0, "gave_up").alias("resolved"))).select("id", "status", "prev_status", "resolved_status", "resolved_at")
 )
 query("job_archive", "SELECT id FROM kb_jobs WHERE status IN ('succeeded', 'cancelled') AND resolved_at <= 2500")(lambda k: jobs.archivable(k.jobs, 2500))
 _LISTING = "SELECT 0 AS section, row_number() OVER (ORDER BY id)::INT AS pos, id, scope, status FROM kb_jobs WHERE status IN ('pending', 'running', 'failed') UNION ALL SELECT 1, row_number() OVER (ORDER BY id DESC)::INT, id, scope, status FROM (SELECT * FROM kb_jobs WHERE status IN ('succeeded', 'cancelled', 'closed') ORDER BY id DESC LIMIT 15)"
@@ -57,34 +60,15 @@ for _name in ("union_jobs_view", "job_lists"):
     query(_name, _LISTING)(lambda k: jobs.listing(k.jobs, 15))
 
 
-def job_events(k: Knowledge, *steps: tuple):
-    """(id, seq, kind, progress, error) of each job: these steps, one after the other; a step may be left out where its kind is null."""
-    rows = [k.jobs.select("id", F.lit(i).alias("seq"), kind.alias("kind"), progress.cast("long").alias("progress"), error.cast("string").alias("error")).filter("kind IS NOT NULL") for i, (kind, progress, error) in enumerate(steps)]
-    return reduce(DataFrame.unionByName, rows)
-
-
-_CLAIM, _COMPLETE = ("claim", None, None), ("complete", None, None)
-
-
-def _steps(*steps: tuple) -> list[tuple]:
-    some = lambda x: F.lit(x) if x is None or isinstance(x, str) else x()
-    return [tuple(map(some, s)) for s in steps]
-
-
-_FOLDED = "SELECT id, {} AS status, {} AS progress, {} AS error FROM kb_jobs"
-query("job_complete", _FOLDED.format("CASE WHEN id % 4 = 0 THEN 'running' WHEN id % 4 = 1 THEN 'failed' ELSE 'succeeded' END", "0::BIGINT", "CASE WHEN id % 4 = 1 THEN 'broke' END"))(
-    lambda k: jobs.fold(job_events(k, *_steps(_CLAIM, (lambda: F.when(F.col("id") % 4 > 0, "complete"), None, lambda: F.when(F.col("id") % 4 == 1, "broke")))))
-)
-query("job_fail", _FOLDED.format("'failed'", "0::BIGINT", "CASE WHEN id % 3 = 0 THEN 'first' ELSE 'second' END"))(
-    lambda k: jobs.fold(job_events(k, *_steps(_CLAIM, (lambda: F.when(F.col("id") % 3 == 0, "fail"), None, "first"), ("fail", None, "second"), _COMPLETE)))
-)
-query("job_cancel", _FOLDED.format("CASE WHEN id % 2 = 0 THEN 'cancelled' ELSE 'succeeded' END", "id % 50", "NULL::VARCHAR"))(
-    # A cancelled job takes neither the progress nor the ending that its worker still sends.
-    lambda k: jobs.fold(job_events(k, *_steps(_CLAIM, ("progress", lambda: F.col("id") % 50, None), (lambda: F.when(F.col("id") % 2 == 0, "cancel"), None, None), (lambda: F.when(F.col("id") % 2 == 0, "progress"), lambda: F.lit(99), None), _COMPLETE)))
-)
-query("job_progress", _FOLDED.format("'running'", "id % 50 + 1", "NULL::VARCHAR"))(
-    lambda k: jobs.fold(job_events(k, *_steps(_CLAIM, ("progress", lambda: F.col("id") % 50, None), ("progress", lambda: F.col("id") % 50 + 1, None))))
-)
+# What happened to jobs, one row an event of the log: a folded job has had its first ending, whatever came later.
+_LAST = """WITH e AS (SELECT *, min(CASE WHEN kind IN ('complete', 'fail', 'cancel') THEN seq END) OVER (PARTITION BY id) AS ending FROM kb_job_events), g AS (SELECT * FROM e WHERE ending IS NULL OR seq <= ending),
+ f AS (SELECT id, coalesce(max(CASE WHEN seq = ending THEN CASE WHEN kind = 'complete' AND error IS NULL THEN 'succeeded' WHEN kind = 'cancel' THEN 'cancelled' ELSE 'failed' END END), CASE WHEN bool_or(kind = 'claim') THEN 'running' ELSE 'pending' END) AS status,
+  coalesce(arg_max(progress, seq) FILTER (kind = 'progress'), 0)::BIGINT AS progress, max(error) FILTER (seq = ending AND kind <> 'cancel') AS error, max(happened) FILTER (seq = ending) AS finished_at FROM g GROUP BY id)"""
+query("job_progress", f"{_LAST} SELECT id, status, progress FROM f")(lambda k: jobs.fold(k.job_events).select("id", "status", "progress"))
+for _name, _status in (("job_complete", "succeeded"), ("job_fail", "failed"), ("job_cancel", "cancelled")):
+    query(_name, f"{_LAST} SELECT id, error, finished_at, CASE WHEN status <> 'failed' THEN status END AS resolved_status, CASE WHEN status <> 'failed' THEN finished_at END AS resolved_at FROM f WHERE status = '{_status}'")(
+        lambda k, status=_status: jobs.fold(k.job_events).filter(F.col("status") == status).select("id", "error", "finished_at", "resolved_status", "resolved_at")
+    )
 query("job_dispatch", "SELECT id, CASE WHEN id % 4 = 3 THEN NULL WHEN id % 4 = 2 THEN 'all' ELSE 'book' END AS kind, CASE WHEN id % 4 < 2 THEN CAST(substr(scope, 6) AS BIGINT) END AS target, CASE WHEN id % 4 = 3 THEN 'unknown scope ' || 'x' || scope END AS error FROM kb_jobs")(
     lambda k: k.jobs.select("id", jobs.dispatch(F.when(F.col("id") % 4 == 3, F.concat(F.lit("x"), "scope")).when(F.col("id") % 4 == 2, "all").otherwise(F.col("scope"))).alias("d")).select("id", "d.kind", F.col("d.id").alias("target"), "d.error")
 )
@@ -149,14 +133,17 @@ def _reconciled(k: Knowledge):
     return out.unionByName(more.select(F.lit("job").alias("kind"), F.lit(None).cast("long").alias("id"), F.col("scope").alias("name")))
 
 
-_FAILS = "(status = 'failed' OR (status = 'running' AND (coalesce(worker_id, 'w1') = 'w1' OR started_at < 1400)))"
-query("housekeeper", f"""WITH RECURSIVE {_CHAIN}, f AS (SELECT *, {_FAILS} AS fails FROM kb_jobs), x AS (SELECT *, fails AND resolved_status IS NULL AS open FROM f),
- s AS (SELECT x.id, x.scope, x.fails, x.status, x.resolved_status, x.resolved_at, x.open, CASE WHEN l.last_ok > x.id THEN 'superseded' WHEN chain >= 5 THEN 'gave_up' ELSE 'retried' END AS decision
-  FROM x JOIN chains USING (id) LEFT JOIN (SELECT scope, max(id) AS last_ok FROM x WHERE NOT fails GROUP BY scope) l USING (scope)),
- r AS (SELECT (SELECT max(id) FROM kb_jobs) + row_number() OVER (ORDER BY id) AS id, scope, 'pending' AS status, NULL AS resolved_status, id AS retry_of FROM s WHERE open AND decision = 'retried')
- SELECT id, scope, CASE WHEN fails THEN 'failed' ELSE status END AS status, CASE WHEN open THEN decision ELSE resolved_status END AS resolved_status, CAST(NULL AS BIGINT) AS retry_of FROM s
-  WHERE fails OR status NOT IN ('succeeded', 'cancelled') OR resolved_at IS NULL OR resolved_at > 4970 UNION ALL SELECT * FROM r""")(
-    lambda k: jobs.housekeep(k.jobs, "w1", 5000).select("id", "scope", "status", "resolved_status", F.when(F.col("id") > k.jobs.agg(F.max("id")).first()[0], F.col("retry_of")).alias("retry_of"))
+# First what runs too long fails, then what was resolved 30 seconds ago is closed, then failed jobs are decided and closed; retries are added, nothing goes.
+query("housekeeper", f"""WITH RECURSIVE {_CHAIN}, x AS (SELECT *, CASE WHEN status = 'running' AND started_at < 1400 THEN 'failed' ELSE status END AS now_status FROM kb_jobs),
+ y AS (SELECT *, now_status IN ('succeeded', 'cancelled') AND coalesce(resolved_at <= 4970, false) AS archived, now_status = 'failed' AND resolved_status IS NULL AS open FROM x),
+ ok AS (SELECT scope, max(id) AS last_ok FROM y WHERE now_status <> 'failed' GROUP BY scope),
+ d0 AS (SELECT id, scope, CASE WHEN last_ok > id THEN 'superseded' WHEN chain >= 5 THEN 'gave_up' ELSE 'retried' END AS decision FROM y JOIN chains USING (id) LEFT JOIN ok USING (scope) WHERE open),
+ fr AS (SELECT scope, min(id) AS first FROM d0 WHERE decision = 'retried' GROUP BY scope),
+ d AS (SELECT id, scope, CASE WHEN id > first THEN 'superseded' ELSE decision END AS decision FROM d0 LEFT JOIN fr USING (scope))
+ SELECT id, y.scope, CASE WHEN archived OR open THEN 'closed' ELSE now_status END AS status, CASE WHEN archived OR open THEN now_status END AS prev_status, coalesce(decision, resolved_status) AS resolved_status, resolved_at, retry_of
+  FROM y LEFT JOIN d USING (id)
+ UNION ALL SELECT (SELECT max(id) FROM kb_jobs) + row_number() OVER (ORDER BY id), scope, 'pending', NULL, NULL, NULL, id FROM d WHERE decision = 'retried'""")(
+    lambda k: jobs.housekeep(k.jobs, 5000).select("id", "scope", "status", "prev_status", "resolved_status", "resolved_at", "retry_of")
 )
 query("embed_outcome", """WITH e AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS pos, page_id % 40 < 12 AND page_id >= 100 AS bad FROM kb_pages), f AS (SELECT *, pos - row_number() OVER (ORDER BY pos) AS run FROM e WHERE bad),
  a AS (SELECT min(first) + 9 AS last FROM (SELECT run, min(pos) AS first, count(*) AS n FROM f GROUP BY run) WHERE n >= 10)

@@ -41,11 +41,35 @@ def pool(df: DataFrame, most: int) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.schema)  # from Arrow, so that the planner knows its size
 
 
-def numbered(df: DataFrame, *order: str | Column, name: str = "pos") -> DataFrame:
-    """``df`` with its place, from 1, in this order (which should have no ties): ranges of the order are numbered apart, after the counts of those before, so no task sees all rows."""
-    ranged = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+#: Ranges that an order is numbered in at most, and sampled keys of each.
+RANGES, KEYS_A_RANGE = 256, 32
+
+
+def numbered(df: DataFrame, *order: str, name: str = "pos", descending: bool = False) -> DataFrame:
+    """``df`` with its place, from 1, in the order of these columns (which should have no ties).
+
+    Keys with the smallest hashes are a sample whose quantiles cut the order into ranges; rows are numbered within their range, after the counts of the ranges before, so no task
+    sees all rows. The ranges are constants of the plan: nothing is checkpointed, and filters and columns still reach the scan."""
+    ranges = min(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sample = df.select(*order).orderBy(F.xxhash64(*order)).limit(ranges * KEYS_A_RANGE)
+    keys = df.sparkSession.createDataFrame(sample.toArrow(), df.select(*order).schema).orderBy(*order).collect()
+    if len(keys) < ranges * KEYS_A_RANGE:  # these are all rows: one range
+        cuts = []
+    else:
+        cuts = [F.struct(*[F.lit(k[c]).cast(df.schema[c].dataType).alias(c) for c in order]) for k in keys[KEYS_A_RANGE::KEYS_A_RANGE]]
+
+    def range_of(low: int, high: int) -> Column:
+        """How many of the cuts a key has reached, between these; halved at each comparison."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.struct(*order) >= cuts[middle], range_of(middle + 1, high)).otherwise(range_of(low, middle))
+
+    part = range_of(0, len(cuts))
+    ranged = df.withColumn("_part", -part if descending else part)
     counts = ranged.groupBy("_part").count()
-    # One row a range: this window is over as many rows as there are partitions.
+    # One row a range: this window is over as many rows as there are ranges.
     before = counts.select("_part", F.coalesce(F.sum("count").over(Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    within = Window.partitionBy("_part").orderBy(*[F.desc(c) if descending else F.asc(c) for c in order])
+    place = F.row_number().over(within) + F.col("_before")
     return ranged.join(F.broadcast(before), "_part").withColumn(name, place.cast("long")).drop("_part", "_before")

@@ -33,6 +33,11 @@ VIEWS: dict[str, str] = {
         CAST(1000 + o_orderkey AS BIGINT) AS started_at, CASE WHEN o_orderkey % 5 = 0 THEN 'retried' END AS resolved_status,
         CASE WHEN o_orderkey % 2 = 0 THEN CAST(2000 + o_orderkey AS BIGINT) END AS resolved_at, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 'w1' ELSE 'w2' END AS worker_id
         FROM {orders}""",
+    # Ten events in a row are what happened to one job.
+    "kb_job_events": """SELECT CAST(floor(event_id / 10) AS BIGINT) AS id, event_id AS seq,
+        CASE event_type WHEN 'view' THEN 'progress' WHEN 'click' THEN 'claim' WHEN 'signup' THEN 'complete' WHEN 'error' THEN 'fail' ELSE CASE WHEN event_id % 3 = 0 THEN 'cancel' ELSE 'progress' END END AS kind,
+        CASE WHEN event_type NOT IN ('click', 'signup', 'error') THEN CAST(event_id % 100 AS BIGINT) END AS progress,
+        CASE WHEN event_type = 'error' OR event_type = 'signup' AND event_id % 4 = 1 THEN concat('error ', CAST(event_id % 7 AS VARCHAR(9))) END AS error, CAST(5000 + event_id AS BIGINT) AS happened FROM {events}""",
     "kb_events": """SELECT event_id, ts, CASE event_type WHEN 'view' THEN 'page_update' WHEN 'click' THEN 'page_create' WHEN 'signup' THEN 'role_update'
         WHEN 'error' THEN 'page_delete' ELSE 'book_update' END AS event, CAST(user_id AS BIGINT) AS item_id FROM {events}""",
     # All kinds of events, with the book that a chapter's event names.

@@ -94,7 +94,7 @@ def test_numbering(spark):
     from atheneum.sources.staging import numbered
 
     rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x"), F.col("id").alias("y"))
-    assert all(r.pos == r.x + 1 for r in numbered(rows, "x").collect()) and all(r.pos == 1000 - r.x for r in numbered(rows, F.desc("x")).collect())
+    assert all(r.pos == r.x + 1 for r in numbered(rows, "x").collect()) and all(r.pos == 1000 - r.x for r in numbered(rows, "x", descending=True).collect())
     assert numbered(rows.limit(0), "x").count() == 0
 
 
@@ -216,14 +216,48 @@ def test_tree(spark):
 
 
 def test_jobs(spark):
-    log = spark.createDataFrame([(1, 1, "claim", None, None), (1, 2, "cancel", None, None), (1, 3, "complete", None, None), (2, 1, "claim", None, None), (2, 2, "progress", 7, None), (2, 3, "fail", None, "e")], "id long, seq int, kind string, progress long, error string")
-    assert {r.id: (r.status, r.progress, r.error) for r in jobs.fold(log).collect()} == {1: ("cancelled", 0, None), 2: ("failed", 7, "e")}
+    log = [(1, 1, "claim", None, None, 10), (1, 2, "cancel", None, None, 11), (1, 3, "complete", None, None, 12), (2, 1, "claim", None, None, 20), (2, 2, "progress", 7, None, 21), (2, 3, "fail", None, "e", 22), (3, 1, "claim", None, None, 30), (3, 2, "complete", None, None, 31), (4, 1, "complete", None, "broke", 40)]
+    rows = jobs.fold(spark.createDataFrame(log, "id long, seq int, kind string, progress long, error string, happened long")).collect()
+    # What succeeds or is cancelled is resolved by that; what fails stays open.
+    assert {r.id: tuple(r)[1:] for r in rows} == {
+        1: ("cancelled", 0, None, 11, "cancelled", 11), 2: ("failed", 7, "e", 22, None, None), 3: ("succeeded", 0, None, 31, "succeeded", 31), 4: ("failed", 0, "broke", 40, None, None),
+    }
     queue = spark.createDataFrame([(1, "a", "failed", None, None), (2, "a", "succeeded", None, None), (3, "b", "failed", None, None)] + [(10 + i, "c", "failed", 9 + i if i else None, None if i == 5 else "retried") for i in range(6)], "id long, scope string, status string, retry_of long, resolved_status string")
     assert {r.id: r.decision for r in jobs.reconcile(queue).collect()} == {1: "superseded", 3: "retried", 15: "gave_up"}
     made = {r.scope: (r.id, r.is_new) for r in jobs.create_dedup(queue, spark.createDataFrame([("b",), ("new",), ("a",)], "scope string")).collect()}
     assert made["b"] == (3, False) and made["a"] == (1, False) and made["new"][1] and made["new"][0] > 15
 
 
+QUEUE = "id long, scope string, status string, retry_of long, started_at long, worker_id string, resolved_status string, resolved_at long"
+
+
+def test_closing_keeps_or_overwrites_how_a_job_was_resolved(spark):
+    queue = spark.createDataFrame([(1, "page:1", "succeeded", None, 1, "w", "succeeded", 5), (2, "page:2", "failed", None, 1, "w", None, None), (3, "page:3", "running", None, 1, "w", None, None)], QUEUE)
+    closed = jobs.close(queue, spark.createDataFrame([(1, None), (2, "retried")], "id long, resolved string"))
+    assert {r.id: (r.status, r.prev_status, r.resolved_status, r.resolved_at) for r in closed.collect()} == {1: ("closed", "succeeded", "succeeded", 5), 2: ("closed", "failed", "retried", None), 3: ("running", None, None, None)}
+    again = jobs.close(closed, spark.createDataFrame([(1, "gave_up")], "id long, resolved string"))  # what is closed stays as it is
+    assert {r.id: (r.prev_status, r.resolved_status) for r in again.collect()}[1] == ("succeeded", "succeeded")
+    assert {r.id for r in jobs.archivable(queue, 5).collect()} == {1} and jobs.archivable(queue, 4).isEmpty()
+
+
+def test_a_failed_job_with_a_successor_is_superseded_two_rounds_later(spark):
+    queue = spark.createDataFrame([(1, "page:7", "running", None, 1000, "w2", None, None), (2, "page:7", "succeeded", None, 1000, "w2", "succeeded", 1100), (3, "page:8", "running", None, 4900, "w1", None, None)], QUEUE)
+    one = jobs.settled(jobs.housekeep(queue, 4500))  # job 2 is closed, not lost; job 1 has not run too long yet
+    assert {r.id: (r.status, r.prev_status) for r in one.collect()} == {1: ("running", None), 2: ("closed", "succeeded"), 3: ("running", None)}
+    two = {r.id: (r.status, r.resolved_status, r.error) for r in jobs.housekeep(one, 4700).collect()}
+    assert two == {1: ("closed", "superseded", "timeout"), 2: ("closed", "succeeded", None), 3: ("running", None, None)}  # the worker's own job goes on
+    assert {r.id: r.status for r in jobs.recover(queue, "w1", 5).collect()}[3] == "failed"
+
+
+def test_only_the_first_failure_of_a_scope_is_retried(spark):
+    rows = [(i, "page:1", "failed", None, 1, "w", None, None) for i in (1, 2, 3)] + [(4, "page:2", "failed", None, 1, "w", None, None)]
+    after = {r.id: (r.status, r.resolved_status, r.retry_of) for r in jobs.housekeep(spark.createDataFrame(rows, QUEUE), 50).collect()}
+    assert after == {1: ("closed", "retried", None), 2: ("closed", "superseded", None), 3: ("closed", "superseded", None), 4: ("closed", "retried", None), 5: ("pending", None, 1), 6: ("pending", None, 4)}
+    chain = [(i, "page:1", "closed" if i < 5 else "failed", i - 1 if i > 1 else None, 1, "w", "retried" if i < 5 else None, None) for i in range(1, 6)]
+    last = [r for r in jobs.housekeep(spark.createDataFrame(chain, QUEUE), 50).collect() if r.id == 5]
+    assert [(r.status, r.resolved_status) for r in last] == [("closed", "gave_up")]
+
+
 def test_paged():
     assert list(paged.walk(lambda o: (list(range(o, min(o + 40, 100))), 100))) == list(range(100))
     assert list(paged.walk(lambda o: ([1, 2] if o == 0 else [], None))) == [1, 2]
