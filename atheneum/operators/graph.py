@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import settled
+
 LINKS, CO_LINKS, SIBLINGS = 20, 10, 20
+#: Pages of a search pool, whose ids become constants of the plan.
+MAX_POOL = 1_000
 
 
 def _first(rows: DataFrame, n: int, *order) -> DataFrame:
@@ -26,16 +30,16 @@ def links_to(edges: DataFrame, pages: DataFrame, n: int = LINKS) -> DataFrame:
 
 
 def co_linked(edges: DataFrame, pages: DataFrame, wanted: DataFrame | None = None, n: int = CO_LINKS) -> DataFrame:
-    """(page_id, neighbour_id): other pages that link to a page it links to. ``wanted`` (page_id) keeps the join to the pages asked for.
-
-    Of the pages that link to a target, the first n + 1 are enough for each of them, so a popular target is joined with these and not with itself.
-    """
+    """(page_id, neighbour_id): other pages that link to a page it links to. ``wanted`` (page_id) keeps the join to the pages asked for."""
     own = edges.select(F.col("source_page_id").alias("page_id"), "target_page_id").distinct()
     there = own.join(pages.select("page_id"), "page_id", "left_semi")
+    return _co_linked(own if wanted is None else own.join(wanted.select("page_id"), "page_id", "left_semi"), there, n)
+
+
+def _co_linked(own: DataFrame, there: DataFrame, n: int = CO_LINKS) -> DataFrame:
+    """Of the pages that link to a target, the first n + 1 are enough for each of them, so a popular target is joined with these and not with itself."""
     rank = F.row_number().over(Window.partitionBy("target_page_id").orderBy("page_id"))
     first = there.withColumn("_r", rank).filter(F.col("_r") <= n + 1).groupBy("target_page_id").agg(F.collect_list("page_id").alias("near"))
-    if wanted is not None:
-        own = own.join(wanted.select("page_id"), "page_id", "left_semi")
     rows = own.join(first, "target_page_id").select("page_id", F.explode("near").alias("neighbour_id"))
     return _first(rows.filter("page_id <> neighbour_id").distinct(), n, "neighbour_id")
 
@@ -45,8 +49,12 @@ def siblings(pages: DataFrame, wanted: DataFrame | None = None, n: int = SIBLING
 
     A window over each chapter or book lists its first n + 1 pages, which are enough for every page in it, so nothing is joined pairwise.
     """
-    all_live = pages.filter(~F.col("deleted"))
     asked = (pages if wanted is None else pages.join(wanted.select("page_id"), "page_id", "left_semi")).select("page_id", "chapter_id", "book_id")
+    return _siblings(asked, pages, n)
+
+
+def _siblings(asked: DataFrame, pages: DataFrame, n: int = SIBLINGS) -> DataFrame:
+    all_live = pages.filter(~F.col("deleted"))
 
     def lists(group: str) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(group).orderBy("page_id"))
@@ -60,16 +68,29 @@ def siblings(pages: DataFrame, wanted: DataFrame | None = None, n: int = SIBLING
 
 
 def blanket(edges: DataFrame, pages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(page_id, relation, neighbour_id): all four kinds of neighbours, with repetitions."""
-    to, of = edges, edges
+    """(page_id, relation, neighbour_id): all four kinds of neighbours, with repetitions. The few pages of a search pool, ``wanted``, are asked for by their ids."""
     if wanted is not None:
-        to = edges.join(wanted.select(F.col("page_id").alias("target_page_id")), "target_page_id", "left_semi")
-        of = edges.join(wanted.select(F.col("page_id").alias("source_page_id")), "source_page_id", "left_semi")
+        ids = [r.page_id for r in wanted.select("page_id").distinct().limit(MAX_POOL + 1).collect()]
+        if len(ids) <= MAX_POOL:
+            return blanket_of_pool(edges, pages, ids)
+    known = pages.select("page_id", F.lit(True).alias("is_page"))
+    ends = edges.join(known.withColumnsRenamed({"page_id": "source_page_id", "is_page": "source_is_page"}), "source_page_id", "left")
+    ends = settled(ends.join(known.withColumnsRenamed({"page_id": "target_page_id", "is_page": "target_is_page"}), "target_page_id", "left"))
+    to, of, there = ends.filter("source_is_page"), ends.filter("target_is_page"), ends.filter("source_is_page")
+    own = ends
+    if wanted is not None:
+        some = settled(wanted.select("page_id").distinct())
+        to, of, own = (x.join(some.withColumnRenamed("page_id", c), c, "left_semi") for x, c in ((to, "target_page_id"), (of, "source_page_id"), (ends, "source_page_id")))
+    return _relations(to, of, own, there, siblings(pages, wanted))
+
+
+def _relations(to: DataFrame, of: DataFrame, own: DataFrame, there: DataFrame, near: DataFrame) -> DataFrame:
+    """From the edges to the pages asked for, those from them, these again for what they share, and the edges that these may share with; edges' other ends are pages."""
     kinds = {
-        "linked_from": linked_from(to, pages).select("page_id", "neighbour_id"),
-        "links_to": links_to(of, pages).select("page_id", "neighbour_id"),
-        "co_linked": co_linked(edges, pages, wanted),
-        "sibling": siblings(pages, wanted),
+        "linked_from": _first(to.select(F.col("target_page_id").alias("page_id"), F.col("source_page_id").alias("neighbour_id"), "link_type"), LINKS, "neighbour_id", "link_type"),
+        "links_to": _first(of.select(F.col("source_page_id").alias("page_id"), F.col("target_page_id").alias("neighbour_id"), "link_type"), LINKS, "neighbour_id", "link_type"),
+        "co_linked": _co_linked(own.select(F.col("source_page_id").alias("page_id"), "target_page_id").distinct(), there.select(F.col("source_page_id").alias("page_id"), "target_page_id").distinct()),
+        "sibling": near,
     }
     out = None
     for name, rows in kinds.items():
@@ -78,6 +99,26 @@ def blanket(edges: DataFrame, pages: DataFrame, wanted: DataFrame | None = None)
     return out
 
 
+def blanket_of_pool(edges: DataFrame, pages: DataFrame, ids: list[int]) -> DataFrame:
+    """The blanket of a few pages: their ids are filters of the scans, so that windows see only edges that touch them, or share a target with them, and pages of their chapters and books."""
+    ends = settled(edges.filter(F.col("source_page_id").isin(ids) | F.col("target_page_id").isin(ids)))
+    return blanket_of_edges(ends.filter(F.col("source_page_id").isin(ids)), ends.filter(F.col("target_page_id").isin(ids)), edges, pages, ids)
+
+
+def blanket_of_edges(outgoing: DataFrame, incoming: DataFrame, edges: DataFrame, pages: DataFrame, ids: list[int]) -> DataFrame:
+    """The same, with the edges from and to these pages; ``edges`` has at least all edges to what they link to."""
+    others = settled(edges.join(outgoing.select("target_page_id").distinct(), "target_page_id", "left_semi").select("source_page_id", "target_page_id").distinct())
+    met = incoming.select(F.col("source_page_id").alias("page_id")).unionAll(outgoing.select("target_page_id")).unionAll(others.select("source_page_id")).distinct()
+    known = settled(pages.join(met, "page_id", "left_semi").select("page_id"))
+    to = incoming.join(known.withColumnRenamed("page_id", "source_page_id"), "source_page_id", "left_semi")
+    of = outgoing.join(known.withColumnRenamed("page_id", "target_page_id"), "target_page_id", "left_semi")
+    there = others.join(known.withColumnRenamed("page_id", "source_page_id"), "source_page_id", "left_semi")
+    rows = pages.filter(F.col("page_id").isin(ids)).select("page_id", "chapter_id", "book_id").collect()
+    asked = pages.sparkSession.createDataFrame(rows, pages.select("page_id", "chapter_id", "book_id").schema)
+    around = pages.filter(F.col("chapter_id").isin(list({r.chapter_id for r in rows} - {None})) | F.col("book_id").isin(list({r.book_id for r in rows} - {None})))
+    return _relations(to, of, outgoing, there, _siblings(asked, around))
+
+
 def strong_weak(neighbours: DataFrame, scored: DataFrame, hits: DataFrame) -> DataFrame:
     """(page_id, strong, weak): neighbours that are scored pages, and those that are only among the raw hits."""
     known = scored.select(F.col("page_id").alias("neighbour_id"), F.lit(True).alias("is_scored")).unionByName(hits.select(F.col("page_id").alias("neighbour_id"), F.lit(False).alias("is_scored")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.merge import MergeTable
 from ..sources.staging import numbered, settled
 
 ACTIVE, OPEN_ENDED, TERMINAL = ("pending", "running"), ("pending", "running", "failed"), ("succeeded", "cancelled", "closed")
@@ -39,16 +40,29 @@ def claim_next(jobs: DataFrame) -> DataFrame:
 
 
 def claim(jobs: DataFrame, worker: str, now: int) -> DataFrame:
-    """``jobs`` after a worker has taken the next pending one: it runs, since ``now``, for this worker. Without a pending job nothing changes.
-
-    A single writer publishes the result as the queue's next snapshot, so no two workers take the same job.
-    """
+    """``jobs`` after a worker has taken the next pending one: it runs, since ``now``, for this worker. Without a pending job nothing changes. ``take`` does it to a queue that several workers share."""
     mine = F.coalesce(F.col("id") == F.col("_next"), F.lit(False))
     rows = jobs.join(F.broadcast(claim_next(jobs).withColumnRenamed("id", "_next")))
     values = {"status": F.lit("running"), "started_at": F.lit(now).cast("long"), "worker_id": F.lit(worker)}
     return rows.withColumns({c: F.when(mine, v).otherwise(F.col(c)) for c, v in values.items()}).drop("_next")
 
 
+def take(queue: MergeTable, worker: str, now: int) -> int | None:
+    """Claims the next pending job of a shared queue and returns its id; None if there is none. The claim is one row, committed only if no one changed the queue since it was read, so each job is taken once."""
+    taken: list[int] = []
+
+    def change(jobs: DataFrame) -> DataFrame | None:
+        taken.clear()
+        first = claim_next(jobs).first().id
+        if first is None:
+            return None
+        taken.append(first)
+        mine = jobs.filter(F.col("id") == first)
+        return mine.withColumns({"status": F.lit("running"), "started_at": F.lit(now).cast("long"), "worker_id": F.lit(worker)})
+
+    return taken[0] if queue.update(change) is not None else None
+
+
 def overdue(jobs: DataFrame, cutoff: int) -> DataFrame:
     """(id) of jobs that have run since before the cutoff."""
     return jobs.filter((F.col("status") == "running") & (F.col("started_at") < cutoff)).select("id")

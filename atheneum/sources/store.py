@@ -1,72 +1,93 @@
-"""Snapshots of tables: each is a new folder, and a pointer says which one holds.
+"""Snapshots of tables: each is a new folder, and a log of commits says which ones hold.
 
-A reader sees the old snapshot or the new one, never a mixture. All paths go through Hadoop's file systems, so they may be in any store Spark reads.
+A reader sees the state of one commit, never a mixture; tables that change together are committed together, and a change made to what another has replaced meanwhile is made again.
+All paths go through Hadoop's file systems, so they may be in any store Spark reads.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .log import Conflict, SnapshotLog, Stale
+
+TABLE, META = "table:", "meta:"
+TRIES = 50
+
+
+class Snapshot:
+    """The tables as of one commit; remembers which were read."""
+
+    def __init__(self, store: Store, version: int, state: dict):
+        self.store, self.version, self.state, self.seen = store, version, state, set()
+
+    def read(self, table: str, schema=None) -> DataFrame:
+        """The table's rows; empty, with the schema given, before its first snapshot."""
+        self.seen.add(table)
+        folder = self.state.get(TABLE + table)
+        if folder is None:
+            if schema is None:
+                raise LookupError(f"{table} has no snapshot")
+            return self.store.spark.createDataFrame([], schema)
+        return self.store.spark.read.parquet(f"{self.store.root}/{folder}")
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._jvm = spark._jvm
-        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-
-    def _read(self, name: str) -> str | None:
-        if not self._fs.exists(self._path(name)):
-            return None
-        stream = self._fs.open(self._path(name))
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def _write(self, name: str, text: str) -> None:
-        """Written beside, then renamed over, so that no reader finds half a file."""
-        beside = self._path(f"{name}.{uuid.uuid4().hex}")
-        stream = self._fs.create(beside)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        options = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        over = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
-        over[0] = getattr(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), "OVERWRITE")
-        options.rename(beside, self._path(name), over)
+        self.spark, self.log = spark, SnapshotLog(spark, root)
+        self.root = self.log.root
 
-    def publish(self, table: str, df: DataFrame, key: list[str] | None = None, number: int | None = None) -> str:
-        """Writes the rows as the table's next snapshot. Keys must be unique; with a number, publishing again writes the same snapshot once more."""
+    def _write(self, table: str, df: DataFrame, key: list[str] | None = None, name: str = "") -> str:
         if key and not df.groupBy(*key).count().filter("count > 1").isEmpty():
             raise ValueError(f"{table}: rows with the same {key}")
-        folder = f"{table}/{uuid.uuid4().hex if number is None else f'n{number}-{uuid.uuid4().hex[:8]}'}"
+        folder = f"{table}/{name}{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
-        self._write(f"{table}.current", folder)
         return folder
 
+    def discard(self, folder: str) -> None:
+        self.log.fs.delete(self.log.path(folder), True)
+
+    def snapshot(self) -> Snapshot:
+        return Snapshot(self, *self.log.state())
+
     def read(self, table: str, schema=None) -> DataFrame:
-        """The current snapshot; empty, with the schema given, before the first."""
-        folder = self._read(f"{table}.current")
-        if folder is None:
-            if schema is None:
-                raise LookupError(f"{table} has no snapshot")
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.root}/{folder}")
+        return self.snapshot().read(table, schema)
+
+    def publish(self, table: str, df: DataFrame, key: list[str] | None = None, number: int | None = None) -> str:
+        """Writes the rows as the table's next snapshot, whatever it holds now. Keys must be unique; with a number, publishing again writes the same snapshot once more."""
+        folder = self._write(table, df, key, "" if number is None else f"n{number}-")
+        self.log.transact(lambda _: {TABLE + table: folder})
+        return folder
+
+    def update(self, change: Callable[[Snapshot], dict[str, DataFrame]], keys: dict[str, list[str]] | None = None) -> int:
+        """Publishes the tables that ``change`` makes of a snapshot, all in one commit. If another commit has replaced one that was read or made, the change is made again from the new
+        snapshot; other commits meanwhile don't matter. Returns the version."""
+        for _ in range(TRIES):
+            base = self.snapshot()
+            made = {t: self._write(t, df, (keys or {}).get(t)) for t, df in change(base).items()}
+            touched = [TABLE + t for t in base.seen | set(made)]
+
+            def same(state: dict, base=base, touched=touched, made=made) -> dict:
+                if any(state.get(t) != base.state.get(t) for t in touched):
+                    raise Stale
+                return {TABLE + t: folder for t, folder in made.items()}
+
+            try:
+                return self.log.transact(same)
+            except Stale:
+                for folder in made.values():
+                    self.discard(folder)
+        raise Conflict(f"{self.root}: {TRIES} changes of others came first")
 
     def backup(self, folder: str, stamp: str, keep: int = 5) -> str:
-        """Copies the current snapshot of every table to ``folder/backup-<stamp>``; the ``keep`` newest backups, by stamp, stay. A backup without its ``done`` file is not whole."""
-        out, fs = f"{folder.rstrip('/')}/backup-{stamp}", self._fs
-        names = [f.getPath().getName().removesuffix(".current") for f in fs.listStatus(self._path("")) if f.getPath().getName().endswith(".current")]
-        for name in names:
-            self.read(name).write.mode("overwrite").parquet(f"{out}/{name}")
-        path = self._jvm.org.apache.hadoop.fs.Path
+        """Copies every table of one snapshot to ``folder/backup-<stamp>``; the ``keep`` newest backups, by stamp, stay. A backup without its ``done`` file is not whole."""
+        out, fs, now = f"{folder.rstrip('/')}/backup-{stamp}", self.log.fs, self.snapshot()
+        for name in (t.removeprefix(TABLE) for t in now.state if t.startswith(TABLE)):
+            now.read(name).write.mode("overwrite").parquet(f"{out}/{name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
         fs.create(path(f"{out}/done")).close()
         made = sorted(f.getPath().toString() for f in fs.listStatus(path(folder)) if f.getPath().getName().startswith("backup-"))
         for old in made[:-keep]:
@@ -74,11 +95,11 @@ class Store:
         return out
 
     def set(self, key: str, value) -> None:
-        self._write(f"meta/{key}", json.dumps(value))
+        self.log.transact(lambda _: {META + key: [value]})
 
     def get(self, key: str, default=None):
-        text = self._read(f"meta/{key}")
-        return default if text is None else json.loads(text)
+        found = self.log.state()[1].get(META + key)
+        return default if found is None else found[0]
 
 
 def needs_reindex(store: Store, wanted: dict[str, object]) -> bool:

@@ -61,10 +61,13 @@ class Knowledge:
     """The derived tables over the Parquet files of one folder, as DataFrames."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self._made = spark, folder, {}
+        self.spark, self.folder, self._made, self._base = spark, folder, {}, {}
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A base table; its files are listed and its schema is read once."""
+        if name not in self._base:
+            self._base[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._base[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         view = f"kb_{name}"
