@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,11 +34,15 @@ MEMO_WORDS, DECODE_WORDS = 300_000, 200_000
 UND = "und"
 #: A longer run of letters is cut into words of so many, so that each letter is scored and a word has a bounded number of features.
 WORD_LETTERS = 40
-_WORDS = re.compile(rf"[^\W\d_]{{1,{WORD_LETTERS}}}")
+#: Marks belong to the letters before them.
+_WORDS, _MARKED = re.compile(rf"[^\W\d_]{{1,{WORD_LETTERS}}}"), regex.compile(rf"[\p{{L}}][\p{{L}}\p{{M}}]{{0,{WORD_LETTERS - 1}}}")
+_MARKS = regex.compile(r"\p{M}")
 
 
 def words_of(text: str | None) -> list[str]:
     text = (text or "").lower()
+    if not text.isascii() and _MARKS.search(text):
+        return _MARKED.findall(text)
     words = _WORDS.findall(text)
     if text.isascii() or all(map(str.isalpha, set(words))):
         return words
@@ -180,7 +185,9 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     order = W.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
     picked = rows.select(id_col, lang_col).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang)
     ids = [r[0] for r in picked.orderBy("n", lang_col).limit(per_lang * MAX_LANGS).collect()]
-    sample = rows.filter(F.col(id_col).isin(ids)).select(id_col, text_col, lang_col).dropDuplicates([id_col]).orderBy(id_col).collect() if ids else []
+    # Of several texts or languages of an id those of the smallest hash are learned from, wherever they lie.
+    one = F.min(F.struct(F.xxhash64(text_col, lang_col), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
+    sample = rows.filter(F.col(id_col).isin(ids)).groupBy(id_col).agg(one.alias("one")).select(id_col, "one.text", "one.lang").orderBy(id_col).collect() if ids else []
     return LanguageCRF.train([(r[1], r[2]) for r in sample])
 
 

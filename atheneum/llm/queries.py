@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat_format, filter_audit, jaccard_trie, language_crf, main_text, quality_cascade, ranked_search, source_mixing, suffix_dedup, token_cache, topk_blocks, toxicity_fm
-from .common import fold_of, load, scratch
+from .common import fold_of, load, shared_dir
 
 #: The paths of the vocabularies are parameters; these are the installed public ones.
 PIECE_MODEL, BYTE_RANKS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -32,8 +32,8 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts with the cache that the session names in ``TOKEN_CACHE``; where it names none, with an empty one of its own, so that every distinct text is encoded once."""
-    cache = spark.conf.get(TOKEN_CACHE, None) or scratch(spark, "token-cache")
+    """Counts with the cache that the session names in ``TOKEN_CACHE``; where it names none, with one in the shared folder, which later runs find."""
+    cache = spark.conf.get(TOKEN_CACHE, None) or f"{shared_dir(spark)}/token-cache"
     return token_cache.count_tokens(load(spark, sf_dir, "documents"), PIECE_MODEL, cache, limit=TOKEN_LIMIT)
 
 

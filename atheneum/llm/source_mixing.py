@@ -33,6 +33,8 @@ MARGINALS = ("mix_source", "mix_lang", "mix_topic")
 ROUNDS, CAP_ROUNDS = 8, 4
 #: Raking ends when each marginal sum is this near to its target, relatively; else when a round moves less than STILL of all weight.
 TOLERANCE, STILL, MAX_ROUNDS = 1e-6, 1e-12, 1_000
+#: Raking also ends when ``rounds`` more have changed the largest error by no more than this share of it.
+STILL_RESIDUAL = 1e-6
 #: Default targets are the marginal's own token shares to this power: below 1, large sources give way to small ones.
 SMOOTHING = {"mix_source": 0.7, "mix_lang": 0.8, "mix_topic": 0.9}
 NONE = "(none)"
@@ -69,18 +71,18 @@ def measured(docs: DataFrame, text_col: str = "text", tokens: Column | None = No
 
 def with_targets(cells: DataFrame, marginal: str, given: Mapping[str, float] | None = None) -> DataFrame:
     """``cells`` with ``<marginal>_share`` added: the given weights, or the smoothed shares of the tokens, scaled to a sum of 1
-    over the values there are."""
-    same, alone = W.partitionBy(marginal), W.partitionBy()
-    total = F.sum("tokens").over(alone)
-    own = F.when(total > 0, F.sum("tokens").over(same) / total).otherwise(0.0)
+    over the values there are. Sums over all cells are aggregates, so that no task holds them all."""
+    values = cells.groupBy(marginal).agg(F.sum("tokens").alias("tokens"))
+    total = values.agg(F.sum("tokens")).first()[0] or 0
+    own = F.col("tokens") / F.lit(float(total)) if total else F.lit(0.0)
     weight = F.pow(own, F.lit(SMOOTHING[marginal]))
     if given is not None:
         named = F.create_map(*[F.lit(x) for name, share in given.items() for x in (name, float(share))])
         weight = F.coalesce(F.try_element_at(named, F.col(marginal)), own)
-    # One cell of each value carries its weight, so that the sum over cells is the sum over values.
-    first = F.row_number().over(same.orderBy(*MARGINALS)) == 1
-    rows = cells.withColumns({"w": weight, "first": first}).withColumn("all_w", F.sum(F.when(F.col("first"), F.col("w")).otherwise(0.0)).over(alone))
-    return rows.withColumn(f"{marginal}_share", F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w")).otherwise(0.0)).drop("w", "first", "all_w")
+    values = values.select(marginal, weight.alias("w")).checkpoint()
+    every = values.agg(F.sum("w")).first()[0] or 0.0
+    share = F.col("w") / F.lit(every) if every else F.lit(0.0)
+    return cells.join(values, marginal).withColumn(f"{marginal}_share", share).drop("w")
 
 
 def few(cells: DataFrame) -> bool:
@@ -99,7 +101,7 @@ def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (marginals, tokens, ``<marginal>_share``) with ``weight`` added: shares of the tokens, fitted to each marginal in turn;
     and ``residual``, the largest relative error left. After each ``rounds`` rounds it is seen whether more are needed."""
     together, every = ((lambda df: df.coalesce(1)), 4) if few(cells) else ((lambda df: df), 2)
-    out, done = together(cells).withColumn("weight", F.col("tokens").cast("double")), 0
+    out, done, last = together(cells).withColumn("weight", F.col("tokens").cast("double")), 0, None
     while True:
         for i in range(rounds):
             out = out.withColumn("before", F.col("weight"))
@@ -112,23 +114,23 @@ def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         residual, moved = left_over(out)
         if residual <= TOLERANCE:
             break
-        if moved <= STILL or done >= MAX_ROUNDS:
+        still = last is not None and abs(last - residual) <= STILL_RESIDUAL * residual
+        last = residual
+        if moved <= STILL or still or done >= MAX_ROUNDS:
             warnings.warn(f"after {done} rounds a marginal is still off its target by {residual:.2g} of it", stacklevel=2)
             break
     return out.drop("before").withColumn("residual", F.lit(residual))
 
 
 def probabilities(raked: DataFrame, budget: float) -> DataFrame:
-    """``raked`` with ``probability`` added: ``budget`` (a share of all tokens) dealt by weight, no cell above 1."""
-    alone = W.partitionBy()
+    """``raked`` with ``probability`` added: ``budget`` (a share of all tokens) dealt by weight, no cell above 1. Each of a few rounds sums over the cells that are below 1."""
     out = raked.withColumn("p", F.lit(0.0))
     for _ in range(CAP_ROUNDS):
         open_ = F.col("p") < 1.0
-        left = F.lit(budget) * F.sum("tokens").over(alone) - F.sum(F.when(~open_, F.col("tokens")).otherwise(0)).over(alone)
-        weights = F.sum(F.when(open_, F.col("weight")).otherwise(0.0)).over(alone)
-        out = out.withColumns({"left": left, "weights": weights})
-        dealt = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("left")) * F.col("weight") / F.col("weights") / F.col("tokens"))
-        out = out.withColumn("p", F.when(~open_, 1.0).when((F.col("weights") > 0) & (F.col("tokens") > 0), dealt).otherwise(0.0)).drop("left", "weights")
+        sums = out.agg(F.sum("tokens"), F.sum(F.when(~open_, F.col("tokens")).otherwise(0)), F.sum(F.when(open_, F.col("weight")).otherwise(0.0))).first()
+        left, weights = max(0.0, budget * (sums[0] or 0) - (sums[1] or 0)), sums[2] or 0.0
+        dealt = F.least(F.lit(1.0), F.lit(left) * F.col("weight") / F.lit(weights or 1.0) / F.col("tokens"))
+        out = out.withColumn("p", F.when(~open_, 1.0).when(F.lit(weights > 0) & (F.col("tokens") > 0), dealt).otherwise(0.0))
     return out.withColumn("probability", F.when(F.col("tokens") > 0, F.col("p")).otherwise(F.lit(float(budget)))).drop("p")
 
 
@@ -138,8 +140,6 @@ def plan_mix(rows: DataFrame, budget: float = 0.8, given: Mapping[str, Mapping[s
     shared_dir(rows.sparkSession)
     # Summed before they are shuffled, so a source with a third of the rows is a few rows a task.
     cells = rows.groupBy(*MARGINALS).agg(F.sum("mix_tokens").alias("tokens")).checkpoint()
-    if few(cells):
-        cells = cells.coalesce(1)
     for m in MARGINALS:
         cells = with_targets(cells, m, given.get(m))
     return probabilities(rake(cells.checkpoint(), rounds), budget).checkpoint()

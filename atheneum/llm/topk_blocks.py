@@ -23,6 +23,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from .common import tidy, written
 
 #: Vectors in a block, in a group of blocks (one cell's candidates), and queries in a batch; centres that order the documents.
 BLOCK, GROUP, BATCH, CENTRES = 256, 16_384, 2_048, 64
-#: Bytes of groups' maxima that are sent to all executors; with more, every group is visited.
+#: Bytes of groups' maxima that are sent to all executors at once; more are sent in turn.
 MAX_BROADCAST_MAXIMA = 64 << 20
 #: Below every score; its negative is still a long.
 NO_SCORE = -(2**62)
@@ -172,9 +173,11 @@ def _rows_by(table: pa.Table, *keys: str) -> Iterator[tuple[tuple[int, ...], np.
 def reached(queries: DataFrame, maxima: DataFrame) -> DataFrame:
     """(vec_id, group): for each of ``queries`` (vec_id, ints, dims, home, least) the groups of its dimensions, but its home, whose bound reaches its k-th score."""
     size = maxima.agg(F.sum(16 * F.col("dims"))).first()[0] or 0
-    if size > MAX_BROADCAST_MAXIMA:
-        pairs = queries.select("vec_id", "dims", "home").join(maxima.select("dims", "group"), "dims")
-        return pairs.filter("group <> home").select("vec_id", "group")
+    turns = max(1, -(-size // MAX_BROADCAST_MAXIMA))
+    return reduce(DataFrame.unionAll, [_reached(queries, maxima.filter(F.pmod(F.xxhash64("group"), F.lit(turns)) == t)) for t in range(turns)])
+
+
+def _reached(queries: DataFrame, maxima: DataFrame) -> DataFrame:
     table = maxima.toArrow()
     kept = {d: (table["group"].take(at).to_numpy(), _matrix(table["high"].take(at)).astype(float), _matrix(table["low"].take(at)).astype(float)) for (d,), at in _rows_by(table, "dims")}
     shared = queries.sparkSession.sparkContext.broadcast(kept)
@@ -238,14 +241,9 @@ def seeded(asked: DataFrame, first: DataFrame, k: int) -> DataFrame:
 def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best candidates of each query; both sides as ``integer_rows`` gives them."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    if candidates.limit(GROUP + 1).count() <= GROUP:  # all are one group, which every query visits
-        one = [F.size("ints").cast("long").alias("dims"), F.lit(0).cast("long").alias("group")]
-        asked = queries.select("vec_id", "ints", *one, F.lit(NO_SCORE).alias("least"))
-        found = scores(candidates.select("vec_id", "ints", *one), asked.drop("group"), asked.select("vec_id", "group").distinct(), k)
-        return found.dropDuplicates().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     grouped, asked = grouped_rows(candidates, queries)
     home = asked.select("vec_id", F.col("home").alias("group")).distinct()
     first = written(scores(grouped, asked.withColumn("least", F.lit(NO_SCORE)), home, k), "home-scores")
     known = written(seeded(asked, first, k), "seeded")
-    rest = scores(grouped, known, written(reached(known, group_maxima(grouped)), "reached"), k)
+    rest = scores(grouped, known, written(reached(known, written(group_maxima(grouped), "maxima")), "reached"), k)
     return first.unionByName(rest).dropDuplicates().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

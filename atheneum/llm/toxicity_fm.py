@@ -7,14 +7,15 @@ parts alone do not. The linear time form of the pair sum is used.
 
 Training reads a bounded sample of labelled documents on the driver (``MAX_TOXIC`` and ``MAX_CLEAN``, those
 of the smallest id hashes); clean documents together weigh at most ``CLEAN_WEIGHT`` times what the toxic ones do. It keeps the terms, ``TERMS`` at most, that tell the labels
-apart with a chi-squared of ``MIN_GAIN`` or more, far beyond chance whatever the sample's size, and fits weights and factors by AdaGrad. Every document is scored over its whole text.
+apart beyond chance: of the terms kept a share of ``FALSE_TERMS`` at most is expected to differ by chance alone (Benjamini and Hochberg, on chi-squared tests), whatever the sample's size. Weights and factors are fitted by AdaGrad. Every document is scored over its whole text.
 
 Cases: null and empty texts get the score of a text without known terms; repeated rows get equal scores; a label that is null or a document with both labels
-is not learned from; with one label only, or none, every score is the share of toxic ones (0 if there is none); other columns are ignored.
+is not learned from; of several texts of one id that of the smallest hash is learned from; with one label only, or none, every score is the share of toxic ones (0 if there is none); other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -28,12 +29,21 @@ from pyspark.sql import functions as F
 from .common import slices, tidy
 
 MAX_TOXIC, MAX_CLEAN, TERMS, FACTORS, EPOCHS, MIN_DOCS = 2_000, 4_000, 4_096, 8, 40, 3
-CLEAN_WEIGHT, MIN_GAIN = 4.0, 30.0
+CLEAN_WEIGHT, FALSE_TERMS = 4.0, 0.01
 #: Shares of a text's words, each as one in so many.
 SHARES = (100, 50, 25)
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
+def beyond_chance(gain: np.ndarray, tested: np.ndarray) -> np.ndarray:
+    """Places of the tested terms, best first, whose chi-squared (one degree of freedom) holds at a false discovery rate of ``FALSE_TERMS``."""
+    at = np.flatnonzero(tested)
+    at = at[np.argsort(-gain[at], kind="stable")]
+    p = np.array([math.erfc(math.sqrt(g / 2)) for g in gain[at]])
+    holds = np.flatnonzero(p <= FALSE_TERMS * np.arange(1, len(p) + 1) / max(len(p), 1))
+    return at[: holds[-1] + 1] if len(holds) else at[:0]
+
+
 def terms_of(text: str | None) -> set[int]:
     """Hashes of the distinct terms."""
     words = _WORDS.findall((text or "").lower())
@@ -84,9 +94,8 @@ class FactorizationMachine:
         toxic = np.zeros(len(every))
         toxic[np.searchsorted(every, some)] = k
         rate = y.mean()
-        gain = np.where(n >= MIN_DOCS, (toxic - n * rate) ** 2 / (n * rate * (1 - rate)), -1.0)
-        best = np.lexsort((every, -gain))[:TERMS]
-        terms = np.sort(every[best[gain[best] >= MIN_GAIN]])
+        gain = (toxic - n * rate) ** 2 / (n * rate * (1 - rate))
+        terms = np.sort(every[beyond_chance(gain, n >= MIN_DOCS)[:TERMS]])
         weight = np.where(y == 1, 1.0, min(1.0, CLEAN_WEIGHT * rate / (1 - rate)))
         weight /= weight.mean()
         rows = [np.searchsorted(terms, f[np.isin(f, terms)]) for f in found]
@@ -120,7 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     label = {}
     for value, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):  # the first of an order, which each task cuts before it sends its rows
         label |= dict.fromkeys((r[0] for r in known.filter(F.col("label") == value).orderBy(F.xxhash64(id_col), id_col).select(id_col).limit(most).collect()), value)
-    rows = docs.filter(F.col(id_col).isin(list(label))).select(id_col, text_col).dropDuplicates([id_col]).orderBy(id_col).collect() if label else []
+    # Of several texts of an id that of the smallest hash is learned from, wherever it lies.
+    one = F.min(F.struct(F.xxhash64(text_col), F.col(text_col).alias("text")))["text"]
+    rows = docs.filter(F.col(id_col).isin(list(label))).groupBy(id_col).agg(one).orderBy(id_col).collect() if label else []
     return FactorizationMachine.train([(r[1], int(label[r[0]])) for r in rows])
 
 

@@ -1,5 +1,6 @@
 """The methods against brute force: sorters, tries, tokenizers, search, and accuracy held out."""
 
+import hashlib
 import random
 import re
 
@@ -139,6 +140,28 @@ def test_token_counts_are_the_library_s(spark, texts):
         assert r.n_tokens == len(model.encode(texts[r.doc_id] or "")) and r.over_limit == (r.n_tokens > 4096)
 
 
+def test_stored_counts_are_used(spark):
+    """A count in the cache is given back as it is, for that very text and tokenizer; what is not there is encoded and stored."""
+    import sentencepiece
+
+    from atheneum.llm import token_cache
+    from atheneum.llm.common import scratch
+
+    model, cache = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_MODEL), scratch(spark, "cache")
+    rows = [(1, "caf\u00e9"), (2, "cafe\u0301"), (3, "two  blanks"), (4, "two blanks"), (5, None), (6, ""), (7, "caf\u00e9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stored = spark.createDataFrame([(token_cache.tokenizer_version(queries.PIECE_MODEL), hashlib.sha256("caf\u00e9".encode()).digest(), 77), ("another tokenizer", hashlib.sha256(b"two blanks").digest(), 99)], token_cache.CACHE_SCHEMA)
+    stored.write.parquet(cache)
+    found = {r.doc_id: r.n_tokens for r in token_cache.count_tokens(docs, queries.PIECE_MODEL, cache).collect()}
+    assert found == {i: 77 if i in (1, 7) else len(model.encode(t or "")) for i, t in rows}
+    version = token_cache.tokenizer_version(queries.PIECE_MODEL)
+    held = {bytes(r.digest): r.n_tokens for r in spark.read.parquet(cache).filter(f"version = '{version}'").collect()}
+    assert held == {hashlib.sha256((t or "").encode()).digest(): found[i] for i, t in rows}
+    spark.createDataFrame([(version, hashlib.sha256(b"new").digest(), 5)], token_cache.CACHE_SCHEMA).write.mode("append").parquet(cache)
+    more = spark.createDataFrame([(1, "new"), (2, "two blanks")], "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in token_cache.count_tokens(more, queries.PIECE_MODEL, cache).collect()} == {1: 5, 2: found[4]}
+
+
 @pytest.mark.parametrize("block", [1, 7, 64])
 def test_block_pruning_is_exact(block):
     r = np.random.default_rng(block)
@@ -173,7 +196,9 @@ def test_groups_out_of_reach_are_not_visited(spark, monkeypatch):
     first = topk_blocks.scores(grouped, own.selectExpr("*", f"{topk_blocks.NO_SCORE} AS least"), own.selectExpr("vec_id", "home AS group"), 20)
     visited = topk_blocks.reached(topk_blocks.seeded(own, first, 20), topk_blocks.group_maxima(grouped)).count()
     assert visited < 0.3 * len(at) * (groups - 1)  # on clustered rows most pairs of a query and a group are never scored
-    monkeypatch.setattr(topk_blocks, "MAX_BROADCAST_MAXIMA", 0)  # without the maxima on all executors, every group is visited
+    monkeypatch.setattr(topk_blocks, "MAX_BROADCAST_MAXIMA", 4096)  # maxima that are sent in turn reach the same groups
+    turns = topk_blocks.reached(topk_blocks.seeded(own, first, 20), topk_blocks.group_maxima(grouped))
+    assert turns.count() == visited == turns.distinct().count() and groups * 16 * 16 > 3 * 4096
     assert {(x.query_id, x.vec_id, x.score) for x in topk_blocks.top_k(df, asked, 20).collect()} == want
 
 
@@ -240,6 +265,20 @@ def test_pairs_weigh_what_their_parts_do_not():
     assert toxicity_fm.FactorizationMachine.raw([np.array(slots)], 0.0, 0 * machine.linear, machine.factors)[0] > 0.5
 
 
+def test_terms_beyond_chance_at_any_size():
+    r = np.random.default_rng(1)
+    for n in (60, 3_000):  # labels that have nothing to do with the terms leave few, real ones stay
+        noise = r.chisquare(1, 5_000)
+        assert len(toxicity_fm.beyond_chance(noise, np.ones(5_000, bool))) <= 5
+        gain = np.concatenate([noise, np.full(20, n / 2.0)])
+        kept = toxicity_fm.beyond_chance(gain, np.arange(len(gain)) != 5_003)
+        assert set(range(5_000, 5_020)) - {5_003} <= set(kept.tolist()) and 5_003 not in kept and len(kept) <= 24
+
+
+def test_marks_stay_in_their_words():
+    assert language_crf.words_of("हिन्दी भाषा, e\u0301te\u0301 \u0301x ½a") == ["हिन्दी", "भाषा", "e\u0301te\u0301", "x", "a"]
+
+
 def test_terms_tell_a_stem_used_throughout_from_one_word():
     import zlib
 
