@@ -107,9 +107,12 @@ def reconcile(acl: DataFrame, pages: DataFrame, levels: DataFrame, view_all: Dat
 
 
 def caller_roles(callers: DataFrame, granted: DataFrame) -> DataFrame:
-    """(caller, roles): the distinct roles granted (caller, role_id) to each caller, none for a caller without."""
+    """(caller, roles): the distinct roles granted (caller, role_id) to each caller, an empty list for one without. A caller who could not be identified (``identified`` of ``callers`` is
+    false) has null, which is no list of roles: nothing is decided by roles for such a caller."""
     roles = granted.groupBy("caller").agg(F.array_sort(F.collect_set("role_id")).alias("roles"))
-    return callers.select("caller").join(roles, "caller", "left").select("caller", F.coalesce("roles", F.array().cast(roles.schema["roles"].dataType)).alias("roles"))
+    known = F.col("identified") if "identified" in callers.columns else F.lit(True)
+    own = F.coalesce("roles", F.array().cast(roles.schema["roles"].dataType))
+    return callers.join(roles, "caller", "left").select("caller", F.when(known, own).alias("roles"))
 
 
 #: Pages worked out in the background at once; with as many under way, all are left to the next reconciliation.

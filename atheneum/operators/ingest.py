@@ -116,13 +116,13 @@ class Index(NamedTuple):
 KEYS = Index("shelf_id", "book_id", "chapter_id", "page_id")
 
 
-def classified(listing: Listing) -> Index:
+def classified(listing: Listing, shelf_of=tables.last_shelf) -> Index:
     """The index of a whole listing: books through their shelves, a book on many shelves under the last, then those on none; chapters and pages through their books.
 
     Four levels are joined, each with the kind of the one above; nothing is walked entry by entry."""
     live = F.lit(False).alias("deleted")
     shelves = listing.shelves.select("shelf_id", "name", "slug", text.classify_shelf(F.col("shelf_id")).alias("shelf_kind"), live)
-    books = listing.books.select("book_id", "name", "slug").join(tables.last_shelf(listing.shelf_books), "book_id", "left").join(shelves.select("shelf_id", "shelf_kind"), "shelf_id", "left")
+    books = listing.books.select("book_id", "name", "slug").join(shelf_of(listing.shelf_books), "book_id", "left").join(shelves.select("shelf_id", "shelf_kind"), "shelf_id", "left")
     books = books.dropDuplicates(["book_id"]).select("book_id", "name", "slug", "shelf_id", text.classify_book(F.col("name"), F.coalesce("shelf_kind", F.lit("unclassified"))).alias("book_kind"), live)
     chapters = listing.chapters.join(books.select("book_id", "book_kind"), "book_id").select("chapter_id", "book_id", "name", "slug", text.classify_chapter(F.col("name"), F.col("book_kind")).alias("c"))
     chapters = chapters.select("chapter_id", "book_id", "name", "slug", F.col("c.kind").alias("chapter_kind"), F.col("c.archive_year").alias("archive_year"), live)
@@ -144,18 +144,43 @@ def full_walk(listing: Listing, index: Index | None = None, tombstones: bool = F
     return Index(*out)
 
 
+def wanted_of(scopes: DataFrame) -> list[DataFrame]:
+    """For shelves, books, chapters and pages the ids that the scopes (``page:1``, ``chapter:2`` and so on) name."""
+    return [settled(scopes.select(text.scope_id(F.col("scope"), key.removesuffix("_id")).alias(key)).filter(F.col(key).isNotNull()).distinct()) for key in KEYS]
+
+
+def listed(listing: Listing, wanted: list[DataFrame]) -> Listing:
+    """The part of a listing that these entries take: they, and the chapters and books that classify them."""
+    of_shelf, of_book, of_chapter, of_page = wanted
+    pages = settled(listing.pages.join(of_page, "page_id", "left_semi"))
+    chapters = settled(listing.chapters.join(of_chapter.unionByName(pages.filter("chapter_id IS NOT NULL").select("chapter_id")).distinct(), "chapter_id", "left_semi"))
+    ids = of_book.unionByName(chapters.select("book_id")).unionByName(pages.select("book_id")).distinct()
+    books = settled(listing.books.join(ids, "book_id", "left_semi"))
+    on = settled(listing.shelf_books.join(books.select("book_id"), "book_id", "left_semi"))
+    shelves = listing.shelves.join(of_shelf.unionByName(on.select("shelf_id")).distinct(), "shelf_id", "left_semi")
+    return Listing(shelves, on, books, chapters, pages)
+
+
 def reconcile_some(scopes: DataFrame, listing: Listing, index: Index) -> tuple[Index, DataFrame]:
-    """The index after the entries of these scopes (``page:1``, ``chapter:2`` and so on) were looked up again, and the jobs (scope) it takes first:
-    a chapter or page whose book the index lacks is not taken in, its book's job comes instead. What is not listed is left alone."""
-    new, out, jobs = classified(listing), [], []
-    for old, rows, key in zip(index, new, KEYS, strict=True):
-        wanted = scopes.select(text.scope_id(F.col("scope"), key.removesuffix("_id")).alias(key)).filter(F.col(key).isNotNull()).distinct()
-        rows = rows.join(wanted, key, "left_semi").select(*rows.columns)
+    """The index after the entries of these scopes were looked up again, and the jobs (scope) it takes first: a chapter or page whose book, or a book whose shelf, the index lacks is not
+    taken in, its parent's job comes instead. A book is on the first shelf that has it; what is not listed is left alone, and only what the scopes need is read of the listing and classified."""
+    wanted = wanted_of(scopes)
+    new, out, jobs = classified(listed(listing, wanted), tables.first_shelf), [], []
+    for old, rows, key, ids in zip(index, new, KEYS, wanted, strict=True):
+        rows = settled(rows.join(ids, key, "left_semi").select(*rows.columns))
+        if key == "book_id":
+            jobs.append(missing_shelves(rows, index.shelves))
+            rows = rows.join(index.shelves.select("shelf_id").withColumn("_there", F.lit(True)), "shelf_id", "left").filter("shelf_id IS NULL OR _there").select(*rows.columns)
         if key in ("chapter_id", "page_id"):
             jobs.append(missing_parents(rows, index.books, None))
             rows = rows.join(index.books.select("book_id"), "book_id", "left_semi").select(*rows.columns)
         out.append(tables.upsert(old.select(*rows.columns), rows, [key]))
-    return Index(*out), jobs[0].unionByName(jobs[1]).distinct()
+    return Index(*out), jobs[0].unionByName(jobs[1]).unionByName(jobs[2]).distinct()
+
+
+def missing_shelves(books: DataFrame, shelves: DataFrame) -> DataFrame:
+    """(scope): the jobs for shelves of these books that the index doesn't have."""
+    return books.filter("shelf_id IS NOT NULL").join(shelves.select("shelf_id"), "shelf_id", "left_anti").select(F.concat(F.lit("shelf:"), F.col("shelf_id")).alias("scope"))
 
 
 def orphans(books: DataFrame, walked: DataFrame) -> DataFrame:

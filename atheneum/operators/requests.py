@@ -93,3 +93,20 @@ def time_block(now: datetime.datetime, zone: str, source: str) -> dict[str, obje
         "timezone": zone,
         "timezone_source": source,
     }
+
+
+def time_columns(now: Column, zone: str, source: str) -> Column:
+    """The time block of each timestamp, with the fields of ``time_block``."""
+    local = F.from_utc_timestamp(now, zone)
+    offset = F.unix_seconds(local) - F.unix_seconds(now)
+    two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+    sign = F.when(offset < 0, "-").otherwise("+")
+    shift = F.concat(sign, two(F.floor(F.abs(offset) / 3600)), F.lit(":"), two(F.floor(F.abs(offset) % 3600 / 60)))
+    return F.struct(
+        F.unix_seconds(now).alias("now_unix"),
+        F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("now_utc"),
+        F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), shift).alias("now_local"),
+        F.date_format(local, "EEEE, MMMM d, yyyy 'at' h:mm a").alias("now_human"),
+        F.lit(zone).alias("timezone"),
+        F.lit(source).alias("timezone_source"),
+    )

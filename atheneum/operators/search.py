@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import staging
 from ..sources.staging import settled
 from . import acl as acl_ops
-from . import graph, models, vectors
+from . import graph, models, tables, vectors
 
 MAX_LIMIT, HYBRID_THRESHOLD, VECTOR_THRESHOLD = 100, 0.45, 0.50
 MAX_RERANK = 200
@@ -127,20 +127,44 @@ def merged_scores(best: DataFrame, keyword: DataFrame) -> DataFrame:
     return rows.select("page_id", F.coalesce("vector", F.lit(0.0)).alias("vector"), F.coalesce("keyword", F.lit(0.0)).alias("keyword"), "best_chunk", "chunks")
 
 
-def hybrid_search(chunks: DataFrame, pages: DataFrame, edges: DataFrame, acl: DataFrame, keyword_hits: DataFrame, query: list[float], limit: int = 10, threshold: float = HYBRID_THRESHOLD, roles: list[int] | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Scope:
+    """Books and pages that a search is limited to; with neither it is not."""
+
+    books: tuple[int, ...] = ()
+    pages: tuple[int, ...] = ()
+
+
+def hybrid_search(chunks: DataFrame, pages: DataFrame, edges: DataFrame, acl: DataFrame, keyword_hits: DataFrame, query: list[float], limit: int = 10, threshold: float = HYBRID_THRESHOLD, roles: list[int] | None = None, scope: Scope = Scope()) -> DataFrame:
     """(page_id, vector, keyword, blanket, score, best_chunk, chunks): vectors, keyword ranks and the link graph blended in one pass.
 
-    Both signals fetch twice the limit; permissions come before the graph; pages found by keywords alone count as neighbours but are not results.
+    Both signals fetch twice the limit, within the scope; permissions come before the graph; pages found by keywords alone count as neighbours but are not results. Where nothing is left
+    although there were hits, the pages of the raw hits that may be seen are the results, by their vector scores.
     """
     limit = min(max(limit, 1), MAX_LIMIT)
-    hits = staging.pool(vectors.vector_topk(chunks, query, 2 * limit, threshold), 2 * limit)
-    keyword = keyword_decay(staging.pool(keyword_hits.filter(F.col("pos") < 2 * limit).select("page_id", "kind", "pos"), 2 * limit))
-    scored = staging.pool(visible(merged_scores(best_chunks(hits), keyword), pages, acl, roles), 4 * limit)
-    found = keyword_only_dropped(scored.join(boosts(edges, pages, scored, hits), "page_id"))
-    out = found.withColumn("score", standard_blend(F.col("vector"), F.col("keyword"), F.col("blanket")))
+    own = tables.scoped(chunks, pages, books=list(scope.books), page_ids=list(scope.pages))
+    hits = staging.pool(vectors.vector_topk(own, query, 2 * limit, threshold), 2 * limit)
+    first = staging.pool(keyword_hits.filter(F.col("pos") < 2 * limit).select("page_id", "kind", "pos"), 2 * limit)
+    keyword = keyword_scope(keyword_decay(first), pages, list(scope.books), list(scope.pages))
+    best = best_chunks(hits)
+    scored = staging.pool(visible(merged_scores(best, keyword), pages, acl, roles), 4 * limit)
+    found = keyword_only_dropped(scored)
+    if found.isEmpty() and not hits.isEmpty():
+        raw = visible(best, pages, acl, roles).withColumns({"keyword": F.lit(0.0), "blanket": F.lit(0.0), "score": F.col("vector")})
+        return final_top(raw, limit).select("page_id", "vector", "keyword", "blanket", "score", "best_chunk", "chunks")
+    out = found.join(boosts(edges, pages, scored, hits), "page_id").withColumn("score", standard_blend(F.col("vector"), F.col("keyword"), F.col("blanket")))
     return final_top(out, limit).select("page_id", "vector", "keyword", "blanket", "score", "best_chunk", "chunks")
 
 
+def reranked(found: DataFrame, texts: DataFrame, pages: DataFrame, words: str, scorer=models.overlap_scorer) -> DataFrame:
+    """The results of a search in the order of a reranker, which reads the best chunk of each; ``rerank`` is its score. No page comes in or goes out."""
+    empty = F.lit("")
+    rows = found.join(texts, F.col("best_chunk") == F.col("chunk_id"), "left").join(pages.select("page_id", "name"), "page_id", "left")
+    doc = rerank_document(F.coalesce("name", empty), F.coalesce("heading_path", empty), F.coalesce("content", empty))
+    docs = rows.select(*found.columns, F.struct(-F.col("score"), F.col("page_id")).alias("pos"), doc.alias("doc"))
+    return models.rerank(docs, words, "doc", MAX_LIMIT, scorer).select(*found.columns, "rerank")
+
+
 def final_top(scored: DataFrame, n: int) -> DataFrame:
     """The ``n`` rows of the highest score, ties to the smaller page."""
     return scored.orderBy(F.desc("score"), "page_id").limit(n)
@@ -190,22 +214,31 @@ def trim_match(text: Column, most: int = 200) -> Column:
     return F.struct(F.when(cut, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text).alias("text"), cut.alias("truncated"))
 
 
-def shown_list(pages: DataFrame, group: str, *order: str) -> DataFrame:
-    """(group, shown): the pages of each group as numbered lines, in this order."""
-    rows = pages.withColumn("pos", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    line = F.concat(F.col("pos"), F.lit(". "), F.col("name"), F.lit(" (page "), F.col("page_id"), F.lit(")"))
-    lines = F.array_sort(F.collect_list(F.struct("pos", line.alias("line"))))
-    return rows.groupBy(group).agg(F.array_join(F.transform(lines, lambda s: s["line"]), "\n").alias("shown"))
-
-
-def success_text(action: str, kind: str, id: Column, name: Column, url: Column) -> Column:
-    """What a change answers: the action, then id and name, and the address if there is one."""
-    return F.concat(F.lit(f"{action}\n{kind} ID: "), id.cast("string"), F.lit("\nName: "), name, F.coalesce(F.concat(F.lit("\nURL: "), url), F.lit("")))
-
-
-def result_json(found: DataFrame, pages: DataFrame) -> DataFrame:
-    """(page_id, result): the results as JSON, scores to three decimals; fields that are null are left out."""
-    rows = found.join(pages.select("page_id", "name", "slug", "book_id", "chapter_id"), "page_id")
-    scores = F.struct(*[F.round(c, 3).alias(c) for c in ("vector", "keyword", "blanket", "score")])
-    chunks = F.transform(F.slice("chunks", 1, 5), lambda c: F.struct(c["chunk_id"].alias("chunk_id"), F.round(c["score"], 3).alias("score")))
-    return rows.select("page_id", F.to_json(F.struct("page_id", "name", "slug", "book_id", "chapter_id", scores.alias("scores"), chunks.alias("chunks"))).alias("result"))
+def result_json(found: DataFrame, pages: DataFrame, texts: DataFrame, updates: DataFrame | None = None, blankets: DataFrame | None = None) -> DataFrame:
+    """(page_id, result): the results as JSON. Scores have three decimals; the chunks that were hit carry heading and content (of ``texts``: chunk_id, heading_path, content), best first.
+
+    A ``rerank`` of ``found`` goes into the scoring and is the score; ``updates`` (page_id, updated_at) and, in verbose answers, ``blankets`` (page_id, relation, neighbour_id) add their
+    fields, which are left out where there is nothing."""
+    three = lambda c: F.round(c, 3)
+    hits = found.select("page_id", F.explode_outer("chunks").alias("c")).select("page_id", "c.chunk_id", F.col("c.score").alias("chunk_score")).join(texts, "chunk_id")
+    one = F.struct((-F.col("chunk_score")).alias("o"), "chunk_id", F.struct("heading_path", "content", three(F.col("chunk_score")).alias("score")).alias("chunk"))
+    chunks = hits.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["chunk"]).alias("of_chunks"))
+    rows = found.join(pages.select("page_id", F.col("name").alias("page_name"), "book_id"), "page_id", "left").join(chunks, "page_id", "left")
+    if updates is not None:
+        rows = rows.join(updates.select("page_id", "updated_at"), "page_id", "left")
+    reranked = "rerank" in found.columns
+    scoring = F.struct(three(F.col("vector")).alias("vector"), three(F.col("keyword")).alias("keyword"), three(F.col("blanket")).alias("blanket_boost"), *([three(F.col("rerank")).alias("rerank")] if reranked else []))
+    none = F.array().cast("array<struct<heading_path: string, content: string, score: double>>")
+    fields = [
+        F.col("page_id"), F.coalesce("page_name", F.lit("Unknown")).alias("page_name"), F.coalesce("book_id", F.lit(0).cast("long")).alias("book_id"), three(F.col("rerank" if reranked else "score")).alias("score"),
+        F.coalesce("of_chunks", none).alias("chunks"), scoring.alias("scoring"),
+    ]
+    if updates is not None:
+        fields.append(F.col("updated_at"))
+    if blankets is not None:
+        near = blankets.join(pages.select(F.col("page_id").alias("neighbour_id"), "name"), "neighbour_id")
+        kinds = (("linked_from", "linked_from"), ("links_to", "links_to"), ("co_linked", "co_linked"), ("sibling", "siblings"))
+        lists = [F.array_sort(F.collect_list(F.when(F.col("relation") == r, F.struct(F.col("neighbour_id").alias("page_id"), "name")))).alias(name) for r, name in kinds]
+        rows = rows.join(near.groupBy("page_id").agg(F.struct(*lists).alias("blanket_pages")), "page_id", "left")
+        fields.append(F.col("blanket_pages").alias("blanket"))
+    return rows.select("page_id", F.to_json(F.struct(*fields)).alias("result"))

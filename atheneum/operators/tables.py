@@ -125,3 +125,8 @@ def window_of(df: DataFrame, order: list[str], limit: int, offset: int = 0) -> D
 def last_shelf(shelf_books: DataFrame) -> DataFrame:
     """(book_id, shelf_id): of several shelves (book_id, shelf_id, ord) the last one holds."""
     return shelf_books.groupBy("book_id").agg(F.max_by("shelf_id", "ord").alias("shelf_id"))
+
+
+def first_shelf(shelf_books: DataFrame) -> DataFrame:
+    """(book_id, shelf_id): of several shelves (book_id, shelf_id, ord) the first one that has the book."""
+    return shelf_books.groupBy("book_id").agg(F.min_by("shelf_id", "ord").alias("shelf_id"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 SCOPES = ("shelf", "book", "chapter")
 UNSHELVED = (0, "Unshelved")
 
@@ -103,8 +105,17 @@ def to_json(tree: DataFrame) -> DataFrame:
 
 
 def outline(shelves: DataFrame, books: DataFrame, chapters: DataFrame) -> DataFrame:
-    """(shelf_id, outline): shelves, books and chapters as indented text."""
-    c = chapters.filter("NOT deleted").groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "chapter_id"))), lambda s: F.concat(F.lit("\n    - "), s["name"])), "").alias("lines"))
-    b = books.filter("NOT deleted AND shelf_id IS NOT NULL").join(c, "book_id", "left").select("shelf_id", "name", "book_id", F.concat(F.lit("\n  - "), F.col("name"), F.coalesce("lines", F.lit(""))).alias("text"))
-    b = b.groupBy("shelf_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "book_id", "text"))), lambda s: s["text"]), "").alias("lines"))
-    return shelves.filter("NOT deleted").join(b, "shelf_id", "left").select("shelf_id", F.concat(F.lit("- "), F.col("name"), F.coalesce("lines", F.lit(""))).alias("outline"))
+    """(shelf_id, outline): a shelf, its books and their chapters as indented lines with ids, and descriptions (a column of that name, which may be lacking), and an empty line at the end."""
+
+    def line(df: DataFrame, kind: str, key: str, indent: str) -> Column:
+        said = text.truncate_description(F.coalesce("description", F.lit(""))) if "description" in df.columns else F.lit("")
+        return F.concat(F.lit(f"{indent}{kind}: "), F.col("name"), F.lit(" (ID: "), F.col(key).cast("string"), F.lit(")"), F.when(said != "", F.concat(F.lit(" — "), said)).otherwise(""), F.lit("\n"))
+
+    def under(df: DataFrame, parent: str, key: str, lines: Column) -> DataFrame:
+        parts = F.array_sort(F.collect_list(F.struct("name", key, lines.alias("lines"))))
+        return df.groupBy(parent).agg(F.array_join(F.transform(parts, lambda s: s["lines"]), "").alias("inner"))
+
+    live_chapters, live_books = chapters.filter("NOT deleted"), books.filter("NOT deleted AND shelf_id IS NOT NULL")
+    c = under(live_chapters, "book_id", "chapter_id", line(live_chapters, "Chapter", "chapter_id", "    "))
+    b = under(live_books.join(c, "book_id", "left"), "shelf_id", "book_id", F.concat(line(live_books, "Book", "book_id", "  "), F.coalesce("inner", F.lit(""))))
+    return shelves.filter("NOT deleted").join(b, "shelf_id", "left").select("shelf_id", F.concat(line(shelves, "Shelf", "shelf_id", ""), F.coalesce("inner", F.lit("")), F.lit("\n")).alias("outline"))

@@ -302,7 +302,37 @@ query("final_topn", f"WITH {HITS % 40}, {_PAGES}, {_KEYWORD} SELECT page_id, rou
         search.merged_scores(search.best_chunks(vectors.vector_topk(k.chunks, query_vector(k), 40, THRESHOLD)), search.keyword_decay(k.keyword_hits)).withColumn("score", search.standard_blend(F.col("vector"), F.col("keyword"), F.lit(0.0))), 25
     ).select("page_id", F.round("score", 4).alias("score"))
 )
-query("project_result_json")(lambda k: search.result_json(search.hybrid_search(k.chunks, k.pages, k.relationships, k.page_view_acl, k.keyword_hits, query_vector(k), LIMIT, THRESHOLD, ROLES), k.pages))
+def chunk_texts(k: Knowledge) -> DataFrame:
+    return k.chunks.select("chunk_id", F.concat(F.lit("Part "), F.col("chunk_index") + 1).alias("heading_path"), F.concat(F.lit("text of "), "chunk_id").alias("content"))
+
+
+# The JSON, taken apart again.
+_SHOWN = f"""{_FINAL}, ch AS (SELECT h.*, chunk_index, row_number() OVER (PARTITION BY h.page_id ORDER BY h.score DESC, h.chunk_id) AS r, count(*) OVER (PARTITION BY h.page_id) AS n FROM hits h JOIN kb_chunks USING (chunk_id))
+ SELECT f.page_id, p.name AS page_name, p.book_id, round(f.score, 3) AS score, round(vector, 3) AS vector, round(keyword, 3) AS keyword, round(blanket::DOUBLE, 3) AS blanket_boost, n::INT AS n_chunks, 'Part ' || (chunk_index + 1) AS heading_path, 'text of ' || chunk_id AS content,
+  round(ch.score, 3) AS chunk_score, strftime(updated_at, '%Y-%m-%d') AS updated_at, coalesce((SELECT count(*) FROM nb WHERE nb.page_id = f.page_id AND relation = 'sibling'), 0)::INT AS n_siblings
+ FROM fin f JOIN kb_pages p USING (page_id) JOIN ch ON ch.page_id = f.page_id AND r = 1 LEFT JOIN kb_page_updates u ON u.page_id = f.page_id"""
+
+
+@query("project_result_json", first_hits(_SHOWN, 20))
+def _(k):
+    found = settled(search.hybrid_search(k.chunks, k.pages, k.relationships, k.page_view_acl, k.keyword_hits, query_vector(k), LIMIT, THRESHOLD, ROLES))
+    updates = k.page_updates.select("page_id", F.date_format("updated_at", "yyyy-MM-dd").alias("updated_at"))
+    rows = search.result_json(found, k.pages, chunk_texts(k), updates, graph.blanket(k.relationships, k.pages, found))
+    one = "struct<heading_path: string, content: string, score: double>"
+    near = "array<struct<page_id: bigint, name: string>>"
+    kind = f"page_id bigint, page_name string, book_id bigint, score double, chunks array<{one}>, scoring struct<vector: double, keyword: double, blanket_boost: double>, updated_at string, blanket struct<siblings: {near}>"
+    r = rows.select(F.from_json("result", kind).alias("r")).select("r.*")
+    first = F.col("chunks")[0]
+    return r.select(
+        "page_id", "page_name", "book_id", "score", "scoring.vector", "scoring.keyword", "scoring.blanket_boost", F.size("chunks").alias("n_chunks"), first["heading_path"].alias("heading_path"), first["content"].alias("content"), first["score"].alias("chunk_score"),
+        "updated_at", F.coalesce(F.size("blanket.siblings"), F.lit(0)).alias("n_siblings"),
+    )
+
+
+_SCOPED = first_hits(_FINAL, 20).replace("FROM kb_chunks\n  WHERE list_cosine", "FROM kb_chunks\n  WHERE page_id IN (SELECT page_id FROM kb_pages WHERE book_id < 12) AND list_cosine").replace("WHERE kind = 'page' AND page_id <> 0", "WHERE kind = 'page' AND page_id <> 0 AND page_id IN (SELECT page_id FROM kb_pages WHERE book_id < 12)")
+query("hybrid_search_scoped", f"{_SCOPED} SELECT page_id, round(vector, 4) AS vector, round(keyword, 4) AS keyword, round(blanket::DOUBLE, 4) AS blanket, round(score, 4) AS score FROM fin")(
+    lambda k: search.hybrid_search(k.chunks, k.pages, k.relationships, k.page_view_acl, k.keyword_hits, query_vector(k), LIMIT, THRESHOLD, ROLES, search.Scope(books=tuple(range(12)))).select("page_id", *[F.round(c, 4).alias(c) for c in ("vector", "keyword", "blanket", "score")])
+)
 _CASCADE = f"""WITH {HITS % 40}, {_PAGES}, {_KEYWORD}, {_VERDICT}, st1 AS (SELECT * FROM pv ORDER BY vector DESC, page_id LIMIT 40),
  st2 AS (SELECT page_id, vector, coalesce(keyword, 0) AS keyword FROM st1 LEFT JOIN kw USING (page_id) ORDER BY 0.6 * vector + 0.4 * coalesce(keyword, 0) DESC, page_id LIMIT 30),
  scored AS (SELECT * FROM st2 WHERE page_id NOT IN (SELECT page_id FROM verdict WHERE verdict = 'deny')), nb AS ({BLANKET}),
@@ -389,8 +419,11 @@ query("acl_role_context", "SELECT role_id FROM (SELECT DISTINCT page_id % 7 AS r
         )
     )
 )
-query("acl_caller_roles", "SELECT CAST(c_custkey AS BIGINT) AS caller, count(o_orderkey)::INT AS n_roles, coalesce(min(o_orderkey), -1) AS first_role FROM customer LEFT JOIN (SELECT DISTINCT o_custkey, o_orderkey FROM orders) ON o_custkey = c_custkey GROUP BY c_custkey")(
-    lambda k: acl.caller_roles(k.base("customer").select(F.col("c_custkey").cast("long").alias("caller")), k.base("orders").select(F.col("o_custkey").cast("long").alias("caller"), F.col("o_orderkey").alias("role_id"))).select("caller", F.size("roles").alias("n_roles"), F.coalesce(F.try_element_at("roles", F.lit(1)), F.lit(-1)).alias("first_role"))
+# Every tenth caller could not be identified: that is no empty list of roles.
+query("acl_caller_roles", "SELECT CAST(c_custkey AS BIGINT) AS caller, CASE WHEN c_custkey % 10 <> 9 THEN count(o_orderkey)::INT END AS n_roles, CASE WHEN c_custkey % 10 <> 9 THEN coalesce(min(o_orderkey), -1) END AS first_role FROM customer LEFT JOIN (SELECT DISTINCT o_custkey, o_orderkey FROM orders) ON o_custkey = c_custkey GROUP BY c_custkey")(
+    lambda k: acl.caller_roles(
+        k.base("customer").select(F.col("c_custkey").cast("long").alias("caller"), (F.col("c_custkey") % 10 != 9).alias("identified")), k.base("orders").select(F.col("o_custkey").cast("long").alias("caller"), F.col("o_orderkey").alias("role_id"))
+    ).select("caller", F.when(F.col("roles").isNotNull(), F.size("roles")).alias("n_roles"), F.when(F.col("roles").isNotNull(), F.coalesce(F.try_element_at("roles", F.lit(1)), F.lit(-1))).alias("first_role"))
 )
 query("acl_recompute_async", "SELECT page_id FROM kb_pages WHERE acl_computed_at IS NULL AND page_id % 3 <> 0 ORDER BY page_id LIMIT (SELECT greatest(0, 200 - count(*)) FROM kb_pages WHERE page_id % 3 = 0 AND page_id < 150)")(
     lambda k: acl.to_recompute(k.pages.filter("page_id % 3 <> 0"), k.pages.filter("page_id % 3 = 0 AND page_id < 150").select("page_id"))
@@ -448,20 +481,11 @@ query(
 )(lambda k: tree.prune(nodes(k).filter("kind = 'book' OR in_book IS NOT NULL"), k.pages.filter("page_id % 40 = 1")).select("kind", "id"))
 
 
-_SCOPES = [{}, {"book": "7"}, {"shelf": 2}, {"chapter": "x"}, {"book": 1, "shelf": 2}]
-
-
-def _scope(arguments: dict) -> str:
-    try:
-        return "{} {}".format(*tree.parse_scope(arguments))
-    except ValueError as e:
-        return str(e)[:21]
-
-
-query("scope_parse", "SELECT * FROM (VALUES (0, 'all None'), (1, 'book 7'), (2, 'shelf 2'), (3, 'chapter must be an id'), (4, 'name one of shelf, bo')) AS t(n, said)")(lambda k: k.spark.createDataFrame([(i, _scope(a)) for i, a in enumerate(_SCOPES)], "n int, said string"))
 query("tree_to_json")(lambda k: tree.to_json(tree.directory(nodes(k), "shelf", 2)))
 query(
     "outline_text",
-    "WITH c AS (SELECT book_id, string_agg(chr(10) || '    - ' || name, '' ORDER BY name, chapter_id) AS lines FROM kb_chapters WHERE NOT deleted GROUP BY book_id), b AS (SELECT shelf_id, string_agg(chr(10) || '  - ' || name || coalesce(lines, ''), '' ORDER BY name, book_id) AS lines FROM kb_books LEFT JOIN c USING (book_id) WHERE NOT deleted AND shelf_id IS NOT NULL GROUP BY shelf_id) SELECT shelf_id, '- ' || name || coalesce(lines, '') AS outline FROM kb_shelves LEFT JOIN b USING (shelf_id) WHERE NOT deleted",
-)(lambda k: tree.outline(k.shelves, k.books, k.chapters))
+    """WITH ch AS (SELECT book_id, string_agg('    Chapter: ' || name || ' (ID: ' || chapter_id || ')' || CASE WHEN chapter_id % 2 = 0 THEN ' — about ' || slug ELSE '' END || chr(10), '' ORDER BY name, chapter_id) AS lines FROM kb_chapters WHERE NOT deleted GROUP BY book_id),
+ bo AS (SELECT shelf_id, string_agg('  Book: ' || name || ' (ID: ' || book_id || ')' || CASE WHEN book_id % 2 = 0 THEN ' — about ' || slug ELSE '' END || chr(10) || coalesce(lines, ''), '' ORDER BY name, book_id) AS lines FROM kb_books LEFT JOIN ch USING (book_id) WHERE NOT deleted AND shelf_id IS NOT NULL GROUP BY shelf_id)
+ SELECT shelf_id, 'Shelf: ' || name || ' (ID: ' || shelf_id || ')' || CASE WHEN shelf_id % 2 = 0 THEN ' — about ' || slug ELSE '' END || chr(10) || coalesce(lines, '') || chr(10) AS outline FROM kb_shelves LEFT JOIN bo USING (shelf_id) WHERE NOT deleted""",
+)(lambda k: tree.outline(*[df.withColumn("description", F.when(F.col(key) % 2 == 0, F.concat(F.lit("<p>about \n "), "slug", F.lit("</p>")))) for df, key in ((k.shelves, "shelf_id"), (k.books, "book_id"), (k.chapters, "chapter_id"))]))
 query("union_unshelved", "SELECT shelf_id, name FROM kb_shelves WHERE NOT deleted UNION ALL SELECT DISTINCT 0::BIGINT, 'Unshelved' FROM kb_books WHERE NOT deleted AND shelf_id IS NULL")(lambda k: nodes(k).filter("kind = 'shelf'").select(F.col("id").alias("shelf_id"), "name"))

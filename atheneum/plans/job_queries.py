@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import dataclasses
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -117,20 +116,27 @@ query("full_walk_pages", _OLD.format("false"))(lambda k: ingest.full_walk(listin
 query("full_walk_tombstones", _OLD.format("true"))(lambda k: ingest.full_walk(listing(k), old_index(k), tombstones=True).pages.select("page_id", "name", "deleted"))
 query("anti_orphan_books", f"WITH {_SHELF_BOOKS} SELECT book_id, name FROM kb_books WHERE book_id NOT IN (SELECT book_id FROM sb)")(lambda k: ingest.orphans(k.books.select("book_id", "name"), shelf_books(k)))
 query("join_cascade_parent", "SELECT page_id, 'book:' || book_id AS scope FROM kb_pages WHERE book_id NOT IN (SELECT book_id FROM kb_books WHERE book_id % 6 <> 0)")(lambda k: ingest.missing_parents(k.pages, k.books.filter("book_id % 6 <> 0")))
-# Every second page and every third chapter is looked up again; the index lacks each sixth book.
+# Every second page, every third chapter and every book but the fourth ones is looked up again; the index lacks each sixth book and shelf 1.
 _KNOWN = "SELECT book_id FROM kb_books WHERE book_id % 6 <> 0"
-query("reconcile_one", f"""SELECT 'page' AS kind, page_id AS id, CASE WHEN page_id % 2 = 0 AND book_id IN ({_KNOWN}) THEN name ELSE 'old' END AS name FROM kb_pages
+query("reconcile_one", f"""WITH {_SHELF_BOOKS}, f AS (SELECT book_id, arg_min(shelf_id, ord) AS shelf_id FROM sb GROUP BY book_id)
+ SELECT 'page' AS kind, page_id AS id, CASE WHEN page_id % 2 = 0 AND book_id IN ({_KNOWN}) THEN name ELSE 'old' END AS name FROM kb_pages
  UNION ALL SELECT 'chapter', chapter_id, CASE WHEN chapter_id % 3 = 0 AND book_id IN ({_KNOWN}) THEN name ELSE 'old' END FROM kb_chapters
- UNION ALL SELECT DISTINCT 'job', NULL, 'book:' || book_id FROM (SELECT book_id FROM kb_pages WHERE page_id % 2 = 0 UNION ALL SELECT book_id FROM kb_chapters WHERE chapter_id % 3 = 0) WHERE book_id NOT IN ({_KNOWN})""")(lambda k: _reconciled(k))
+ UNION ALL SELECT 'book', book_id, CASE WHEN book_id % 4 > 0 AND coalesce(f.shelf_id, 0) <> 1 THEN name || ' on ' || coalesce(f.shelf_id::VARCHAR, 'none') ELSE 'old on -1' END FROM kb_books LEFT JOIN f USING (book_id) WHERE book_id % 6 <> 0 OR book_id % 4 > 0 AND coalesce(f.shelf_id, 0) <> 1
+ UNION ALL SELECT DISTINCT 'job', NULL, 'book:' || book_id FROM (SELECT book_id FROM kb_pages WHERE page_id % 2 = 0 UNION ALL SELECT book_id FROM kb_chapters WHERE chapter_id % 3 = 0) WHERE book_id NOT IN ({_KNOWN})
+ UNION ALL SELECT DISTINCT 'job', NULL, 'shelf:1' FROM f WHERE book_id % 4 > 0 AND shelf_id = 1""")(lambda k: _looked_up(k))
 
 
-def _reconciled(k: Knowledge):
+def _looked_up(k: Knowledge):
     new, old = ingest.classified(listing(k)), F.lit("old")
-    index = ingest.Index(new.shelves, new.books.filter("book_id % 6 <> 0"), new.chapters.withColumn("name", old), new.pages.withColumn("name", old))
-    scopes = k.pages.filter("page_id % 2 = 0").select(F.concat(F.lit("page:"), "page_id").alias("scope")).unionByName(k.chapters.filter("chapter_id % 3 = 0").select(F.concat(F.lit("chapter:"), "chapter_id").alias("scope")))
+    books = new.books.filter("book_id % 6 <> 0").withColumns({"name": old, "shelf_id": F.lit(-1).cast("long")})
+    index = ingest.Index(new.shelves.filter("shelf_id <> 1"), books, new.chapters.withColumn("name", old), new.pages.withColumn("name", old))
+    scope = lambda df, kind: df.select(F.concat(F.lit(f"{kind}:"), f"{kind}_id").alias("scope"))
+    scopes = scope(k.pages.filter("page_id % 2 = 0"), "page").unionByName(scope(k.chapters.filter("chapter_id % 3 = 0"), "chapter")).unionByName(scope(k.books.filter("book_id % 4 > 0"), "book"))
     found, more = ingest.reconcile_some(scopes, listing(k), index)
-    out = found.pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "name").unionByName(found.chapters.select(F.lit("chapter").alias("kind"), F.col("chapter_id").alias("id"), "name"))
-    return out.unionByName(more.select(F.lit("job").alias("kind"), F.lit(None).cast("long").alias("id"), F.col("scope").alias("name")))
+    out = [found.pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "name"), found.chapters.select(F.lit("chapter").alias("kind"), F.col("chapter_id").alias("id"), "name")]
+    shelf = F.coalesce(F.col("shelf_id").cast("string"), F.lit("none"))
+    out += [found.books.select(F.lit("book").alias("kind"), F.col("book_id").alias("id"), F.concat("name", F.lit(" on "), shelf).alias("name")), more.select(F.lit("job").alias("kind"), F.lit(None).cast("long").alias("id"), F.col("scope").alias("name"))]
+    return reduce(DataFrame.unionByName, out)
 
 
 # First what runs too long fails, then what was resolved 30 seconds ago is closed, then failed jobs are decided and closed; retries are added, nothing goes.
@@ -155,21 +161,6 @@ query("embed_retries", "SELECT 'page:' || page_id AS scope FROM (SELECT page_id
 )
 
 
-@query("reindex_on_change", "SELECT * FROM (VALUES (0, true, 1), (1, false, 1), (2, true, 2), (3, true, 3)) AS t(n, called, calls)")
-def _(k):
-    kept, calls = store.Store(k.spark, scratch(k.spark, "reindex")), []
-    wanted = [{"chunk_version": 5, "embed_model": "m", "embed_dims": 64}] * 2 + [{"chunk_version": 5, "embed_model": "m", "embed_dims": 32}, {"chunk_version": 5, "embed_model": "x", "embed_dims": 32}]
-    return k.spark.createDataFrame([(i, store.reindex_on_change(kept, w, lambda: calls.append(1)), len(calls)) for i, w in enumerate(wanted)], "n int, called boolean, calls int")
-
-
-@query("kv_set", "SELECT * FROM (VALUES ('a', '2'), ('b', '[1, 2]'), ('c', 'unset')) AS t(k, v)")
-def _(k):
-    kept = store.Store(k.spark, scratch(k.spark, "kv"))
-    for key, value in (("a", 1), ("b", [1, 2]), ("a", 2)):
-        kept.set(key, value)
-    return k.spark.createDataFrame([(key, str(kept.get(key, "unset"))) for key in "abc"], "k string, v string")
-
-
 @query("scan_pages_paged", "SELECT page_id, url FROM pages")
 def _(k):
     k.spark.dataSource.register(paged.PagedListing)
@@ -178,24 +169,6 @@ def _(k):
     return reader.options(connector="atheneum.sources.paged:parquet_pages", path=f"{k.folder}/pages.parquet", columns="page_id,url", page_size="500", most="400").load()
 
 
-_MODES = (None, " Default ", "PRECISION", "rerank", "x")
-
-
-def _mode(mode: str | None) -> str:
-    try:
-        return search.parse_mode(mode)
-    except ValueError as e:
-        return str(e)[:12]
-
-
-query("search_mode_parse", "SELECT * FROM (VALUES (0, 'standard'), (1, 'standard'), (2, 'precision'), (3, 'mode ''rerank'), (4, 'unknown sear')) AS t(n, said)")(lambda k: k.spark.createDataFrame([(i, _mode(m)) for i, m in enumerate(_MODES)], "n int, said string"))
-_MULTIPLIERS = ([8, 6, 4, 2], [1, 2, 3, 4], [4, 3, 2, 0], [], [5, 5, 5, 5], [4, 3, 2])
-query("cascade_multipliers", "SELECT * FROM (VALUES (0, 8, 6, 4, 2), (1, 4, 3, 2, 1), (2, 4, 3, 2, 1), (3, 4, 3, 2, 1), (4, 5, 5, 5, 5), (5, 4, 3, 2, 1)) AS t(n, vector, keyword, blanket, rerank)")(
-    lambda k: k.spark.createDataFrame([(i, *dataclasses.astuple(search.Multipliers.of(m))) for i, m in enumerate(_MULTIPLIERS)], "n int, vector int, keyword int, blanket int, rerank int")
-)
 query("kv_get", "SELECT 'k' || page_id % 7 AS key, arg_max(name, page_id) AS value FROM kb_pages GROUP BY page_id % 7")(
     lambda k: store.kv_latest(k.pages.select(F.concat(F.lit("k"), F.col("page_id") % 7).alias("key"), F.col("name").alias("value"), F.col("page_id").alias("version")))
 )
-query("cascade_pool", "SELECT i AS limit_arg, greatest(i * 4, i, 1) AS pool FROM range(12) AS r(i)")(
-    lambda k: k.spark.createDataFrame([(i, search.pool(i, search.Multipliers().vector)) for i in range(12)], "limit_arg long, pool long")
-)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import documents, text
-from ..operators import ingest, models, requests, search, tables, vectors
-from ..sources import schemas
+from ..functions import answers, documents, text
+from ..operators import graph, ingest, models, requests, search, tables, vectors
+from ..sources.schemas import altered_width
 from ..sources.views import Knowledge
-from .catalog import LIMIT, THRESHOLD, query, query_vector
+from .catalog import LIMIT, SIBLINGS, THRESHOLD, query, query_vector
 
 DIMS = 32
 
@@ -110,15 +113,52 @@ query("parse_scope_id", "SELECT id, CASE WHEN scope LIKE 'book:%' THEN CAST(subs
 query("arg_coercion", "SELECT page_id, [page_id, page_id + 1]::VARCHAR AS ids, greatest(1, least(100, CASE WHEN page_id % 3 = 0 THEN 10 ELSE page_id END)) AS limit_arg FROM kb_pages")(
     lambda k: k.pages.select("page_id", text.id_list(F.array(F.col("page_id").cast("string"), F.lit("x"), (F.col("page_id") + 1).cast("string"))).cast("string").alias("ids"), text.bounded(F.when(F.col("page_id") % 3 != 0, F.col("page_id").cast("string")).otherwise("many"), 10, 1, 100).alias("limit_arg"))
 )
-# One list a book, as one text with all pages would be made in one task.
-query("format_search_text", "SELECT book_id, string_agg(pos || '. ' || name || ' (page ' || page_id || ')', chr(10) ORDER BY pos) AS shown FROM (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY name, page_id) AS pos, name, page_id FROM kb_pages) GROUP BY book_id")(
-    lambda k: search.shown_list(k.pages, "book_id", "name", "page_id")
-)
-query("format_success", "SELECT page_id, 'Page updated successfully.' || chr(10) || 'Page ID: ' || page_id || chr(10) || 'Name: ' || name || CASE WHEN page_id % 2 = 0 THEN chr(10) || 'URL: https://kb.org/' || slug ELSE '' END AS said FROM kb_pages")(
-    lambda k: k.pages.select("page_id", search.success_text("Page updated successfully.", "Page", F.col("page_id"), F.col("name"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://kb.org/"), "slug"))).alias("said"))
-)
-query("time_block", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS unix, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS utc, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS local FROM kb_events")(
-    lambda k: k.events.select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("unix"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utc"), F.date_format(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Asia/Tokyo"), "yyyy-MM-dd HH:mm:ss").alias("local"))
+_BASE = "https://kb.org"
+# Each page is a request, and its siblings, at most 20, are its results.
+query("format_search_text", f"""WITH n AS ({SIBLINGS}), r AS (SELECT n.page_id AS request, row_number() OVER (PARTITION BY n.page_id ORDER BY neighbour_id) AS pos, q.name, neighbour_id AS id, q.slug FROM n JOIN kb_pages q ON q.page_id = neighbour_id),
+ t AS (SELECT request, count(*) AS n, string_agg('- [page] ' || name || ' (id: ' || id || ')' || CASE WHEN id % 3 > 0 THEN ' — https://kb.org/books/b/page/' || slug ELSE '' END
+  || CASE WHEN id % 2 = 0 THEN chr(10) || '  Preview: ' || substr(repeat(slug || ' of ' || name || '; ', 9), 1, 200) ELSE '' END || chr(10), chr(10) ORDER BY pos) AS lines FROM r GROUP BY request)
+ SELECT page_id AS request, coalesce('Found ' || (n + page_id % 5) || ' results:' || chr(10) || chr(10) || lines, 'No results found.') AS shown FROM kb_pages LEFT JOIN t ON request = page_id""")(lambda k: _shown(k))
+
+
+def _shown(k: Knowledge):
+    near = graph.siblings(k.pages).withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy("neighbour_id")))
+    of = k.pages.select(F.col("page_id").alias("neighbour_id"), "name", "slug")
+    rows = near.join(of, "neighbour_id").select(
+        F.col("page_id").alias("request"), "pos", F.lit("page").alias("type"), "name", F.col("neighbour_id").alias("id"),
+        F.when(F.col("neighbour_id") % 3 > 0, F.concat(F.lit("books/b/page/"), "slug")).alias("url"),
+        F.when(F.col("neighbour_id") % 2 == 0, F.repeat(F.concat(F.lit("<p>"), "slug", F.lit(" of <b>"), "name", F.lit("</b>; </p>")), F.lit(9))).alias("preview"),
+    )
+    counts = near.groupBy("page_id").agg(F.count("*").alias("n"))
+    asked = k.pages.join(counts, "page_id", "left").select(F.col("page_id").alias("request"), (F.coalesce("n", F.lit(0)) + F.col("page_id") % 5).alias("total"))
+    return answers.search_texts(asked, rows, _BASE + "/", "request", "total")
+
+
+query("format_success", """SELECT 'page' AS kind, page_id AS id, 'Page updated.' || chr(10) || 'Page ID: ' || page_id || chr(10) || 'Book ID: ' || book_id || chr(10) || 'Name: ' || name || chr(10) || 'Editor: ' || CASE WHEN page_id % 2 = 0 THEN 'markdown' ELSE 'unknown' END
+  || chr(10) || 'Slug: ' || slug || chr(10) || 'Revision: ' || page_id % 7 || CASE page_id % 3 WHEN 0 THEN chr(10) || 'URL: https://kb.org/books/b' || book_id || '/page/' || slug WHEN 1 THEN chr(10) || 'URL: https://kb.org/p/' || slug ELSE '' END
+  || chr(10) || 'Use get_page(' || page_id || ') to verify content if needed.' AS said FROM kb_pages
+ UNION ALL SELECT 'shelf', shelf_id, 'Shelf created.' || chr(10) || 'Shelf ID: ' || shelf_id || chr(10) || 'Name: ' || name || chr(10) || 'Slug: ' || slug || CASE WHEN shelf_id % 2 = 0 THEN chr(10) || 'Description: about ' || name ELSE '' END || chr(10) || 'URL: https://kb.org/shelves/' || slug FROM kb_shelves
+ UNION ALL SELECT 'book', book_id, 'Book created.' || chr(10) || 'Book ID: ' || book_id || chr(10) || 'Name: ' || name || chr(10) || 'Slug: ' || slug || CASE WHEN book_id % 2 = 0 THEN chr(10) || 'Description: about ' || name ELSE '' END || chr(10) || 'URL: https://kb.org/books/' || slug FROM kb_books
+ UNION ALL SELECT 'chapter', chapter_id, 'Chapter updated.' || chr(10) || 'Chapter ID: ' || chapter_id || chr(10) || 'Book ID: ' || book_id || chr(10) || 'Name: ' || name || chr(10) || 'Slug: ' || slug || CASE WHEN chapter_id % 2 = 0 THEN chr(10) || 'Description: about ' || name ELSE '' END
+  || CASE WHEN chapter_id % 3 = 0 THEN chr(10) || 'URL: https://kb.org/books/b' || book_id || '/chapter/' || slug ELSE '' END FROM kb_chapters""")(lambda k: _said(k))
+
+
+def _said(k: Knowledge):
+    name, slug, book = F.col("name"), F.col("slug"), F.col("book_id")
+    about = lambda key: F.when(F.col(key) % 2 == 0, F.concat(F.lit("about "), name))
+    of_book = lambda key: F.when(F.col(key) % 3 == 0, F.concat(F.lit("b"), book))
+    page, path = F.col("page_id"), F.when(F.col("page_id") % 3 == 1, F.concat(F.lit("/p/"), slug))
+    parts = [
+        (k.pages, "page", "page_id", answers.page_success("Page updated.", _BASE, page, book, name, slug, F.when(page % 2 == 0, "markdown"), page % 7, path, of_book("page_id"))),
+        (k.shelves, "shelf", "shelf_id", answers.shelf_success("Shelf created.", _BASE, F.col("shelf_id"), name, slug, about("shelf_id"))),
+        (k.books, "book", "book_id", answers.book_success("Book created.", _BASE, book, name, slug, about("book_id"))),
+        (k.chapters, "chapter", "chapter_id", answers.chapter_success("Chapter updated.", _BASE, F.col("chapter_id"), book, name, slug, about("chapter_id"), of_book("chapter_id"))),
+    ]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), said.alias("said")) for df, kind, key, said in parts])
+
+
+query("time_block", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS now_unix, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS now_utc, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S') || '+09:00' AS now_local, strftime(ts + INTERVAL 9 HOUR, '%A, %B %-d, %Y at %-I:%M %p') AS now_human, 'Asia/Tokyo' AS timezone, 'env' AS timezone_source FROM kb_events")(
+    lambda k: k.events.select("event_id", requests.time_columns(F.col("ts").cast("timestamp"), "Asia/Tokyo", "env").alias("t")).select("event_id", "t.*")
 )
 query("flatten_book_pages", "SELECT book_id, page_id, name, chapter_id FROM kb_pages WHERE NOT deleted AND chapter_id IS NULL UNION ALL SELECT p.book_id, page_id, p.name, chapter_id FROM kb_pages p WHERE NOT deleted AND chapter_id IS NOT NULL")(lambda k: _flattened(k))
 
@@ -145,7 +185,6 @@ query("replace_section_html", "SELECT page_id, '<p>a</p><h2><i>' || name || '</i
     lambda k: k.pages.select("page_id", documents.replace_section(F.lit("wysiwyg"), F.concat(F.lit("<p>a</p><h2><i>"), "name", F.lit("</i></h2>old<h3>sub</h3>x<h2>Next</h2>z")), F.upper("name"), F.lit("new *text*")).alias("body"))
 )
 query("embed_texts")(lambda k: docs(k).select("doc_id", models.embed(F.col("text"), DIMS).alias("embedding")))
-query("embed_query")(lambda k: k.spark.createDataFrame([("how do pages link",)], "query string").select("query", models.embed(F.col("query"), DIMS).alias("embedding")))
 query("blob_codec", "SELECT chunk_id, len(embedding)::INT AS dims, 4 * len(embedding)::INT AS n_bytes, true AS same FROM kb_chunks")(
     lambda k: k.chunks.select("chunk_id", F.size("embedding").alias("dims"), "embedding", vectors.pack(F.col("embedding")).alias("blob")).select("chunk_id", "dims", F.octet_length("blob").alias("n_bytes"), (vectors.unpack(F.col("blob")) == F.col("embedding")).alias("same"))
 )
@@ -163,9 +202,8 @@ query("embed_pipeline")(lambda k: _ingested(k, k.html.join(k.pages.filter(ingest
 def _ingested(k: Knowledge, raw):
     return ingest.attempt(raw, k.books, k.chapters, k.shelves, k.pages, DIMS)[0].chunks.select("page_id", "chunk_index", "content_hash", F.size("embedding").alias("dims"))
 
-query("schema_init")(lambda k: k.spark.createDataFrame([(t, f.name, f.dataType.simpleString()) for t, d in schemas.SCHEMAS.items() for f in k.spark.createDataFrame([], d).schema], "table_name string, column_name string, type string"))
 query("alter_dim", "SELECT 64 AS dims, count(*) AS kept FROM kb_chunks WHERE NOT EXISTS (SELECT 1 FROM kb_chunks WHERE len(embedding) <> 64) UNION ALL SELECT 32, 0")(
-    lambda k: schemas.altered_width(k.chunks, 64).agg(F.lit(64).alias("dims"), F.count("*").alias("kept")).unionByName(schemas.altered_width(k.chunks, 32).agg(F.lit(32).alias("dims"), F.count("*").alias("kept")))
+    lambda k: altered_width(k.chunks, 64).agg(F.lit(64).alias("dims"), F.count("*").alias("kept")).unionByName(altered_width(k.chunks, 32).agg(F.lit(32).alias("dims"), F.count("*").alias("kept")))
 )
 query("scope_named", "SELECT chunk_id FROM kb_chunks WHERE page_id IN (SELECT page_id FROM kb_pages WHERE book_id IN (2, 5) OR page_id = 77)")(
     lambda k: (lambda s: tables.scoped(k.chunks, k.pages, books=s["books"], page_ids=s["pages"]).select("chunk_id"))(requests.named_scopes({"one": {"books": [5, 2]}, "two": {"pages": [77]}}, ["one", "gone", "two"])[0])

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from atheneum.functions import documents, text
+from atheneum.functions import answers, documents, text
 from atheneum.operators import acl, graph, ingest, jobs, models, search, tables, tree, vectors
 from atheneum.sources import paged, store
 from atheneum.streaming import events
@@ -363,3 +363,91 @@ def test_rerank_takes_at_most_200_documents(spark):
     assert [r.pos for r in models.rerank(docs, "text 199", "doc", 1).collect()] == [199]
     with pytest.raises(ValueError, match="200"):
         models.rerank(docs.unionByName(docs.limit(1)), "text 199", "doc", 1)
+
+
+def test_search_texts(spark):
+    rows = [(1, 0, "page", "Tea", 7, "/books/b/page/tea", "<p>Hot <b>tea</b></p>"), (1, 1, "book", "Pots", 8, None, ""), (1, 2, None, None, None, "https://x.org/y", "x" * 300)]
+    results = spark.createDataFrame(rows, "request int, pos int, type string, name string, id long, url string, preview string")
+    asked = spark.createDataFrame([(1, 40), (2, 0)], "request int, total int")
+    found = {r.request: r.shown for r in answers.search_texts(asked, results, "https://kb.org/", total="total").collect()}
+    assert found == {
+        1: "Found 40 results:\n\n- [page] Tea (id: 7) — https://kb.org/books/b/page/tea\n  Preview: Hot tea\n\n- [book] Pots (id: 8)\n\n- [unknown]  (id: 0) — https://x.org/y\n  Preview: " + "x" * 200 + "\n",
+        2: "No results found.",
+    }
+
+
+def test_success_texts(spark):
+    row = spark.createDataFrame([(5, 2, "Tea", "tea", "about tea", "pots")], "id long, book long, name string, slug string, description string, book_slug string")
+    c = F.col
+    page = lambda **more: answers.page_success("Page created.", "https://kb.org", c("id"), c("book"), c("name"), c("slug"), **more)
+    said = row.select(
+        page(), page(editor=F.lit("markdown"), revision=F.lit(3), book_slug=c("book_slug")), page(url=F.lit("books/x")), answers.shelf_success("Done.", "https://kb.org", c("id"), c("name"), c("slug")),
+        answers.book_success("Done.", "https://kb.org", c("id"), c("name"), c("slug"), c("description")), answers.chapter_success("Done.", "https://kb.org", c("id"), c("book"), c("name"), c("slug"), c("description"), c("book_slug")), answers.chapter_success("Done.", "https://kb.org", c("id"), c("book"), c("name"), c("slug")),
+    ).first()
+    last = "\nUse get_page(5) to verify content if needed."
+    assert list(said) == [
+        "Page created.\nPage ID: 5\nBook ID: 2\nName: Tea\nEditor: unknown\nSlug: tea\nRevision: 0" + last,
+        "Page created.\nPage ID: 5\nBook ID: 2\nName: Tea\nEditor: markdown\nSlug: tea\nRevision: 3\nURL: https://kb.org/books/pots/page/tea" + last,
+        "Page created.\nPage ID: 5\nBook ID: 2\nName: Tea\nEditor: unknown\nSlug: tea\nRevision: 0\nURL: https://kb.org/books/x" + last,
+        "Done.\nShelf ID: 5\nName: Tea\nSlug: tea\nURL: https://kb.org/shelves/tea",
+        "Done.\nBook ID: 5\nName: Tea\nSlug: tea\nDescription: about tea\nURL: https://kb.org/books/tea",
+        "Done.\nChapter ID: 5\nBook ID: 2\nName: Tea\nSlug: tea\nDescription: about tea\nURL: https://kb.org/books/pots/chapter/tea",
+        "Done.\nChapter ID: 5\nBook ID: 2\nName: Tea\nSlug: tea",
+    ]
+
+
+def test_outline(spark):
+    shelves = spark.createDataFrame([(1, "Home", "All of <i>it</i>", False), (2, "Empty", None, False)], "shelf_id long, name string, description string, deleted boolean")
+    books = spark.createDataFrame([(3, "Pots", 1, False, ""), (4, "Cups", 1, False, "for tea"), (5, "Lost", None, False, "")], "book_id long, name string, shelf_id long, deleted boolean, description string")
+    chapters = spark.createDataFrame([(6, "Care", 3, False), (7, "Gone", 3, True)], "chapter_id long, name string, book_id long, deleted boolean")
+    found = {r.shelf_id: r.outline for r in tree.outline(shelves, books, chapters).collect()}
+    assert found == {1: "Shelf: Home (ID: 1) — All of it\n  Book: Cups (ID: 4) — for tea\n  Book: Pots (ID: 3)\n    Chapter: Care (ID: 6)\n\n", 2: "Shelf: Empty (ID: 2)\n\n"}
+
+
+SEARCHED = {
+    "chunks": ([(i, i, [1.0, i / 10]) for i in range(6)], "chunk_id long, page_id long, embedding array<double>"),
+    "pages": ([(i, i % 2, None, False, f"n{i}", 1, i != 1) for i in range(6)], "page_id long, book_id long, chapter_id long, deleted boolean, name string, acl_computed_at long, acl_default_open boolean"),
+    "edges": ([], "source_page_id long, target_page_id long, link_type string"), "acl": ([], "page_id long, role_id long"), "hits": ([(1, "page", 0), (4, "page", 1)], "page_id long, kind string, pos long"),
+}
+
+
+def test_hybrid_scope_fallback_and_rerank(spark):
+    frames = {n: spark.createDataFrame(*x) for n, x in SEARCHED.items()}
+    run = lambda frames=frames, **more: search.hybrid_search(frames["chunks"], frames["pages"], frames["edges"], frames["acl"], frames["hits"], [1.0, 0.0], 3, 0.5, [7], **more)
+    assert 1 not in {r.page_id for r in run().collect()}  # denied
+    assert {r.page_id for r in run(scope=search.Scope(books=(0,))).collect()} == {0, 2, 4} and {r.page_id for r in run(scope=search.Scope(pages=(1, 3))).collect()} == {3}
+    found = run()
+    texts = spark.createDataFrame([(r.best_chunk, "h", "fox" if r.page_id == 2 else "hen") for r in found.collect()], "chunk_id long, heading_path string, content string")
+    after = search.reranked(found, texts, frames["pages"], "fox").collect()
+    assert [r.page_id for r in after][0] == 2 and {r.page_id for r in after} == {r.page_id for r in found.collect()} and after[0].rerank == 1.0
+    flat = frames | {"chunks": spark.createDataFrame([(9, 5, [0.0, 0.0])], SEARCHED["chunks"][1])}
+    raw = search.hybrid_search(flat["chunks"], flat["pages"], flat["edges"], flat["acl"], flat["hits"], [1.0, 0.0], 3, 0.0, [7]).collect()
+    assert [(r.page_id, r.vector, r.score, r.keyword) for r in raw] == [(5, 0.0, 0.0, 0.0)]  # only pages of the keywords were left, so the raw hits are shown
+
+
+def test_results_as_json(spark):
+    import json
+
+    found = spark.createDataFrame([(1, 0.81239, 0.5, 0.05, 0.9, [(10, 0.5), (11, 0.81239)]), (2, 0.4, 0.0, 0.0, 0.4, [])], "page_id long, vector double, keyword double, blanket double, score double, chunks array<struct<chunk_id: long, score: double>>")
+    pages = spark.createDataFrame([(1, "Tea", 3), (4, "Pot", 3)], "page_id long, name string, book_id long")
+    texts = spark.createDataFrame([(10, "A > B", "ten"), (11, "A", "eleven")], "chunk_id long, heading_path string, content string")
+    updates, near = spark.createDataFrame([(1, "2024-05-01")], "page_id long, updated_at string"), spark.createDataFrame([(1, "sibling", 4)], "page_id long, relation string, neighbour_id long")
+    shown = {r.page_id: json.loads(r.result) for r in search.result_json(found, pages, texts, updates, near).collect()}
+    assert shown[1] == {
+        "page_id": 1, "page_name": "Tea", "book_id": 3, "score": 0.9, "updated_at": "2024-05-01", "scoring": {"vector": 0.812, "keyword": 0.5, "blanket_boost": 0.05},
+        "chunks": [{"heading_path": "A", "content": "eleven", "score": 0.812}, {"heading_path": "A > B", "content": "ten", "score": 0.5}],
+        "blanket": {"linked_from": [], "links_to": [], "co_linked": [], "siblings": [{"page_id": 4, "name": "Pot"}]},
+    }
+    assert shown[2] == {"page_id": 2, "page_name": "Unknown", "book_id": 0, "score": 0.4, "chunks": [], "scoring": {"vector": 0.4, "keyword": 0.0, "blanket_boost": 0.0}}
+    again = search.result_json(found.withColumn("rerank", F.lit(0.33333)), pages, texts).filter("page_id = 1").first().result
+    assert json.loads(again)["score"] == json.loads(again)["scoring"]["rerank"] == 0.333 and "updated_at" not in json.loads(again)
+
+
+def test_scopes_multipliers_and_modes(spark):
+    assert [search.pool(i, search.Multipliers().vector) for i in range(4)] == [1, 4, 8, 12]
+    assert search.parse_mode(" Default ") == search.parse_mode(None) == "standard" and search.parse_mode("PRECISION") == "precision"
+    for bad in ("rerank", "x"):
+        with pytest.raises(ValueError):
+            search.parse_mode(bad)
+    roles = acl.caller_roles(spark.createDataFrame([(1, True), (2, True), (3, False)], "caller long, identified boolean"), spark.createDataFrame([(1, 5), (1, 5), (3, 6)], "caller long, role_id long"))
+    assert {r.caller: r.roles for r in roles.collect()} == {1: [5], 2: [], 3: None}

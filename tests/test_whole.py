@@ -42,10 +42,10 @@ def test_operators_get_all_ids(spark):
     assert found(spark, "union_neighbours", "page_id") == pages
     assert {r.id for r in registry.QUERIES["reconcile_one"](spark, FOLDER).collect() if r.kind == "page"} == pages
     assert found(spark, "acl_caller_roles", "caller") == pages
-    assert sum(r.n_roles for r in registry.QUERIES["acl_caller_roles"](spark, FOLDER).collect()) == len(ids("orders", "o_orderkey"))
-    assert max(found(spark, "find_by_name_ci", "book_id")) > 8 and found(spark, "format_search_text", "book_id") == books
-    shown = "\n".join(found(spark, "format_search_text", "shown"))
-    assert all(f"(page {i})" in shown for i in pages)
+    granted = [o["o_custkey"] for o in pq.read_table(f"{FOLDER}/orders.parquet", columns=["o_custkey"]).to_pylist()]
+    assert sum(r.n_roles or 0 for r in registry.QUERIES["acl_caller_roles"](spark, FOLDER).collect()) == sum(c % 10 != 9 for c in granted)
+    assert max(found(spark, "find_by_name_ci", "book_id")) > 8 and found(spark, "format_search_text", "request") == pages
+    assert {r.id for r in registry.QUERIES["format_success"](spark, FOLDER).collect() if r.kind == "page"} == pages and books
     assert {r.id for r in registry.QUERIES["tree_acl_prune"](spark, FOLDER).collect() if r.kind == "page"} == {i for i in pages if i % 40 == 1 and reached(i)}
     assert found(spark, "embed_pipeline", "page_id") == ids("pages", "page_id") & pages
 
