@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest, jobs, search, tables
 from ..sources import paged, store
-from ..sources.staging import scratch
+from ..sources.staging import scratch, settled
 from ..sources.views import Knowledge
 from ..streaming import events
 from .catalog import query
@@ -83,9 +83,42 @@ query("route_event_embed", _EMBED)(lambda k: events.route_embed(k.webhooks, k.bo
 query("route_event_index", """SELECT event_id, 'page:' || item_id AS scope FROM kb_webhooks WHERE event IN ('page_create', 'page_update', 'page_restore', 'page_move') AND item_id IS NOT NULL
  UNION ALL SELECT event_id, 'delete:' || CASE event WHEN 'page_delete' THEN 'page' WHEN 'chapter_delete' THEN 'chapter' WHEN 'book_delete' THEN 'book' ELSE 'shelf' END || ':' || item_id FROM kb_webhooks WHERE event IN ('page_delete', 'chapter_delete', 'book_delete', 'bookshelf_delete') AND item_id IS NOT NULL
  UNION ALL SELECT event_id, 'all' FROM kb_webhooks WHERE event IN ('chapter_update', 'chapter_move', 'chapter_delete', 'book_update', 'book_delete', 'bookshelf_update', 'bookshelf_delete')""")(lambda k: events.route_index(k.webhooks))
-query("delta_walk", "SELECT page_id, CAST(epoch_us(updated_at) AS BIGINT) AS updated_us FROM kb_page_updates WHERE updated_at > TIMESTAMP '2024-01-05 00:00:00' ORDER BY updated_at, page_id LIMIT 250")(
-    lambda k: tables.delta(k.page_updates, "2024-01-05 00:00:00").select("page_id", F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_us"))
-)
+@query("delta_walk", """WITH u AS (SELECT page_id, CAST(epoch_us(updated_at) AS BIGINT) AS updated_us FROM kb_page_updates WHERE updated_at > TIMESTAMP '2024-01-05 00:00:00')
+ SELECT page_id, updated_us, CASE WHEN page_id % 17 = 3 THEN 'page:' || page_id END AS retry FROM u""")
+def _(k):
+    """A walk over all updates since a time: pages that fail go to a queue of retries."""
+    folder = scratch(k.spark, "delta-walk")
+    listing_ = k.page_updates.select("page_id", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+    listing_.repartitionByRange("updated_at", "page_id").sortWithinPartitions("updated_at", "page_id").write.parquet(f"{folder}/listing")
+    stream = events.updates_since(k.spark, "page_id bigint, updated_at timestamp_ntz", "2024-01-05T00:00:00", connector="atheneum.sources.delta:ParquetDelta", path=f"{folder}/listing".removeprefix("file://"))
+    rows = F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_us")
+    failing = F.when(F.col("page_id") % 17 == 3, "no such page").alias("error")
+    shown = lambda df, retry: df.select("page_id", rows, retry.alias("retry"))
+    events.delta_walk(
+        k.spark, stream, f"{folder}/checkpoint", lambda df: df.select("*", failing), lambda bad: shown(bad, F.concat(F.lit("page:"), "page_id")).write.mode("overwrite").parquet(f"{folder}/retries"),
+        lambda good, number: shown(good, F.lit(None).cast("string")).write.mode("overwrite").parquet(f"{folder}/pages/batch={number}"),
+    )
+    read = lambda name: k.spark.read.schema("page_id bigint, updated_us bigint, retry string").parquet(f"{folder}/{name}")
+    return read("pages/*").unionByName(read("retries"))
+
+
+# Comments end the job of their page.
+@query("job_create_stream", f"""WITH w AS ({_EMBED}), r AS (SELECT DISTINCT event_id, scope, false AS ends FROM w UNION ALL SELECT event_id, 'page:' || item_id, true FROM kb_webhooks WHERE event = 'comment_create' AND item_id IS NOT NULL),
+ l AS (SELECT *, lag(ends) OVER (PARTITION BY scope ORDER BY event_id) AS before FROM r) SELECT scope, event_id FROM l WHERE NOT ends AND coalesce(before, true)""")
+def _(k):
+    """The jobs that the webhooks make as a stream, of several files in order."""
+    folder, most = scratch(k.spark, "job-stream"), k.webhooks.agg(F.max("event_id")).first()[0]
+    asked = events.route_embed(k.webhooks, k.books, k.chapters).distinct().withColumn("ends", F.lit(False))
+    ended = k.webhooks.filter("event = 'comment_create' AND item_id IS NOT NULL").select("event_id", F.concat(F.lit("page:"), "item_id").alias("scope"), F.lit(True).alias("ends"))
+    both = settled(asked.unionByName(ended))
+    for part in range(3):
+        both.filter(F.floor(F.col("event_id") * 3 / (most + 1)) == part).coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    stream = events.new_jobs(events.files_since(k.spark, f"{folder}/events", both.schema, 1))
+    query_ = stream.writeStream.format("parquet").option("path", f"{folder}/jobs").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return k.spark.read.schema("scope string, event_id bigint").parquet(f"{folder}/jobs")
+
+
 _SHELF_BOOKS = "sb AS (SELECT book_id, shelf_id, 1 AS ord FROM kb_books WHERE shelf_id IS NOT NULL UNION ALL SELECT book_id, (shelf_id + 1) % 5, 2 FROM kb_books WHERE shelf_id IS NOT NULL AND book_id % 4 = 0)"
 
 

@@ -30,21 +30,20 @@ Fetch = Callable[[dict, int, int], tuple[list[tuple], int | None]]
 
 
 def parquet_pages(options: dict, offset: int, count: int) -> tuple[list[tuple], int | None]:
-    """A connector to a Parquet file or folder: ``path`` and ``columns``, comma-separated. As servers do, it gives at most ``most`` rows at once."""
+    """A connector to a Parquet file or folder: ``path`` and ``columns``, comma-separated. As servers do, it gives at most ``most`` rows at once. Of the row groups, only those
+    that hold the rows asked for are read."""
     import pyarrow.dataset as ds
 
-    table = ds.dataset(options["path"])
-    count = min(count, int(options.get("most", count)))
-    rows = table.scanner(columns=options["columns"].split(","), batch_size=max(count, 1)).to_reader()
-    total, out, at = table.count_rows(), [], 0
-    for batch in rows:
-        if at + len(batch) > offset and len(out) < count:
-            part = batch.slice(max(0, offset - at), count - len(out))
-            out += list(zip(*(c.to_pylist() for c in part.columns), strict=True))
-        at += len(batch)
-        if len(out) >= count or at >= total:
-            break
-    return out, total
+    count, columns = min(count, int(options.get("most", count))), options["columns"].split(",")
+    out, at = [], 0
+    for file in ds.dataset(options["path"]).get_fragments():
+        for i, group in enumerate(file.row_groups):  # their numbers of rows are in the footer: what lies before is passed over unread
+            low, high = max(0, offset - at), min(group.num_rows, offset + count - at)
+            if low < high:
+                part = file.subset(row_group_ids=[group.id if hasattr(group, "id") else i]).to_table(columns=columns).slice(low, high - low)
+                out += list(zip(*(c.to_pylist() for c in part.columns), strict=True))
+            at += group.num_rows
+    return out, at
 
 
 class Page(InputPartition):

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from ..sources import delta
+
 EVENT_SCHEMA = "event string, related_item struct<id: bigint, book_id: bigint>"
 
 
@@ -58,11 +62,11 @@ def route_index(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.explode(scopes).alias("scope"))
 
 
-def delta_walk(spark: SparkSession, source: str, schema: StructType, checkpoint: str, process: Callable[[DataFrame], DataFrame], retry: Callable[[DataFrame], None], publish: Callable[[DataFrame, int], None], files: int = 250) -> None:
-    """Takes in all files of a folder that came since the last walk, in windows of ``files``, and returns when there are no more.
+def delta_walk(spark: SparkSession, stream: DataFrame, checkpoint: str, process: Callable[[DataFrame], DataFrame], retry: Callable[[DataFrame], None], publish: Callable[[DataFrame, int], None]) -> None:
+    """Takes in what a stream has new since the last walk, and returns when that is done.
 
-    ``process`` gives rows with an ``error`` column. Rows with an error become retry jobs; the others are published, once for each window:
-    the checkpoint holds the window's number, and publishing the same number twice replaces it.
+    ``process`` gives rows with an ``error`` column. Rows with an error go to ``retry``; the others are published, once for each batch: the checkpoint holds the batch's number,
+    and publishing the same number twice replaces it. If even ``retry`` fails the walk ends there with that error, nothing of the batch is published, and the next walk begins with it again.
     """
 
     def window(batch: DataFrame, number: int) -> None:
@@ -73,6 +77,51 @@ def delta_walk(spark: SparkSession, source: str, schema: StructType, checkpoint:
         finally:
             done.unpersist()
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     query = stream.writeStream.foreachBatch(window).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def files_since(spark: SparkSession, source: str, schema: StructType, files: int = 250) -> DataFrame:
+    """A stream of the files of a folder, so many a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+
+
+def updates_since(spark: SparkSession, schema: str, since: str | None = None, **options: str) -> DataFrame:
+    """A stream of the rows of a listing by (time, id), see ``sources.delta``."""
+    spark.dataSource.register(delta.DeltaListing)
+    own = options | ({} if since is None else {"since": since})
+    return spark.readStream.format("delta_listing").schema(schema).options(**own).load()
+
+
+class _OpenJobs(StatefulProcessor):
+    """Of one scope: the event that made the job which is still to be done, if there is one."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", "event_id bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values(["event_id", "ends"], ascending=[True, False])
+        made, going = [], self.open.exists()
+        for event, ends in zip(events["event_id"].tolist(), events["ends"].tolist(), strict=True):
+            if ends:
+                going = False
+                self.open.clear()
+            elif not going:
+                going = True
+                made.append(event)
+                self.open.update((event,))
+        yield pd.DataFrame({"scope": pd.Series([key[0]] * len(made), dtype=object), "event_id": pd.Series(made, dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def new_jobs(requests: DataFrame) -> DataFrame:
+    """(scope, event_id) of the jobs that a stream of (event_id, scope, ends) makes: a request makes one unless one of its scope is still to be done; an event that ``ends`` a scope's job
+    makes room for the next. The state holds one row a scope with an open job, and none for others. Events come in order, at least from batch to batch."""
+    spark = requests.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return requests.groupBy("scope").transformWithStateInPandas(_OpenJobs(), "scope string, event_id bigint", "Append", "None")

@@ -315,7 +315,7 @@ def test_delta_walk_publishes_each_window_once(spark, tmp_path):
         kept.publish("pages", tables.upsert(kept.read("pages", "id long"), df, ["id"]), ["id"], number)
 
     def walk():
-        events.delta_walk(spark, str(source), spark.range(1).schema, str(tmp_path / "cp"), lambda df: df.withColumn("error", F.when(F.col("id") == 3, "bad")), lambda df: failed.extend(r.id for r in df.collect()), publish)
+        events.delta_walk(spark, events.files_since(spark, str(source), spark.range(1).schema), str(tmp_path / "cp"), lambda df: df.withColumn("error", F.when(F.col("id") == 3, "bad")), lambda df: failed.extend(r.id for r in df.collect()), publish)
 
     walk()
     rows(5, 8)
@@ -324,6 +324,68 @@ def test_delta_walk_publishes_each_window_once(spark, tmp_path):
     assert sorted(r.id for r in kept.read("pages").collect()) == [0, 1, 2, 4, 5, 6, 7] and failed == [3]
 
 
+def test_updates_stream_from_where_it_was(spark, tmp_path):
+    def add(*rows):
+        made = spark.createDataFrame([(i, at) for i, at in rows], "page_id long, at string").select("page_id", F.to_timestamp_ntz("at").alias("updated_at"))
+        made.orderBy("updated_at", "page_id").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    seen, retried, broken = [], [], []
+
+    def retry(df):
+        ids = [r.page_id for r in df.collect()]
+        if ids and broken:
+            raise OSError("the queue is down")
+        retried.extend(ids)
+
+    def walk():
+        stream = events.updates_since(spark, "page_id bigint, updated_at timestamp_ntz", "2024-01-01T00:00:00", connector="atheneum.sources.delta:ParquetDelta", path=str(tmp_path / "in"), window="2")
+        events.delta_walk(spark, stream, str(tmp_path / "cp"), lambda df: df.withColumn("error", F.when(F.col("page_id") == 3, "bad")), retry, lambda df, n: seen.extend((n, r.page_id) for r in df.collect()))
+
+    add((1, "2024-01-01 00:00:00"), (2, "2024-01-02 00:00:00"), (3, "2024-01-02 00:00:00"), (4, "2024-01-03 00:00:00"), (5, "2024-01-03 00:00:00.5"))
+    broken.append(1)
+    with pytest.raises(Exception, match="queue is down"):
+        walk()
+    assert seen == retried == []  # nothing is taken in, nothing is passed
+    broken.clear()
+    walk()
+    assert sorted(i for _, i in seen) == [2, 4, 5] and retried == [3]  # page 1 is not later than the start
+    walk()
+    add((6, "2024-01-03 00:00:00.5"), (2, "2024-02-01 00:00:00"), (7, "2023-01-01 00:00:00"))
+    walk()
+    assert sorted(i for _, i in seen) == [2, 2, 4, 5, 6] and retried == [3]  # later ones of the same time, and a page that changed again
+
+
+def test_delta_windows_are_partitions():
+    from atheneum.sources import delta
+
+    class Keys:
+        def __init__(self, options):
+            self.keys = [(delta.EPOCH[0], i) for i in range(10)]
+
+        def ends(self, after, count, upto=None):
+            keys = [k for k in self.keys if k > after and (upto is None or k <= upto)]
+            return [keys[min(i + count, len(keys)) - 1] for i in range(0, len(keys), count)]
+
+    stream = delta._Stream({"window": "4", "connector": "x:y"}, ["a"])
+    stream._connector = lambda: Keys(None)
+    end = stream.latestOffset()
+    assert [(w.after[1], w.upto[1]) for w in stream.partitions(stream.initialOffset(), end)] == [(-1, 3), (3, 7), (7, 9)]
+    assert stream.latestOffset() == end and stream.partitions(end, end) == []
+
+
+def test_paged_parquet_reads_only_what_is_asked_for(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for f in range(3):
+        pq.write_table(pa.table({"id": list(range(f * 100, f * 100 + 100)), "name": ["x"] * 100}), str(tmp_path / f"{f}.parquet"), row_group_size=30)
+    options = {"path": str(tmp_path), "columns": "id,name"}
+    for offset, count in ((0, 10), (95, 10), (119, 150), (290, 50), (300, 5)):
+        rows, total = paged.parquet_pages(options, offset, count)
+        assert [r[0] for r in rows] == list(range(offset, min(300, offset + count))) and total == 300
+    assert len(paged.parquet_pages(options | {"most": "7"}, 5, 20)[0]) == 7
+
+
 def test_events_parse_and_route_as_a_stream(spark, tmp_path):
     payloads = ['{"event":"page_update","related_item":{"id":5}}', '{"event":"role_delete","related_item":{"id":2}}', '{"event":"x"}', "junk"]
     spark.createDataFrame([(i, p) for i, p in enumerate(payloads)], "event_id long, payload string").write.parquet(str(tmp_path / "e"))
