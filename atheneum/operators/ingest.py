@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents, text
 from ..sources.staging import numbered, settled
+from . import jobs as queue
 from . import models, tables
 
 MAX_FAILURES = 10
@@ -87,6 +89,58 @@ def outcome(results: DataFrame, most: int = MAX_FAILURES) -> DataFrame:
     return rows.agg(F.count("*").alias("done"), n.alias("failures"), F.lit(last is not None).alias("aborted"), F.when((n >= most) | F.lit(last is not None), "failed").otherwise("succeeded").alias("status"))
 
 
+class Embedded(NamedTuple):
+    """What a job did: new rows of the pages that went well, (page_id, error) of the pages it got to, whether it was aborted or stopped, and how it ended."""
+
+    done: Ingested
+    results: DataFrame
+    aborted: bool
+    stopped: bool
+    status: str
+
+
+WINDOW = 1_000
+
+
+def embed_job(raw: DataFrame, books: DataFrame, chapters: DataFrame, shelves: DataFrame, pages: DataFrame, dims: int, make=models.hashing_embedder, window: int = WINDOW, most: int = MAX_FAILURES, should_stop: Callable[[], bool] | None = None) -> Embedded:
+    """An embedding job over raw pages in windows by id. After ``most`` failures in a row, counted across windows, or when ``should_stop`` says so, no further window is begun, and what
+    comes after the failures is not among the results. Each window's rows are written before the next is begun."""
+    spark = raw.sparkSession
+    rows = settled(numbered(settled(raw.select("page_id")), "page_id").withColumn("window", F.floor((F.col("pos") - 1) / window)))
+    windows = rows.agg(F.max("window")).first()[0]
+    kept: list[Ingested] = []
+    results = spark.createDataFrame([], "page_id long, error string")
+    aborted = stopped = False
+    for n in range(0 if windows is None else windows + 1):
+        if should_stop is not None and should_stop():
+            stopped = True
+            break
+        own = rows.filter(F.col("window") == n).select("page_id")
+        done, found = attempt(raw.join(own, "page_id", "left_semi"), books, chapters, shelves, pages, dims, make)
+        tail = results.orderBy(F.desc("page_id")).limit(most)  # a row of failures may have begun before
+        last = aborted_after(tail.unionByName(found), most)
+        if last is not None:
+            found = found.filter(F.col("page_id") <= last)
+            good = found.filter("error IS NULL").select("page_id")
+            done = Ingested(done.pages.join(good, "page_id", "left_semi"), done.chunks.join(good, "page_id", "left_semi"), done.links.join(good.withColumnRenamed("page_id", "source_page_id"), "source_page_id", "left_semi"))
+        kept.append(Ingested(*[settled(x) for x in done]))
+        results = settled(results.unionByName(found))
+        if last is not None:
+            aborted = True
+            break
+    whole = kept[0] if kept else Ingested(*[settled(x) for x in attempt(raw.limit(0), books, chapters, shelves, pages, dims, make)[0]])
+    for more in kept[1:]:
+        whole = Ingested(*[a.unionByName(b) for a, b in zip(whole, more, strict=True)])
+    failures = results.filter("error IS NOT NULL").limit(most).count()
+    return Embedded(whole, results, aborted, stopped, "failed" if aborted or failures >= most else "cancelled" if stopped else "succeeded")
+
+
+def retries_of(job: Embedded, jobs: DataFrame) -> DataFrame:
+    """(scope, id, is_new) of the jobs for the pages that failed in a job that succeeded as a whole; a page that has one already gets no other."""
+    failed = job.results.filter("error IS NOT NULL").select(F.concat(F.lit("page:"), F.col("page_id")).alias("scope"))
+    return queue.create_dedup(jobs, failed if job.status == "succeeded" else failed.limit(0))
+
+
 def retry_scopes(results: DataFrame, most: int = MAX_FAILURES) -> DataFrame:
     """(scope) of the jobs that try failed pages again: none where the job as a whole failed."""
     whole = outcome(results, most).select(F.col("status").alias("_status"))

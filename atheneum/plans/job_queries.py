@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ingest, jobs, search, tables
+from ..operators import ingest, jobs
 from ..sources import paged, store
 from ..sources.staging import scratch, settled
 from ..sources.views import Knowledge
@@ -184,14 +184,31 @@ query("housekeeper", f"""WITH RECURSIVE {_CHAIN}, x AS (SELECT *, CASE WHEN stat
  UNION ALL SELECT (SELECT max(id) FROM kb_jobs) + row_number() OVER (ORDER BY id), scope, 'pending', NULL, NULL, NULL, id FROM d WHERE decision = 'retried'""")(
     lambda k: jobs.housekeep(k.jobs, 5000).select("id", "scope", "status", "prev_status", "resolved_status", "resolved_at", "retry_of")
 )
-query("embed_outcome", """WITH e AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS pos, page_id % 40 < 12 AND page_id >= 100 AS bad FROM kb_pages), f AS (SELECT *, pos - row_number() OVER (ORDER BY pos) AS run FROM e WHERE bad),
- a AS (SELECT min(first) + 9 AS last FROM (SELECT run, min(pos) AS first, count(*) AS n FROM f GROUP BY run) WHERE n >= 10)
- SELECT count(*) AS done, sum(bad::INT)::BIGINT AS failures, true AS aborted, 'failed' AS status FROM e, a WHERE pos <= a.last""")(
-    lambda k: ingest.outcome(k.pages.select("page_id", F.when((F.col("page_id") % 40 < 12) & (F.col("page_id") >= 100), "e").alias("error")))
-)
-query("embed_retries", "SELECT 'page:' || page_id AS scope FROM (SELECT page_id FROM kb_pages ORDER BY page_id LIMIT 5) ORDER BY page_id")(
-    lambda k: ingest.retry_scopes(k.pages.join(F.broadcast(tables.window_of(k.pages, ["page_id"], 5).select("page_id", F.lit("e").alias("error"))), "page_id", "left").select("page_id", "error"))
-)
+# A job over all pages with a text, of which the index lacks some, that fail; it ends with the tenth failure in a row.
+query("embed_outcome", """WITH r AS (SELECT CAST(page_id AS BIGINT) AS page_id, CAST(page_id AS BIGINT) % 40 < 12 AND page_id >= 20 AS bad FROM pages), e AS (SELECT *, row_number() OVER (ORDER BY page_id) AS pos FROM r),
+ f AS (SELECT *, pos - row_number() OVER (ORDER BY pos) AS run FROM e WHERE bad), a AS (SELECT min(first) + 9 AS last FROM (SELECT run, min(pos) AS first, count(*) AS n FROM f GROUP BY run) WHERE n >= 10)
+ SELECT count(*) AS done, sum(bad::INT)::BIGINT AS failures, true AS aborted, 'failed' AS status FROM e, a WHERE pos <= a.last""")(lambda k: _outcome(k))
+
+
+def _outcome(k: Knowledge):
+    """A job over all pages with a text, of which the index lacks some: these fail."""
+    raw, lacking = k.html, (F.col("page_id") % 40 < 12) & (F.col("page_id") >= 20)
+    known = k.html.filter(~lacking).select("page_id", F.lit(1).cast("long").alias("book_id"), F.lit(None).cast("long").alias("chapter_id"), F.concat(F.lit("page "), "page_id").alias("name"), F.concat(F.lit("p"), "page_id").alias("slug"))
+    job = ingest.embed_job(raw, k.books, k.chapters, k.shelves, known, 8, window=60)
+    return job.results.agg(F.count("*").alias("done"), F.count("error").alias("failures"), F.lit(job.aborted).alias("aborted"), F.lit(job.status).alias("status"))
+
+
+# The index lacks each thirty-first page; their retries are queued, but for those that are waiting already.
+query("embed_retries", """WITH r AS (SELECT CAST(page_id AS BIGINT) AS page_id FROM pages WHERE page_id % 31 = 7 AND page_id < 250), n AS (SELECT 'page:' || page_id AS scope FROM r WHERE page_id % 2 = 1)
+ SELECT scope, 500 + row_number() OVER (ORDER BY scope) AS id, true AS is_new FROM n UNION ALL SELECT 'page:' || page_id, page_id, false FROM r WHERE page_id % 2 = 0""")(lambda k: _retries(k))
+
+
+def _retries(k: Knowledge):
+    lacking = (F.col("page_id") % 31 == 7) & (F.col("page_id") < 250)
+    known = k.html.filter(~lacking).select("page_id", F.lit(1).cast("long").alias("book_id"), F.lit(None).cast("long").alias("chapter_id"), F.concat(F.lit("page "), "page_id").alias("name"), F.concat(F.lit("p"), "page_id").alias("slug"))
+    waiting = k.html.filter(lacking & (F.col("page_id") % 2 == 0)).select(F.col("page_id").alias("id"), F.concat(F.lit("page:"), "page_id").alias("scope"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("resolved_status"))
+    last = k.spark.createDataFrame([(500, "all", "succeeded", None)], waiting.schema)
+    return ingest.retries_of(ingest.embed_job(k.html, k.books, k.chapters, k.shelves, known, 8), waiting.unionByName(last))
 
 
 @query("scan_pages_paged", "SELECT page_id, url FROM pages")

@@ -14,8 +14,10 @@ from ..operators import jobs, search
 from ..operators.adjacency import Adjacency
 from ..operators.graph import strong_weak
 from ..operators.text_index import TextIndex
+from ..operators.vector_index import VectorIndex
 from ..sources.log import SnapshotLog
 from ..sources.merge import MergeTable
+from ..sources.ordered import OrderedTable
 from ..sources.staging import scratch
 from ..sources.views import Knowledge
 from . import catalog
@@ -149,3 +151,28 @@ def _(k):
     for i in (0, 1):
         jobs.take(shared, f"w{8 + i}", 9000 + i)
     return shared.read()
+
+
+# --- ordered tables and the vector index ----------------------------------------------------------------------------
+
+
+def _ordered(k: Knowledge, log: SnapshotLog) -> OrderedTable:
+    rows = k.pages.select("page_id", "name")
+    table = OrderedTable(log, "pages-by-name", rows.schema, ["name", "page_id"], file_rows=500)
+    table.publish(rows)
+    return table
+
+
+query("paged_list_ordered", "SELECT page_id, name, pos FROM (SELECT page_id, name, row_number() OVER (ORDER BY name, page_id) AS pos FROM kb_pages) WHERE pos > 40 AND pos <= 60")(lambda k: kept(k, "ordered", lambda log: _ordered(k, log)).page(40, 20))
+
+
+def _vector_index(k: Knowledge, log: SnapshotLog) -> VectorIndex:
+    index = VectorIndex(log)
+    index.build(k.chunks)
+    return index
+
+
+@same_as("vector_topk_indexed", "vector_topk")
+def _(k):
+    found, _ = kept(k, "vector-index", lambda log: _vector_index(k, log)).topk(catalog.query_vector(k), 20, catalog.THRESHOLD)
+    return found.select("chunk_id", "page_id", F.round("score", 4).alias("score"))

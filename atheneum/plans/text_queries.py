@@ -200,7 +200,8 @@ query("embed_pipeline")(lambda k: _ingested(k, k.html.join(k.pages.filter(ingest
 
 
 def _ingested(k: Knowledge, raw):
-    return ingest.attempt(raw, k.books, k.chapters, k.shelves, k.pages, DIMS)[0].chunks.select("page_id", "chunk_index", "content_hash", F.size("embedding").alias("dims"))
+    job = ingest.embed_job(raw, k.books, k.chapters, k.shelves, k.pages, DIMS)
+    return job.done.chunks.select("page_id", "chunk_index", "content_hash", F.size("embedding").alias("dims"))
 
 query("alter_dim", "SELECT 64 AS dims, count(*) AS kept FROM kb_chunks WHERE NOT EXISTS (SELECT 1 FROM kb_chunks WHERE len(embedding) <> 64) UNION ALL SELECT 32, 0")(
     lambda k: altered_width(k.chunks, 64).agg(F.lit(64).alias("dims"), F.count("*").alias("kept")).unionByName(altered_width(k.chunks, 32).agg(F.lit(32).alias("dims"), F.count("*").alias("kept")))

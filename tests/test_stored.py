@@ -7,12 +7,16 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from atheneum.operators import graph, jobs, search
+import numpy as np
+
+from atheneum.operators import graph, ingest, jobs, models, search, vectors
 from atheneum.operators.adjacency import Adjacency
 from atheneum.operators.text_index import TextIndex
+from atheneum.operators.vector_index import VectorIndex
 from atheneum.sources import merge, store
 from atheneum.sources.log import SnapshotLog
 from atheneum.sources.merge import MergeTable
+from atheneum.sources.ordered import OrderedTable
 
 
 @pytest.fixture
@@ -191,3 +195,106 @@ def test_top_k_skips_segments(spark, log):
     index.build(rows)
     found, visited = index.top("rare", 10)
     assert [r.doc_id for r in found.collect()] == list(range(7000, 7010)) and visited["scored"] < visited["segments"] / 2
+
+
+def test_an_offset_opens_one_file(spark, log):
+    rows = spark.range(5_000).select(((F.col("id") * 7919) % 5_000).alias("k"), F.col("id").alias("v"))
+    table = OrderedTable(log, "t", rows.schema, ["k"], file_rows=300)
+    assert table.count() == 0 and table.page(0, 5).isEmpty()
+    table.publish(rows)
+    assert table.count() == 5_000
+    for offset, limit in ((0, 10), (1_234, 20), (4_990, 50), (5_000, 5), (290, 2_000)):
+        found = table.page(offset, limit)
+        assert [(r.k, r.pos) for r in found.collect()] == [(i, i + 1) for i in range(offset, min(5_000, offset + limit))]
+    assert len(table.page(1_234, 20).inputFiles()) <= 2
+    table.publish(rows.limit(0))
+    assert table.count() == 0
+
+
+def clustered(n, dims=16, seed=2):
+    r = np.random.default_rng(seed)
+    centres = r.normal(0, 1, (40, dims))
+    return [(i, i // 2, (centres[i % 40] + r.normal(0, 0.08, dims)).astype(np.float32).tolist()) for i in range(n)]
+
+
+def test_vector_index(spark, log):
+    rows = clustered(8_000) + [(90_000, 1, None), (90_001, 1, [0.0] * 16), (90_002, 1, [1.0, 2.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, page_id long, embedding array<float>").repartition(4)
+    index = VectorIndex(log)
+    index.build(chunks)
+    plain = lambda df: [(r.chunk_id, r.page_id, round(r.score, 9)) for r in df.collect()]
+    for of, limit, threshold in ((5, 10, 0.2), (17, 300, 0.0), (3, 20, 0.999), (8, 9_000, -1.0)):
+        query = rows[of][2]
+        found, seen = index.topk(query, limit, threshold)
+        assert plain(found) == plain(vectors.vector_topk(chunks, query, limit, threshold))
+        if limit == 10:
+            assert seen["scored"] < 0.3 * seen["vectors"] and seen["read"] < seen["cells"]
+    assert plain(index.topk([0.0] * 16, 5, 0.1)[0]) == []
+    VectorIndex(log).build(chunks.filter("chunk_id < 50"))  # a new width or content is a new build
+    assert len(plain(index.topk(rows[5][2], 100, -1.0)[0])) == 50
+
+
+def test_similar_pages_meet_only_in_near_cells(spark):
+    rows = [(i, v) for i, _, v in clustered(1_500)] + [(5_000, [0.0] * 16)]
+    pages = spark.createDataFrame(rows, "page_id long, centroid array<double>")
+    placed, reach = vectors.near_cells(pages, 0.65, block=100)
+    assert placed.count() == len(rows) and reach.agg(F.sum("pairs")).first()[0] < 0.3 * len(rows) ** 2
+    m = np.array([v for _, v in rows])
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    unit = np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+    for threshold in (0.65, -0.5):
+        scores = unit @ unit.T
+        np.fill_diagonal(scores, -2)
+        want = set()
+        for i in range(len(rows)):
+            best = np.lexsort((np.arange(len(rows)), -np.round(scores[i], 12)))[:5]
+            want |= {(rows[i][0], rows[j][0]) for j in best if scores[i, j] >= threshold}
+        assert {(r.page_id, r.similar_id) for r in vectors.similar_pages(pages, 5, threshold, block=100).collect()} == want
+
+
+def test_centroids_of_ragged_and_missing_vectors(spark):
+    rows = [(1, 1, [1.0, 2.0]), (2, 1, [3.0, 4.0]), (3, 2, [1.0]), (4, 2, [3.0, None, 5.0]), (5, 3, None), (6, 3, []), (7, None, [1.0, 1.0])] + [(10 + i, 9, [float(i), 1.0]) for i in range(500)]
+    found = {r.page_id: (r.n_chunks, r.centroid) for r in vectors.centroids(spark.createDataFrame(rows, "chunk_id long, page_id long, embedding array<float>").repartition(5)).collect()}
+    assert found == {1: (2, [2.0, 3.0]), 2: (2, [2.0, None, 5.0]), None: (1, [1.0, 1.0]), 9: (500, [249.5, 1.0])}
+
+
+@pytest.fixture
+def wiki(spark):
+    pages = spark.createDataFrame([(i, 1, None, f"p{i}", f"p{i}") for i in range(60)], "page_id long, book_id long, chapter_id long, name string, slug string")
+    books, chapters = spark.createDataFrame([(1, "b", 1)], "book_id long, name string, shelf_id long"), spark.createDataFrame([], "chapter_id long, name string")
+    return books, chapters, spark.createDataFrame([(1, "s")], "shelf_id long, name string"), pages
+
+
+def failing_on(bad):
+    def make(dims):
+        def embed(texts):
+            if any(int(re.search(r"text (\d+)", t)[1]) in bad for t in texts):
+                raise ValueError("bad text")
+            return models.hashing_embedder(dims)(texts)
+
+        return embed
+
+    return make
+
+
+def test_an_aborted_job_returns_nothing_after_the_abort(spark, wiki):
+    raw = spark.createDataFrame([(i, f"<p>text {i}</p><a href='/link/3'>x</a>") for i in range(60)], "page_id long, html string")
+    job = ingest.embed_job(raw, *wiki, 4, failing_on(set(range(15, 40)) | {2}), window=20)
+    assert (job.status, job.aborted, job.stopped) == ("failed", True, False)  # failures 15 to 24 lie in two windows
+    done = [i for i in range(15) if i != 2]
+    assert sorted(r.page_id for r in job.results.collect()) == list(range(25)) and sorted(r.page_id for r in job.done.chunks.collect()) == sorted(r.page_id for r in job.done.pages.collect()) == done
+    assert ingest.retries_of(job, spark.createDataFrame([], "id long, scope string, status string, resolved_status string")).isEmpty()
+
+
+def test_a_job_stops_between_windows_and_queues_retries(spark, wiki):
+    raw = spark.createDataFrame([(i, f"<p>text {i}</p>") for i in range(60)], "page_id long, html string")
+    asked = []
+    job = ingest.embed_job(raw, *wiki, 4, failing_on({4, 7}), window=20, should_stop=lambda: asked.append(1) or len(asked) > 2)
+    assert (job.status, job.stopped) == ("cancelled", True) and sorted(r.page_id for r in job.results.collect()) == list(range(40))
+    whole = ingest.embed_job(raw, *wiki, 4, failing_on({4, 7, 50}), window=20)
+    queue = spark.createDataFrame([(9, "page:7", "pending", None), (3, "page:4", "succeeded", "succeeded")], "id long, scope string, status string, resolved_status string")
+    assert whole.status == "succeeded"
+    made = {r.scope: r.is_new for r in ingest.retries_of(whole, queue).collect()}
+    assert made == {"page:7": False, "page:4": True, "page:50": True}
+    none = ingest.embed_job(raw.limit(0), *wiki, 4)
+    assert none.status == "succeeded" and none.done.chunks.isEmpty()
