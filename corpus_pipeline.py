@@ -36,16 +36,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A document is an id with a text: different texts under one id are different documents, of repeated rows one stays. Texts without words
     are no one's near duplicates, so such rows without an id all stay.
     """
-    text_hash = F.xxhash64("text")
-    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), text_hash.alias("th"))
-    found = written(jaccard_trie.jaccard_components(docs.select(own.alias("own"), "text"), NEAR_WORDS, NEAR_PERCENT, "own"), "near")
-    rows = docs.withColumn("__th", text_hash)
-    loose = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
+    own = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("doc_id"), "th")
+    found = written(jaccard_trie.jaccard_components(rows.select(own.alias("own"), F.col("given.text").alias("text")), NEAR_WORDS, NEAR_PERCENT, "own"), "near")
+    loose = F.col("id").isNull() & ~F.coalesce(F.col("given.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     if not found.filter("NOT own.none OR n_shingles > 0").groupBy("own").count().filter("count > 1").isEmpty():
-        rows = rows.filter(loose).unionByName(rows.filter(~loose).dropDuplicates(["doc_id", "__th"]))
-    gone = found.filter("own > component_id").select(F.col("own.doc_id").alias("__id"), F.col("own.th").alias("__gone")).distinct()
+        rows = rows.filter(loose).unionByName(rows.filter(~loose).dropDuplicates(["id", "th"]))
+    gone = found.filter("own > component_id").select(F.col("own.doc_id").alias("gone_id"), F.col("own.th").alias("gone_th")).distinct()
     small = gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return rows.join(F.broadcast(gone) if small else gone, (F.col("__th") == F.col("__gone")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    return rows.join(F.broadcast(gone) if small else gone, (F.col("th") == F.col("gone_th")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti").select("given.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
