@@ -497,9 +497,10 @@ def cleaned(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
                         b += 1
                     whole.append((a, b))
                 kept.append(without(text, merge_spans(whole)).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("th"), pa.array(kept, pa.string())], names=["__doc", "__th", "__kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("th"), pa.array(kept, pa.string())], names=["doc", "th", "kept"])
 
-    found = removals(docs, length, id_col, text_col).mapInArrow(tidy(cut), "__doc long, __th long, __kept string")
+    found = removals(docs, length, id_col, text_col).mapInArrow(tidy(cut), "doc long, th long, kept string")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__th": F.xxhash64(text)})
-    return rows.join(found, ["__doc", "__th"], "left").withColumn(text_col, F.coalesce("__kept", F.col(text_col))).select(*docs.columns)
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given")  # so that no column of the caller's meets one of these
+    rows = docs.select(given, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("th")).join(found, ["doc", "th"], "left")
+    return rows.select(*[(F.coalesce("kept", F.col(f"given.`{c}`")) if c == text_col else F.col(f"given.`{c}`")).alias(c) for c in docs.columns])

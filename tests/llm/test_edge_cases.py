@@ -232,6 +232,26 @@ def test_pipeline_stages(spark, docs, none):
     assert {r.n_tokens for r in corpus_pipeline.encoding(spark, documents, "").filter("doc_id = 3").collect()} == {0}
 
 
+def test_pipeline_stages_leave_other_columns_alone(spark, docs, none):
+    """Columns of any name, those of the stages' own helpers among them, stay as they were."""
+    more = ["given", "own", "gone_id", "gone_th", "__th", "__doc", "__kept", "_metadata"]
+    wide = docs.withColumns({c: F.lit(c) for c in more})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found, empty = stage(spark, wide, ""), stage(spark, none.withColumns({c: F.lit(c) for c in more}), "")
+        rows = found.collect()
+        assert found.columns == empty.columns == wide.columns and empty.isEmpty(), name
+        assert rows or name == "quality_rules"
+        assert all(r[c] == "x" for r in rows for c in CLASH) and all(r[c] == c for r in rows for c in more), name
+
+
+def test_encoding_of_odd_rows(spark, docs, none):
+    assert corpus_pipeline.encoding(spark, none, "").isEmpty()
+    found = by_id(corpus_pipeline.encoding(spark, docs, ""))
+    assert sum(map(len, found.values())) == N and set(next(iter(found.values()))[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "n_tokens", "ids"}
+    assert found[6][0].text == "é" * 50_000 and found[6][0].n_tokens == len(found[6][0].ids) and [r.text for r in found[2]] == [PROSE] * 2  # repeated rows stay
+    assert found[3][0].text == found[4][0].text == "" and found[3][0].ids == [] and found[5][0].text == "   \n\t "
+
+
 def test_near_duplicates_of_shared_and_null_ids(spark):
     a, b, c, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abce")
     texts = [(1, a), (1, b), (1, b), (2, a + " z"), (3, b), (3, e), (None, c), (None, c), (None, c + " z"), (None, a), (None, ""), (None, "")]
