@@ -55,6 +55,19 @@ def nodes(shelves: DataFrame, books: DataFrame, chapters: DataFrame, pages: Data
     return out.unionByName(row(p, "page", "page_id", F.when(root_page, "book").otherwise("chapter"), F.coalesce("chapter_id", "book_id"), F.when(root_page, 2).otherwise(3), F.coalesce("c_shelf", "b_shelf"), F.coalesce("c_book", "b"), F.col("c")))
 
 
+def below(shelves: DataFrame, books: DataFrame, chapters: DataFrame, pages: DataFrame, kind: str, id: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The four tables cut down to what lies at, under or above one node, so that the filter reaches the scans of chapters and pages; ``nodes`` of them has the same subtree."""
+    if kind == "shelf":
+        own = F.col("shelf_id") == id
+        books = books.filter(own | F.col("shelf_id").isNull() if id == UNSHELVED[0] else own)
+        ids = books.select("book_id")
+        return shelves, books, chapters.join(ids, "book_id", "left_semi"), pages.join(ids, "book_id", "left_semi")
+    if kind == "book":
+        return shelves, *[df.filter(F.col("book_id") == id) for df in (books, chapters, pages)]
+    chapters = chapters.filter(F.col("chapter_id") == id)
+    return shelves, books.join(chapters.select("book_id"), "book_id", "left_semi"), chapters, pages.filter(F.col("chapter_id") == id)
+
+
 def directory(all_nodes: DataFrame, kind: str = "all", id: int | None = None, depth: int | None = None) -> DataFrame:
     """The nodes at or under the root(s), with ``level`` from 0, at most ``depth`` levels below: one filter on the containers."""
     if kind == "all":

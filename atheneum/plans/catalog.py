@@ -467,21 +467,25 @@ TREE = """nodes AS (SELECT 'shelf' AS kind, shelf_id AS id, CAST(NULL AS VARCHAR
 _TREE_COLUMNS = ["kind", "id", "parent_kind", "parent_id", "name", "level"]
 
 
+def subtree(k: Knowledge, kind: str, id: int, depth: int | None = None) -> DataFrame:
+    return tree.directory(tree.nodes(*tree.below(k.shelves, k.books, k.chapters, k.pages, kind, id)), kind, id, depth)
+
+
 def nodes(k: Knowledge) -> DataFrame:
     # The fixture has a shelf 0 of its own, which shares its books with the made-up one.
     return tree.nodes(k.shelves, k.books, k.chapters, k.pages)
 
 
-query("directory_tree", f"WITH RECURSIVE {TREE.format(root=chr(39).join(['kind = ', 'book', ' AND id = 7']), depth=3)} SELECT {', '.join(_TREE_COLUMNS)} FROM tree")(lambda k: tree.directory(nodes(k), "book", 7).select(*_TREE_COLUMNS))
-query("directory_tree_depth", f"WITH RECURSIVE {TREE.format(root=chr(39).join(['kind = ', 'shelf', ' AND id = 2']), depth=2)} SELECT {', '.join(_TREE_COLUMNS)} FROM tree")(lambda k: tree.directory(nodes(k), "shelf", 2, 2).select(*_TREE_COLUMNS))
-query("tree_collect_pages", f"WITH RECURSIVE {TREE.format(root=chr(39).join(['kind = ', 'book', ' AND id = 7']), depth=3)} SELECT id AS page_id FROM tree WHERE kind = 'page'")(lambda k: tree.pages_of(tree.directory(nodes(k), "book", 7)))
+query("directory_tree", f"WITH RECURSIVE {TREE.format(root=chr(39).join(['kind = ', 'book', ' AND id = 7']), depth=3)} SELECT {', '.join(_TREE_COLUMNS)} FROM tree")(lambda k: subtree(k, "book", 7).select(*_TREE_COLUMNS))
+query("directory_tree_depth", f"WITH RECURSIVE {TREE.format(root=chr(39).join(['kind = ', 'shelf', ' AND id = 2']), depth=2)} SELECT {', '.join(_TREE_COLUMNS)} FROM tree")(lambda k: subtree(k, "shelf", 2, 2).select(*_TREE_COLUMNS))
+query("tree_collect_pages", f"WITH RECURSIVE {TREE.format(root=chr(39).join(['kind = ', 'book', ' AND id = 7']), depth=3)} SELECT id AS page_id FROM tree WHERE kind = 'page'")(lambda k: tree.pages_of(subtree(k, "book", 7)))
 query(
     "tree_acl_prune",
     f"WITH RECURSIVE {TREE.format(root=chr(39).join(['kind = ', 'book', '']), depth=3)}, ok AS (SELECT * FROM tree WHERE kind = 'page' AND id % 40 = 1), c AS (SELECT * FROM tree t WHERE kind = 'chapter' AND (id IN (SELECT parent_id FROM ok WHERE parent_kind = 'chapter') OR id NOT IN (SELECT parent_id FROM tree WHERE parent_kind = 'chapter'))), b AS (SELECT * FROM tree t WHERE kind = 'book' AND (id IN (SELECT parent_id FROM ok WHERE parent_kind = 'book' UNION SELECT parent_id FROM c) OR id NOT IN (SELECT parent_id FROM tree WHERE parent_kind = 'book'))) SELECT kind, id FROM ok UNION ALL SELECT kind, id FROM c UNION ALL SELECT kind, id FROM b",
 )(lambda k: tree.prune(nodes(k).filter("kind = 'book' OR in_book IS NOT NULL"), k.pages.filter("page_id % 40 = 1")).select("kind", "id"))
 
 
-query("tree_to_json")(lambda k: tree.to_json(tree.directory(nodes(k), "shelf", 2)))
+query("tree_to_json")(lambda k: tree.to_json(subtree(k, "shelf", 2)))
 query(
     "outline_text",
     """WITH ch AS (SELECT book_id, string_agg('    Chapter: ' || name || ' (ID: ' || chapter_id || ')' || CASE WHEN chapter_id % 2 = 0 THEN ' — about ' || slug ELSE '' END || chr(10), '' ORDER BY name, chapter_id) AS lines FROM kb_chapters WHERE NOT deleted GROUP BY book_id),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, documents, text
 from ..operators import graph, ingest, models, requests, search, tables, vectors
+from ..operators.trained_embedder import TrainedEmbedder
 from ..sources.schemas import altered_width
 from ..sources.views import Knowledge
 from .catalog import LIMIT, SIBLINGS, THRESHOLD, query, query_vector
@@ -185,6 +186,7 @@ query("replace_section_html", "SELECT page_id, '<p>a</p><h2><i>' || name || '</i
     lambda k: k.pages.select("page_id", documents.replace_section(F.lit("wysiwyg"), F.concat(F.lit("<p>a</p><h2><i>"), "name", F.lit("</i></h2>old<h3>sub</h3>x<h2>Next</h2>z")), F.upper("name"), F.lit("new *text*")).alias("body"))
 )
 query("embed_texts")(lambda k: docs(k).select("doc_id", models.embed(F.col("text"), DIMS).alias("embedding")))
+query("embed_texts_trained")(lambda k: docs(k).select("doc_id", models.embed(F.col("text"), DIMS, TrainedEmbedder.fit(docs(k), DIMS).maker(k.spark)).alias("embedding")))
 query("blob_codec", "SELECT chunk_id, len(embedding)::INT AS dims, 4 * len(embedding)::INT AS n_bytes, true AS same FROM kb_chunks")(
     lambda k: k.chunks.select("chunk_id", F.size("embedding").alias("dims"), "embedding", vectors.pack(F.col("embedding")).alias("blob")).select("chunk_id", "dims", F.octet_length("blob").alias("n_bytes"), (vectors.unpack(F.col("blob")) == F.col("embedding")).alias("same"))
 )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from atheneum.functions import answers, documents, text
 from atheneum.operators import acl, graph, ingest, jobs, models, search, tables, tree, vectors
+from atheneum.operators.trained_embedder import TrainedEmbedder
 from atheneum.sources import paged, store
 from atheneum.streaming import events
 
@@ -203,6 +204,9 @@ def test_tree(spark):
     assert ids(whole.filter("level = 0")) == {("shelf", 100), ("shelf", 0)} and ("page", 401) not in ids(whole) and ("book", 202) in ids(whole)
     assert ids(tree.directory(all_nodes, depth=0)) == {("shelf", 100), ("shelf", 0)}
     assert ids(tree.directory(all_nodes, "book", 200, 1)) == {("book", 200), ("chapter", 300), ("page", 402)}
+    for kind, id in (("shelf", 100), ("shelf", 0), ("book", 200), ("book", 202), ("chapter", 300)):
+        some = tree.nodes(*tree.below(shelves, books, chapters, pages, kind, id))
+        assert ids(tree.directory(some, kind, id)) == ids(tree.directory(all_nodes, kind, id))
     with pytest.raises(LookupError, match="book 9999"):
         tree.directory(all_nodes, "book", 9999)
     allowed = spark.createDataFrame([(402,)], "page_id long")
@@ -513,3 +517,24 @@ def test_scopes_multipliers_and_modes(spark):
             search.parse_mode(bad)
     roles = acl.caller_roles(spark.createDataFrame([(1, True), (2, True), (3, False)], "caller long, identified boolean"), spark.createDataFrame([(1, 5), (1, 5), (3, 6)], "caller long, role_id long"))
     assert {r.caller: r.roles for r in roles.collect()} == {1: [5], 2: [], 3: None}
+
+
+def test_near_copies_are_nearest_to_the_trained_embedder(spark):
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").repartition(3)
+    model = TrainedEmbedder.fit(docs, 32)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    shingles = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    ids = [i for i in texts if shingles[i]]
+    near = {i: {j for j in ids if j != i and 10 * len(shingles[i] & shingles[j]) >= 8 * len(shingles[i] | shingles[j])} for i in ids}
+    vectors = {r.doc_id: np.array(r.e) for r in docs.select("doc_id", models.embed(F.col("text"), 32, model.maker(spark)).alias("e")).collect()}
+    m = np.array([vectors[i] for i in ids])
+    scores = m @ m.T
+    np.fill_diagonal(scores, -1)
+    asked = [k for k, i in enumerate(ids) if near[i]]
+    assert len(asked) > 20 and all(ids[int(scores[k].argmax())] in near[ids[k]] for k in asked)
+    again = TrainedEmbedder.of_table(model.table(spark))
+    assert np.allclose(again(["the of and"]), model(["the of and"])) and not model([None, ""]).any()
+    with pytest.raises(Exception, match="32 dimensions"):
+        docs.select(models.embed(F.col("text"), 8, model.maker(spark))).collect()
