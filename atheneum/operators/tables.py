@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import Store
+
 
 def live(df: DataFrame) -> DataFrame:
     return df.filter(~F.col("deleted"))
@@ -102,6 +104,11 @@ def upsert_index_pages(index: DataFrame, cache: DataFrame, new: DataFrame, now:
     return upsert(index, rows.select(*index.columns), ["page_id"]), upsert(cache, rows.select(*cache.columns), ["page_id"])
 
 
+def publish_index_pages(store: Store, new: DataFrame, now: int) -> int:
+    """The same in a store's tables ``index`` and ``cache``: both in one commit, so that a reader finds a page in both as it is now or as it was. Returns the version."""
+    return store.update(lambda now_there: dict(zip(("index", "cache"), upsert_index_pages(now_there.read("index"), now_there.read("cache"), new, now), strict=True)), {"index": ["page_id"], "cache": ["page_id"]})
+
+
 def masked(df: DataFrame, given: dict[str, Column]) -> DataFrame:
     """An update that names only some fields: a field that is not named, or null, stays."""
     return df.withColumns({c: F.coalesce(v, F.col(c)) for c, v in given.items()})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import numpy as np
 
-from atheneum.operators import graph, ingest, jobs, models, search, vectors
+from atheneum.operators import graph, ingest, jobs, models, search, tables, vectors
 from atheneum.operators.adjacency import Adjacency
 from atheneum.operators.text_index import TextIndex
 from atheneum.operators.vector_index import VectorIndex
@@ -84,6 +84,30 @@ def test_tables_of_one_commit_always_agree(spark, tmp_path):
     assert all(a == b for a, b in seen) and kept.read("row").first().n == kept.read("cache").first().n == 6  # no update is lost
 
 
+def test_index_and_cache_are_published_together(spark, tmp_path):
+    kept = store.Store(spark, str(tmp_path / "s"))
+    rows = lambda *r: spark.createDataFrame(list(r), "page_id long, name string, markdown string, page_updated_at int")
+    kept.update(lambda s: {"index": spark.createDataFrame([], "page_id long, name string, indexed_at long"), "cache": spark.createDataFrame([], "page_id long, markdown string, cached_at long")})
+    before = kept.snapshot()
+    tables.publish_index_pages(kept, rows((1, "a", "A", 1), (1, "b", "B", 2), (2, "c", "C", 1)), 50)
+    now = kept.snapshot()
+    assert {r.page_id: (r.name, r.indexed_at) for r in now.read("index").collect()} == {1: ("b", 50), 2: ("c", 50)} and {r.page_id: r.markdown for r in now.read("cache").collect()} == {1: "B", 2: "C"}
+    assert before.read("index").isEmpty() and before.read("cache").isEmpty()
+    at_once(*[lambda i=i: tables.publish_index_pages(kept, rows((i, "n", "N", 1)), 60) for i in (3, 4)])
+    assert {r.page_id for r in kept.read("index").collect()} == {r.page_id for r in kept.read("cache").collect()} == {1, 2, 3, 4}
+
+
+def test_old_snapshots_are_removed(spark, tmp_path):
+    kept = store.Store(spark, str(tmp_path / "s"))
+    for i in range(6):
+        kept.publish("t", spark.range(i))
+    assert kept.log.vacuum(2) == []  # all are young
+    assert len(kept.log.vacuum(2, -60)) == 4 and kept.read("t").count() == 5 and kept.log.state(5)[0] == 5
+    assert len([p for p in Path(kept.root, "t").iterdir() if p.is_dir()]) == 2 and len(list(Path(kept.root, "_log").glob("0*.json"))) == 2
+    kept.publish("t", spark.range(9))
+    assert kept.read("t").count() == 9
+
+
 def bytes_under(folder):
     return sum(p.stat().st_size for p in Path(folder).rglob("*.parquet"))
 
