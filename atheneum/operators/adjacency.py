@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.log import SnapshotLog
 from ..sources.merge import BUCKETS, MergeTable
-from ..sources.staging import settled
+from ..sources.staging import held, settled
 from . import graph
 
 COLUMNS = ["source_page_id", "target_page_id", "link_type"]
@@ -58,8 +58,8 @@ class Adjacency:
         """(page_id, relation, neighbour_id) of these pages, as ``graph.blanket``; of the edges, only the buckets of these pages and of what they link to are read."""
         _, state = self.log.state()
         own = [(i,) for i in ids]
-        outgoing = settled(self.out.read(own, state).filter(F.col("source_page_id").isin(ids)).select(*COLUMNS))
+        outgoing = held(self.out.read(own, state).filter(F.col("source_page_id").isin(ids)).select(*COLUMNS))
         incoming = self.into.read(own, state).filter(F.col("target_page_id").isin(ids)).select(*COLUMNS)
         targets = [r[0] for r in outgoing.select("target_page_id").distinct().limit(MAX_TARGETS + 1).collect()]
         shared = self.into.read([(t,) for t in targets] if len(targets) <= MAX_TARGETS else None, state).select(*COLUMNS)
-        return graph.blanket_of_edges(outgoing, settled(incoming), shared, pages, ids)
+        return graph.blanket_of_edges(outgoing, held(incoming), shared, pages, ids)

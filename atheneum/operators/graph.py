@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import settled
+from ..sources.staging import held, settled
 
 LINKS, CO_LINKS, SIBLINGS = 20, 10, 20
 #: Pages of a search pool, whose ids become constants of the plan.
@@ -101,15 +101,15 @@ def _relations(to: DataFrame, of: DataFrame, own: DataFrame, there: DataFrame, n
 
 def blanket_of_pool(edges: DataFrame, pages: DataFrame, ids: list[int]) -> DataFrame:
     """The blanket of a few pages: their ids are filters of the scans, so that windows see only edges that touch them, or share a target with them, and pages of their chapters and books."""
-    ends = settled(edges.filter(F.col("source_page_id").isin(ids) | F.col("target_page_id").isin(ids)))
+    ends = held(edges.filter(F.col("source_page_id").isin(ids) | F.col("target_page_id").isin(ids)))
     return blanket_of_edges(ends.filter(F.col("source_page_id").isin(ids)), ends.filter(F.col("target_page_id").isin(ids)), edges, pages, ids)
 
 
 def blanket_of_edges(outgoing: DataFrame, incoming: DataFrame, edges: DataFrame, pages: DataFrame, ids: list[int]) -> DataFrame:
     """The same, with the edges from and to these pages; ``edges`` has at least all edges to what they link to."""
-    others = settled(edges.join(outgoing.select("target_page_id").distinct(), "target_page_id", "left_semi").select("source_page_id", "target_page_id").distinct())
+    others = held(edges.join(outgoing.select("target_page_id").distinct(), "target_page_id", "left_semi").select("source_page_id", "target_page_id").distinct())
     met = incoming.select(F.col("source_page_id").alias("page_id")).unionAll(outgoing.select("target_page_id")).unionAll(others.select("source_page_id")).distinct()
-    known = settled(pages.join(met, "page_id", "left_semi").select("page_id"))
+    known = held(pages.join(met, "page_id", "left_semi").select("page_id"))
     to = incoming.join(known.withColumnRenamed("page_id", "source_page_id"), "source_page_id", "left_semi")
     of = outgoing.join(known.withColumnRenamed("page_id", "target_page_id"), "target_page_id", "left_semi")
     there = others.join(known.withColumnRenamed("page_id", "source_page_id"), "source_page_id", "left_semi")

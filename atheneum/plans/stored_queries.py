@@ -23,6 +23,8 @@ from ..sources.views import Knowledge
 from . import catalog
 from .catalog import ORACLE, QUERIES, query
 
+#: Buckets of the tables here, which are small.
+BUCKETS = 16
 _BUILT: dict[tuple, object] = {}
 
 
@@ -48,7 +50,7 @@ def kept(k: Knowledge, name: str, make: Callable[[SnapshotLog], object]):
 
 
 def _index(k: Knowledge, log: SnapshotLog) -> TextIndex:
-    index = TextIndex(log)
+    index = TextIndex(log, buckets=BUCKETS)
     index.build(k.base("documents"))
     return index
 
@@ -87,7 +89,7 @@ def _(k):
 
 
 def _adjacency(k: Knowledge, log: SnapshotLog) -> Adjacency:
-    found = Adjacency(log)
+    found = Adjacency(log, buckets=BUCKETS)
     found.build(k.relationships)
     return found
 
@@ -119,7 +121,7 @@ def _(k):
 @same_as("sink_upsert_page_merged", "sink_upsert_page")
 def _(k):
     rows = k.pages.select("page_id", "name", "slug")
-    table = MergeTable(SnapshotLog(k.spark, scratch(k.spark, "pages")), "pages", rows.schema, ["page_id"])
+    table = MergeTable(SnapshotLog(k.spark, scratch(k.spark, "pages")), "pages", rows.schema, ["page_id"], buckets=BUCKETS)
     first = table.replaced(rows)
     table.log.transact(lambda _: first)
     table.upsert(catalog.new_pages(k).select("page_id", "name", "slug"))
@@ -129,7 +131,7 @@ def _(k):
 @same_as("sink_replace_chunks_merged", "sink_replace_chunks")
 def _(k):
     rows = k.chunks.select("chunk_id", "page_id", "chunk_index")
-    table = MergeTable(SnapshotLog(k.spark, scratch(k.spark, "chunks")), "chunks", rows.schema, ["page_id"])
+    table = MergeTable(SnapshotLog(k.spark, scratch(k.spark, "chunks")), "chunks", rows.schema, ["page_id"], buckets=BUCKETS)
     first = table.replaced(rows)
     table.log.transact(lambda _: first)
     new = k.chunks.filter("page_id = 6").select((F.col("chunk_id") + 900000).alias("chunk_id"), F.lit(5).cast("long").alias("page_id"), (F.col("chunk_index") + 1).alias("chunk_index"))
@@ -139,7 +141,7 @@ def _(k):
 
 def queue(k: Knowledge) -> MergeTable:
     rows = k.jobs.select("id", "scope", "status", "started_at", "worker_id")
-    table = MergeTable(SnapshotLog(k.spark, scratch(k.spark, "jobs")), "jobs", rows.schema, ["id"])
+    table = MergeTable(SnapshotLog(k.spark, scratch(k.spark, "jobs")), "jobs", rows.schema, ["id"], buckets=BUCKETS)
     first = table.replaced(rows)
     table.log.transact(lambda _: first)
     return table

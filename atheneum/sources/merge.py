@@ -26,7 +26,7 @@ class MergeTable:
 
     def __init__(self, log: SnapshotLog, name: str, schema: StructType, key: list[str], bucket_by: list[str] | None = None, buckets: int = BUCKETS):
         self.log, self.name, self.schema, self.key, self.bucket_by, self.buckets = log, name, schema, key, bucket_by or key, buckets
-        self.spark = log.spark
+        self.spark, self._listed = log.spark, {}
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*[F.col(c).cast(self.schema[c].dataType) for c in self.bucket_by]), F.lit(self.buckets)).cast("int")
@@ -41,9 +41,16 @@ class MergeTable:
     def _manifest(self, state: dict) -> dict:
         return state.get(NAME + self.name) or {"base": {}, "deltas": []}
 
+    def _folder(self, folder: str, schema: StructType) -> DataFrame:
+        """A folder's files; they never change, so they are listed once."""
+        if folder not in self._listed:
+            self._listed[folder] = self.spark.read.schema(StructType([*schema.fields]).add("_bucket", "integer")).parquet(f"{self.log.root}/{folder}")
+        return self._listed[folder]
+
     def _files(self, folders: dict[str, list[int]], schema: StructType) -> DataFrame:
-        paths = [f"{self.log.root}/{folder}/_bucket={b}" for folder, buckets in folders.items() for b in buckets]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        """The rows of some buckets of each folder: these are partitions, and others are not opened."""
+        parts = [self._folder(folder, schema).filter(F.col("_bucket").isin(buckets)).drop("_bucket") for folder, buckets in folders.items() if buckets]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
 
     def buckets_of(self, values: Iterable[tuple]) -> list[int]:
         """The buckets of these values of ``bucket_by``."""

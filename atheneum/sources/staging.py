@@ -41,6 +41,16 @@ def pool(df: DataFrame, most: int) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.schema)  # from Arrow, so that the planner knows its size
 
 
+#: Rows that are held by the driver between two steps of a query, about a megabyte.
+HELD = 20_000
+
+
+def held(df: DataFrame, most: int = HELD) -> DataFrame:
+    """The rows, worked out once: as a local table if they are few, so that joins with them need no shuffle; checkpointed beyond that."""
+    rows = df.limit(most + 1).toArrow()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= most else settled(df)
+
+
 #: Ranges that an order is numbered in at most, and sampled keys of each.
 RANGES, KEYS_A_RANGE = 256, 32
 

@@ -124,7 +124,11 @@ def test_a_change_writes_what_changes(spark, log):
     got = {r.id: r.text for r in table.read().collect()}
     assert set(got) == set(want) and all(got[i] == "new" for i in range(19_990, 20_010)) and got[10] != "new"
     some = table.read([(19_995,)])
-    assert len(some.inputFiles()) < len(table.read().inputFiles()) / 4 and some.filter("id = 19995").first().text == "new"
+    assert some.filter("id = 19995").first().text == "new"
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*_bucket", plan) and len(table.buckets_of([(19_995,)])) == 1
+    opened = lambda buckets: table._files({base[merge.NAME + "pages"]["base"]["0"]: buckets}, table.schema).select(F.input_file_name()).distinct().count()
+    assert opened(table.buckets_of([(19_995,)])) <= 2 < opened(list(range(16))) / 4
 
 
 def test_deltas_and_compaction(spark, log):
