@@ -54,9 +54,17 @@ class Adjacency:
     def edges(self) -> DataFrame:
         return self.out.read().select(*COLUMNS)
 
-    def blanket(self, pages: DataFrame, ids: list[int]) -> DataFrame:
-        """(page_id, relation, neighbour_id) of these pages, as ``graph.blanket``; of the edges, only the buckets of these pages and of what they link to are read."""
+    def blanket(self, pages: DataFrame, wanted: list[int] | DataFrame) -> DataFrame:
+        """(page_id, relation, neighbour_id) of these pages, as ``graph.blanket``; of the edges, only the buckets of these pages and of what they link to are read.
+
+        ``wanted`` is a list, or a table (page_id), of which at most a search pool's ids come to the driver: more than these lie in all buckets, and are joined."""
         _, state = self.log.state()
+        if isinstance(wanted, DataFrame):
+            ids = [r.page_id for r in wanted.select("page_id").distinct().limit(graph.MAX_POOL + 1).collect()]
+            if len(ids) > graph.MAX_POOL:
+                return graph.blanket_of_many(self.out.read(None, state).select(*COLUMNS), pages, wanted)
+        else:
+            ids = wanted
         own = [(i,) for i in ids]
         outgoing = held(self.out.read(own, state).filter(F.col("source_page_id").isin(ids)).select(*COLUMNS))
         incoming = self.into.read(own, state).filter(F.col("target_page_id").isin(ids)).select(*COLUMNS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import held, settled
+from ..sources.staging import held, settled, spread
 
 LINKS, CO_LINKS, SIBLINGS = 20, 10, 20
 #: Pages of a search pool, whose ids become constants of the plan.
@@ -33,14 +33,17 @@ def co_linked(edges: DataFrame, pages: DataFrame, wanted: DataFrame | None = Non
     """(page_id, neighbour_id): other pages that link to a page it links to. ``wanted`` (page_id) keeps the join to the pages asked for."""
     own = edges.select(F.col("source_page_id").alias("page_id"), "target_page_id").distinct()
     there = own.join(pages.select("page_id"), "page_id", "left_semi")
-    return _co_linked(own if wanted is None else own.join(wanted.select("page_id"), "page_id", "left_semi"), there, n)
+    return _co_linked(own if wanted is None else own.join(wanted.select("page_id"), "page_id", "left_semi"), there, n, edges.count())
 
 
-def _co_linked(own: DataFrame, there: DataFrame, n: int = CO_LINKS) -> DataFrame:
-    """Of the pages that link to a target, the first n + 1 are enough for each of them, so a popular target is joined with these and not with itself."""
+def _co_linked(own: DataFrame, there: DataFrame, n: int = CO_LINKS, many: int | None = None) -> DataFrame:
+    """Of the pages that link to a target, the first n + 1 are enough for each of them, so a popular target is joined with these and not with itself.
+
+    ``many`` links, more than those of a search pool, are dealt by page as lists, before these become n + 1 rows each: no task holds the pairs of more links than it is given."""
     rank = F.row_number().over(Window.partitionBy("target_page_id").orderBy("page_id"))
     first = there.withColumn("_r", rank).filter(F.col("_r") <= n + 1).groupBy("target_page_id").agg(F.collect_list("page_id").alias("near"))
-    rows = own.join(first, "target_page_id").select("page_id", F.explode("near").alias("neighbour_id"))
+    rows = own.join(first, "target_page_id").select("page_id", "near")
+    rows = (rows if many is None else spread(rows, many, "page_id")).select("page_id", F.explode("near").alias("neighbour_id"))
     return _first(rows.filter("page_id <> neighbour_id").distinct(), n, "neighbour_id")
 
 
@@ -50,7 +53,7 @@ def siblings(pages: DataFrame, wanted: DataFrame | None = None, n: int = SIBLING
     A window over each chapter or book lists its first n + 1 pages, which are enough for every page in it, so nothing is joined pairwise.
     """
     asked = (pages if wanted is None else pages.join(wanted.select("page_id"), "page_id", "left_semi")).select("page_id", "chapter_id", "book_id")
-    return _siblings(asked, pages, n)
+    return _siblings(spread(asked, pages.count(), "page_id"), pages, n)
 
 
 def _siblings(asked: DataFrame, pages: DataFrame, n: int = SIBLINGS) -> DataFrame:
@@ -73,6 +76,11 @@ def blanket(edges: DataFrame, pages: DataFrame, wanted: DataFrame | None = None)
         ids = [r.page_id for r in wanted.select("page_id").distinct().limit(MAX_POOL + 1).collect()]
         if len(ids) <= MAX_POOL:
             return blanket_of_pool(edges, pages, ids)
+    return blanket_of_many(edges, pages, wanted)
+
+
+def blanket_of_many(edges: DataFrame, pages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The blanket of all pages, or of more of them (page_id) than a search pool has: joins, and no list of ids."""
     known = pages.select("page_id", F.lit(True).alias("is_page"))
     ends = edges.join(known.withColumnsRenamed({"page_id": "source_page_id", "is_page": "source_is_page"}), "source_page_id", "left")
     ends = settled(ends.join(known.withColumnsRenamed({"page_id": "target_page_id", "is_page": "target_is_page"}), "target_page_id", "left"))
@@ -81,15 +89,15 @@ def blanket(edges: DataFrame, pages: DataFrame, wanted: DataFrame | None = None)
     if wanted is not None:
         some = settled(wanted.select("page_id").distinct())
         to, of, own = (x.join(some.withColumnRenamed("page_id", c), c, "left_semi") for x, c in ((to, "target_page_id"), (of, "source_page_id"), (ends, "source_page_id")))
-    return _relations(to, of, own, there, siblings(pages, wanted))
+    return _relations(to, of, own, there, siblings(pages, wanted), ends.count())
 
 
-def _relations(to: DataFrame, of: DataFrame, own: DataFrame, there: DataFrame, near: DataFrame) -> DataFrame:
+def _relations(to: DataFrame, of: DataFrame, own: DataFrame, there: DataFrame, near: DataFrame, many: int | None = None) -> DataFrame:
     """From the edges to the pages asked for, those from them, these again for what they share, and the edges that these may share with; edges' other ends are pages."""
     kinds = {
         "linked_from": _first(to.select(F.col("target_page_id").alias("page_id"), F.col("source_page_id").alias("neighbour_id"), "link_type"), LINKS, "neighbour_id", "link_type"),
         "links_to": _first(of.select(F.col("source_page_id").alias("page_id"), F.col("target_page_id").alias("neighbour_id"), "link_type"), LINKS, "neighbour_id", "link_type"),
-        "co_linked": _co_linked(own.select(F.col("source_page_id").alias("page_id"), "target_page_id").distinct(), there.select(F.col("source_page_id").alias("page_id"), "target_page_id").distinct()),
+        "co_linked": _co_linked(own.select(F.col("source_page_id").alias("page_id"), "target_page_id").distinct(), there.select(F.col("source_page_id").alias("page_id"), "target_page_id").distinct(), many=many),
         "sibling": near,
     }
     out = None
@@ -119,6 +127,11 @@ def blanket_of_edges(outgoing: DataFrame, incoming: DataFrame, edges: DataFrame,
     return _relations(to, of, outgoing, there, _siblings(asked, around))
 
 
+def times_named(neighbours: DataFrame, pages: int) -> DataFrame:
+    """(page_id, neighbour_id, n): how often each neighbour is named, of the blankets of so many pages. Pages are dealt first, so that no task counts the neighbours of more than its own."""
+    return spread(neighbours.select("page_id", "neighbour_id"), pages * (2 * LINKS + CO_LINKS + SIBLINGS) // 10, "page_id").groupBy("page_id", "neighbour_id").agg(F.count("*").alias("n"))
+
+
 def strong_weak(neighbours: DataFrame, scored: DataFrame, hits: DataFrame) -> DataFrame:
     """(page_id, strong, weak): neighbours that are scored pages, and those that are only among the raw hits."""
     known = scored.select(F.col("page_id").alias("neighbour_id"), F.lit(True).alias("is_scored")).unionByName(hits.select(F.col("page_id").alias("neighbour_id"), F.lit(False).alias("is_scored")))

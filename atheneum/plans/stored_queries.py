@@ -101,8 +101,7 @@ def adjacency(k: Knowledge) -> Adjacency:
 @same_as("blanket_boost_by_bucket", "blanket_boost")
 def _(k):
     scored, hits = catalog._scored(k)
-    ids = [r.page_id for r in scored.select("page_id").collect()]  # a search pool
-    counts = strong_weak(adjacency(k).blanket(k.pages, ids), scored, hits)
+    counts = strong_weak(adjacency(k).blanket(k.pages, scored), scored, hits)
     zero = F.lit(0)
     return scored.select("page_id").join(counts, "page_id", "left").select("page_id", F.round(search.boost(F.coalesce("strong", zero), F.coalesce("weak", zero)), 4).alias("blanket"))
 

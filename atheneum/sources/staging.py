@@ -51,6 +51,16 @@ def held(df: DataFrame, most: int = HELD) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= most else settled(df)
 
 
+#: Rows that a task is given where each of them becomes many.
+ROWS_A_TASK = 100_000
+
+
+def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df``, of about so many ``rows``, dealt by these columns over as many tasks as it takes for ``ROWS_A_TASK`` each. Rows that are about to become many are small before that, so
+    the planner would put too many of them into one task; what then groups or orders by these columns needs no other shuffle."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)), *by)
+
+
 #: Ranges that an order is numbered in at most, and sampled keys of each.
 RANGES, KEYS_A_RANGE = 256, 32
 

@@ -176,6 +176,20 @@ def test_adjacency_by_bucket(spark, log):
     assert plain(stored.blanket(pages, ids)) == [r for r in plain(graph.blanket(df(left), pages)) if r[0] in ids]
 
 
+def test_a_large_pool_is_joined_and_not_listed(spark, log, monkeypatch):
+    edges = spark.createDataFrame(sorted({(i % 50, (i * 7) % 60, "link") for i in range(400)}), "source_page_id long, target_page_id long, link_type string")
+    pages = spark.createDataFrame([(i, i % 5, None if i % 4 == 0 else i % 10, i % 13 == 0) for i in range(180)], "page_id long, book_id long, chapter_id long, deleted boolean")
+    stored = Adjacency(log, buckets=16)
+    stored.build(edges)
+    wanted = spark.createDataFrame([(i,) for i in range(0, 120, 3)], "page_id long")
+    plain = lambda found: sorted(map(tuple, found.select("page_id", "relation", "neighbour_id").collect()))
+    expected = [r for r in plain(graph.blanket(edges, pages)) if r[0] < 120 and r[0] % 3 == 0]
+    assert plain(stored.blanket(pages, wanted)) == expected and len(expected) > 100
+    monkeypatch.setattr(graph, "MAX_POOL", 30)
+    monkeypatch.setattr(graph, "blanket_of_edges", None)  # the way that takes ids
+    assert plain(stored.blanket(pages, wanted)) == expected
+
+
 TEXTS = [(i, " ".join(f"w{(i * 7 + j * j) % (3 + j)}" for j in range(i % 40))) for i in range(3000)] + [(5000, None), (5001, "..."), (5002, "Ünïque wörd-wörd w1 w2"), (5003, "w1 w2 W1 w2, w1w2")]
 
 
