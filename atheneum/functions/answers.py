@@ -64,4 +64,4 @@ def search_texts(requests: DataFrame, results: DataFrame, base_url: str, request
     lists = results.select(request, F.struct("pos", line.alias("line")).alias("r")).groupBy(request).agg(F.array_sort(F.collect_list("r")).alias("lines"))
     n = F.col(total) if total else F.size("lines")
     shown = F.concat(F.lit("Found "), n.cast("string"), F.lit(" results:\n\n"), F.array_join(F.transform("lines", lambda r: r["line"]), "\n"))
-    return requests.join(lists, request, "left").select(request, F.coalesce(shown, F.lit(NO_RESULTS)).alias("shown"))
+    return requests.join(lists.hint("merge"), request, "left").select(request, F.coalesce(shown, F.lit(NO_RESULTS)).alias("shown"))

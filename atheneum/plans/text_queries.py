@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answers, documents, text
@@ -123,14 +123,15 @@ query("format_search_text", f"""WITH n AS ({SIBLINGS}), r AS (SELECT n.page_id A
 
 
 def _shown(k: Knowledge):
-    near = graph.siblings(k.pages).withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy("neighbour_id")))
-    of = k.pages.select(F.col("page_id").alias("neighbour_id"), "name", "slug")
+    # The planner takes siblings for as many rows as there are pages, and would send them or their counts to all executors.
+    near = graph.siblings(k.pages)
+    of = k.pages.select(F.col("page_id").alias("neighbour_id"), "name", "slug").hint("shuffle_hash")
     rows = near.join(of, "neighbour_id").select(
-        F.col("page_id").alias("request"), "pos", F.lit("page").alias("type"), "name", F.col("neighbour_id").alias("id"),
+        F.col("page_id").alias("request"), F.col("neighbour_id").alias("pos"), F.lit("page").alias("type"), "name", F.col("neighbour_id").alias("id"),
         F.when(F.col("neighbour_id") % 3 > 0, F.concat(F.lit("books/b/page/"), "slug")).alias("url"),
         F.when(F.col("neighbour_id") % 2 == 0, F.repeat(F.concat(F.lit("<p>"), "slug", F.lit(" of <b>"), "name", F.lit("</b>; </p>")), F.lit(9))).alias("preview"),
     )
-    counts = near.groupBy("page_id").agg(F.count("*").alias("n"))
+    counts = near.groupBy("page_id").agg(F.count("*").alias("n")).hint("merge")
     asked = k.pages.join(counts, "page_id", "left").select(F.col("page_id").alias("request"), (F.coalesce("n", F.lit(0)) + F.col("page_id") % 5).alias("total"))
     return answers.search_texts(asked, rows, _BASE + "/", "request", "total")
 

@@ -1,4 +1,5 @@
 import hashlib
+from itertools import takewhile
 
 import pytest
 from pyspark.sql import functions as F
@@ -538,3 +539,12 @@ def test_near_copies_are_nearest_to_the_trained_embedder(spark):
     assert np.allclose(again(["the of and"]), model(["the of and"])) and not model([None, ""]).any()
     with pytest.raises(Exception, match="32 dimensions"):
         docs.select(models.embed(F.col("text"), 8, model.maker(spark))).collect()
+
+
+def test_exploded_siblings_are_not_sent_to_all_executors(spark):
+    from atheneum.plans import registry
+
+    plan = registry.QUERIES["format_search_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    within = [x for i, line in enumerate(plan) if "BroadcastExchange" in line for x in takewhile(lambda x, line=line: depth(x) > depth(line), plan[i + 1 :])]
+    assert within and not [x for x in within if "Generate explode" in x or "count(1)" in x]
