@@ -7,9 +7,10 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import documents, text
-from ..sources.staging import numbered, settled
+from ..sources.staging import held, numbered, scratch, settled
 from . import jobs as queue
 from . import models, tables
 
@@ -74,7 +75,10 @@ def attempt(raw: DataFrame, books: DataFrame, chapters: DataFrame, shelves: Data
 
 def aborted_after(results: DataFrame, most: int = MAX_FAILURES) -> int | None:
     """The page_id, in order, at which ``most`` pages in a row have failed; None if that never happened. Runs are found by numbering, not by a walk."""
-    rows = settled(numbered(settled(results.select("page_id", "error")), "page_id"))
+    results = settled(results.select("page_id", "error"))
+    if results.filter("error IS NOT NULL").limit(most).count() < most:
+        return None
+    rows = settled(numbered(results, "page_id"))
     bad = numbered(rows.filter("error IS NOT NULL").select("page_id", F.col("pos").alias("at")), "page_id")
     runs = bad.withColumn("run", F.col("at") - F.col("pos")).groupBy("run").agg(F.count("*").alias("n"), F.min("at").alias("first")).filter(F.col("n") >= most)
     first = runs.agg(F.min("first")).first()[0]
@@ -103,31 +107,38 @@ WINDOW = 1_000
 
 
 def embed_job(raw: DataFrame, books: DataFrame, chapters: DataFrame, shelves: DataFrame, pages: DataFrame, dims: int, make=models.hashing_embedder, window: int = WINDOW, most: int = MAX_FAILURES, should_stop: Callable[[], bool] | None = None) -> Embedded:
-    """An embedding job over raw pages in windows by id. After ``most`` failures in a row, counted across windows, or when ``should_stop`` says so, no further window is begun, and what
-    comes after the failures is not among the results. Each window's rows are written before the next is begun."""
+    """An embedding job over raw pages in windows by id: the first of ``window`` pages, each later one of as many as all before it, so that their number hardly grows with the job and an
+    abort or a stop comes after at most as much again as was done. After ``most`` failures in a row, counted across windows, or when ``should_stop`` says so, no further window is begun,
+    and what comes after the failures is not among the results. Each window's rows are written before the next is begun.
+
+    Raw pages are dealt into a folder a window first, so a window reads its own alone."""
     spark = raw.sparkSession
-    rows = settled(numbered(settled(raw.select("page_id")), "page_id").withColumn("window", F.floor((F.col("pos") - 1) / window)))
-    windows = rows.agg(F.max("window")).first()[0]
+    before = F.expr(f"(pos - 1) div {int(window)}")
+    rows = numbered(settled(raw.select("page_id")), "page_id").withColumn("_window", F.when(before == 0, 0).otherwise(F.length(F.bin(before))))
+    rows = settled(rows.groupBy("page_id").agg(F.min("_window").alias("_window")))
+    windows = rows.agg(F.max("_window")).first()[0]
+    folder = scratch(spark, "raw-pages")
+    raw.join(rows, "page_id").select(*raw.columns, "_window").write.partitionBy("_window").parquet(folder)
+    by_window = spark.read.schema(StructType([*raw.schema.fields]).add("_window", "integer")).parquet(folder)
     kept: list[Ingested] = []
-    results = spark.createDataFrame([], "page_id long, error string")
+    tail = results = spark.createDataFrame([], "page_id long, error string")
     aborted = stopped = False
     for n in range(0 if windows is None else windows + 1):
         if should_stop is not None and should_stop():
             stopped = True
             break
-        own = rows.filter(F.col("window") == n).select("page_id")
-        done, found = attempt(raw.join(own, "page_id", "left_semi"), books, chapters, shelves, pages, dims, make)
-        tail = results.orderBy(F.desc("page_id")).limit(most)  # a row of failures may have begun before
-        last = aborted_after(tail.unionByName(found), most)
+        done, found = attempt(by_window.filter(F.col("_window") == n).drop("_window"), books, chapters, shelves, pages, dims, make)
+        last = aborted_after(tail.unionByName(found), most)  # a row of failures may have begun before
         if last is not None:
-            found = found.filter(F.col("page_id") <= last)
+            found = settled(found.filter(F.col("page_id") <= last))
             good = found.filter("error IS NULL").select("page_id")
             done = Ingested(done.pages.join(good, "page_id", "left_semi"), done.chunks.join(good, "page_id", "left_semi"), done.links.join(good.withColumnRenamed("page_id", "source_page_id"), "source_page_id", "left_semi"))
         kept.append(Ingested(*[settled(x) for x in done]))
-        results = settled(results.unionByName(found))
+        results = results.unionByName(found)
         if last is not None:
             aborted = True
             break
+        tail = held(tail.unionByName(found).orderBy(F.desc("page_id")).limit(most))
     whole = kept[0] if kept else Ingested(*[settled(x) for x in attempt(raw.limit(0), books, chapters, shelves, pages, dims, make)[0]])
     for more in kept[1:]:
         whole = Ingested(*[a.unionByName(b) for a, b in zip(whole, more, strict=True)])

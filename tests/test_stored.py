@@ -340,3 +340,12 @@ def test_a_job_stops_between_windows_and_queues_retries(spark, wiki):
     assert made == {"page:7": False, "page:4": True, "page:50": True}
     none = ingest.embed_job(raw.limit(0), *wiki, 4)
     assert none.status == "succeeded" and none.done.chunks.isEmpty()
+
+
+def test_windows_grow_with_the_job(spark, wiki):
+    raw = spark.createDataFrame([(i, f"<p>text {i}</p>") for i in range(60)], "page_id long, html string").repartition(3)
+    asked = []
+    job = ingest.embed_job(raw, *wiki, 4, window=2, should_stop=lambda: asked.append(1))
+    assert len(asked) == 6 and sorted(r.page_id for r in job.results.collect()) == list(range(60)) == sorted(r.page_id for r in job.done.chunks.collect())  # 2, 2, 4, 8, 16, 28
+    job = ingest.embed_job(raw, *wiki, 4, failing_on(set(range(7, 17))), window=2)
+    assert job.aborted and sorted(r.page_id for r in job.results.collect()) == list(range(17))
