@@ -548,3 +548,18 @@ def test_exploded_siblings_are_not_sent_to_all_executors(spark):
     depth = lambda line: len(line) - len(line.lstrip(" :+-"))
     within = [x for i, line in enumerate(plan) if "BroadcastExchange" in line for x in takewhile(lambda x, line=line: depth(x) > depth(line), plan[i + 1 :])]
     assert within and not [x for x in within if "Generate explode" in x or "count(1)" in x]
+
+
+def test_training_looks_words_up_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"tea{i % 7} pot cup{i % 5} Tea{i % 7}" if i % 11 else None) for i in range(60)], "doc_id long, text string")
+    seen = tmp_path / "seen"
+
+    @F.udf("string")
+    def noted(text):
+        with seen.open("a") as f:
+            f.write("x")
+        return text
+
+    model = TrainedEmbedder.fit(docs.select(noted.asNondeterministic()("text").alias("text")), 4)
+    assert len(seen.read_text()) == 60
+    assert abs(float((model(["tea1 pot", None])[0] ** 2).sum()) - 1) < 1e-5 and not model([None]).any()
