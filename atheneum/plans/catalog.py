@@ -218,7 +218,7 @@ query("join_co_linked", CO_LINKED)(lambda k: graph.co_linked(k.relationships, k.
 query("join_siblings", SIBLINGS)(lambda k: graph.siblings(k.pages))
 query("markov_blanket", BLANKET)(lambda k: graph.blanket(k.relationships, k.pages))
 query("union_neighbours", f"SELECT page_id, neighbour_id, count(*) AS n FROM ({BLANKET}) GROUP BY page_id, neighbour_id")(
-    lambda k: graph.blanket(k.relationships, k.pages, k.pages).groupBy("page_id", "neighbour_id").agg(F.count("*").alias("n"))
+    lambda k: graph.times_named(graph.blanket(k.relationships, k.pages, k.pages), k.pages.count())
 )
 query("topk_per_group", f"SELECT page_id, count(*) AS n, min(neighbour_id) AS first_id FROM ({SIBLINGS}) GROUP BY page_id")(lambda k: graph.siblings(k.pages).groupBy("page_id").agg(F.count("*").alias("n"), F.min("neighbour_id").alias("first_id")))
 CENTROID = "cen AS (SELECT page_id, list(x ORDER BY kk) AS centroid FROM (SELECT page_id, kk, avg(x::DOUBLE) AS x FROM (SELECT page_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS kk FROM kb_chunks) GROUP BY page_id, kk) GROUP BY page_id)"

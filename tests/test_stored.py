@@ -349,3 +349,14 @@ def test_windows_grow_with_the_job(spark, wiki):
     assert len(asked) == 6 and sorted(r.page_id for r in job.results.collect()) == list(range(60)) == sorted(r.page_id for r in job.done.chunks.collect())  # 2, 2, 4, 8, 16, 28
     job = ingest.embed_job(raw, *wiki, 4, failing_on(set(range(7, 17))), window=2)
     assert job.aborted and sorted(r.page_id for r in job.results.collect()) == list(range(17))
+
+
+def test_tasks_that_pair_neighbours_grow_in_number(spark, monkeypatch):
+    edges = spark.createDataFrame(sorted({(i % 50, (i * 7) % 60, "link") for i in range(400)}), "source_page_id long, target_page_id long, link_type string")
+    pages = spark.createDataFrame([(i, i % 5, None if i % 4 == 0 else i % 10, i % 13 == 0) for i in range(180)], "page_id long, book_id long, chapter_id long, deleted boolean")
+    found = graph.blanket(edges, pages)
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    want = plain(found.groupBy("page_id", "neighbour_id").agg(F.count("*").alias("n")))
+    monkeypatch.setattr("atheneum.sources.staging.ROWS_A_TASK", 90)
+    counted = graph.times_named(graph.blanket_of_many(edges, pages, pages), 180)
+    assert plain(counted) == want and counted.rdd.getNumPartitions() == 14  # 180 pages with up to 70 neighbours, ten of them a row
