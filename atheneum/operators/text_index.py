@@ -22,6 +22,8 @@ from ..sources.log import SnapshotLog, Stale
 
 K1, B = 1.2, 0.75
 SEGMENT, BUCKETS, SALTS = 512, 64, 4
+#: Documents whose postings of one bucket a task sorts at most, but for the share of frequent words.
+DOCS_A_SALT = 32_768
 #: Segments with the highest bounds that the first pass of a top-k scores.
 FIRST_SEGMENTS = 8
 NAME = "text-index:"
@@ -84,7 +86,9 @@ class TextIndex:
         """A generation's postings and its documents' lengths."""
         folder = f"{self.name}/{uuid.uuid4().hex}"
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("words"))
-        spread = [F.col("bucket"), F.pmod("segment", F.lit(SALTS))]  # a word in every document is in every segment
+        # A word in every document is in every segment. A bucket is dealt over more tasks the more documents there are, so that none sorts more than its memory holds.
+        salts = max(SALTS, -(-docs.count() // DOCS_A_SALT))
+        spread = [*([self.buckets * salts] if salts > SALTS else []), F.col("bucket"), F.pmod(F.xxhash64("segment"), F.lit(salts))]
         postings = rows.mapInArrow(_segments, POSTINGS).withColumn("bucket", self._bucket(F.col("term"))).repartition(*spread).sortWithinPartitions("bucket", "term")
         postings.write.partitionBy("bucket").parquet(f"{self.log.root}/{folder}/postings")
         rows.select("doc_id", F.size("words").alias("length")).write.parquet(f"{self.log.root}/{folder}/docs")

@@ -360,3 +360,12 @@ def test_tasks_that_pair_neighbours_grow_in_number(spark, monkeypatch):
     monkeypatch.setattr("atheneum.sources.staging.ROWS_A_TASK", 90)
     counted = graph.times_named(graph.blanket_of_many(edges, pages, pages), 180)
     assert plain(counted) == want and counted.rdd.getNumPartitions() == 14  # 180 pages with up to 70 neighbours, ten of them a row
+
+
+def test_a_bucket_is_dealt_over_more_tasks_with_more_documents(spark, log, monkeypatch):
+    monkeypatch.setattr("atheneum.operators.text_index.DOCS_A_SALT", 1_000)
+    rows = spark.range(0, 16_000, 1, 4).select(F.col("id").alias("doc_id"), F.lit("a word and another one of these few words here").alias("text"))
+    index = TextIndex(log, buckets=2)
+    index.build(rows)
+    files = list(Path(log.root, index.generations()[0]["folder"], "postings").glob("bucket=*/*.parquet"))
+    assert len(files) > 8 and index.search("word").count() == 16_000
